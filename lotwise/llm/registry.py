@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash_dedup
+from . import packing, positional_index, quality_rules, simhash_dedup, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_suffix_trees": suffix_trees.query,
+    "op9_positional_index": positional_index.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
 SQL: dict[str, str] = {}
