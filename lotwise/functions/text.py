@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import unicode
 from .unicode import ascii_fold
 from .values import alias_or_self, col, filled, first_filled, lookup, path_of, squeeze, stem_of, strip_zeros, swap_all, unquote, zero_fill
 
@@ -138,13 +139,13 @@ def parse_title(title: Column | str, code: Column | str) -> Column:
     t = F.coalesce(col(title), F.lit(""))
     mark = F.concat(F.lit("["), col(code), F.lit("]"))
     exact = F.coalesce(F.contains(t, mark), F.lit(False))
-    before = F.when(exact, F.substring_index(t, mark, 1)).otherwise(t)
+    before = F.when(exact, F.call_function("substring_index", t, mark, F.lit(1))).otherwise(t)
     word = r"(?i)\b(SEC|SR|UC|[RCLP])(?:-(SPC|SP|PL|P))?\b"
     marked = F.regexp_replace(before, word, "\u0001$0\u0002")
     hit = F.contains(marked, F.lit("\u0001"))
     last = F.substring_index(marked, "\u0001", -1)
     rarity = F.substring_index(last, "\u0002", 1)
-    head = F.translate(F.expr("null") if False else F.substring(marked, F.lit(1), F.length(marked) - F.length(last) - 1), "\u0001\u0002", "")
+    head = F.translate(F.substring(marked, F.lit(1), F.length(marked) - F.length(last) - 1), "\u0001\u0002", "")
     name = F.when(hit, F.regexp_replace(F.regexp_replace(head, r"^[ \-:()\[\]]+", ""), r"[ \-:()\[\]]+$", "")).otherwise("")
     trail = F.trim(F.regexp_replace(F.trim(F.substring_index(last, "\u0002", -1)), r"^\s*[:：]\s*", ""))
     return F.struct(
@@ -171,11 +172,7 @@ def _bounded(value: Column) -> Column:
 
 def mentions_set(title: Column | str, set_id: Column | str) -> Column:
     """Whether the set stands in the title with no letter or digit beside it."""
-    return F.coalesce(truth(filled(set_id)) & F.regexp_like(F.coalesce(col(title), F.lit("")), F.concat(F.lit("(?i)"), _bounded(col(set_id)))), F.lit(False))
-
-
-def truth(c: Column) -> Column:
-    return c.isNotNull()
+    return F.coalesce(filled(set_id).isNotNull() & F.regexp_like(F.coalesce(col(title), F.lit("")), F.concat(F.lit("(?i)"), _bounded(col(set_id)))), F.lit(False))
 
 
 def title_ref(title: Column | str, set_id: Column | str, code: Column | str) -> Column:
@@ -361,35 +358,12 @@ def lookup_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(ascii_fold(F.coalesce(col(c), F.lit("")))), "[^a-z0-9]", "")
 
 
-STOP = ["a", "an", "and", "card", "cards", "japan", "japanese", "pokemon", "tcg", "the"]
-_INSIDE = ["anniversary", "champion", "collection", "concept", "dark", "expansion", "legendary", "premium", "pack", "phantasma", "promo", "shine", "shiny"]
+STOP = sorted(unicode.STOP)
 
 
 def tokens(*cs: Column | str) -> Column:
     """Distinct sorted words of the texts: folded to ASCII, expanded, without stop words."""
-    t = F.lower(ascii_fold(F.concat_ws(" ", *[filled(c) for c in cs])))
-    raw = F.array_except(F.array_distinct(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0))), F.array(*[F.lit(s) for s in STOP]))
-
-    def more(w: Column) -> Column:
-        letters = F.replace(w, F.lit("0"), F.lit("o"))
-        ordinal = F.regexp_extract(w, r"^(\d{1,2})(?:st|nd|rd|th)?anniv", 1)
-        shiny = w.rlike("shin[ey]")
-        return F.array_compact(
-            F.array(
-                w,
-                F.when(w.startswith("exp"), "expansion"),
-                F.when(F.contains(w, F.lit("anniv")) | (w.rlike("[a-z]") & F.contains(letters, F.lit("anniv"))), "anniversary"),
-                F.when(ordinal != "", F.concat(ordinal, F.lit("th"))),
-                F.when(w.rlike("..sted$") | (w == "sted"), F.regexp_replace(w, "ed$", "")),
-                F.when(w.endswith("coll"), "collection"),
-                F.when(shiny, "shine"),
-                F.when(shiny, "shiny"),
-                F.when(F.contains(w, F.lit("gojpn")), "go"),
-                *[F.when(F.contains(w, F.lit(x)), x) for x in _INSIDE],
-            )
-        )
-
-    return F.array_sort(F.array_except(F.array_distinct(F.flatten(F.transform(raw, more))), F.array(*[F.lit(s) for s in STOP])))
+    return unicode.words(F.concat_ws(" ", *[filled(c) for c in cs]))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -10,27 +10,67 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _PUNCTUATION = re.compile(r"[\s\-_・:：'\"`´’‘“”()\[\]{}<>/\\|.,]+")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _nfkd_ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def subject_key(s: pd.Series) -> pd.Series:
     """NFKC, casefolded, without blanks and punctuation; null where nothing is left."""
     return s.map(lambda v: None if v is None else _PUNCTUATION.sub("", unicodedata.normalize("NFKC", v).casefold()) or None)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else html.unescape(v))
 
 
+STOP = frozenset("a an and card cards japan japanese pokemon tcg the".split())
+INSIDE = ("anniversary", "champion", "collection", "concept", "dark", "expansion", "legendary", "premium", "pack", "phantasma", "promo", "shine", "shiny")
+
+
+def expand_word(w: str) -> set[str]:
+    """A word of a label with what its abbreviations and joined words stand for."""
+    out = {w} | {x for x in INSIDE if x in w}
+    if w.startswith("exp"):
+        out.add("expansion")
+    letters = w.replace("0", "o") if re.search("[a-z]", w) else w
+    if "anniv" in w or "anniv" in letters:
+        out.add("anniversary")
+        if number := re.match(r"(\d{1,2})(?:st|nd|rd|th)?anniv", w):
+            out.add(f"{number[1]}th")
+    if w.endswith("sted"):
+        out.add(w[:-2])
+    if w.endswith("coll"):
+        out.add("collection")
+    if re.search("shin[ey]", w):
+        out |= {"shine", "shiny"}
+    if "gojpn" in w:
+        out.add("go")
+    return out - STOP
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _words(s: pd.Series) -> pd.Series:
+    def one(v: str | None) -> list[str]:
+        t = unicodedata.normalize("NFKD", v or "").encode("ascii", "ignore").decode().lower()
+        return sorted(set().union(*[expand_word(w) for w in set(re.findall("[a-z0-9]+", t)) - STOP]))
+
+    return s.map(one)
+
+
+def words(c: Column) -> Column:
+    """Distinct sorted words of a text: folded to ASCII, expanded, without stop words."""
+    return _words(c)
+
+
 def ascii_fold(c: Column) -> Column:
     """Letters without their marks, signs outside ASCII dropped. Plain ASCII never leaves the JVM's columns changed."""
     return _nfkd_ascii(c)
@@ -63,7 +103,7 @@ def json_find(c: Column, *keys: str) -> Column:
     """The first scalar under one of the keys, at any depth of a JSON text; keys compare by letters and digits."""
     wanted = {_key(k) for k in keys}
 
-    @pandas_udf("string")
+    @pandas_udf(T.StringType())
     def search(s: pd.Series) -> pd.Series:
         def one(v: str | None) -> str | None:
             try:

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import col
 
@@ -134,17 +135,18 @@ def order_rows(y: list[float], x: list[float], height: list[float]) -> list[tupl
     return out
 
 
-def reading_order(detections: DataFrame) -> DataFrame:
-    """Detections (photo_id, ordinal, center_x, center_y, height) with reading_rank and row, one fold per photo."""
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("row", T.IntegerType())])))
+def _places(y: pd.Series, x: pd.Series, height: pd.Series) -> pd.Series:
+    return pd.Series([[{"place": p, "row": r} for p, r in order_rows(list(a), list(b), list(c))] for a, b, c in zip(y, x, height)], index=y.index, dtype=object)
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("ordinal", kind="stable")
-        got = order_rows(p["center_y"].tolist(), p["center_x"].tolist(), p["height"].tolist())
-        return pd.DataFrame({"photo_id": p["photo_id"], "ordinal": p["ordinal"], "reading_rank": [a for a, _ in got], "row": [b for _, b in got]})
 
-    kind = dict(detections.dtypes)
-    slim = detections.select("photo_id", "ordinal", "center_x", "center_y", "height")
-    return slim.groupBy("photo_id").applyInPandas(fold, f"photo_id {kind['photo_id']}, ordinal {kind['ordinal']}, reading_rank int, row int")
+def reading_order(detections: DataFrame) -> DataFrame:
+    """Detections (photo_id, ordinal, center_x, center_y, height) with reading_rank and row. A photo's detections become one row of
+    arrays, so that the fold runs over many photos of an Arrow batch."""
+    g = detections.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", *[F.col(c).cast("double").alias(c) for c in ("center_y", "center_x", "height")]))).alias("_d"))
+    g = g.withColumn("_p", _places(F.col("_d.center_y"), F.col("_d.center_x"), F.col("_d.height")))
+    flat = g.select("photo_id", F.explode(F.arrays_zip(F.col("_d.ordinal").alias("ordinal"), F.col("_p").alias("p"))).alias("_z"))
+    return flat.select("photo_id", F.col("_z.ordinal").alias("ordinal"), F.col("_z.p.place").alias("reading_rank"), F.col("_z.p.row").alias("row"))
 
 
 def suppress(boxes: np.ndarray, score: np.ndarray, iou: float, most: int) -> list[int]:
@@ -163,17 +165,19 @@ def suppress(boxes: np.ndarray, score: np.ndarray, iou: float, most: int) -> lis
     return kept
 
 
+_BOX = ["confidence", "left", "top", "right", "bottom"]
+
+
 def suppress_overlaps(detections: DataFrame, iou: float = 0.1, least: float = 0.1, most: int = 20) -> DataFrame:
-    """Detections (photo_id, ordinal, confidence, left, top, right, bottom) that survive, one fold per photo."""
+    """Detections (photo_id, ordinal, confidence, left, top, right, bottom) that survive, best first in each photo."""
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p[p["confidence"] >= least].sort_values("ordinal", kind="stable")
-        keep = suppress(p[["left", "top", "right", "bottom"]].to_numpy(float), p["confidence"].to_numpy(float), iou, most)
-        return p.iloc[keep]
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def keep(c: pd.Series, l: pd.Series, t: pd.Series, r: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([suppress(np.stack([np.asarray(v, float) for v in box[1:]], 1), np.asarray(box[0], float), iou, most) for box in zip(c, l, t, r, b)], index=c.index, dtype=object)
 
-    cols = ["photo_id", "ordinal", "confidence", "left", "top", "right", "bottom"]
-    slim = detections.select(*cols)
-    return slim.groupBy("photo_id").applyInPandas(fold, slim.schema)
+    g = detections.where(F.col("confidence") >= least).groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", *[F.col(c).cast("double").alias(c) for c in _BOX]))).alias("_d"))
+    g = g.withColumn("_k", keep(*[F.col(f"_d.{c}") for c in _BOX]))
+    return g.select("photo_id", F.explode(F.transform("_k", lambda i: F.get("_d", i))).alias("_z")).select("photo_id", "_z.*")
 
 
 def longest_run(flags: Column | str) -> Column:
@@ -294,7 +298,8 @@ def signature(rgb: np.ndarray) -> dict:
     }
 
 
-SIGNATURE = "struct<hsv:array<double>,rgb:array<double>,regions:array<array<double>>,gray:array<double>,edge:array<double>,dhash:bigint,colorfulness:double>"
+_VECTOR = T.ArrayType(T.DoubleType())
+SIGNATURE = T.StructType([T.StructField("hsv", _VECTOR), T.StructField("rgb", _VECTOR), T.StructField("regions", T.ArrayType(_VECTOR)), T.StructField("gray", _VECTOR), T.StructField("edge", _VECTOR), T.StructField("dhash", T.LongType()), T.StructField("colorfulness", T.DoubleType())])
 
 
 @F.pandas_udf(SIGNATURE)

@@ -86,8 +86,12 @@ def lookup(records: DataFrame, lookups: DataFrame, k: int = 5) -> DataFrame:
         for earlier in ways[:i]:
             p = p.where(~F.coalesce(earlier, F.lit(False)))
         pairs = p if pairs is None else pairs.union(p)
-    name_score = X.subject_similarity(F.array_compact(F.array(*[filled(X.lookup_key(c)) for c in ("q_subject",)])), F.array_compact(F.array(*[filled(X.lookup_key(c)) for c in ("r_name", "r_name_en", "r_name_ja")])), X.tokens("q_subject"), X.tokens("r_name", "r_name_en", "r_name_ja", "r_product_name"))
-    title_score = X.overlap(X.tokens("q_title"), X.tokens("r_set_id", "r_product_name", "r_card_id"))
+    # folding and splitting run once per pair column, in Arrow batches; what compares them stays in the JVM
+    for c in ("q_subject", "r_name", "r_name_en", "r_name_ja"):
+        pairs = pairs.withColumn(f"_k_{c}", filled(X.lookup_key(c)))
+    pairs = pairs.withColumn("_tq", X.tokens("q_subject")).withColumn("_tr", X.tokens("r_name", "r_name_en", "r_name_ja", "r_product_name")).withColumn("_sq", X.tokens("q_title")).withColumn("_sr", X.tokens("r_set_id", "r_product_name", "r_card_id"))
+    name_score = X.subject_similarity(F.array_compact(F.array("_k_q_subject")), F.array_compact(F.array("_k_r_name", "_k_r_name_en", "_k_r_name_ja")), F.col("_tq"), F.col("_tr"))
+    title_score = X.overlap(F.col("_sq"), F.col("_sr"))
     fields = ("product_id", "canonical_id", "card_id", "set_id", "card_code")
     pairs = pairs.withColumn("_name", name_score).withColumn("_title", title_score)
     score = lookup_score({f: F.col(f"r_{f}") for f in fields}, {f: F.col(f"q_{f}") for f in fields}, F.col("_name"), F.col("_title"), truthy("q_title"), F.coalesce("q_label", F.lit(False)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Numbers in a block of queries that goes along with a scan.
 BLOCK_NUMBERS = 4_000_000
+_STEP = 1024
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -42,18 +43,16 @@ def _top(ids: list, q: np.ndarray, k: int, index: str, row: str, vector: str):
             name = b[index].dictionary_encode()
             code = name.indices.to_numpy(zero_copy_only=False)
             row_id = b[row].to_numpy()
-            score = m @ q.T
             for c in range(len(name.dictionary)):
                 at = np.flatnonzero(code == c)
-                for j in range(len(ids)):
-                    s = score[at, j]
+                for x in range(0, len(ids), _STEP):
+                    s = m[at] @ q[x : x + _STEP].T
                     if len(at) > k:  # all that tie with the k-th stay, the window decides
-                        least = np.partition(s, len(s) - k)[len(s) - k]
-                        use = np.flatnonzero(s >= least - 1e-9)
+                        keep = s >= np.partition(s, len(at) - k, axis=0)[len(at) - k] - 1e-6
                     else:
-                        use = np.arange(len(at))
-                    best = at[use]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[j]] * len(best), pa.int64()), b[index].take(pa.array(best)), pa.array(row_id[best], pa.int64()), pa.array(s[use])], ["query_id", "index_name", "row_id", "score"])
+                        keep = np.ones(s.shape, bool)
+                    i, j = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[x + j], pa.int64()), b[index].take(pa.array(at[i])), pa.array(row_id[at[i]], pa.int64()), pa.array(s[i, j])], ["query_id", "index_name", "row_id", "score"])
 
     return run
 

@@ -1,10 +1,668 @@
-"""Queries of the catalog, matching, vector and market operators over the driver's tables, with their SQL."""
+"""Queries of the catalog, matching, vector and market operators over the driver's tables, with their SQL.
+
+Each maps a driver table onto the operator's input and runs over the whole of it. Floating results are rounded to six digits on
+both sides, and every order has a unique last key."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions import money as M
+from ..functions.values import filled
+from ..operators import canonical, geometry, lookup, market, matching, quality, records, rerank, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows(spark: SparkSession, schema: str, data: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(data, schema)
+
+
+def r6(c: str) -> F.Column:
+    return F.round(c, 6).alias(c)
+
+
+def literal(data: list[tuple], columns: list[str]) -> str:
+    """SELECT of literal rows for the oracle."""
+
+    def one(v: object) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).lower()
+        return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in data)
+    return f"SELECT * FROM (VALUES {body}) t({', '.join(columns)})"
+
+
+# vector search
+
+_DOT = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+_PAIRS = f"SELECT a.vec_id AS query_id, b.vec_id AS row_id, b.label AS index_name, {_DOT} AS score FROM embeddings a, embeddings b"
+_HITS = f"""s AS ({_PAIRS}),
+i AS (SELECT *, row_number() OVER (PARTITION BY query_id, index_name ORDER BY score DESC, row_id) AS index_rank FROM s),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_name, index_rank, row_id) AS rank FROM i WHERE index_rank <= 5),
+h AS (SELECT * FROM m WHERE rank <= 10)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").alias("index_name"), F.col("vec_id").alias("row_id"), "embedding"), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    return vectors.merge(vectors.search(v, q, 5), 10)
+
+
+@query(f"WITH s AS ({_PAIRS}), r AS (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
+def q01_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = _vectors(spark, sf_dir)
+    hits = vectors.search(v.withColumn("index_name", F.lit(0)), q, 10)
+    return hits.select("query_id", "row_id", "score", F.col("index_rank").alias("rank"))
+
+
+@query(f"WITH {_HITS} SELECT query_id, index_name, row_id, score, index_rank, rank FROM h")
+def q02_multi_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select("query_id", "index_name", "row_id", "score", "index_rank", "rank")
+
+
+_SECOND = "round(list_dot_product(a.embedding[33:64]::DOUBLE[], b.embedding[33:64]::DOUBLE[]), 6)"
+
+
+@query(
+    f"""WITH {_HITS},
+x AS (SELECT h.*, {_SECOND} AS s2 FROM h JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = row_id),
+n AS (SELECT *, CASE WHEN max(s2) OVER w - min(s2) OVER w > 1e-9 THEN (s2 - min(s2) OVER w) / (max(s2) OVER w - min(s2) OVER w) ELSE 0 END AS norm FROM x WINDOW w AS (PARTITION BY query_id)),
+b AS (SELECT query_id, row_id, rank AS old_rank, round(0.6 * score + 0.4 * norm, 6) AS score FROM n)
+SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank FROM b"""
+)
+def q03_minmax_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    tail = F.slice("embedding", 33, 32)
+    h = _hits(spark, sf_dir).join(e.select(F.col("vec_id").alias("query_id"), tail.alias("_a")), "query_id").join(e.select(F.col("vec_id").alias("row_id"), tail.alias("_b")), "row_id")
+    out = rerank.minmax_blend(h, F.round(vectors.dot("_a", "_b"), 6))
+    return rerank.rerank(out.withColumn("rank", F.row_number().over(rerank._query([F.desc("embedding_score"), F.col("index_name"), F.col("index_rank"), F.col("row_id")]))).withColumn("score", F.round("score", 6))).select("query_id", "row_id", "score", "rank")
+
+
+@query(
+    f"""WITH {_HITS},
+b AS (SELECT query_id, row_id, rank AS old_rank, row_id % 7 = query_id % 7 AS hit, round(score + CASE WHEN row_id % 7 = query_id % 7 THEN 0.1 ELSE 0 END, 6) AS score FROM h)
+SELECT query_id, row_id, hit, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank FROM b"""
+)
+def q04_code_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hits(spark, sf_dir)
+    number = lambda c: F.concat(F.lit("A"), F.lpad((F.col(c) % 7 + 10).cast("string"), 3, "0"))
+    out = rerank.boost(h, rerank.matches_code(F.lit("sv2a"), number("row_id"), F.lit("SV2A"), number("query_id")), 0.10, "hint_code", F.lit("pokemon"))
+    out = out.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(rerank._query([F.coalesce("pre_hint_code_score", "score").desc(), F.col("index_name"), F.col("index_rank"), F.col("row_id")])))
+    return rerank.rerank(out).select("query_id", "row_id", F.col("hint_code_match").alias("hit"), "score", "rank")
+
+
+@query(
+    f"""WITH {_HITS},
+f AS (SELECT *, first_value(index_name % 2) OVER (PARTITION BY query_id ORDER BY rank) AS top FROM h),
+b AS (SELECT query_id, row_id, rank AS old_rank, round(score + CASE WHEN top = 0 AND index_name % 2 = 0 AND row_id % 3 = query_id % 3 THEN 0.08 ELSE 0 END, 6) AS score FROM f)
+SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank FROM b"""
+)
+def q05_group_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hits(spark, sf_dir).withColumn("_old", F.col("rank"))
+    family = F.when(F.col("index_name") % 2 == 0, "pokemon").otherwise("onepiece")
+    out = rerank.language_boost(h, (F.col("row_id") % 3).cast("string"), (F.col("query_id") % 3).cast("string"), family)
+    out = out.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("_old"))
+    return rerank.rerank(out).select("query_id", "row_id", "score", "rank")
+
+
+@query(
+    f"""WITH {_HITS},
+t AS (SELECT *, first_value(index_name) OVER w AS ti, first_value(score) OVER w AS ts, first_value(row_id) OVER w AS tr FROM h WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+j AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM t WHERE ts >= 0.7 AND (rank = 1 OR (row_id <> tr AND index_name = ti AND round(abs(ts - score), 9) <= 0.9))),
+k AS (SELECT * FROM j WHERE n <= 6)
+SELECT query_id, 'needs_user_choice' AS status, min(tr) AS recommended_id, string_agg(row_id::VARCHAR, ',' ORDER BY rank) AS candidates FROM k GROUP BY query_id HAVING count(*) >= 2"""
+)
+def q06_ambiguity_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hits(spark, sf_dir).withColumn("card_id", F.col("row_id"))
+    out = rerank.select_ambiguous(h, F.col("index_name").cast("string"), F.lit("pokemon"), F.lit(None).cast("string"), F.lit(False), margin=0.9)
+    return out.select("query_id", "status", "recommended_id", F.array_join(F.transform("candidates", lambda c: c.cast("string")), ",").alias("candidates"))
+
+
+_BITS = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i}::BIGINT ELSE 0 END" for i in range(62))
+
+
+@query(
+    f"""WITH c AS (SELECT vec_id, label, {_BITS} AS code FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, 1 - bit_count(xor(a.code, b.code)) / 64.0 AS similarity FROM c a JOIN c b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, row_id, round(similarity, 6)::DOUBLE AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, row_id) AS rank FROM p)
+SELECT * FROM r WHERE rank <= 3"""
+)
+def q07_hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    code = F.aggregate(F.transform(F.slice("embedding", 1, 62), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    c = e.select("vec_id", "label", code.alias("code"))
+    p = c.toDF("query_id", "label", "_a").join(c.toDF("row_id", "label", "_b"), "label").where("query_id <> row_id")
+    p = p.select("query_id", "row_id", F.round(vectors.hamming_similarity("_a", "_b"), 6).alias("similarity"))
+    return p.withColumn("rank", F.row_number().over(rerank._query([F.desc("similarity"), F.col("row_id")]))).where("rank <= 3")
+
+
+# market
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("condition"), F.col("value").alias("usd"), F.col("event_id").alias("ordinal"), F.col("ts").alias("traded_at"), "user_id")
+
+
+@query(
+    """WITH q AS (SELECT event_type, count(*) AS n, CASE WHEN count(*) >= 4 THEN quantile_cont(value, 0.25) ELSE min(value) END AS q1, CASE WHEN count(*) >= 4 THEN quantile_cont(value, 0.75) ELSE max(value) END AS q3 FROM events GROUP BY 1),
+b AS (SELECT e.*, n, q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM events e JOIN q USING (event_type)),
+k AS (SELECT *, value BETWEEN lo AND hi AS kept FROM b)
+SELECT event_type AS condition, max(n) AS total_count, count(*) FILTER (kept) AS kept_count, count(*) FILTER (NOT kept) AS dropped_count, round(max(q1), 6) AS q1, round(max(q3), 6) AS q3, round(max(iqr), 6) AS iqr, round(max(lo), 6) AS lower_bound, round(max(hi), 6) AS upper_bound,
+round(arg_min(value, event_id) FILTER (kept), 6) AS latest, round(avg(value) FILTER (kept), 6) AS average, round(median(value) FILTER (kept), 6) AS median, min(value) FILTER (kept) AS min, max(value) FILTER (kept) AS max FROM k GROUP BY 1"""
+)
+def q08_iqr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = market.iqr_summary(_trades(spark, sf_dir), ["condition"], "ordinal")
+    return s.select("condition", "total_count", "kept_count", "dropped_count", *[r6(c) for c in ("q1", "q3", "iqr", "lower_bound", "upper_bound", "latest", "average", "median", "min", "max")])
+
+
+@query("SELECT event_type AS condition, strftime(ts, '%Y/%m/%d') AS day, round(avg(value), 6) AS average, count(*) AS volume FROM events GROUP BY 1, 2")
+def q09_daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.daily(_trades(spark, sf_dir), ["condition"], "traded_at", "usd").select("condition", F.date_format("day", "yyyy/MM/dd").alias("day"), r6("average"), "volume")
+
+
+@query(
+    """WITH d AS (SELECT user_id, event_type, ts::DATE AS day, avg(value) AS a, count(*) AS v FROM events GROUP BY ALL),
+g AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY user_id, event_type ORDER BY day) >= 7 THEN day END AS b FROM d),
+f AS (SELECT *, max(b) OVER (PARTITION BY user_id, event_type) AS start FROM g),
+k AS (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM f WHERE start IS NULL OR day >= start),
+p AS (SELECT user_id, event_type, a, v, day, unnest(CASE WHEN n = 1 THEN [day - 1, day, day + 1] ELSE [day] END) AS d2 FROM k)
+SELECT user_id, event_type AS condition, strftime(d2, '%Y-%m-%d') AS day, round(a, 6) AS average, CASE WHEN d2 = day THEN v ELSE 0 END AS volume FROM p"""
+)
+def q10_gap_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = market.trend(_trades(spark, sf_dir), ["user_id", "condition"], gap=7)
+    return t.select("user_id", "condition", F.date_format("day", "yyyy-MM-dd").alias("day"), r6("average"), F.col("volume").cast("bigint").alias("volume"))
+
+
+@query(
+    """SELECT event_type AS condition, count(*) FILTER (ts > TIMESTAMP '2024-01-31' - INTERVAL 10 DAY) AS recent_volume, coalesce(round(avg(value) FILTER (ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY), 6), 0) AS recent_average,
+count(*) AS entries, round(avg(value), 6) AS average, min(value) AS least, max(value) AS greatest, date_diff('day', min(ts)::DATE, DATE '2024-01-31') AS span_days FROM events GROUP BY 1"""
+)
+def q11_recent_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, as_of = _trades(spark, sf_dir), F.lit("2024-01-31").cast("timestamp")
+    a = market.recent(t, ["condition"], "traded_at", "usd", as_of, 10, 20)
+    b = market.market_stats(t, ["condition"], "traded_at", "usd", as_of)
+    return a.join(b, "condition").select("condition", "recent_volume", r6("recent_average"), "entries", r6("average"), "least", "greatest", F.col("span_days").cast("bigint").alias("span_days"))
+
+
+_GRADE = "CASE user_id % 3 WHEN 0 THEN 'PSA 10' WHEN 1 THEN 'PSA 9' ELSE 'Ungraded' END"
+
+
+@query(
+    f"""WITH t AS (SELECT user_id % 5 AS product, {_GRADE} AS grade, CASE WHEN event_type = 'click' THEN value / 150 ELSE value END AS p FROM events WHERE event_type IN ('purchase', 'click')),
+s AS (SELECT product, coalesce(avg(p) FILTER (grade = 'PSA 10'), 0) AS a10, coalesce(avg(p) FILTER (grade = 'PSA 9'), 0) AS a9, coalesce(avg(p) FILTER (grade = 'Ungraded'), 0) AS ar, coalesce(max(p) FILTER (grade = 'PSA 10'), 0) AS m10 FROM t GROUP BY 1)
+SELECT product, round(a10, 6) AS average_10, round(a9, 6) AS average_9, round(ar, 6) AS average_raw, round(m10, 6) AS max_10, round(CASE WHEN m10 > 0 AND ar > 0 THEN m10 - (ar + 35 + 0.1 * m10) ELSE 0 END, 6) AS profit FROM s"""
+)
+def q12_arbitrage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("product"), F.expr(_GRADE).alias("grade"), F.col("value").alias("price"), "event_type")
+    out = market.arbitrage(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), 150.0, ["product"])
+    return out.select("product", *[r6(c) for c in ("average_10", "average_9", "average_raw", "max_10", "profit")])
+
+
+@query(
+    """WITH t AS (SELECT o_orderkey, o_totalprice, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '¥' || round(o_totalprice)::BIGINT WHEN '2' THEN 'US $' || round(o_totalprice)::BIGINT WHEN '3' THEN '' ELSE NULL END AS f, CASE substr(o_orderpriority, 1, 1) WHEN '4' THEN 'JPY' ELSE 'USD' END AS c FROM orders),
+u AS (SELECT *, CASE WHEN f LIKE '¥%' THEN round(o_totalprice) / 150 WHEN f LIKE 'US%' THEN round(o_totalprice) WHEN c = 'JPY' THEN o_totalprice / 150 ELSE o_totalprice END AS usd FROM t)
+SELECT o_orderkey, round(usd, 6) AS usd, CASE WHEN f LIKE '¥%' THEN round(o_totalprice)::BIGINT ELSE round_even(usd * 150, 0)::BIGINT END AS jpy FROM u"""
+)
+def q33_price_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    p, whole = F.substring("o_orderpriority", 1, 1), F.round("o_totalprice").cast("bigint").cast("string")
+    t = o.select("o_orderkey", F.when(p == "1", F.concat(F.lit("¥"), whole)).when(p == "2", F.concat(F.lit("US $"), whole)).when(p == "3", "").alias("price_format"), F.col("o_totalprice").cast("string").alias("price"), F.when(p == "4", "JPY").otherwise("USD").alias("currency"))
+    return market.price_trades(t, 150.0).select("o_orderkey", r6("usd"), "jpy")
+
+
+@query("WITH t AS (SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10) SELECT p_partkey, p_retailprice, round(sum(p_retailprice) OVER (), 6) AS total FROM t")
+def q41_top_prizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.top_prizes(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey").withColumn("total", F.round("total", 6))
+
+
+@query(
+    f"""WITH t AS (SELECT user_id, event_id, value, {_GRADE} AS grade FROM events WHERE event_type = 'purchase'),
+h AS (SELECT *, count(*) FILTER (grade = 'PSA 10') OVER (PARTITION BY user_id) AS n FROM t)
+SELECT * FROM (SELECT user_id, event_id, grade, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS "row" FROM h WHERE grade = 'PSA 10' OR n = 0) WHERE "row" <= 10"""
+)
+def q42_grade_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "event_id", F.expr(_GRADE).alias("grade"))
+    return market.table_rows(t, ["user_id"], "PSA 10", "event_id")
+
+
+@query()
+def q43_market_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: the text joins many formatted figures; a test holds it against a hand-made report."""
+    t = _trades(spark, sf_dir).withColumn("product_id", (F.col("user_id") % 20).cast("string")).withColumn("condition", F.when(F.col("condition") == "purchase", "A").when(F.col("condition") == "click", "PSA 10").otherwise(F.col("condition")))
+    t = t.withColumn("traded_at", F.col("traded_at").cast("string"))
+    cards = t.select("product_id").distinct().select("product_id", F.concat(F.lit("Card "), "product_id").alias("name"), F.lit("SV1").alias("set_id"), F.col("product_id").alias("card_code"), F.lit("ja").alias("language"), F.lit(None).cast("string").alias("variant"))
+    return market.markdown(cards, t, F.lit("2024-01-31").cast("timestamp"), 150.0)
+
+
+# records
+
+_LINE = "l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE}) AS n FROM lineitem) WHERE n = 1")
+def q13_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = records.keep_first(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], _LINE.split(", "))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query(
+    f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(c + ' DESC' for c in ('l_linenumber, ' + _LINE).split(', '))}) AS k, count(*) OVER (PARTITION BY l_orderkey) - 1 AS replaced FROM lineitem)
+SELECT o_orderkey, l_linenumber, l_extendedprice, replaced FROM orders LEFT JOIN n ON o_orderkey = l_orderkey AND k = 1"""
+)
+def q14_keep_last_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumn("_o", F.struct(*("l_linenumber, " + _LINE).split(", ")))
+    last = records.keep_last(li.select("l_orderkey", "l_linenumber", "l_extendedprice", "_o"), "l_orderkey", "_o")
+    o = table(spark, sf_dir, "orders")
+    return o.join(last, o.o_orderkey == last.l_orderkey, "left").select("o_orderkey", "l_linenumber", "l_extendedprice", "replaced")
+
+
+_SOURCE = "CASE p_type WHEN 'STANDARD' THEN 'pokemon_card_official_ja' WHEN 'PROMO' THEN 'tcgdex' WHEN 'LARGE' THEN 'tcgdex_image' ELSE 'other' END"
+_PARTS = f"""SELECT p_partkey, p_name, p_brand, p_size, p_retailprice, {_SOURCE} AS source, CASE {_SOURCE} WHEN 'pokemon_card_official_ja' THEN 10 WHEN 'tcgdex' THEN 20 WHEN 'tcgdex_image' THEN 30 ELSE 99 END AS pr,
+lpad(p_partkey::VARCHAR, 9, '0') AS id, p_partkey % 3 <> 0 AS pic, p_partkey % 4 <> 0 AS rar, 150 + p_partkey % 200 AS w, 250 + p_partkey % 300 AS h FROM part"""
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    pic = lambda v: F.when(key % 3 != 0, v)
+    return p.select(
+        F.expr(_SOURCE).alias("source"), F.lpad(key.cast("string"), 9, "0").alias("card_id"), F.col("p_brand").alias("set_id"), F.col("p_size").cast("string").alias("card_code"), F.col("p_name").alias("name"),
+        F.when(key % 4 != 0, "R").alias("rarity"), pic(F.concat(F.lit("/img/"), key.cast("string"))).alias("local_image_path"), pic(F.md5((F.floor(key / 3)).cast("string"))).alias("image_sha256"),
+        (150 + key % 200).cast("int").alias("width"), (250 + key % 300).cast("int").alias("height"), key.alias("ordinal"),
+    )
+
+
+_COLLAPSED = f"""p AS ({_PARTS}),
+m AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY pr, (CASE WHEN rar THEN 0 ELSE 1 END), id) AS mn FROM p),
+i AS (SELECT *, CASE WHEN pic THEN row_number() OVER (PARTITION BY p_brand, p_size, pic ORDER BY (CASE WHEN w >= 200 AND h >= 280 THEN 0 ELSE 1 END), pr, w * h DESC, id) END AS inn FROM m),
+g AS (SELECT p_brand || '-' || p_size AS canonical_key, max(CASE WHEN mn = 1 THEN source END) AS canonical_source, max(CASE WHEN mn = 1 THEN id END) AS primary_card_id, max(CASE WHEN mn = 1 THEN p_name END) AS name, max(CASE WHEN inn = 1 THEN '/img/' || p_partkey END) AS local_image_path, max(CASE WHEN inn = 1 THEN source END) AS image_source,
+max(CASE WHEN inn = 1 THEN md5((p_partkey // 3)::VARCHAR) END) AS sha, coalesce(bool_or(inn = 1 AND w >= 200 AND h >= 280), false) AS good, count(*) AS source_record_count, count(*) FILTER (mn <> 1 AND coalesce(inn <> 1, true)) AS duplicate_source_count, p_brand, p_size FROM i GROUP BY p_brand, p_size)"""
+
+
+@query(f"WITH {_COLLAPSED} SELECT canonical_key, canonical_source, primary_card_id, name, local_image_path, image_source, good AS has_index_image, source_record_count, duplicate_source_count FROM g")
+def q15_entity_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = canonical.collapse(_entities(spark, sf_dir))
+    return c.select("canonical_key", "canonical_source", "primary_card_id", "name", "local_image_path", "image_source", "has_index_image", "source_record_count", F.col("duplicate_source_count").cast("bigint").alias("duplicate_source_count"))
+
+
+@query(
+    f"""WITH {_COLLAPSED},
+pr AS (SELECT *, CASE canonical_source WHEN 'pokemon_card_official_ja' THEN 10 WHEN 'tcgdex' THEN 20 WHEN 'tcgdex_image' THEN 30 ELSE 99 END AS p1, CASE image_source WHEN 'pokemon_card_official_ja' THEN 10 WHEN 'tcgdex' THEN 20 WHEN 'tcgdex_image' THEN 30 ELSE 99 END AS p2 FROM g),
+n AS (SELECT *, CASE WHEN good THEN row_number() OVER (PARTITION BY good, sha ORDER BY p1, p2, 'canonical:' || canonical_key) END AS k, count(*) OVER (PARTITION BY good, sha) AS c FROM pr)
+SELECT canonical_key, coalesce(k = 1, false) AS index_image_selected, CASE WHEN k > 1 THEN 'duplicate_image_sha256' END AS excluded_from_index_reason, CASE WHEN k = 1 THEN c - 1 ELSE 0 END AS duplicate_image_count FROM n"""
+)
+def q44_image_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = canonical.select_images(canonical.collapse(_entities(spark, sf_dir)))
+    return s.select("canonical_key", "index_image_selected", "excluded_from_index_reason", F.col("duplicate_image_count").cast("bigint").alias("duplicate_image_count"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+def q16_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id")
+    g = quality.duplicate_files(d, "digest", "doc_id")
+    return g.select("digest", F.size("paths").cast("bigint").alias("n"), F.get("paths", F.lit(0)).alias("first_id"), F.array_join(F.transform("paths", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+def _flagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    j = d.select("doc_id", "n_chars", "source", "lang").join(lab, "doc_id", "left")
+    return j.select("doc_id", "source", "lang", F.when(F.col("n_chars") >= 100, F.col("doc_id").cast("string")).alias("local_image_path"), (F.col("toxic") == 1).alias("is_sample"), (F.col("quality") == 0).alias("is_watermarked"), "quality", "toxic")
+
+
+@query("WITH r AS (SELECT CASE WHEN n_chars < 100 THEN 'missing_local_image_path' WHEN toxic = 1 THEN 'sample' WHEN quality = 0 THEN 'watermarked' ELSE 'eligible' END AS reason FROM documents LEFT JOIN labels USING (doc_id)) SELECT reason, count(*) AS n FROM r GROUP BY 1")
+def q17_clean_filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, bad = quality.split_eligible(_flagged_docs(spark, sf_dir))
+    return bad.union(good.select(F.lit("eligible").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")))
+
+
+@query("SELECT 'lang' AS \"column\", lang AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2")
+def q18_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.counts(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query(
+    """WITH c AS (SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1, 2)
+SELECT p_brand, p_type, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, f) AS k FROM c) WHERE k = 1"""
+)
+def q19_mode_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.mode_first_seen(table(spark, sf_dir, "part"), "p_brand", "p_type", "p_partkey")
+
+
+@query("SELECT count(*) AS records, count(*) FILTER (quality IS NULL OR quality = 0) AS missing_quality, count(*) FILTER (toxic IS NULL OR toxic = 0) AS missing_toxic, count(*) FILTER (coalesce(quality, 0) = 0 OR coalesce(toxic, 0) = 0) AS missing_either FROM documents LEFT JOIN labels USING (doc_id)")
+def q34_missing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _flagged_docs(spark, sf_dir)
+    blank = d.select(F.when(F.col("quality") != 0, F.col("quality").cast("string")).alias("quality"), F.when(F.col("toxic") != 0, F.col("toxic").cast("string")).alias("toxic"))
+    return records.missing_counts(blank, "quality", "toxic")
+
+
+@query(
+    """SELECT 'customer' AS source, c_custkey::VARCHAR AS card_id, c_name AS name, c_mktsegment AS variant, NULL::VARCHAR AS language, false AS is_sample, c_nationkey::INT AS width FROM customer
+UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, s_name, NULL, 'en', s_acctbal > 0, NULL FROM supplier"""
+)
+def q30_union_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    a = c.select(F.lit("customer").alias("source"), F.col("c_custkey").cast("string").alias("card_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("variant"), F.col("c_nationkey").cast("string").alias("width"))
+    b = s.select(F.lit("supplier").alias("source"), F.col("s_suppkey").cast("string").alias("card_id"), F.col("s_name").alias("name"), F.lit("en").alias("language"), (F.col("s_acctbal") > 0).alias("is_sample"), F.lit("1.5").alias("width"))
+    u = records.union_manifests(records.coerce(a), records.coerce(b))
+    return u.select("source", "card_id", "name", "variant", "language", "is_sample", "width")
+
+
+@query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_lines FROM orders")
+def q31_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    without = lookup.without_found(o, li, ["o_orderkey"])
+    return o.join(li, "o_orderkey", "left_semi").withColumn("has_lines", F.lit(True)).union(without.withColumn("has_lines", F.lit(False)))
+
+
+@query(
+    """WITH o AS (SELECT vec_id, label::VARCHAR AS d FROM embeddings WHERE label < 8), n AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'x' ELSE '' END || label AS d FROM embeddings WHERE label > 1)
+SELECT coalesce(o.vec_id, n.vec_id) AS vec_id, CASE WHEN o.vec_id IS NULL THEN 'add' WHEN n.vec_id IS NULL THEN 'remove' WHEN o.d = n.d THEN 'reuse' ELSE 'replace' END AS action FROM o FULL JOIN n ON o.vec_id = n.vec_id"""
+)
+def q35_incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    old = e.where("label < 8").select("vec_id", F.col("label").cast("string").alias("digest"))
+    new = e.where("label > 1").select("vec_id", F.concat(F.when(F.col("vec_id") % 5 == 0, "x").otherwise(""), F.col("label").cast("string")).alias("digest"))
+    return records.diff(old, new, "vec_id", "digest")
+
+
+@query(f"WITH {_HITS} SELECT row_id, count(*) AS n FROM h WHERE rank = 1 GROUP BY 1 ORDER BY n DESC, row_id LIMIT 8")
+def q36_top1_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_frequency(_hits(spark, sf_dir))
+
+
+@query("SELECT label AS index_name, count(*) AS rows, 64 AS dimensions, 1 AS widths FROM embeddings GROUP BY 1")
+def q45_index_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, _ = _vectors(spark, sf_dir)
+    return vectors.inventory(v, "index_name")
+
+
+@query()
+def q37_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: a fold over each photo's detections; a test holds it against a plain loop."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("x"), F.min("l_quantity").alias("y"))
+    d = li.select(F.col("l_orderkey").alias("photo_id"), F.col("l_linenumber").alias("ordinal"), (F.col("x") / 100).alias("center_x"), (F.col("y") * 10).alias("center_y"), F.lit(60.0).alias("height"))
+    return geometry.reading_order(d)
+
+
+# matching
+
+_CARD = "'SV' || split_part(p_brand, '#', 2)"
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey, {_CARD} AS s, p_size AS n FROM part),
+t AS (SELECT DISTINCT p_partkey, s, p_name || ' [' || s || ' ' || lpad(p_size::VARCHAR, 3, '0') || '/060]' || CASE WHEN p_partkey % 10 = 0 THEN '[EN]' ELSE '' END AS title FROM (SELECT *, {_CARD} AS s FROM part)),
+j AS (SELECT c.p_partkey AS card_id, t.p_partkey AS product FROM c JOIN t ON c.s = t.s AND regexp_matches(t.title, '(^|[^A-Za-z0-9])' || c.s || '\\s+0*' || c.n || '\\s*/\\s*[A-Za-z0-9-]+') AND NOT contains(lower(t.title), '[en]'))
+SELECT c.p_partkey::VARCHAR AS card_id, count(product) AS candidate_count, CASE WHEN count(product) = 1 THEN 'matched' WHEN count(product) > 1 THEN 'multiple_verified_matches' ELSE 'no_verified_match' END AS match_status, CASE WHEN count(product) = 1 THEN min(product)::VARCHAR END AS product_id FROM c LEFT JOIN j ON c.p_partkey = j.card_id GROUP BY 1"""
+)
+def q20_match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    s = F.concat(F.lit("SV"), F.substring_index("p_brand", "#", -1))
+    cards = p.select(F.col("p_partkey").cast("string").alias("card_id"), s.alias("set_id"), F.col("p_size").cast("string").alias("card_code"))
+    title = F.concat("p_name", F.lit(" ["), s, F.lit(" "), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit("/060]"), F.when(F.col("p_partkey") % 10 == 0, "[EN]").otherwise(""))
+    none = F.lit(None).cast("string")
+    products = p.select(s.alias("set_id"), F.col("p_partkey").cast("string").alias("product_id"), title.alias("product_name"), none.alias("thumbnail_url"), F.lit(None).cast("double").alias("min_price"), none.alias("min_price_format"))
+    m = matching.match_by_reference(cards, products)
+    return m.select("card_id", F.col("candidate_count").cast("bigint").alias("candidate_count"), "match_status", "product_id")
+
+
+_RARITY = "CASE p_type WHEN 'STANDARD' THEN 'Common' WHEN 'PROMO' THEN 'Super Rare' WHEN 'LARGE' THEN 'R' ELSE 'Uncommon' END"
+_SHORT = "CASE p_type WHEN 'STANDARD' THEN 'C' WHEN 'PROMO' THEN 'SR' WHEN 'LARGE' THEN 'R' ELSE 'UC' END"
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_name, p_brand || '-' || p_size AS code, {_SHORT} AS r, p_partkey % 11 = 0 AS par FROM part),
+j AS (SELECT a.p_partkey AS card, CASE WHEN regexp_replace(a.p_name, '[^a-z0-9]', '', 'g') <> regexp_replace(b.p_name, '[^a-z0-9]', '', 'g') THEN 'name_mismatch' WHEN a.r <> b.r THEN 'rarity_mismatch' WHEN b.par THEN 'regular_variant_mismatch' END AS reason FROM p a JOIN p b ON a.code = b.code),
+s AS (SELECT card, count(*) FILTER (reason IS NULL) AS ok, count(*) FILTER (reason IS NOT NULL) AS bad, count(*) FILTER (reason = 'name_mismatch') AS bad_name, count(*) FILTER (reason = 'rarity_mismatch') AS bad_rarity, count(*) FILTER (reason = 'regular_variant_mismatch') AS bad_variant FROM j GROUP BY 1)
+SELECT card::VARCHAR AS card_id, CASE WHEN ok = 1 THEN 'matched' WHEN ok > 1 THEN 'multiple_verified_matches' ELSE 'no_verified_match' END AS match_status, ok AS candidate_count, bad AS rejected_count, bad_name, bad_rarity, bad_variant FROM s"""
+)
+def q21_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    code, none = F.concat_ws("-", "p_brand", F.col("p_size").cast("string")), F.lit(None).cast("string")
+    cards = p.select(F.col("p_partkey").cast("string").alias("card_id"), F.col("p_brand").alias("set_id"), code.alias("card_code"), F.lit("ja").alias("language"), F.col("p_name").alias("name"), none.alias("name_en"), F.expr(_RARITY).alias("rarity"), none.alias("image_url"), F.col("p_partkey").alias("ordinal"))
+    title = F.concat("p_name", F.lit(" "), F.expr(_SHORT), F.when(F.col("p_partkey") % 11 == 0, "-P").otherwise(""), F.lit(" ["), code, F.lit("]"))
+    products = p.select(code.alias("card_code"), F.col("p_partkey").cast("string").alias("product_id"), title.alias("product_name"), none.alias("thumbnail_url"), F.lit(None).cast("double").alias("min_price"), none.alias("min_price_format"))
+    m = matching.match_by_gates(cards, products)
+    n = lambda k: F.coalesce(F.element_at("reject_reason_group_counts", F.lit(k)), F.lit(0)).cast("bigint")
+    return m.select("card_id", "match_status", F.col("candidate_count").cast("bigint").alias("candidate_count"), F.col("rejected_count").cast("bigint").alias("rejected_count"), n("name_mismatch").alias("bad_name"), n("rarity_mismatch").alias("bad_rarity"), n("regular_variant_mismatch").alias("bad_variant"))
+
+
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(strip_accents({c}), '[^\\x00-\\x7F]', '', 'g')), '[a-z0-9]+'), lambda x: NOT list_contains(['a','an','and','card','cards','japan','japanese','pokemon','tcg','the'], x)))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, unnest(t) AS w, len(t) AS n FROM (SELECT doc_id, {_TOKENS.format(c='text')} AS t FROM documents)),
+b AS (SELECT item_id, unnest(t) AS w, len(t) AS n FROM (SELECT item_id, {_TOKENS.format(c='text')} AS t FROM benchmark)),
+p AS (SELECT doc_id, item_id, count(*) AS shared, count(*) / least(max(d.n), max(b.n)) AS similarity FROM d JOIN b USING (w) GROUP BY 1, 2)
+SELECT doc_id, item_id, shared, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(similarity, 9) DESC, item_id) AS k FROM p) WHERE k = 1"""
+)
+def q26_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar test item of each document by the overlap of its words, through an inverted join on words."""
+    words = lambda df, key: df.select(key, F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(X.ascii_fold(F.col("text"))), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*[F.lit(s) for s in X.STOP])).alias("t")).select(key, F.explode("t").alias("w"), F.size("t").alias(f"{key}_n"))
+    d, b = words(table(spark, sf_dir, "documents"), "doc_id"), words(table(spark, sf_dir, "benchmark"), "item_id")
+    p = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("doc_id_n").alias("_a"), F.max("item_id_n").alias("_b"))
+    p = p.withColumn("similarity", F.round(F.col("shared") / F.least("_a", "_b"), 9))
+    best = p.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "shared", "similarity"), F.struct("similarity", (-F.col("item_id")).alias("i"))).alias("_b"))
+    return best.select("doc_id", "_b.item_id", "_b.shared", F.round("_b.similarity", 6).alias("similarity"))
+
+
+@query(
+    """WITH t AS (SELECT s_suppkey, 'to ' || n_name || 'X in ' || r_name AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region)
+SELECT s_suppkey, name FROM (SELECT s_suppkey, name, row_number() OVER (PARTITION BY s_suppkey ORDER BY length(name) DESC, name DESC) AS k FROM t JOIN a ON contains(text, name)) WHERE k = 1"""
+)
+def q27_alias_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
+    t = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("s_suppkey", F.concat(F.lit("to "), "n_name", F.lit("X in "), "r_name").alias("text"))
+    names = n.select(F.col("n_name").alias("name")).union(r.select("r_name")).distinct()
+    return lookup.longest_contained(t, names, "s_suppkey", "text", "name")
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, p_brand AS s, p_size AS n, p_name FROM part), q AS (SELECT r.*, p_partkey % 3 AS kind FROM r),
+c AS (SELECT q.p_partkey AS lookup_id, r.p_partkey AS row_id, CASE WHEN q.kind = 0 AND r.p_partkey = q.p_partkey THEN 1.0 WHEN q.kind = 0 THEN 0 WHEN q.kind = 1 AND q.s = r.s AND q.n = r.n THEN 0.96 WHEN q.kind = 1 THEN 0 WHEN list_has_all(string_split(r.p_name, ' '), string_split(q.p_name, ' ')) OR contains(replace(r.p_name, ' ', ''), replace(q.p_name, ' ', '')) OR contains(replace(q.p_name, ' ', ''), replace(r.p_name, ' ', '')) THEN 0.72 ELSE 0 END::DOUBLE AS score
+FROM q JOIN r ON q.n = r.n)
+SELECT lookup_id, rank, score, row_id FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY score DESC, row_id) AS rank FROM c WHERE score > 0) WHERE rank <= 5"""
+)
+def q32_lookup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is looked up by product, by set and number, or by name and number."""
+    p, none = table(spark, sf_dir, "part"), F.lit(None).cast("string")
+    key, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    number = F.col("p_size").cast("string")
+    rec = p.select(F.concat(F.lit("P"), key).alias("product_id"), none.alias("canonical_id"), none.alias("card_id"), F.col("p_brand").alias("set_id"), number.alias("card_code"), F.col("p_name").alias("name"), none.alias("name_en"), none.alias("name_ja"), none.alias("product_name"), F.lit("pokemon_ja").alias("index_name"), F.lit("ja").alias("language"), F.col("p_partkey").alias("row_id"))
+    look = p.select(F.col("p_partkey").alias("lookup_id"), F.when(kind == 0, F.concat(F.lit("P"), key)).alias("product_id"), none.alias("canonical_id"), none.alias("card_id"), F.when(kind == 1, F.col("p_brand")).alias("set_id"), F.when(kind != 0, number).alias("card_code"), F.when(kind == 2, F.col("p_name")).alias("subject"), none.alias("title"), F.lit("ja").alias("language"), F.lit(False).alias("label"))
+    return lookup.lookup(rec, look).select("lookup_id", "rank", "score", "row_id")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations), f AS (SELECT conv_id, min(turn) AS best FROM c WHERE role = 'assistant' GROUP BY 1)
+SELECT conv_id, count(*) AS queries, sum(n) AS pages_seen, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS cache_hits, sum(CASE WHEN role = 'assistant' THEN turn END) AS total_count, bool_or(role <> 'user') AS fallback_used, max(best) AS first_hit FROM c LEFT JOIN f USING (conv_id) GROUP BY 1"""
+)
+def q40_search_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    meta = c.select("conv_id", F.length("text").alias("pages_seen"), (F.col("role") == "user").cast("int").alias("cache_hits"), F.when(F.col("role") == "assistant", F.col("turn")).alias("total_count"), F.when(F.col("role") == "user", "card_code").otherwise("name_code_fallback").alias("kind"))
+    hits = c.select(F.col("conv_id").alias("card_code"), F.col("turn").alias("keyword_rank"), F.when(F.col("role") == "assistant", F.col("turn").cast("string")).alias("product_id"), F.col("turn").alias("ordinal"))
+    first = matching.first_keyword_with_hits(hits).select(F.col("card_code").alias("conv_id"), F.col("keyword_rank").alias("first_hit"))
+    return matching.search_summary(meta, "conv_id").join(first, "conv_id", "left")
+
+
+# pages, URLs, JSON
+
+_TAG = "regexp_replace({c}, '<[^>]+>', ' ', 'g')"
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pages")
+def q22_html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("lang"), filled(X.strip_tags(F.regexp_extract("html", r"<title>([^<]*)</title>", 1))).alias("title"))
+
+
+@query("SELECT page_id, generate_subscripts(l, 1) AS n, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS l FROM pages)")
+def q23_html_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("n", "link")).select("page_id", (F.col("n") + 1).cast("bigint").alias("n"), "link")
+
+
+@query(
+    """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, CASE WHEN regexp_matches(url, '\\.html') THEN '.html' ELSE '' END AS ext, coalesce(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/*$', 1), '') AS last_part, 'base' AS suffix FROM pages"""
+)
+def q24_url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.values import path_of
+
+    p = table(spark, sf_dir, "pages")
+    path = path_of(F.col("url"))
+    return p.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1).alias("ext"), F.regexp_extract(path, r"([^/]+)/*$", 1).alias("last_part"), X.image_suffix("url").alias("suffix"))
+
+
+@query("SELECT event_type, (props::JSON->>'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def q25_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("_p", F.from_json("props", "k bigint"))
+    return e.groupBy("event_type", F.col("_p.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def q38_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table followed as a file stream until nothing is left, then aggregated."""
+    import tempfile
+    import uuid
+
+    from ..streaming.manifests import append, follow
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")).rstrip("/") + f"/{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    stream = follow(spark, f"{sf_dir}/events.parque[t]", ddl, "parquet")  # a pattern: the table may be a file or a folder
+    q = append(stream, f"{base}/out", f"{base}/state")
+    q.awaitTermination()
+    out = spark.read.schema(schema).parquet(f"{base}/out/*")
+    return out.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+# text functions on literal rows
+
+_CODES = [
+    ("Japanese, S11a 091/068", "strict", "S11A", "91", "68"),
+    ("201/165 SV2a", "trailing_set", "SV2A", "201", "165"),
+    ("001/SV-P promo", "reverse_promo", "SV-P", "1", None),
+    ("SWSH 039", "swsh_promo", "PROMO-SWSH", "39", None),
+    ("card S12 TG05", "loose", "S12", "TG05", None),
+    ("SVI2A 1O1/165", None, None, None, None),
+    ("nothing here", None, None, None, None),
+    ("", None, None, None, None),
+]
+
+
+@query(literal(_CODES, ["text", "quality", "set_id", "number", "total"]))
+def q28_card_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.card_code("text")
+    return rows(spark, "text string", [(r[0],) for r in _CODES]).select("text", c["quality"].alias("quality"), c["set_id"].alias("set_id"), c["card_number"].alias("number"), c["total"].alias("total"))
+
+
+_LANGUAGES = [
+    ("Japanese, S11a 091/068", "ok", "ja", 0.98, "explicit_japanese,japanese_set_code"),
+    ("ピカチュウ", "ok", "ja", 0.92, "japanese_script"),
+    ("English SV3 card", "ok", "en", 0.96, "explicit_english,english_set_code"),
+    ("日本語", "ok", "ja", 1.0, "explicit:ja"),
+    ("EN", "ok", "en", 1.0, "explicit:en"),
+    ("SWSH12", "ok", "en", 0.8, "english_set_code"),
+    ("plain", "not_found", None, 0.0, ""),
+    ("", "empty", None, 0.0, ""),
+]
+
+
+@query(literal(_LANGUAGES, ["text", "status", "language", "confidence", "signals"]).replace("SELECT *", "SELECT text, status, language, confidence::DOUBLE AS confidence, signals"))
+def q29_language_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = X.infer_language("text")
+    return rows(spark, "text string", [(r[0],) for r in _LANGUAGES]).select("text", g["status"].alias("status"), g["language"].alias("language"), F.coalesce(g["confidence"], F.lit(0.0)).alias("confidence"), F.array_join(g["signals"], ",").alias("signals"))
+
+
+_FILES = [
+    ("/r/151/sv3-5_en_001_std.jpg", "modern_underscore", "sv3-5", "en", "001", "std", "sv3-5-001"),
+    ("/r/pop-series-4/mudkip-pop-series-4-11.jpg", "legacy_slugged", "pop-series-4", None, "11", None, "pop-series-4-11"),
+    ("/r/base/ja_US-sv2a-012-pikachu.png", "regional_hyphen", "sv2a", "ja", "012", None, "sv2a-012"),
+    ("/r/jungle/mew42.png", "legacy_compact_suffix", "jungle", None, "42", None, "jungle-42"),
+    ("/r/jungle/mew.png", "unparsed", "jungle", None, "mew", None, None),
+]
+
+
+@query(literal(_FILES, ["path", "rule", "set_id", "language", "card_code", "variant", "card_id"]))
+def q39_filename_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = X.file_fields("path")
+    return rows(spark, "path string", [(r[0],) for r in _FILES]).select("path", *[f[c].alias(c) for c in ("rule", "set_id", "language", "card_code", "variant", "card_id")])
+
+
+_TITLES = [
+    ("Monkey.D.Luffy SEC-SPC [OP05-119] ", "OP05-119", "Monkey.D.Luffy", "SEC", "SPC", None, None),
+    ("Nami R-P: Comic Parallel [OP01-016][EN]", "OP01-016", "Nami", "R", "P", "Comic Parallel", "en"),
+    ("Zoro [OP01-001]", "OP01-001", "", None, None, None, None),
+]
+
+
+@query(literal(_TITLES, ["title", "code", "name", "rarity", "modifier", "descriptor", "language"]))
+def q46_title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.parse_title("title", "code")
+    return rows(spark, "title string, code string", [r[:2] for r in _TITLES]).select("title", "code", t["name_prefix"].alias("name"), t["base_rarity"].alias("rarity"), t["modifier"].alias("modifier"), t["descriptor"].alias("descriptor"), t["language"].alias("language"))
+
+
+_SETS = [("sv_p", "SV-P", "A123", "123"), ("SWSH", "PROMO-SWSH", "TG12", "TG12"), ("XY-P", "XYP", "009/100", "9"), ("s12a", "S12A", "G05", "G05"), (None, None, "000", "0")]
+
+
+@query(literal(_SETS, ["set_id", "set_key", "code", "number"]))
+def q47_set_and_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, "set_id string, code string", [(r[0], r[2]) for r in _SETS]).select("set_id", X.match_set("set_id").alias("set_key"), "code", X.card_number("code").alias("number"))
+
+
+_URLS = [("https://x.example/a/OP01-001_p1.png", "p1", "p1", False, False), ("https://x.example/a/OP01-001.png", "base", "base", False, False), ("https://x.example/cardlist/card/sample.png", "base", "base", True, True), ("https://x.example/a%5Fr2.jpg", "r2", "r2", False, False), (None, None, None, False, False)]
+
+
+@query(literal(_URLS, ["url", "suffix", "thumbnail", "is_sample", "is_watermarked"]))
+def q48_url_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = rows(spark, "url string", [(r[0],) for r in _URLS])
+    return quality.flag_urls(u, "url").select("url", X.image_suffix("url").alias("suffix"), X.thumbnail_suffix("url").alias("thumbnail"), "is_sample", "is_watermarked")
+
+
+_MONEY = [("¥15,000", None, None, 100.0, 15000, "$100.00"), ("US $99.50", None, None, 99.5, 14925, "$99.50"), (None, "3000", "JPY", 20.0, 3000, "$20.00"), (None, "x", None, 0.0, 0, "$0.00")]
+
+
+@query(literal(_MONEY, ["price_format", "price", "currency", "usd", "jpy", "shown"]).replace("SELECT *", "SELECT price_format, price, currency, usd::DOUBLE AS usd, jpy::BIGINT AS jpy, shown"))
+def q49_price_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = rows(spark, "price_format string, price string, currency string", [r[:3] for r in _MONEY])
+    return market.price_trades(m, 150.0).withColumn("shown", M.dollars("usd"))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_quantity AS x, l_linenumber::DOUBLE AS y, l_quantity + 10 AS x2, l_linenumber + 20.0 AS y2 FROM lineitem)
+SELECT DISTINCT l_orderkey, l_linenumber, round((x + x2) / 2, 6) AS center_x, round((y + y2) / 2, 6) AS center_y, round(10 * 20 / (200.0 * 100), 6)::DOUBLE AS area_ratio FROM p"""
+)
+def q50_polygon_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    x, y = F.col("l_quantity"), F.col("l_linenumber").cast("double")
+    g = geometry.polygon_geometry(geometry.box_polygon(x, y, x + 10, y + 20), F.lit(200), F.lit(100))
+    return li.select("l_orderkey", "l_linenumber", F.round(g["center_x"], 6).alias("center_x"), F.round(g["center_y"], 6).alias("center_y"), F.round(g["area_ratio"], 6).alias("area_ratio")).distinct()

@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -64,6 +65,10 @@ class _Tree(HTMLParser):
         self.open[-1].parts.append(data)
 
 
+def _texts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
 def tree(html: str | None) -> Node:
     t = _Tree()
     t.feed(html or "")
@@ -71,7 +76,7 @@ def tree(html: str | None) -> Node:
     return t.root
 
 
-@udtf(returnType="series_id string, series_name string")
+@udtf(returnType=_texts("series_id", "series_name"))
 class series_options:
     """Options of the select named series, without the one for all."""
 
@@ -87,7 +92,7 @@ class series_options:
 _FIELDS = {"cost": "card_cost", "power": "card_power", "counter": "card_counter", "color": "card_color", "block": "card_block", "feature": "card_feature", "text": "card_effect", "getInfo": "card_get_info"}
 
 
-@udtf(returnType="official_card_id string, card_code string, rarity string, category string, name string, image_url string, card_attribute string, " + ", ".join(f"{c} string" for c in _FIELDS.values()))
+@udtf(returnType=_texts("official_card_id", "card_code", "rarity", "category", "name", "image_url", "card_attribute", *_FIELDS.values()))
 class card_blocks:
     """One row per dl.modalCol that has an id and at least three information spans; headings inside fields are dropped and the attribute
     is the picture's alt text where there is one."""
