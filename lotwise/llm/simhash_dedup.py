@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import DOC_COLUMNS, Scratch, components, find, int64, runs, table, whole_groups
+from .common import DOC_COLUMNS, Scratch, components, int64, runs, table, whole_groups
 
 SHINGLE = 3
 ROUTES = 6
@@ -32,6 +32,8 @@ RADIUS = 20
 JACCARD = 0.55
 RECALL = 0.95
 DEGREE = 12
+WIDEST = 64
+_STEP = 256
 _SALT = [W.mix(np.array([0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)], np.uint64))[0] for i in range(ROUTES)]
 
 
@@ -128,40 +130,41 @@ class SmallWorld:
 
     def __init__(self, code: np.ndarray, beam: int = 32):
         self.code, n = code, len(code)
-        self.links = np.full((n, 3 * DEGREE), -1, np.int32)
+        self.links = np.full((n, 3 * DEGREE + 2), -1, np.int32)
         self.used = np.zeros(n, np.int32)
         first = min(n, DEGREE + 1)
-        for i in range(first):
-            for j in range(first):
-                if i != j:
-                    self._link(i, j)
+        i, j = np.nonzero(~np.eye(first, dtype=bool))
+        self._link(i, j)
         at = first
         while at < n:
             to = min(n, at + max(DEGREE, at // 2), at + 4096)
             found, dist = self.search(code[at:to], min(beam, at), at)
             near = np.take_along_axis(found, np.argsort(dist, axis=1, kind="stable"), 1)[:, :DEGREE]
-            for i, row in zip(range(at, to), near.tolist()):
-                for j in row:
-                    if j >= 0:
-                        self._link(i, j)
-                        self._link(j, i)
-                self._link(i - 1, i)  # the chain keeps the graph connected
-                self._link(i, i - 1)
+            new = np.arange(at, to)
+            self.links[at:to, : near.shape[1]] = near
+            self.used[at:to] = near.shape[1]
+            src, dst = near.ravel(), np.repeat(new, near.shape[1])
+            ok = src >= 0
+            self._link(src[ok], dst[ok])
+            self._link(new - 1, new)  # the chain keeps the graph connected
+            self._link(new, new - 1)
             at = to
 
-    def _link(self, i: int, j: int) -> None:
-        u = self.used[i]
-        if u and (self.links[i, :u] == j).any():
-            return
-        if u < self.links.shape[1]:
-            self.links[i, u] = j
-            self.used[i] = u + 1
-            return
-        old = self.links[i, 2 * DEGREE :]  # the last third gives way to nearer nodes
-        d = distance(self.code[i], self.code[old])
-        worst = int(np.argmax(d))
-        if abs(i - j) == 1 or distance(self.code[i : i + 1], self.code[j : j + 1])[0] < d[worst]:
-            self.links[i, 2 * DEGREE + worst] = j
+    def _link(self, src: np.ndarray, dst: np.ndarray) -> None:
+        """Links src[i] to dst[i]. A node without a free slot gives up one of its last third, chosen by the new neighbour;
+        chain links are never given up."""
+        o = np.argsort(src, kind="stable")
+        src, dst = src[o], dst[o]
+        a, e = runs(src)
+        slot = self.used[src] + np.arange(len(src)) - np.repeat(a, e - a)
+        width = self.links.shape[1] - 2
+        spare = 2 * DEGREE + dst % (width - 2 * DEGREE)
+        slot = np.where(slot < width, slot, spare)
+        chain = np.abs(src - dst) == 1
+        slot[chain] = width + (dst[chain] > src[chain])
+        self.links[src, slot] = dst
+        grown = np.bincount(src[~chain], minlength=len(self.used))
+        self.used = np.minimum(self.used + grown, width).astype(np.int32)
 
     def search(self, q: np.ndarray, beam: int, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The `beam` nearest of nodes 0..n-1 that each query finds (-1 pads) and their distances; queries go in step."""
@@ -211,7 +214,7 @@ def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, a
     """(query, partner) within the radius in one shard, in blocks of queries. Up to 2 * DEGREE codes the graph is complete, so
     all are compared. Beyond, an audit of evenly spread queries against exact search doubles the beam until the recall is
     reached; a beam that is wide enough for all nodes is exact. A query whose whole beam lies within the radius is
-    asked again with twice the beam until it reaches beyond."""
+    asked again with twice the beam until it reaches beyond; past WIDEST it is compared with the whole shard, which is exact."""
     n = len(code)
     if n <= 2 * DEGREE:
         d = distance(code[:, None], code[None, :])
@@ -223,9 +226,15 @@ def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, a
     exact = distance(code[probe][:, None], code[None, :]) <= radius
     beam = 32
 
-    def ask(q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def ask(q: np.ndarray, beam0: int) -> tuple[np.ndarray, np.ndarray]:
+        beam = beam0
         a, b, rest = [], [], q
         while len(rest):
+            if beam > max(WIDEST, beam0):
+                i, j = np.nonzero(distance(code[rest][:, None], code[None, :]) <= radius)
+                a.append(rest[i])
+                b.append(j)
+                break
             ids, dist = g.search(code[rest], min(beam, n))
             near = (dist <= radius) & (ids >= 0)
             full = near.all(1) & (beam < n)
@@ -264,13 +273,17 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for a, b in zip(*(x.tolist() for x in runs(shard))):
             member = [np.frombuffer(sets[i].as_buffer(), np.uint32) for i in range(a, b)]
-            parent = np.arange(b - a)
+            label = np.arange(b - a)
             for qs, ps in neighbours(code[a:b]):
-                for x, y in zip(qs.tolist(), ps.tolist()):
-                    rx, ry = find(parent, x), find(parent, y)
-                    if rx != ry and jaccard(member[x], member[y]) >= JACCARD:
-                        parent[max(rx, ry)] = min(rx, ry)
-                        out.append((ids[a + x], ids[a + y]))
+                apart = label[qs] != label[ps]
+                qs, ps = qs[apart], ps[apart]
+                for i in range(0, len(qs), _STEP):
+                    q, p = qs[i : i + _STEP], ps[i : i + _STEP]
+                    apart = label[q] != label[p]
+                    for x, y in zip(q[apart].tolist(), p[apart].tolist()):
+                        if label[x] != label[y] and jaccard(member[x], member[y]) >= JACCARD:
+                            label[label == label[y]] = label[x]
+                            out.append((ids[a + x], ids[a + y]))
         if out:
             e = np.array(out, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
