@@ -89,7 +89,7 @@ def merge(hits: DataFrame, k: int, index_order: list[str] | None = None) -> Data
     """Best k over all indexes with their rank; equal scores keep index order (given, else by name) and index rank."""
     place = F.col("index_name")
     if index_order:
-        place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(index_order) for x in (n, i)]), F.col("index_name")), F.lit(len(index_order)))
+        place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(index_order) for x in (n, i)]), F.col("index_name").cast("string")), F.lit(len(index_order)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), place, "index_rank", "row_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

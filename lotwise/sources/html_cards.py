@@ -76,8 +76,7 @@ def tree(html: str | None) -> Node:
     return t.root
 
 
-@udtf(returnType=_texts("series_id", "series_name"))
-class series_options:
+class SeriesOptions:
     """Options of the select named series, without the one for all."""
 
     def eval(self, html: str):
@@ -92,8 +91,7 @@ class series_options:
 _FIELDS = {"cost": "card_cost", "power": "card_power", "counter": "card_counter", "color": "card_color", "block": "card_block", "feature": "card_feature", "text": "card_effect", "getInfo": "card_get_info"}
 
 
-@udtf(returnType=_texts("official_card_id", "card_code", "rarity", "category", "name", "image_url", "card_attribute", *_FIELDS.values()))
-class card_blocks:
+class CardBlocks:
     """One row per dl.modalCol that has an id and at least three information spans; headings inside fields are dropped and the attribute
     is the picture's alt text where there is one."""
 
@@ -120,6 +118,16 @@ class card_blocks:
             yield (own, *spans[:3], name.text() if name else None, urljoin(url or "", src) if src else None, kind or field("attribute"), *[field(c) for c in _FIELDS])
 
 
+def series_options():
+    """The table function (html) -> (series_id, series_name); needs a session."""
+    return udtf(SeriesOptions, returnType=_texts("series_id", "series_name"))
+
+
+def card_blocks():
+    """The table function (html, url) -> card fields; needs a session."""
+    return udtf(CardBlocks, returnType=_texts("official_card_id", "card_code", "rarity", "category", "name", "image_url", "card_attribute", *_FIELDS.values()))
+
+
 def list_cards(pages: DataFrame) -> DataFrame:
     """Card rows of list pages (series_id, series_name, url, html): code, set, variant by the picture's suffix; the first of each
     (card, series, get info) stays."""
@@ -127,7 +135,7 @@ def list_cards(pages: DataFrame) -> DataFrame:
     from ..operators.records import keep_first
 
     spark = pages.sparkSession
-    spark.udtf.register("lotwise_card_blocks", card_blocks)
+    spark.udtf.register("lotwise_card_blocks", card_blocks())
     pages.createOrReplaceTempView("lotwise_pages")
     rows = spark.sql("SELECT p.series_id, p.series_name, p.url, c.* FROM lotwise_pages p, LATERAL lotwise_card_blocks(p.html, p.url) c")
     rows = rows.withColumn("card_id", F.concat("official_card_id", F.lit("-ja"))).withColumn("set_id", X.set_from_code("card_code")).withColumn("variant", X.image_suffix_or_base("image_url"))
