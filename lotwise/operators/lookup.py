@@ -101,6 +101,29 @@ def lookup(records: DataFrame, lookups: DataFrame, k: int = 5) -> DataFrame:
     return good.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q_lookup_id").alias("lookup_id"), "rank", "score", F.col("r_row_id").alias("row_id"), F.col("r_card_id").alias("card_id"), F.col("r_index_name").alias("index_name"))
 
 
+def label_lookup(texts: DataFrame, aliases: DataFrame, records: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(status per label, hits) of label texts (label_id, text): the set by alias or by its own code, the number from the text. Only
+    labels with both are looked up; the others are insufficient_lookup_keys."""
+    parsed = texts.select("label_id", "text", X.parse_label("text").alias("p"))
+    found = match_alias(texts, aliases, "label_id", "text").select("label_id", F.col("set_id").alias("_alias"))
+    q = parsed.join(found, "label_id", "left").select(F.col("label_id").alias("lookup_id"), F.coalesce("_alias", "p.set_id").alias("set_id"), F.col("p.card_number").alias("card_code"), F.col("p.subject").alias("subject"), F.col("p.set_title").alias("title"), F.col("p.language").alias("language"))
+    none = F.lit(None).cast("string")
+    ready = q.where("set_id is not null and card_code is not null").withColumns({"product_id": none, "canonical_id": none, "card_id": none, "label": F.lit(True)})
+    hits = lookup(records, ready, k)
+    n = hits.groupBy("lookup_id").agg(F.count("*").alias("n"))
+    j = q.join(n, "lookup_id", "left")
+    status = F.when(F.col("set_id").isNull() | F.col("card_code").isNull(), "insufficient_lookup_keys").when(F.col("n") > 0, "matched").otherwise("lookup_without_index_match")
+    return j.select(F.col("lookup_id").alias("label_id"), "set_id", "card_code", status.alias("status")), hits
+
+
+def caption(hit: Column) -> Column:
+    """#rank | index | set-code | language | score | name, empty parts left out."""
+    name = F.coalesce(filled(hit["name_ja"]), filled(hit["name_en"]), filled(hit["name"]), filled(hit["card_id"]), F.lit("unknown"))
+    code = filled(F.concat_ws("-", filled(hit["set_id"]), filled(hit["card_code"])))
+    bits = F.concat_ws(" | ", F.concat(F.lit("#"), hit["rank"].cast("string")), filled(hit["index_name"]), code, filled(hit["language"]), F.format_string("%.3f", F.coalesce(hit["score"], F.lit(0.0))), name)
+    return F.when(hit.isNull(), "missing").otherwise(bits)
+
+
 def without_found(catalog_hits: DataFrame, index_hits: DataFrame, keys: list[str]) -> DataFrame:
     """Catalog hits whose keys no index hit has."""
     return catalog_hits.join(index_hits.select(*keys).distinct(), keys, "left_anti")
