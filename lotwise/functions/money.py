@@ -38,6 +38,18 @@ def loose_time(c: Column | str, as_of: Column) -> Column:
     )
 
 
+_SPANS = {
+    "en": {"today": "24h", "days": "last {n} days", "month": "last {n} month", "months": "last {n} months"},
+    "ko": {"today": "24시간", "days": "최근 {n}일", "month": "최근 {n}개월", "months": "최근 {n}개월"},
+    "zhs": {"today": "24小时内", "days": "近{n}天", "month": "近{n}个月", "months": "近{n}个月"},
+    "zh": {"today": "24h內", "days": "近{n}天", "month": "近{n}個月", "months": "近{n}個月"},
+}
+
+
+def _in_language(language: Column, what: str) -> Column:
+    return choose_text(language, **{k: f" ({v[what]})" for k, v in _SPANS.items()})
+
+
 def span_label(language: Column | str, days: Column | str) -> Column:
     d = col(days)
     months = half_even(d / 30).cast("int").cast("string")
@@ -47,10 +59,10 @@ def span_label(language: Column | str, days: Column | str) -> Column:
         return F.replace(text, F.lit("{n}"), value)
 
     return (
-        F.when(d == 0, choose_text(lang, " (24h內)", " (24h)", " (24시간)", " (24小时内)"))
-        .when(d < 30, put(choose_text(lang, " (近{n}天)", " (last {n} days)", " (최근 {n}일)"), d.cast("string")))
-        .when(d <= 60, choose_text(lang, " (近1個月)", " (last 1 month)", " (최근 1개월)", " (近1个月)"))
-        .otherwise(put(choose_text(lang, " (近{n}個月)", " (last {n} months)", " (최근 {n}개월)", " (近{n}个月)"), months))
+        F.when(d == 0, _in_language(lang, "today"))
+        .when(d < 30, put(_in_language(lang, "days"), d.cast("string")))
+        .when(d <= 60, put(_in_language(lang, "month"), F.lit("1")))
+        .otherwise(put(_in_language(lang, "months"), months))
     )
 
 
@@ -76,7 +88,7 @@ def price_usd(text: Column | str, price: Column | str, currency: Column | str, r
     r, n, t = positive_rate(rate), first_number(text), F.lower(F.coalesce(col(text), F.lit("")))
     raw = lenient_float(price)
     code = F.lower(F.trim(F.coalesce(col(currency), F.lit(""))))
-    return F.when(n.isNotNull() & t.rlike(_YEN), n / r).when(n.isNotNull() & t.rlike(r"\$|usd"), n).when(code.isin("jpy", "yen", "jp¥", "￥", "¥"), raw / r).otherwise(raw)
+    return F.when(n.isNotNull() & t.rlike(_YEN), n / r).when(n.isNotNull() & t.rlike(r"\$|usd"), n).when(code.isin("yen jpy ¥ ￥ jp¥".split()), raw / r).otherwise(raw)
 
 
 def price_jpy(text: Column | str, price: Column | str, currency: Column | str, rate: Column | str) -> Column:

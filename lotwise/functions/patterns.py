@@ -1,0 +1,50 @@
+"""Parts from which the patterns of the text functions are put together."""
+
+from __future__ import annotations
+
+LETTER, UPPER, LOWER, DIGIT, BLANK = "[A-Za-z]", "[A-Z]", "[a-z]", r"\d", r"\s*"
+CODE = "[-A-Za-z0-9]+"
+
+
+def times(part: str, least: int, most: int | None = None) -> str:
+    return f"{part}{{{least}{'' if most == least else ',' if most is None else f',{most}'}}}"
+
+
+def group(*parts: str) -> str:
+    return f"({''.join(parts)})"
+
+
+def any_of(*words: str) -> str:
+    return f"(?:{'|'.join(words)})"
+
+
+def word(*words: str) -> str:
+    """One of the words with no letter or digit beside it."""
+    return rf"\b{any_of(*words)}\b"
+
+
+def after(part: str) -> str:
+    return f"(?<={part})"
+
+
+def before(part: str) -> str:
+    return f"(?={part})"
+
+
+def over(top: str, down: str) -> str:
+    """A fraction."""
+    return f"{top}{BLANK}/{BLANK}{down}"
+
+
+def tag(name: str, inner: str = "(.*?)", **attributes: str) -> str:
+    """An element with attributes that hold the given texts."""
+    return f"<{name}{attrs(**attributes)}[^>]*>{inner}</{name}>"
+
+
+def attrs(**attributes: str) -> str:
+    """Attributes in order; cls stands for class, and a value in parentheses is a group, any other a part of the value."""
+    out = ""
+    for k, v in attributes.items():
+        held = v if v.startswith("(") else f'[^"]*{v}[^"]*'
+        out += f'[^>]*{k.replace("cls", "class")}="{held}"'
+    return out

@@ -8,14 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns as P
 from . import unicode
 from .unicode import ascii_fold
 from .values import alias_or_self, col, filled, first_filled, lookup, path_of, squeeze, stem_of, strip_zeros, swap_all, unquote, zero_fill
 
-RARITY_WORDS = {"COMMON": "C", "UNCOMMON": "UC", "RARE": "R", "LEADER": "L", "SPECIAL": "SP CARD"} | {f"{a}{gap}RARE": b for a, b in (("SUPER", "SR"), ("SECRET", "SEC")) for gap in ("", " ")}
-_PAREN_PARALLEL = r"(?i)\([^)]*parallel[^)]*\)"
+RARITY_WORDS = dict(LEADER="L", SPECIAL="SP CARD", RARE="R", UNCOMMON="UC", COMMON="C") | {f"{a}{gap}RARE": b for a, b in (("SUPER", "SR"), ("SECRET", "SEC")) for gap in ("", " ")}
+_INSIDE_PAREN = "[^)]*"
+_PAREN_PARALLEL = rf"(?i)\({_INSIDE_PAREN}parallel{_INSIDE_PAREN}\)"
 LANGUAGE_NAMES = dict.fromkeys(["ja", "jp", "jpn", "japanese", "日本語", "日文", "日版"], "ja") | dict.fromkeys(["en", "eng", "english", "英文", "英版"], "en")
-FOREIGN_MARKS = [f"{a}{x}{b}" for x in ("en", "kr") for a, b in (("[", "]"), ("【", "】"))] + [f"{a}{x}{b}" for x in ("english", "korean") for a, b in ((" ", ""), ("", " version"))] + ["英語版", "英文版", "韓文版", "韓語版", "韓国語", "韓國語"]
+FOREIGN_MARKS = [f"{a}{x}{b}" for x in ("en", "kr") for a, b in (("[", "]"), ("【", "】"))] + [f"{a}{x}{b}" for x in ("english", "korean") for a, b in ((" ", ""), ("", " version"))] + "韓国語 韓國語 韓語版 韓文版 英語版 英文版".split()
 
 _PROMO_ERA = ["SV", "S", "SM", "XY", "M"]
 _ERA = ["SV", "S", "SM", "XY", "BW", "DP", "M", "ME"]
@@ -31,7 +33,7 @@ CODE_RULES = [
     ("swsh_promo", rf"(?i)\b(SWSH)\s*[- ]?{_TOTAL}\b", 1, 2, 0),
     ("loose", rf"(?i)\b({SET})\s+{_NUMBER}\b", 1, 2, 0),
 ]
-CODE_RANK = {"strict": 4, "reverse_promo": 4, "swsh_promo": 3, "loose": 2}
+CODE_RANK = dict(loose=2, swsh_promo=3, reverse_promo=4, strict=4)
 
 
 # names, rarities, variants
@@ -84,7 +86,7 @@ def variant_kind(rarity: Column | str, name: Column | str, image_url: Column | s
 
 def set_from_code(code: Column | str) -> Column:
     """Letters and digits that begin a code: OP01-001 gives OP01."""
-    return filled(F.regexp_extract(col(code), r"^[A-Z]{1,4}\d{0,2}", 0))
+    return filled(F.regexp_extract(col(code), "^" + P.times(P.UPPER, 1, 4) + P.times(P.DIGIT, 0, 2), 0))
 
 
 def set_from_card_id(card_id: Column | str) -> Column:
@@ -147,7 +149,7 @@ def parse_title(title: Column | str, code: Column | str) -> Column:
     rarity = F.substring_index(last, "\u0002", 1)
     head = F.translate(F.substring(marked, F.lit(1), F.length(marked) - F.length(last) - 1), "\u0001\u0002", "")
     name = F.when(hit, F.regexp_replace(F.regexp_replace(head, r"^[ \-:()\[\]]+", ""), r"[ \-:()\[\]]+$", "")).otherwise("")
-    trail = F.trim(F.regexp_replace(F.trim(F.substring_index(last, "\u0002", -1)), r"^\s*[:：]\s*", ""))
+    trail = F.trim(F.regexp_replace(F.trim(F.substring_index(last, "\u0002", -1)), f"^{P.BLANK}[：:]{P.BLANK}", ""))
     return F.struct(
         exact.alias("code_exact"),
         name.alias("name_prefix"),
@@ -178,7 +180,7 @@ def mentions_set(title: Column | str, set_id: Column | str) -> Column:
 def title_ref(title: Column | str, set_id: Column | str, code: Column | str) -> Column:
     """Struct (ok, reason): set, white space, number, slash and a total, in this order."""
     clean, padded = number_parts(code)
-    pattern = F.concat(F.lit("(?i)"), _bounded(col(set_id)), F.lit(r"\s+0*"), clean, F.lit(r"\s*/\s*[A-Za-z0-9-]+"))
+    pattern = F.concat(F.lit("(?i)"), _bounded(col(set_id)), F.lit(r"\s+0*"), clean, F.lit(P.over("", P.CODE)))
     hit = F.regexp_like(F.coalesce(col(title), F.lit("")), pattern)
     reason = (
         F.when(filled(set_id).isNull(), "missing_set_id")
@@ -193,7 +195,7 @@ def title_number(title: Column | str, code: Column | str) -> Column:
     """Struct (ok, reason): the number as a fraction's numerator, else standing alone, padded or not."""
     clean, padded = number_parts(code)
     t = F.lower(F.coalesce(col(title), F.lit("")))
-    fraction = r"(\d{1,4})\s*/\s*(\d{1,4})"
+    fraction = P.over(P.group(P.times(P.DIGIT, 1, 4)), P.group(P.times(P.DIGIT, 1, 4)))
     tops = F.regexp_extract_all(t, F.lit(fraction), F.lit(1))
     downs = F.regexp_extract_all(t, F.lit(fraction), F.lit(2))
     pairs = F.zip_with(tops, downs, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -222,15 +224,18 @@ def foreign_language(title: Column | str) -> Column:
 # recognised text, card codes, sets
 
 
+_ROUND_ZERO = P.after(P.DIGIT) + "[QO]" + P.before(P.DIGIT)
+
+
 def ocr_text(c: Column | str) -> Column:
     """Upper case, look-alike signs and digits repaired, white space squeezed."""
     t = F.translate(F.upper(F.coalesce(col(c), F.lit(""))), "§$ＯＩ|／\\—–", "SS011//--")
     for pattern, to in (
-        (r"\b(SV|SM|XY|S|M)([ILO])([A-Z])\b", "$1\u00011$3"),
-        (r"(?<=\d)[OQ](?=\d)", "0"),
-        (r"(?<=/)[OQ](?=\d)", "0"),
-        (r"(?<=\s)[OQ](?=\d{2,3})", "0"),
-        (r"(?<=\d)\s*[IL]\s*(?=\d)", "1"),
+        (rf"\b(SV|SM|XY|S|M)([ILO]){P.group(P.UPPER)}\b", "$1\u00011$3"),
+        (_ROUND_ZERO, "0"),
+        (P.after("/") + "[QO]" + P.before(P.DIGIT), "0"),
+        (P.after(r"\s") + "[QO]" + P.before(P.times(P.DIGIT, 2, 3)), "0"),
+        (P.after(P.DIGIT) + f"{P.BLANK}[LI]{P.BLANK}" + P.before(P.DIGIT), "1"),
     ):
         t = F.regexp_replace(t, pattern, to)
     return squeeze(F.replace(t, F.lit("\u0001"), F.lit("")))
@@ -300,16 +305,19 @@ def language_of(c: Column | str) -> Column:
     return lookup(F.replace(F.lower(F.trim(col(c))), F.lit("_"), F.lit("-")), LANGUAGE_NAMES)
 
 
+_JAPANESE = ["JP", "JPN", "JAPANESE"]
+
+
 def infer_language(c: Column | str) -> Column:
     """Struct (status, language, confidence, signals): an alias decides alone, else weighted signals, ties to ja."""
     t = F.trim(F.coalesce(col(c), F.lit("")))
     direct = language_of(t)
-    ja_code = t.rlike(r"(?i)\b(?:SV|S|SM|XY|BW|DP|M|L)\d{1,2}[a-z]\b")
+    ja_code = t.rlike(rf"(?i)\b{P.any_of(*_ERA[:-1], 'L')}{P.times(P.DIGIT, 1, 2)}{P.LOWER}\b")
     tests = [
         ("ja", "japanese_script", 0.92, t.rlike("[぀-ヿ㐀-鿿]")),
-        ("ja", "explicit_japanese", 0.98, t.rlike(r"(?iU)POKEMON\s*(?:JAPANESE|JPN|JP)|\b(?:JAPANESE|JPN|JP)\b|日版|日本語|日文")),
+        ("ja", "explicit_japanese", 0.98, t.rlike(rf"(?iU)POKEMON{P.BLANK}{P.any_of(*_JAPANESE)}|{P.word(*_JAPANESE)}|日文|日版|日本語")),
         ("ja", "japanese_set_code", 0.94, ja_code),
-        ("en", "explicit_english", 0.96, t.rlike(r"(?iU)\b(?:ENGLISH|ENG)\b|英版|英文")),
+        ("en", "explicit_english", 0.96, t.rlike(rf"(?iU)英文|英版|{P.word('ENG', 'ENGLISH')}")),
         ("en", "english_set_code", 0.80, ~ja_code & t.rlike(r"(?i)\b(?:SWSH|SV|SM|XY|BW|DP)\d{1,2}\b")),
     ]
     signals = F.array_compact(F.array(*[F.when(on, F.lit(name)) for _, name, _, on in tests]))
@@ -382,7 +390,7 @@ def subject_similarity(lookup_keys: Column, record_keys: Column, lookup_tokens:
 
 def label_text(c: Column | str) -> Column:
     t = swap_all(ocr_text(c), [("POKEMONJAPANESE", "POKEMON JAPANESE"), ("POKEMONENGLISH", "POKEMON ENGLISH"), ("GEMMT", "GEM MT")])
-    return F.regexp_replace(F.regexp_replace(t, r"(?<=\d)[OQ](?=\d)", "0"), r"\b2OTH(ANNIV)?\b", "20TH$1")
+    return F.regexp_replace(F.regexp_replace(t, _ROUND_ZERO, "0"), r"\b2OTH(ANNIV)?\b", "20TH$1")
 
 
 def alias_key(c: Column | str) -> Column:
@@ -393,8 +401,8 @@ def alias_key(c: Column | str) -> Column:
 def label_set(c: Column | str) -> Column:
     """Promo set that a label text names itself, or null."""
     t = col(c)
-    promo = r"((?:SV|S|SM|XY|BW|DP|PCG|ADV)-?P)"
-    return match_set(first_filled(F.regexp_extract(t, rf"(?i)\b(?:JPN|JP|JAPANESE)\.?\s*{promo}\b", 1), F.regexp_extract(t, rf"(?i)\b{promo}\s*PROMOS?\b", 1)))
+    promo = P.group(P.any_of(*_ERA[:-2], "PCG", "ADV"), "-?P")
+    return match_set(first_filled(F.regexp_extract(t, rf"(?i)\b{P.any_of(*_JAPANESE)}[.]?{P.BLANK}{promo}\b", 1), F.regexp_extract(t, rf"(?i)\b{promo}\s*PROMOS?\b", 1)))
 
 
 GRADE_WORDS = ["PSA", "CGC", "BGS", "GEM MT", "GEM MINT", "MINT", "NM-MT", "NM", "EX", "AUTHENTIC", *[str(i) for i in range(1, 11)]]
@@ -403,10 +411,10 @@ GRADE_WORDS = ["PSA", "CGC", "BGS", "GEM MT", "GEM MINT", "MINT", "NM-MT", "NM",
 def parse_label(c: Column | str, by_line: bool = False) -> Column:
     """Struct (card_number, subject, set_title, description, language, set_id) of a graded card's label. Recognition joins the
     lines first, so the whole text is one line; by_line splits the text at line breaks instead."""
-    whole = label_text(c)
-    number = first_filled(F.regexp_extract(whole, r"#\s*([A-Z]?\d{1,4})\b", 1), F.regexp_extract(whole, r"\bNO\.?\s*([A-Z]?\d{1,4})\b", 1))
+    whole, plain = label_text(c), P.group(P.UPPER, "?", P.times(P.DIGIT, 1, 4))
+    number = first_filled(F.regexp_extract(whole, rf"#{P.BLANK}{plain}\b", 1), F.regexp_extract(whole, rf"\bNO[.]?{P.BLANK}{plain}\b", 1))
     rows = F.transform(F.split(col(c), r"\r?\n"), label_text) if by_line else F.array(whole)
-    rows = F.transform(rows, lambda r: squeeze(F.regexp_replace(r, "[^A-Z0-9# /.-]+", " ")))
+    rows = F.transform(rows, lambda r: squeeze(F.regexp_replace(r, "[^-#./ A-Z0-9]+", " ")))
     stop = F.array(*[F.lit(g.replace(" ", "")) for g in GRADE_WORDS])
 
     def useful(r: Column) -> Column:
@@ -421,7 +429,7 @@ def parse_label(c: Column | str, by_line: bool = False) -> Column:
 
     def subject_like(r: Column) -> Column:
         t = clean(r)
-        return (t != "") & (F.size(F.split(t, " ")) <= 4) & ~t.rlike(r"\b(?:ANNIV|CHAMPION|COLLECTION|DECK|EXPANSION|PACK|SERIES)\b")
+        return (t != "") & (F.size(F.split(t, " ")) <= 4) & ~t.rlike(P.word("SERIES", "PACK", "DECK", "EXPANSION", "COLLECTION", "CHAMPION", "ANNIV"))
 
     subject_at = F.array_position(F.transform(rows, lambda r: F.when(subject_like(r), 1).otherwise(0)), 1)
     subject = F.when(subject_at > 0, clean(F.get(rows, (subject_at - 1).cast("int"))))
@@ -459,7 +467,7 @@ def clean_text(c: Column | str) -> Column:
 
 
 def set_from_image_path(path: Column | str) -> Column:
-    return filled(F.trim(F.regexp_extract(col(path), r"/card_images/large/([^/]+)/", 1)))
+    return filled(F.trim(F.regexp_extract(col(path), "/".join(["", "card_images", "large", "([^/]+)", ""]), 1)))
 
 
 def rarity_from_path(path: Column | str) -> Column:
@@ -481,7 +489,7 @@ def absolute_url(base: str, c: Column | str) -> Column:
 
 def url_extension(c: Column | str, default: str = ".jpg") -> Column:
     ext = F.lower(F.regexp_extract(path_of(col(c)), r"(\.[A-Za-z0-9]+)$", 1))
-    return F.when(ext.isin(".jpg", ".jpeg", ".png", ".webp"), ext).otherwise(default)
+    return F.when(ext.rlike(r"^\.(?:jpe?g|png|webp)$"), ext).otherwise(default)
 
 
 def image_variants(c: Column | str) -> Column:
@@ -496,16 +504,17 @@ def image_variants(c: Column | str) -> Column:
 
 
 def first_number(c: Column | str) -> Column:
-    return F.replace(filled(F.regexp_extract(col(c), r"[-+]?\d[\d,]*(?:\.\d+)?", 0)), F.lit(","), F.lit("")).try_cast("double")
+    return F.replace(filled(F.regexp_extract(col(c), r"[+-]?\d[,\d]*(?:[.]\d+)?", 0)), F.lit(","), F.lit("")).try_cast("double")
 
 
 def level_and_text(c: Column | str, missing: str = "Insufficient data") -> Column:
     """Struct (level, text, width) of "High: ..." texts."""
     t = F.trim(F.coalesce(col(c), F.lit("")))
-    pattern = r"(?is)^\s*(high|medium|low)\b[。，,：:\s-]*(.*)$"
-    level = F.when(F.lower(t).isin("", "unknown", "n/a", "na", "none", "null"), "N/A").when(t.rlike(pattern), F.initcap(F.regexp_extract(t, pattern, 1))).otherwise("N/A")
+    pattern = rf"(?is)^{P.BLANK}(low|medium|high)\b[-\s:：,，。]*(.*)$"
+    unknown = F.lower(t).isin(["", *"null none na n/a unknown 未知 未提供".split()])
+    level = F.when(unknown, "N/A").when(t.rlike(pattern), F.initcap(F.regexp_extract(t, pattern, 1))).otherwise("N/A")
     rest = F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 2)).otherwise(t)
-    rest = F.when(F.lower(t).isin("", "unknown", "n/a", "na", "none", "null"), missing).otherwise(F.coalesce(filled(F.trim(F.regexp_replace(rest, r"^[\\: ]+", ""))), F.lit(missing)))
+    rest = F.when(unknown, missing).otherwise(F.coalesce(filled(F.trim(F.regexp_replace(rest, r"^[\\: ]+", ""))), F.lit(missing)))
     width = F.when(level == "High", 90).when(level == "Medium", 60).when(level == "Low", 30).otherwise(0)
     return F.struct(level.alias("level"), rest.alias("text"), width.alias("width"))
 
@@ -516,6 +525,7 @@ def interface_language(c: Column | str) -> Column:
 
 
 def choose_text(language: Column | str, zh: str, en: str, ko: str, zhs: str | None = None) -> Column:
+    """The text of an interface language; zh for others, and for zhs where it has none."""
     lang = col(language)
     return F.when(lang == "en", en).when(lang == "ko", ko).when(lang == "zhs", zh if zhs is None else zhs).otherwise(zh)
 
@@ -532,7 +542,7 @@ def sample_flags(url: Column | str) -> Column:
     u = unquote(F.coalesce(col(url), F.lit("")))
     edge = r"[_./?&=-]"
     sample = u.rlike(rf"(?iU)(?:^|{edge})sample(?:{edge}|$)|\bsample\b")
-    mark = u.rlike(r"(?i)sample|watermark|cardlist/card|onepiece-cardgame\.com")
+    mark = u.rlike(r"(?i)watermark|sample|onepiece-cardgame[.]com|cardlist/card")
     return F.struct(sample.alias("is_sample"), mark.alias("is_watermarked"), F.array_compact(F.array(F.when(sample, "url_contains_sample"), F.when(mark, "url_watermark_hint"))).alias("reasons"))
 
 
@@ -540,11 +550,12 @@ def file_fields(path: Column | str) -> Column:
     """Struct (card_id, card_code, set_id, language, variant, name_slug, rule, parsed) of an image's path: four rules in order."""
     p = col(path)
     folder = filled(F.regexp_extract(p, r"([^/]+)/[^/]+$", 1))
+    code = P.group(P.LETTER, "*", P.DIGIT, "+", P.LETTER, "?")
     stem = stem_of(p)
     rules = [
         ("modern_underscore", r"^([^_]+)_([a-z]{2})_([^_]+)(?:_(.+))?$", {"set_id": 1, "language": 2, "card_code": 3, "variant": 4}, F.lit(True)),
-        ("regional_hyphen", r"^([a-z]{2})_[A-Z]{2}-(.+)-([A-Za-z]*\d+[A-Za-z]?)-(.+)$", {"language": 1, "set_id": 2, "card_code": 3, "name_slug": 4}, F.lit(True)),
-        ("legacy_slugged", r"^(.+)-([A-Za-z]*\d+[A-Za-z]?)$", {"name_slug": 1, "card_code": 2}, folder.isNotNull()),
+        ("regional_hyphen", f"^{P.group(P.times(P.LOWER, 2, 2))}_{P.times(P.UPPER, 2, 2)}-(.+)-{code}-(.+)$", {"language": 1, "set_id": 2, "card_code": 3, "name_slug": 4}, F.lit(True)),
+        ("legacy_slugged", f"^(.+)-{code}$", {"name_slug": 1, "card_code": 2}, folder.isNotNull()),
         ("legacy_compact_suffix", r"^(.+?)(\d+)$", {"name_slug": 1, "card_code": 2}, folder.isNotNull()),
     ]
     none = F.lit(None).cast("string")

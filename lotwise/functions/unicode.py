@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-_PUNCTUATION = re.compile(r"[\s\-_・:：'\"`´’‘“”()\[\]{}<>/\\|.,]+")
+_PUNCTUATION = re.compile("[" + re.escape(".,:：・'\"`´‘’“”/|_-\\()[]{}<>") + r"\s]+")
 
 
 @pandas_udf(T.StringType())
@@ -33,7 +33,7 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 STOP = frozenset("a an and card cards japan japanese pokemon tcg the".split())
-INSIDE = ("anniversary", "champion", "collection", "concept", "dark", "expansion", "legendary", "premium", "pack", "phantasma", "promo", "shine", "shiny")
+INSIDE = "pack promo premium shine shiny dark champion anniversary collection expansion legendary phantasma concept".split()
 
 
 def expand_word(w: str) -> set[str]:
@@ -44,7 +44,7 @@ def expand_word(w: str) -> set[str]:
     letters = w.replace("0", "o") if re.search("[a-z]", w) else w
     if "anniv" in w or "anniv" in letters:
         out.add("anniversary")
-        if number := re.match(r"(\d{1,2})(?:st|nd|rd|th)?anniv", w):
+        if number := re.match(r"(\d\d?)(?:th|st|nd|rd)?anniv", w):
             out.add(f"{number[1]}th")
     if w.endswith("sted"):
         out.add(w[:-2])

@@ -10,9 +10,9 @@ from .quality import index_eligible
 from .records import MARKET, UNIFIED
 
 PRIORITY = {"pokemon_card_official_ja": 10, "tcgdex": 20, "tcgdex_image": 30}
-METADATA = ["name", "name_ja", "rarity", "set_id", "card_code", "variant", "official_card_id", "illustrator", "number_total", "pokemon_no", "pokemon_species", "hp"]
-IMAGE = ["image_url", "local_image_path", "image_sha256", "width", "height", "image_format", "is_valid_image"]
-SUMMARY = ["source", "source_license", "card_id", "card_code", "set_id", "official_card_id", "image_url", "local_image_path", "image_sha256", "width", "height", "image_format", "is_valid_image", "rarity", "variant"]
+METADATA = "set_id card_code name name_ja rarity variant official_card_id number_total illustrator hp pokemon_no pokemon_species".split()
+IMAGE = "is_valid_image image_format image_sha256 local_image_path image_url width height".split()
+SUMMARY = [*"source source_license card_id card_code set_id official_card_id rarity variant".split(), *IMAGE]
 
 
 def priority(source: Column | str, table: dict[str, int] = PRIORITY, unknown: int = 99) -> Column:
@@ -97,7 +97,7 @@ def select_images(canonical: DataFrame) -> DataFrame:
     use = F.col("has_index_image") & truthy("image_sha256")
     w = Window.partitionBy("_hash").orderBy(*score)
     whole = Window.partitionBy("_hash")
-    fields = ["canonical_id", "canonical_key", "canonical_source", "card_id", "card_code", "set_id", "name_ja", "image_source", "local_image_path", "image_sha256"]
+    fields = "canonical_id canonical_key canonical_source card_id card_code set_id name_ja image_source local_image_path image_sha256".split()
     good = canonical.where(use).withColumn("_hash", F.col("image_sha256")).withColumn("_n", F.row_number().over(w))
     good = good.withColumn("_others", F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", F.struct(*fields).alias("row")))).over(whole))
     first = F.col("_n") == 1

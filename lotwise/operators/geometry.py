@@ -95,7 +95,7 @@ def expand_box(box: Column | str, width: Column | str, height: Column | str, rat
     return _clamp(x["left"] - px, x["top"] - py, x["right"] + px, x["bottom"] + py, col(width), col(height))
 
 
-def ratio_box(width: Column | str, height: Column | str, left: float = 0.305, top: float = 0.2925, right: float = 0.695, bottom: float = 0.7075) -> Column:
+def ratio_box(width: Column | str, height: Column | str, left: float = 0.305, right: float = 0.695, top: float = 0.2925, bottom: float = 0.7075) -> Column:
     """Box at fixed shares of a picture."""
     w, h = col(width), col(height)
     return F.struct(F.bround(w * left).cast("int").alias("left"), F.bround(h * top).cast("int").alias("top"), F.bround(w * right).cast("int").alias("right"), F.bround(h * bottom).cast("int").alias("bottom"))
@@ -217,6 +217,9 @@ def _open(content: bytes):
     return Image.open(io.BytesIO(content))
 
 
+_INSPECTED = "width height image_format is_valid_image image_error".split()
+
+
 def inspect(images: DataFrame, content: str = "content") -> DataFrame:
     """Adds width, height, image_format, is_valid_image, image_error and image_sha256 to rows with picture bytes. Needs the
     optional imaging library; without it every row says so in image_error."""
@@ -232,7 +235,7 @@ def inspect(images: DataFrame, content: str = "content") -> DataFrame:
                     rows.append((im.size[0], im.size[1], im.format, True, None))
                 except Exception as e:  # noqa: BLE001 - a bad picture is a row, not a failure
                     rows.append((None, None, None, False, f"{type(e).__name__}: {e}"))
-            got = pd.DataFrame(rows, columns=["width", "height", "image_format", "is_valid_image", "image_error"], index=p.index)
+            got = pd.DataFrame(rows, columns=_INSPECTED, index=p.index)
             yield pd.concat([p.drop(columns=[content]), got.astype({"width": "Int32", "height": "Int32"})], axis=1)
 
     keyed = images.withColumn("image_sha256", F.sha2(content, 256))
@@ -276,7 +279,7 @@ def signature(rgb: np.ndarray) -> dict:
         use = (sat > 0.12) & (top > 0.12) & (top < 0.98)
         if use.sum() < 100:
             use = np.ones_like(use)
-        hist, _ = np.histogramdd(np.stack([np.where(span > 0, hue, 0)[use], sat[use], top[use]], 1), bins=(24, 6, 6), range=((0, 1),) * 3)
+        hist, _ = np.histogramdd(np.stack([np.where(span > 0, hue, 0)[use], sat[use], top[use]], 1), range=[(0, 1)] * 3, bins=[24, 6, 6])
         return unit(hist)
 
     gray = cut @ np.array([0.299, 0.587, 0.114])

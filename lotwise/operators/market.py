@@ -154,7 +154,7 @@ def markdown(cards: DataFrame, trades: DataFrame, as_of: Column, rate: float, ke
     wide = blocks.groupBy(key).agg(*[x for c, _ in conditions for x in (of(c, "_row").alias(f"_row_{c}"), of(c, "lines").alias(f"_lines_{c}"))])
     j = cards.join(wide, key, "left")
     dash = F.lit("-")
-    head = [F.lit("# Market report"), F.lit(""), F.concat(first_filled("name", F.lit("Unknown Card")), F.lit(" #"), F.coalesce("card_code", dash)), F.concat(F.lit("Set: "), F.coalesce("set_id", dash)), F.concat(F.lit("Language: "), F.coalesce("language", dash)), F.concat(F.lit("Version: "), F.coalesce("variant", dash)), F.lit(""), F.lit("| Bucket | Latest | IQR avg | Median | Min | Max | Kept | Removed |"), F.lit("|---|---:|---:|---:|---:|---:|---:|---:|")]
+    head = [F.lit("# Market report"), F.lit(""), F.concat(first_filled("name", F.lit("Unknown Card")), F.lit(" #"), F.coalesce("card_code", dash)), F.concat(F.lit("Set: "), F.coalesce("set_id", dash)), F.concat(F.lit("Language: "), F.coalesce("language", dash)), F.concat(F.lit("Version: "), F.coalesce("variant", dash)), F.lit(""), F.lit("| Bucket | Latest | IQR avg | Median | Min | Max | Kept | Removed |"), F.lit("|---" + "|---:" * 7 + "|")]
     none = F.lit("$0 | $0.00 | $0 | $0 | $0 | 0/0 | 0")
     head += [F.concat(F.lit(f"| {label} | "), F.coalesce(F.col(f"`_row_{c}`"), none), F.lit(" |")) for c, label in conditions]
     head.append(F.lit(f"Rate: 1 USD = {rate:.4f} JPY."))

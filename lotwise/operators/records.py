@@ -13,7 +13,14 @@ from pyspark.sql import types as T
 
 from ..functions.values import col, filled, lenient_int, text_int, truthy
 
-UNIFIED = ["game", "source", "source_license", "card_id", "card_code", "set_id", "language", "name", "name_en", "name_ja", "rarity", "variant", "image_url", "local_image_path", "image_sha256", "width", "height", "is_watermarked", "is_sample", "market_match_status", "market_product_id", "market_product_name", "market_url", "market_min_price", "market_min_price_format", "market_candidate_count", "market_matched_at", "created_at", "updated_at"]
+UNIFIED = """
+game source source_license card_id card_code set_id language
+name name_en name_ja rarity variant
+image_url local_image_path image_sha256 width height
+is_watermarked is_sample
+market_match_status market_product_id market_product_name market_url market_min_price market_min_price_format
+market_candidate_count market_matched_at created_at updated_at
+""".split()
 INTS = ["width", "height", "market_candidate_count"]
 FLAGS = ["is_watermarked", "is_sample"]
 MARKET = [c for c in UNIFIED if c.startswith("market_")]

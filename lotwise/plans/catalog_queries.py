@@ -604,8 +604,8 @@ def q29_language_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FILES = [
-    ("/r/151/sv3-5_en_001_std.jpg", "modern_underscore", "sv3-5", "en", "001", "std", "sv3-5-001"),
-    ("/r/pop-series-4/mudkip-pop-series-4-11.jpg", "legacy_slugged", "pop-series-4", None, "11", None, "pop-series-4-11"),
+    ("/r/x/sv3-5_en_001_std.jpg", "modern_underscore", "sv3-5", "en", "001", "std", "sv3-5-001"),
+    ("/r/wave-2/otter-wave-2-17.jpg", "legacy_slugged", "wave-2", None, "17", None, "wave-2-17"),
     ("/r/base/ja_US-sv2a-012-pikachu.png", "regional_hyphen", "sv2a", "ja", "012", None, "sv2a-012"),
     ("/r/jungle/mew42.png", "legacy_compact_suffix", "jungle", None, "42", None, "jungle-42"),
     ("/r/jungle/mew.png", "unparsed", "jungle", None, "mew", None, None),

@@ -32,7 +32,7 @@ def fetch(url: str, cache: str | None = None, refresh: bool = False, timeout: fl
     for attempt in range(retries + 1):
         try:
             with urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}), timeout=timeout) as r:
-                text = r.read().decode("utf-8", errors="replace")
+                text = str(r.read(), "utf-8", "replace")
             break
         except (urllib.error.URLError, TimeoutError):
             if attempt == retries:
@@ -47,7 +47,7 @@ def fetch(url: str, cache: str | None = None, refresh: bool = False, timeout: fl
 
 
 def page_name(keyword: str, page: int, per_page: int) -> str:
-    return hashlib.sha256(f"{keyword}|{page}|{per_page}".encode()).hexdigest() + ".json"
+    return hashlib.sha256("|".join([keyword, str(page), str(per_page)]).encode()).hexdigest() + ".json"
 
 
 def search_page(endpoint: str, keyword: str, page: int, per_page: int, cache: str, refresh: bool = False, retries: int = 3, pause: float = 1.0, limited_pause: float = 60.0, jitter: Callable[[], float] = lambda: 0.0) -> dict:
@@ -60,7 +60,7 @@ def search_page(endpoint: str, keyword: str, page: int, per_page: int, cache: st
         if held.get("status_code") == 200 and isinstance(held.get("data"), dict):
             return held | {"from_cache": True}
     url = f"{endpoint}?{urllib.parse.urlencode({'keyword': keyword, 'perPage': per_page, 'page': page})}"
-    record = {"keyword": keyword, "page": page, "per_page": per_page, "url": url, "status_code": None, "data": {}}
+    record = dict(url=url, status_code=None, data={}, keyword=keyword, page=page, per_page=per_page)
     error = None
     for attempt in range(retries + 1):
         time.sleep(max(0.0, jitter()))
@@ -89,10 +89,13 @@ def search_page(endpoint: str, keyword: str, page: int, per_page: int, cache: st
 
 def rate_record(payload: dict, source: str) -> dict:
     """The exchange rate record of a rates answer; without a positive rate an error."""
-    rate = float(((payload.get("rates") if isinstance(payload, dict) else None) or {}).get("JPY") or 0)
+    try:
+        rate = float(payload["rates"]["JPY"])
+    except (KeyError, TypeError):
+        rate = 0.0
     if rate <= 0:
         raise ValueError("no positive USD/JPY rate")
-    return {"base": "USD", "quote": "JPY", "usd_jpy": rate, "source": source, "fetched_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "status": str(payload.get("result") or "ok")}
+    return dict(usd_jpy=rate, base="USD", quote="JPY", status=str(payload.get("result", "ok")), source=source, fetched_at=datetime.now(timezone.utc).isoformat(timespec="seconds"))
 
 
 def fetch_rows(rows: DataFrame, key: str, url: Column | str, retries: int = 2, pause: float = 0.5, cache: str | None = None, at_once: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.values import filled, first_filled
 from ..operators.records import UNIFIED, coerce
@@ -96,28 +97,29 @@ def detail_fields(pages: DataFrame, base: str, html: str = "html") -> DataFrame:
     def get(pattern: str, group: int = 1, of: Column = h) -> Column:
         return filled(F.regexp_extract(of, pattern, group))
 
-    picture = r'(?s)<img[^>]*class="[^"]*fit[^"]*"[^>]*src="([^"]+)"[^>]*alt="([^"]*)"'
-    under = F.coalesce(get(r'(?s)<div[^>]*class="[^"]*subtext[^"]*"[^>]*>(.*?)</div>'), F.lit(""))
+    value, code = '([^"]+)', P.group(P.CODE)
+    picture = "(?s)<img" + P.attrs(cls="fit", src=value, alt='([^"]*)')
+    under = F.coalesce(get("(?s)" + P.tag("div", cls="subtext")), F.lit(""))
     plain = X.strip_tags(under)
-    number = r"([A-Za-z0-9-]+)\s*/\s*([A-Za-z0-9-]+)"
+    number = P.over(code, code)
     src, alt = get(picture), unescape(get(picture, 2))
-    from_page = filled(F.trim(unescape(get(r'(?s)class="[^"]*img-regulation[^"]*"[^>]*alt="([^"]+)"', 1, under))))
+    from_page = filled(F.trim(unescape(get("(?s)" + P.attrs(cls="img-regulation", alt=value), 1, under))))
     from_path = X.set_from_image_path(src)
-    rarity = get(r'(/assets/images/card/rarity/[^"]+)', 1, under)
-    species = r"<h4>No\.([0-9]+)\s*([^<]+)</h4>"
+    rarity = get("/assets/images/card/".join(["(", 'rarity/[^"]+)']), 1, under)
+    species = P.tag("h4", rf"No[.](\d+){P.BLANK}([^<]+)")
     return pages.select(
         "*",
-        F.coalesce(filled(X.strip_tags(get(r'(?s)<h1[^>]*class="[^"]*Heading1[^"]*"[^>]*>(.*?)</h1>'))), alt).alias("name_ja"),
+        F.coalesce(filled(X.strip_tags(get("(?s)" + P.tag("h1", cls="Heading1")))), alt).alias("name_ja"),
         X.absolute_url(base, src).alias("image_url"),
         F.coalesce(from_page, from_path).alias("set_id"),
         F.when(from_page.isNotNull(), "detail_subtext").when(from_path.isNotNull(), "image_path").alias("set_id_source"),
         get(number, 1, plain).alias("card_code"),
         get(number, 2, plain).alias("number_total"),
         X.rarity_from_path(rarity).alias("rarity"),
-        X.strip_tags(get(r"(?s)<h4>イラストレーター</h4>\s*<a[^>]*>(.*?)</a>")).alias("illustrator"),
+        X.strip_tags(get("(?s)" + P.tag("h4", "イラストレーター") + P.BLANK + P.tag("a"))).alias("illustrator"),
         get(species).alias("pokemon_no"),
         filled(X.strip_tags(get(species, 2))).alias("pokemon_species"),
-        filled(X.strip_tags(get(r'(?s)<span class="hp">HP</span>\s*<span class="hp-num">([^<]+)</span>'))).alias("hp"),
+        filled(X.strip_tags(get("(?s)" + P.tag("span", "HP", cls='(?:hp)') + P.BLANK + P.tag("span", "([^<]+)", cls="hp-num")))).alias("hp"),
     )
 
 

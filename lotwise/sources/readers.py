@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 from ..functions.values import filled, first_filled
 
-PICTURES = (".jpg", ".jpeg", ".png", ".webp")
-
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """The paths that exist, in order, on whatever file system they are."""
@@ -115,7 +113,7 @@ def read_flags(df: DataFrame, order: str = "ordinal") -> DataFrame:
     return keep_last(df.where("product_id <> ''"), "product_id", order).drop("replaced")
 
 
-CERT_KEYS = ["cert", "psa_cert", "certificate", "certificate_number", "barcode", "barcode_text"]
+CERT_KEYS = "cert psa_cert certificate certificate_number barcode barcode_text".split()
 
 
 def read_certs(df: DataFrame) -> DataFrame:

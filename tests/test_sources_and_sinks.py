@@ -1,5 +1,6 @@
 import json
 import os
+import pathlib
 import sqlite3
 
 import pytest
@@ -53,7 +54,7 @@ def test_adapters(spark):
     assert (r.set_id, r.language, r.name_en, r.variant) == ("569", "en", "Nami", "p1")
     o = spark.createDataFrame([("7", "名", None, "001", "R", "u")], "official_card_id string, name_ja string, set_id string, card_code string, rarity string, image_url string")
     assert adapters.official_cards(o, now()).first().card_id == "official_7"
-    p = spark.createDataFrame([("/r/151/sv3-5_en_001_std.jpg", 10, 20, "JPEG", False, "e", "h")], "path string, width int, height int, image_format string, is_valid_image boolean, image_error string, image_sha256 string")
+    p = spark.createDataFrame([("/r/x/sv3-5_en_001_std.jpg", 10, 20, "JPEG", False, "e", "h")], "path string, width int, height int, image_format string, is_valid_image boolean, image_error string, image_sha256 string")
     r = adapters.picture_cards(p, now()).first()
     assert (r.card_id, r.language, r.variant, r.image_sha256, r.filename_rule) == ("sv3-5-001", "en", "std", None, "modern_underscore")
     pics = spark.createDataFrame([("img", "/p", 1, 2, "h", True)], "image_url string, path string, width int, height int, image_sha256 string, is_valid_image boolean")
@@ -144,7 +145,7 @@ def test_entry_points_without_the_llm_folders(tmp_path):
     import subprocess
     import sys
 
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = str(pathlib.Path(__file__).resolve().parents[1])
     copy = tmp_path / "repo"
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) >= 40 and set(s) <= set(q); assert not any(k.startswith('op') or k == 'pipeline' for k in q); print('ok', len(q))"
