@@ -1,8 +1,8 @@
 """Operator 9, benchmark decontamination: a distributed positional inverted index.
 
 A scan of all training texts stores, for every segment of documents, the postings (document, place) of each term that a
-test item has, as one row of a table in the shared folder. In every window of PHRASE words of an item the term of least document
-frequency is an anchor; a segment's posting lists of the anchors, moved back by their offsets, give the places where the item
+test item has, as one row of a table in the shared folder. In every window of PHRASE words of an item the terms of least document
+frequency are anchors: so many that a document which lacks as many words as a proximity match may lack still has one; a segment's posting lists of the anchors, moved back by their offsets, give the places where the item
 can start, and the lists of its other terms are intersected there. An exact match is a run of at least PHRASE words
 of the item (all of it if it is shorter); a proximity match has at least SHARE of the item's words within SLACK words of
 their places, relative to an anchor at its own place.
@@ -30,6 +30,7 @@ LEAST = 4
 SHARE = 0.8
 SLACK = 5
 MAX_WORDS = 1_000_000
+SEGMENT_BYTES = 2 << 20
 _POSTINGS = "docs binary, terms binary, df binary, starts binary, doc binary, pos binary"
 
 
@@ -75,7 +76,7 @@ def _index(vocabulary: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b["doc_id"].to_numpy()
-            for w in W.split(b["text"]):
+            for w in W.split(b["text"], SEGMENT_BYTES):
                 may = np.flatnonzero(low[(w.h & np.uint64(0xFFFF)).astype(np.int64)])
                 t = np.minimum(np.searchsorted(vocabulary, w.h[may]), len(vocabulary) - 1)
                 hit = vocabulary[t] == w.h[may]
@@ -114,16 +115,28 @@ def _frequencies(n: int):
 
 
 def anchors(items: Items, df: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, offset, term): in each window of PHRASE words of an item the rarest term, the first of equals."""
+    """(item, offset, term): in each window of PHRASE words of an item the rarest terms, the first of equals. A proximity match
+    lacks at most (1 - SHARE) of the words, so of the windows that lie side by side one lacks no more than their mean;
+    one anchor more than that is there."""
     out = []
     for i in range(len(items.ids)):
         t = items.term[items.at[i] : items.at[i + 1]]
         n = min(PHRASE, len(t))
-        seen = {int(a + np.argmin(df[t[a : a + n]])) for a in range(len(t) - n + 1)}
+        lacking = int((1 - SHARE) * len(t) / max(1, len(t) // PHRASE) + 1e-9)
+        seen = {int(a + o) for a in range(len(t) - n + 1) for o in np.argsort(df[t[a : a + n]], kind="stable")[: 1 + lacking]}
         out += [(i, o, int(t[o])) for o in sorted(seen)]
     return out
 
 
+def probes(items: Items, df: np.ndarray) -> list[np.ndarray]:
+    """For each item its rarest offsets, two more than a proximity match may lack: where all but one are missing, it is none."""
+    out = []
+    for i in range(len(items.ids)):
+        t = items.term[items.at[i] : items.at[i + 1]]
+        out.append(np.argsort(df[t], kind="stable")[: int((1 - SHARE) * len(t) + 1e-9) + 2])
+    return out
+
+
 def _best_runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, length) of the longest run of set flags in each row."""
     run = np.zeros(len(hit), np.int64)
@@ -135,7 +148,7 @@ def _best_runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return end - best, best
 
 
-def match_segment(items: Items, anchor: list[tuple[int, int, int]], ids: np.ndarray, terms: np.ndarray, starts: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> list[tuple]:
+def match_segment(items: Items, anchor: list[tuple[int, int, int]], probe: list[np.ndarray], ids: np.ndarray, terms: np.ndarray, starts: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> list[tuple]:
     """(doc_id, item number, kind, place in the document, place in the item, words, share) of one segment."""
     n_docs, wide = len(ids), int(pos.max()) + 2 * SLACK + 2
     slot = np.full(len(items.vocabulary), -1, np.int64)
@@ -148,27 +161,36 @@ def match_segment(items: Items, anchor: list[tuple[int, int, int]], ids: np.ndar
         if s >= 0:
             a, e = starts[s], starts[s + 1]
             by_item.setdefault(i, []).append(doc[a:e] * (1 << 40) + (pos[a:e] - o + (1 << 30)))
+    def look(d: np.ndarray, begin: np.ndarray, t: np.ndarray, offsets: np.ndarray, slack: int) -> np.ndarray:
+        """Whether the item's words at these offsets stand within `slack` of their places, for items that begin at `begin`."""
+        at = begin[:, None] + offsets[None, :]
+        base = (t[offsets][None, :] * n_docs + d[:, None]) * wide + SLACK
+        lo = base + np.clip(at - slack, -SLACK, wide - 2 * SLACK)
+        hi = base + np.clip(at + slack, -SLACK, wide - SLACK - 1)
+        j = np.searchsorted(posting, lo)
+        return (posting[np.minimum(j, len(posting) - 1)] <= hi) & (j < len(posting)) & (hi >= lo)
+
     for i, lists in by_item.items():
         place = np.unique(np.concatenate(lists))
         t = items.term[items.at[i] : items.at[i + 1]]
         size, step = len(t), max(1, (1 << 21) // len(t))
-        need = min(PHRASE, size)
+        need, every = min(PHRASE, size), np.arange(size)
         for x in range(0, len(place), step):
             d, begin = place[x : x + step] >> 40, (place[x : x + step] & ((1 << 40) - 1)) - (1 << 30)
-            at = begin[:, None] + np.arange(size)[None, :]
-            base = (t[None, :] * n_docs + d[:, None]) * wide + SLACK
-            inside = (at >= 0) & (at < wide - 2 * SLACK - 1)
-            want = base + at
-            j = np.minimum(np.searchsorted(posting, want), len(posting) - 1)
-            hit = (posting[j] == want) & inside
+            # a run of `need` offsets has one of each remainder, and a proximity match lacks few of the rarest words
+            run = look(d, begin, t, np.arange(0, size, need), 0).any(1)
+            run[run] = look(d[run], begin[run], t, np.arange(need // 2, size, need), 0).any(1)
+            lacks = (~look(d, begin, t, probe[i], SLACK)).sum(1)
+            keep = run | (lacks <= (1 - SHARE) * size + 1e-9)
+            d, begin = d[keep], begin[keep]
+            if not len(d):
+                continue
+            hit = look(d, begin, t, every, 0)
             first, length = _best_runs(hit)
             for r in np.flatnonzero(length >= need).tolist():
                 out.append((int(ids[d[r]]), i, "phrase", int(begin[r] + first[r]), int(first[r]), int(length[r]), float(hit[r].mean())))
             rest = np.flatnonzero(length < need)
-            lo = base[rest] + np.clip(at[rest] - SLACK, -SLACK, wide - 2 * SLACK)
-            hi = base[rest] + np.clip(at[rest] + SLACK, -SLACK, wide - SLACK - 1)
-            j = np.searchsorted(posting, lo)
-            near = (posting[np.minimum(j, len(posting) - 1)] <= hi) & (j < len(posting)) & (hi >= lo)
+            near = look(d[rest], begin[rest], t, every, SLACK)
             share = near.mean(1)
             for r in np.flatnonzero(share >= SHARE).tolist():
                 q = rest[r]
@@ -176,13 +198,13 @@ def match_segment(items: Items, anchor: list[tuple[int, int, int]], ids: np.ndar
     return out
 
 
-def _match(items: Items, anchor: list[tuple[int, int, int]]):
+def _match(items: Items, anchor: list[tuple[int, int, int]], probe: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 ids, terms, starts, doc, pos = (np.frombuffer(b[c][r].as_buffer(), kind) for c, kind in (("docs", np.int64), ("terms", np.int32), ("starts", np.int32), ("doc", np.uint8), ("pos", np.uint8)))
                 narrow = np.uint16 if len(doc) == 2 * starts[-1] else np.uint32
-                rows = match_segment(items, anchor, ids, terms, starts, doc.view(narrow).astype(np.int64), pos.view(narrow).astype(np.int64))
+                rows = match_segment(items, anchor, probe, ids, terms, starts, doc.view(narrow).astype(np.int64), pos.view(narrow).astype(np.int64))
                 if rows:
                     d, i, kind, p, q, n, s = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
@@ -205,7 +227,7 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataF
         df = np.zeros(len(items.vocabulary), np.int64)
         for r in index.select("terms", "df").mapInArrow(_frequencies(len(df)), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
             df[r["term"]] = r["df"]
-        found = index.select("docs", "terms", "starts", "doc", "pos").mapInArrow(_match(items, anchors(items, df)), schema)
+        found = index.select("docs", "terms", "starts", "doc", "pos").mapInArrow(_match(items, anchors(items, df), probes(items, df)), schema)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out.distinct()
 
