@@ -2,7 +2,7 @@
 
 A word is a maximal run of ASCII letters, ASCII digits and non-ASCII bytes (UTF-8), compared after folding ASCII
 and Latin-1 capitals; everything else separates words. Nulls and empty texts have no words. Whole texts are read,
-whatever their length; batches are cut into slices of a few MB of text, so memory is bounded by the longest text.
+whatever their length; batches are cut into slices of half a MB of text, so memory is bounded by the longest text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _POW_N = 1 << 12
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
