@@ -76,9 +76,10 @@ def lookup(records: DataFrame, lookups: DataFrame, k: int = 5) -> DataFrame:
     """The k best records for each lookup. A record can only score by an equal id or an equal number, so three equi-joins make the
     candidates and no pair is scored twice. Ties go by language, having a product, a Japanese index, and row id."""
     record_cols = ["product_id", "canonical_id", "card_id", "set_id", "card_code", "name", "name_en", "name_ja", "product_name", "index_name", "language", "row_id"]
-    r = records.select(*[F.col(c).alias(f"r_{c}") for c in record_cols], X.card_number("card_code").alias("_rn"))
+    # folding and splitting run once per row, in Arrow batches and before the pairing; what compares them stays in the JVM
+    r = records.select(*[F.col(c).alias(f"r_{c}") for c in record_cols], X.card_number("card_code").alias("_rn"), *[filled(X.lookup_key(c)).alias(f"_k_r_{c}") for c in ("name", "name_en", "name_ja")], X.tokens("name", "name_en", "name_ja", "product_name").alias("_tr"), X.tokens("set_id", "product_name", "card_id").alias("_sr"))
     wanted_cols = ["lookup_id", "product_id", "canonical_id", "card_id", "set_id", "card_code", "subject", "title", "language", "label"]
-    q = lookups.select(*[F.col(c).alias(f"q_{c}") for c in wanted_cols], X.card_number("card_code").alias("_qn"))
+    q = lookups.select(*[F.col(c).alias(f"q_{c}") for c in wanted_cols], X.card_number("card_code").alias("_qn"), filled(X.lookup_key("subject")).alias("_k_q_subject"), X.tokens("subject").alias("_tq"), X.tokens("title").alias("_sq"))
     ways = [F.col("_rn") == F.col("_qn"), F.col("r_product_id") == F.col("q_product_id"), F.col("r_card_id") == F.col("q_card_id"), F.col("r_canonical_id") == F.col("q_canonical_id")]
     pairs = None
     for i, on in enumerate(ways):
@@ -86,10 +87,6 @@ def lookup(records: DataFrame, lookups: DataFrame, k: int = 5) -> DataFrame:
         for earlier in ways[:i]:
             p = p.where(~F.coalesce(earlier, F.lit(False)))
         pairs = p if pairs is None else pairs.union(p)
-    # folding and splitting run once per pair column, in Arrow batches; what compares them stays in the JVM
-    for c in ("q_subject", "r_name", "r_name_en", "r_name_ja"):
-        pairs = pairs.withColumn(f"_k_{c}", filled(X.lookup_key(c)))
-    pairs = pairs.withColumn("_tq", X.tokens("q_subject")).withColumn("_tr", X.tokens("r_name", "r_name_en", "r_name_ja", "r_product_name")).withColumn("_sq", X.tokens("q_title")).withColumn("_sr", X.tokens("r_set_id", "r_product_name", "r_card_id"))
     name_score = X.subject_similarity(F.array_compact(F.array("_k_q_subject")), F.array_compact(F.array("_k_r_name", "_k_r_name_en", "_k_r_name_ja")), F.col("_tq"), F.col("_tr"))
     title_score = X.overlap(F.col("_sq"), F.col("_sr"))
     fields = ("product_id", "canonical_id", "card_id", "set_id", "card_code")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.values import filled, truthy
+from ..functions.values import filled, strip_zeros, truthy
 from .records import mode_first_seen
 
 
@@ -94,9 +94,11 @@ def match_by_reference(cards: DataFrame, products: DataFrame) -> DataFrame:
     """Cards (card_id, set_id, card_code) against the products found for their set: the title must hold set, number and total
     in this order and no foreign language mark. Candidates are sorted by title and id."""
     c = cards.where(truthy("set_id") & truthy("card_code"))
-    p = products.withColumnRenamed("set_id", "_set")
+    # a match needs its number right before a slash, so the numerators of a title are a join key beside the set
+    tops = F.array_distinct(F.transform(F.regexp_extract_all("product_name", F.lit(r"(\d+)\s*/"), F.lit(1)), strip_zeros))
+    p = products.withColumnRenamed("set_id", "_set").where(~X.foreign_language("product_name")).withColumn("_top", F.explode(tops))
     ref = X.title_ref("product_name", "set_id", "card_code")
-    pairs = c.join(p, F.col("set_id") == F.col("_set")).withColumn("_ref", ref).where(F.col("_ref.ok") & ~X.foreign_language("product_name"))
+    pairs = c.join(p, (F.col("set_id") == F.col("_set")) & (X.number_parts("card_code")[0] == F.col("_top"))).withColumn("_ref", ref).where("_ref.ok")
     found = pairs.withColumn("_reasons", F.array("_ref.reason")).groupBy("card_id").agg(F.array_sort(F.collect_list(_product_struct())).alias("_verified"))
     out = c.join(found, "card_id", "left")
     out = out.withColumn("_verified", F.coalesce("_verified", F.array().cast(found.schema["_verified"].dataType)))
