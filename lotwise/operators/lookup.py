@@ -52,13 +52,12 @@ def longest_contained(texts: DataFrame, names: DataFrame, key: str, text: str, n
 
 def lookup_score(record: dict[str, Column], wanted: dict[str, Column], name_score: Column, title_score: Column, has_title: Column, label: Column) -> Column:
     """Score of a record for a lookup: equal product 1, equal id .99, equal set and number .96; with a set that differs 0; else the
-    number must agree and names and titles decide."""
+    number must agree and names and titles decide. set_key and number are in compared form."""
 
     def same(k: str) -> Column:
         return F.coalesce(truthy(wanted[k]) & (record[k] == wanted[k]), F.lit(False))
 
-    ws, wn = X.match_set(wanted["set_id"]), X.card_number(wanted["card_code"])
-    rs, rn = X.match_set(record["set_id"]), X.card_number(record["card_code"])
+    ws, wn, rs, rn = wanted["set_key"], wanted["number"], record["set_key"], record["number"]
     threshold = F.when(label, 0.12).otherwise(0.35)
     return (
         F.when(same("product_id"), 1.0)
@@ -77,10 +76,10 @@ def lookup(records: DataFrame, lookups: DataFrame, k: int = 5) -> DataFrame:
     candidates and no pair is scored twice. Ties go by language, having a product, a Japanese index, and row id."""
     record_cols = ["product_id", "canonical_id", "card_id", "set_id", "card_code", "name", "name_en", "name_ja", "product_name", "index_name", "language", "row_id"]
     # folding and splitting run once per row, in Arrow batches and before the pairing; what compares them stays in the JVM
-    r = records.select(*[F.col(c).alias(f"r_{c}") for c in record_cols], X.card_number("card_code").alias("_rn"), *[filled(X.lookup_key(c)).alias(f"_k_r_{c}") for c in ("name", "name_en", "name_ja")], X.tokens("name", "name_en", "name_ja", "product_name").alias("_tr"), X.tokens("set_id", "product_name", "card_id").alias("_sr"))
+    r = records.select(*[F.col(c).alias(f"r_{c}") for c in record_cols], X.card_number("card_code").alias("_rn"), X.match_set("set_id").alias("_rs"), *[filled(X.lookup_key(c)).alias(f"_k_r_{c}") for c in ("name", "name_en", "name_ja")], X.tokens("name", "name_en", "name_ja", "product_name").alias("_tr"), X.tokens("set_id", "product_name", "card_id").alias("_sr"))
     wanted_cols = ["lookup_id", "product_id", "canonical_id", "card_id", "set_id", "card_code", "subject", "title", "language", "label"]
-    q = lookups.select(*[F.col(c).alias(f"q_{c}") for c in wanted_cols], X.card_number("card_code").alias("_qn"), filled(X.lookup_key("subject")).alias("_k_q_subject"), X.tokens("subject").alias("_tq"), X.tokens("title").alias("_sq"))
-    ways = [F.col("_rn") == F.col("_qn"), F.col("r_product_id") == F.col("q_product_id"), F.col("r_card_id") == F.col("q_card_id"), F.col("r_canonical_id") == F.col("q_canonical_id")]
+    q = lookups.select(*[F.col(c).alias(f"q_{c}") for c in wanted_cols], X.card_number("card_code").alias("_qn"), X.match_set("set_id").alias("_qs"), filled(X.lookup_key("subject")).alias("_k_q_subject"), X.tokens("subject").alias("_tq"), X.tokens("title").alias("_sq"))
+    ways = [(F.col("_rn") == F.col("_qn")) & (F.col("_qs").isNull() | (F.col("_rs") == F.col("_qs"))), F.col("r_product_id") == F.col("q_product_id"), F.col("r_card_id") == F.col("q_card_id"), F.col("r_canonical_id") == F.col("q_canonical_id")]
     pairs = None
     for i, on in enumerate(ways):
         p = r.join(q, on)
@@ -89,9 +88,9 @@ def lookup(records: DataFrame, lookups: DataFrame, k: int = 5) -> DataFrame:
         pairs = p if pairs is None else pairs.union(p)
     name_score = X.subject_similarity(F.array_compact(F.array("_k_q_subject")), F.array_compact(F.array("_k_r_name", "_k_r_name_en", "_k_r_name_ja")), F.col("_tq"), F.col("_tr"))
     title_score = X.overlap(F.col("_sq"), F.col("_sr"))
-    fields = ("product_id", "canonical_id", "card_id", "set_id", "card_code")
+    fields = ("product_id", "canonical_id", "card_id")
     pairs = pairs.withColumn("_name", name_score).withColumn("_title", title_score)
-    score = lookup_score({f: F.col(f"r_{f}") for f in fields}, {f: F.col(f"q_{f}") for f in fields}, F.col("_name"), F.col("_title"), truthy("q_title"), F.coalesce("q_label", F.lit(False)))
+    score = lookup_score({f: F.col(f"r_{f}") for f in fields} | {"set_key": F.col("_rs"), "number": F.col("_rn")}, {f: F.col(f"q_{f}") for f in fields} | {"set_key": F.col("_qs"), "number": F.col("_qn")}, F.col("_name"), F.col("_title"), truthy("q_title"), F.coalesce("q_label", F.lit(False)))
     good = pairs.withColumn("score", F.round(score, 4)).where("score > 0")
     same_language = F.coalesce(X.candidate_language("r_language", "r_index_name") == X.language_of("q_language"), F.lit(False)).cast("int")
     w = Window.partitionBy("q_lookup_id").orderBy(F.desc("score"), F.desc(same_language), F.desc(truthy("r_product_id").cast("int")), F.desc(F.coalesce(F.col("r_index_name").endswith("_ja"), F.lit(False)).cast("int")), "r_row_id")
