@@ -2,8 +2,8 @@
 
 A document's 64-bit SimHash comes from its distinct word pairs. Codes of unrelated texts lie about 32 bits apart
 whatever the corpus, so distance alone can't route a query; shards are therefore routed by content: a document goes to one
-shard for each of ROUTES smallest-hash word triples, and near copies meet in some shard almost surely. A shard of more than
-MOST_MEMBERS, as of a passage that many documents share, is split by the members' next triple. In each shard a
+shard for each of ROUTES smallest-hash word triples, and near copies meet in some shard almost surely. A shard of a passage that many
+documents share is searched whole like any other; beyond MOST_MEMBERS its queries go in smaller blocks. In each shard a
 navigable small-world graph over Hamming distance is grown by insertion, every member of the shard is broadcast to the
 whole shard as a query, and its beam grows until it reaches beyond the radius (so a query's partners are never capped) and until an
 audit of queries against exact search has the wished recall. Pairs within the radius are verified on their whole sets
@@ -35,10 +35,9 @@ RECALL = 0.95
 DEGREE = 12
 WIDEST = 64
 _STEP = 256
-#: Members beyond which a shard is split by second routes.
-MOST_MEMBERS = 2048
-#: Large shards up to which their list is broadcast.
-MOST_BROADCAST = 100_000
+BLOCK = 512
+#: Members of a shard beyond which fewer than BLOCK queries go at a time, so that a block's memory stays the same.
+MOST_MEMBERS = 8192
 _SALT = [W.mix(np.array([0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)], np.uint64))[0] for i in range(ROUTES)]
 
 
@@ -125,6 +124,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[w.first : w.first + w.docs]), pa.Array.from_buffers(pa.large_binary(), w.docs, [None, pa.py_buffer(off), pa.py_buffer(data.tobytes())]).cast(pa.binary())], ["id", "triples"])
 
 
+def block_of(n: int) -> int:
+    """Queries that go at a time in a shard of n members."""
+    return max(1, min(BLOCK, BLOCK * MOST_MEMBERS // max(n, 1)))
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int32)
 
@@ -142,7 +146,7 @@ class SmallWorld:
         self._link(i, j)
         at = first
         while at < n:
-            to = min(n, at + max(DEGREE, at // 2), at + 4096)
+            to = min(n, at + max(DEGREE, at // 2), at + 8 * block_of(at))
             found, dist = self.search(code[at:to], min(beam, at), at)
             near = np.take_along_axis(found, np.argsort(dist, axis=1, kind="stable"), 1)[:, :DEGREE]
             new = np.arange(at, to)
@@ -215,7 +219,7 @@ class SmallWorld:
         return ids, dist, done
 
 
-def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, audit: int = 48, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, audit: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, partner) within the radius in one shard, in blocks of queries. Up to 2 * DEGREE codes the graph is complete, so
     all are compared. Beyond, an audit of evenly spread queries against exact search doubles the beam until the recall is
     reached; a beam that is wide enough for all nodes is exact. A query whose whole beam lies within the radius is
@@ -254,6 +258,7 @@ def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, a
         if len(a) >= recall * exact.sum():
             break
         beam *= 2
+    block = block_of(n)
     for x in range(0, n, block):
         a, b = ask(np.arange(x, min(n, x + block)), beam)
         yield a[a != b], b[a != b]
@@ -294,11 +299,6 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
 
-def _sizes(placed: DataFrame) -> DataFrame:
-    """(shard, n, _who) of shards of two and more; _who is the same for shards of the same members."""
-    return placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("_n").cast("decimal(20,0)")).alias("_who")).where("n > 1")
-
-
 def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, group_id, copies, keep) of every document with a doc_id."""
     scratch = Scratch(spark)
@@ -307,21 +307,16 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # texts of the same words are one node, the one of least doc_id
     heads = sig.groupBy("body").agg(F.min("doc_id").alias("id"), F.min("code").alias("code"), F.min("shards").alias("shards"))
     same = sig.join(heads.select("body", "id"), "body").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    placed = heads.select(F.posexplode("shards").alias("_route", "shard"), F.xxhash64("id", "body").alias("_n"), "id", "body", "code", "shards")
-    size = scratch.save(_sizes(placed))
-    # a shard that many documents share for a common passage is split by the documents' next route; its rows move, they don't multiply
-    large = size.where(F.col("n") > MOST_MEMBERS).select("shard")
-    hot = placed.join(F.broadcast(large) if large.count() <= MOST_BROADCAST else large, "shard")
-    deep = hot.select(F.xxhash64("shard", F.get("shards", (F.col("_route") + 1) % ROUTES)).alias("shard"), "_n", "id", "body", "code")
-    usual = size.where(F.col("n") <= MOST_MEMBERS).union(_sizes(deep))
-    once = usual.groupBy("_who", "n").agg(F.min("shard").alias("shard")).select("shard")  # shards of the same members count once
-    placed = scratch.save(placed.select("shard", "id", "body", "code").union(deep.select("shard", "id", "body", "code")).join(once, "shard"))
+    placed = heads.select(F.explode("shards").alias("shard"), F.xxhash64("id", "body").alias("_n"), "id", "body", "code")
+    size = placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("_n").cast("decimal(20,0)")).alias("_who")).where("n > 1")
+    once = size.groupBy("_who", "n").agg(F.min("shard").alias("shard")).select("shard")  # shards of the same members count once
+    placed = scratch.save(placed.select("shard", "id", "body", "code").join(once, "shard"))
     wanted = placed.select("id", "body").distinct().join(docs, F.col("id") == F.col("doc_id")).select("id", "text")
     sets = wanted.mapInArrow(_sets, "id bigint, triples binary")
     members = placed.join(sets, "id").select("shard", "id", "code", "triples")
     edges = members.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(_edges, "a bigint, b bigint")
     comp = components(spark, edges.union(same), scratch)
-    scratch.drop(sig, size, placed)
+    scratch.drop(sig, placed)
     ids = docs.select("doc_id").distinct()
     out = ids.join(comp, ids.doc_id == comp.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
     count = comp.groupBy(F.col("component").alias("group_id")).agg(F.count("*").alias("copies"))

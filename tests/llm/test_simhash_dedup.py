@@ -112,6 +112,20 @@ def test_split_shards_find_the_same_groups(spark, monkeypatch):
     assert sum(whole[i] == split[i] for i in whole) >= 0.97 * len(whole)
 
 
+def test_pairs_that_share_hot_passages_only_are_found(spark, monkeypatch):
+    """Two passages in a pair, each in many other documents: every shard in which a pair meets is a large one."""
+    rng = random.Random(12)
+    passages = [prose(rng, 40, 10**6) for _ in range(24)]
+    texts = []
+    for i in range(24):
+        for j in range(i):
+            texts += [" ".join(passages[i] + passages[j] + prose(rng, 16, 10**6)) for _ in range(2)]
+    monkeypatch.setattr(S, "MOST_MEMBERS", 6)
+    group = {r.doc_id: r.group_id for r in S.groups(spark, table(spark, texts)).collect()}
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if near(texts[i], texts[i + 1])]
+    assert len(pairs) == 276 and sum(group[i + 1] == group[j + 1] for i, j in pairs) >= 0.97 * len(pairs)
+
+
 def test_odd_rows(spark, odd, empty):
     rows = S.groups(spark, odd).collect()
     assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 5, 6, 7, 8]
