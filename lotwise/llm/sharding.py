@@ -1,7 +1,8 @@
 """Operator 6, sharding: balanced label propagation.
 
-Documents are linked by shared passages: winnowed GRAM-word grams that stand in several documents link each document to the next one
-that has the gram, and a link weighs as many grams as two documents share that way. Documents begin in hash shards. In each round half
+Documents are linked by shared passages: a winnowed GRAM-word gram links all documents that have it, and a link weighs as many grams
+as two documents share. Pairs are never listed: grams of the same documents become one hub, a hub counts its members in each shard, and
+a document sums over its hubs, so that all partners vote at linear cost. Documents begin in hash shards. In each round half
 of them (by a hash of document and round, so that two neighbours don't just swap places) look for the shard that holds most of their
 neighbours' weight; Spark joins count the votes, and moves are admitted in order of gain, within quotas: flows between two shards may
 cancel out, and beyond that a shard takes what its capacity (SLACK above the mean) leaves.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, doc_key, int64, table
+from .common import Scratch, doc_key, int64, runs, table
 
 SHARDS = 16
 ROUNDS = 8
@@ -44,8 +45,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key[w.first + d]), pa.array(int64(h)), pa.nulls(len(p), pa.int64())], ["k", "h", "size"])
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A link from each document of a gram to the next one."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each gram that several have, each once; who is the same for grams of the same documents, first is 1 once a gram."""
     t = [b for b in batches if b.num_rows]
     if not t:
         return
@@ -53,35 +54,58 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, k = t["h"].to_numpy(), t["k"].to_numpy()
     o = np.lexsort((k, h))
     h, k = h[o], k[o]
-    same = np.flatnonzero((h[1:] == h[:-1]) & (k[1:] != k[:-1]))
-    pair, n = np.unique(np.stack([k[same], k[same + 1]], 1), axis=0, return_counts=True) if len(same) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(n)], ["a", "b", "weight"])
-
-
-def graph(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(nodes(k, size), links(a, b, weight) with a < b)."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    h, k = h[new], k[new]
+    a, e = runs(h)
+    n = e - a
+    who = W.mix(np.add.reduceat(W.mix(k.view(np.uint64)), a) ^ W.mix(n.astype(np.uint64)))
+    several = np.repeat(n > 1, n)
+    first = np.zeros(len(h), np.int64)
+    first[a] = 1
+    yield pa.RecordBatch.from_arrays([pa.array(h[several]), pa.array(k[several]), pa.array(int64(np.repeat(who, n)[several])), pa.array(first[several])], ["h", "k", "who", "first"])
+
+
+def hubs(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(nodes(k, size), members(g, k, weight)): a hub g stands for the weight grams that exactly its documents k share."""
     keyed = docs.select("doc_id", "text").withColumn("k", doc_key())
     found = scratch.save(keyed.select("k", "text").mapInArrow(_scan, "k bigint, h bigint, size bigint"))
     nodes = found.where("h is null").groupBy("k").agg(F.max("size").alias("size"))
-    links = found.where("h is not null").select("h", "k").repartition("h").mapInArrow(_links, "a bigint, b bigint, weight bigint")
-    links = links.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    out = scratch.save(nodes), scratch.save(links)
-    scratch.drop(found)
+    shared = scratch.save(found.where("h is not null").select("h", "k").repartition("h").mapInArrow(_shared, "h bigint, k bigint, who bigint, first bigint"))
+    one = shared.where("first = 1").groupBy("who").agg(F.min("h").alias("g"), F.count("*").alias("weight"))
+    members = shared.select("h", "k").join(one.select("g", "weight"), F.col("h") == F.col("g")).select("g", "k", "weight")
+    out = scratch.save(nodes), scratch.save(members)
+    scratch.drop(found, shared)
     return out
 
 
+def graph(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(nodes(k, size), links(a, b, weight) with a < b): every pair of each hub, so for small tables only."""
+    nodes, members = hubs(spark, docs, scratch)
+    pairs = members.toDF("g", "a", "weight").join(members.select("g", F.col("k").alias("b")), "g").where("a < b")
+    return nodes, scratch.save(pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+
+
+def _members(links: DataFrame) -> DataFrame:
+    """Links as hubs of two documents; members stay as they are."""
+    return links if "g" in links.columns else links.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("k"), "weight")
+
+
 def propagate(nodes: DataFrame, links: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """(k, size, shard)."""
-    both = scratch.save(links.union(links.select("b", "a", "weight")).toDF("k", "other", "weight"))
+    """(k, size, shard); links are those of graph() or the members of hubs()."""
+    members = scratch.save(_members(links))
     state = scratch.save(nodes.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int")))
     total = state.agg(F.sum("size")).first()[0] or 0
     room_of = F.lit(float(total) / shards * (1 + slack))
     all_shards = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     for r in range(rounds):
-        at = state.select(F.col("k").alias("other"), F.col("shard").alias("there"))
-        active = state.where(F.pmod(F.xxhash64("k", F.lit(r)), F.lit(2)) == 0)
-        votes = both.join(at, "other").groupBy("k", "there").agg(F.sum("weight").alias("w"))
-        best = votes.join(active, "k").groupBy("k", "size", "shard").agg(F.max(F.struct("w", (-F.col("there")).alias("minus"))).alias("top"), F.sum(F.when(F.col("there") == F.col("shard"), F.col("w")).otherwise(0)).alias("stay"))
+        placed = members.join(state, "k")
+        held = placed.groupBy("g", "shard").agg(F.count("*").alias("n")).groupBy("g").agg(F.collect_list(F.struct(F.col("shard").alias("there"), "n")).alias("held"))
+        active = placed.where(F.pmod(F.xxhash64("k", F.lit(r)), F.lit(2)) == 0)
+        votes = active.join(held, "g").select("k", "size", "shard", "weight", "held").repartition("k").select("k", "size", "shard", "weight", F.inline("held"))
+        own = (F.col("there") == F.col("shard")).cast("int")  # a document is no partner of its own
+        votes = votes.groupBy("k", "size", "shard", "there").agg(F.sum(F.col("weight") * (F.col("n") - own)).alias("w"))
+        best = votes.groupBy("k", "size", "shard").agg(F.max(F.struct("w", (-F.col("there")).alias("minus"))).alias("top"), F.sum(F.when(F.col("there") == F.col("shard"), F.col("w")).otherwise(0)).alias("stay"))
         moves = best.select("k", "size", "shard", (-F.col("top.minus")).alias("there"), (F.col("top.w") - F.col("stay")).alias("gain")).where("gain > 0 and there <> shard")
         moves = scratch.save(moves)
         flow = moves.groupBy("shard", "there").agg(F.sum("size").alias("flow"))
@@ -98,16 +122,17 @@ def propagate(nodes: DataFrame, links: DataFrame, scratch: Scratch, shards: int
 
 
 def cut(links: DataFrame, state: DataFrame) -> DataFrame:
-    """One row: the weight of all links and of those between shards."""
-    s = state.select("k", "shard")
-    both = links.join(s.toDF("a", "_sa"), "a").join(s.toDF("b", "_sb"), "b")
-    return both.agg(F.sum("weight").alias("weight"), F.sum(F.when(F.col("_sa") != F.col("_sb"), F.col("weight")).otherwise(0)).alias("cut"))
+    """One row: the weight of all links and of those between shards, counted by hub."""
+    n = _members(links).join(state.select("k", "shard"), "k").groupBy("g", "shard").agg(F.max("weight").alias("weight"), F.count("*").alias("n"))
+    hub = n.groupBy("g").agg(F.max("weight").alias("weight"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    pairs = lambda x: F.sum(F.col("weight") * x / 2).cast("bigint")
+    return hub.agg(pairs(F.col("all") * (F.col("all") - 1)).alias("weight"), pairs(F.col("all") * F.col("all") - F.col("inside")).alias("cut"))
 
 
 def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     scratch = Scratch(spark)
-    nodes, links = graph(spark, docs, scratch)
-    state = propagate(nodes, links, scratch, shards, rounds, slack)
+    nodes, members = hubs(spark, docs, scratch)
+    state = propagate(nodes, members, scratch, shards, rounds, slack)
     ids = docs.select("doc_id", "text").select("doc_id", doc_key().alias("k")).distinct()
     return ids.join(state, "k").select("doc_id", "shard", "size")
 

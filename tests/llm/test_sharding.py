@@ -55,6 +55,26 @@ def test_labels_cut_fewer_links_and_stay_even(spark, seed):
     assert max(load.values()) <= max(1.1 * mean, max(start.values())) + 160
 
 
+def test_large_groups_of_copies_come_together(spark):
+    rng = random.Random(4)
+    base = [" ".join(prose(rng, 100, 10**6)) for _ in range(8)]
+    texts = [base[i % 8] for i in range(8 * 60)]
+    shard = {r.doc_id: r.shard for r in H.assign(spark, table(spark, texts), shards=4, rounds=10, slack=0.1).collect()}
+    apart = sum(shard[i] != shard[j] for i in shard for j in shard if i < j and i % 8 == j % 8)
+    assert apart <= 0.35 * 8 * 60 * 59 / 2  # 0.75 by hash
+
+
+def test_cut_by_hub_is_that_of_all_pairs(spark):
+    df, scratch = table(spark, families(5, groups=6)), Scratch(spark)
+    nodes, members = H.hubs(spark, df, scratch)
+    links = H.graph(spark, df, scratch)[1].collect()
+    state = H.propagate(nodes, members, scratch, shards=4, rounds=2)
+    shard = {r.k: r.shard for r in state.collect()}
+    got = H.cut(members, state).first()
+    assert len(links) >= 6 * 28 - 6 and got["weight"] == sum(r.weight for r in links)
+    assert got["cut"] == sum(r.weight for r in links if shard[r.a] != shard[r.b])
+
+
 def test_odd_rows(spark, odd, empty):
     rows = H.assign(spark, odd, shards=3, rounds=2).collect()
     assert sorted((str(r.doc_id), r.size) for r in rows) == sorted([("1", 120), ("2", 0), ("3", 0), ("None", 5), ("None", 0), ("4", 1), ("5", 60_000), ("6", 0), ("7", 1), ("8", 1), ("8", 6)])
