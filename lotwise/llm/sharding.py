@@ -1,7 +1,8 @@
 """Operator 6, sharding: balanced label propagation.
 
-Documents are linked by shared passages: a winnowed GRAM-word gram links all documents that have it, and a link weighs as many grams
-as two documents share. Pairs are never listed: grams of the same documents become one hub, a hub counts its members in each shard, and
+Documents are linked by shared passages and as near copies: a gram links all documents that have it, and a link weighs as many grams
+as two documents share. Grams are winnowed ones of GRAM words, of which any GRAM + WINDOW - 1 = 50 equal words share one, and a
+document's smallest-hash word triples (one for each of six hashes, as in operator 10), which survive edits. Pairs are never listed: grams of the same documents become one hub, a hub counts its members in each shard, and
 a document sums over its hubs, so that all partners vote at linear cost. Documents begin in hash shards. In each round half
 of them (by a hash of document and round, so that two neighbours don't just swap places) look for the shard that holds most of their
 neighbours' weight; Spark joins count the votes, and moves are admitted in order of gain, within quotas: flows between two shards may
@@ -23,16 +24,18 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import Scratch, doc_key, int64, runs, table
+from .simhash_dedup import ROUTES, SHINGLE, routes
+from .simhash_dedup import _grams as triples
 
 SHARDS = 16
 ROUNDS = 8
 SLACK = 0.03
-GRAM = 16
-WINDOW = 50
+GRAM = 12
+WINDOW = 39
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document a row with its size (gram null) and its winnowed grams."""
+    """Of each document a row with its size (gram null), its winnowed grams and its smallest-hash triples."""
     for b in batches:
         key = b["k"].to_numpy()
         for w in W.split(b["text"]):
@@ -41,8 +44,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(w.at)
             none = pa.nulls(w.docs, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(key[w.first : w.first + w.docs]), none, pa.array(n)], ["k", "h", "size"])
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(key[w.first + d]), pa.array(int64(h)), pa.nulls(len(p), pa.int64())], ["k", "h", "size"])
+            some = np.flatnonzero(n > 0)
+            d = np.concatenate([d, np.repeat(some, ROUTES)])
+            h = np.concatenate([h, routes(*triples(w, SHINGLE), w.docs)[some].ravel()])
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(key[w.first + d]), pa.array(int64(h)), pa.nulls(len(h), pa.int64())], ["k", "h", "size"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

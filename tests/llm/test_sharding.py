@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from lotwise.llm import sharding as H
@@ -75,6 +76,39 @@ def test_cut_by_hub_is_that_of_all_pairs(spark):
     assert got["cut"] == sum(r.weight for r in links if shard[r.a] != shard[r.b])
 
 
+def grams_of(texts):
+    """The grams of each text, as _scan gives them."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["k", "text"])
+    out = {i: set() for i in range(len(texts))}
+    for b in H._scan([batch]):
+        for k, h in zip(b["k"].to_pylist(), b["h"].to_pylist()):
+            if h is not None:
+                out[k].add(h)
+    return out
+
+
+def test_passages_of_51_words_and_edited_copies_are_linked():
+    rng = random.Random(8)
+    texts, want = [], set()
+    for _ in range(300):
+        passage = prose(rng, 51, 10**6)
+        texts += [" ".join(prose(rng, rng.randrange(100), 10**6) + passage + prose(rng, rng.randrange(100), 10**6)) for _ in range(2)]
+        want.add((len(texts) - 2, len(texts) - 1))
+    passages = len(want)
+    for _ in range(300):
+        base = prose(rng, 160, 10**6)
+        texts += [" ".join(base), " ".join(f"x{rng.randrange(10**6)}" if i % 12 == 5 else x for i, x in enumerate(base))]
+        want.add((len(texts) - 2, len(texts) - 1))
+    # brute force: a common run of 50 words, or triples alike
+    runs = [{tuple(t.split()[i : i + 50]) for i in range(len(t.split()) - 49)} for t in texts]
+    threes = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    assert all(runs[a] & runs[b] or len(threes[a] & threes[b]) >= 0.55 * len(threes[a] | threes[b]) for a, b in want)
+    g = grams_of(texts)
+    linked = {(a, b) for a, b in want if g[a] & g[b]}
+    assert sum(a < 2 * passages for a, _ in linked) == passages and len(linked) >= 0.97 * len(want)
+    assert not any(g[a] & g[b] for a in range(len(texts)) for b in range(a) if (b, a) not in want)
+
+
 def test_odd_rows(spark, odd, empty):
     rows = H.assign(spark, odd, shards=3, rounds=2).collect()
     assert sorted((str(r.doc_id), r.size) for r in rows) == sorted([("1", 120), ("2", 0), ("3", 0), ("None", 5), ("None", 0), ("4", 1), ("5", 60_000), ("6", 0), ("7", 1), ("8", 1), ("8", 6)])
