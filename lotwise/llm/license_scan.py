@@ -3,7 +3,8 @@
 Every template's GRAM-word grams are winnowed (window WINDOW); an inverted index maps their hashes to (template, place). One scan
 looks all grams of every text up in the index; hits that lie on neighbouring diagonals are one candidate, and a local alignment in a
 band around them (match +2, other word -1, skipped word -1) gives the words that agree, in order. Reported is what covers at least
-COVERAGE of the template.
+COVERAGE of the template; its words are masked and what is left is aligned again until nothing covers as much, so that notices in a
+row are found one by one.
 
 Defined results: (doc_id, template, coverage, matched_words, start_word, end_word, start_byte, end_byte), one row per place; bytes
 count in the UTF-8 text. Null or empty texts match nothing; a null doc_id is reported as null; repeated rows are reported each;
@@ -25,6 +26,7 @@ GRAM = 3
 WINDOW = 2
 BAND = 8
 COVERAGE = 0.6
+_MASKED = np.uint64(0)
 
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
@@ -105,6 +107,23 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return best[1:]
 
 
+def places(template: np.ndarray, text: np.ndarray, diagonals: list[int]) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of all places of the template in bands around the diagonals, the fullest first; places don't overlap."""
+    text = text.copy()
+    found = {d: align(template, text, d) for d in diagonals}
+    out = []
+    while found:
+        n, a, e = max(found.values(), key=lambda x: (x[0], -x[1], -x[2]))
+        if n < COVERAGE * len(template):
+            break
+        out.append((n, a, e))
+        text[a:e] = _MASKED
+        for d in found:  # the others don't see the masked words
+            if d - BAND < e and a < d + BAND + len(template):
+                found[d] = align(template, text, d)
+    return out
+
+
 def scan_words(index: TemplateIndex, w: W.Words) -> list[tuple[int, int, float, int, int, int]]:
     """(document, template, coverage, matched words, first word, end word) of a slice."""
     at, number, place = index.hits(w)
@@ -116,14 +135,14 @@ def scan_words(index: TemplateIndex, w: W.Words) -> list[tuple[int, int, float,
     doc, number, diag = doc[o], number[o], diag[o]
     new = np.ones(len(o), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]) | (diag[1:] - diag[:-1] > BAND)
-    out = set()
+    bands: dict[tuple[int, int], list[int]] = {}
     for i, j in zip(np.flatnonzero(new).tolist(), np.append(np.flatnonzero(new)[1:], len(o)).tolist()):
-        t = index.h[number[i]]
-        text = w.h[w.at[doc[i]] : w.at[doc[i] + 1]]
-        for d in range(int(diag[i]), int(diag[j - 1]) + 1, BAND):  # a wide candidate is aligned band by band
-            n, a, e = align(t, text, d)
-            if n >= COVERAGE * len(t):
-                out.add((int(doc[i]), int(number[i]), n / len(t), n, a, e))
+        # a wide candidate is aligned band by band
+        bands.setdefault((int(doc[i]), int(number[i])), []).extend(range(int(diag[i]), int(diag[j - 1]) + 1, BAND))
+    out = []
+    for (d, t), diagonals in bands.items():
+        text = w.h[w.at[d] : w.at[d + 1]]
+        out += [(d, t, n / len(index.h[t]), n, a, e) for n, a, e in places(index.h[t], text, diagonals)]
     return sorted(out)
 
 

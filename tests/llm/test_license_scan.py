@@ -60,6 +60,17 @@ def test_brute_force_over_all_templates(spark):
     assert max(r.doc_id for r in rows) <= len(want)
 
 
+@pytest.mark.parametrize("name", sorted(L.TEMPLATES))
+@pytest.mark.parametrize("times", [2, 8, 30])
+def test_notices_in_a_row_are_reported_each(name, times):
+    index = L.TemplateIndex(L.TEMPLATES)
+    text = "some words before\n" + "\n".join([L.TEMPLATES[name]] * times) + "\nand some after"
+    t = index.names.index(name)
+    n = len(index.h[t])
+    got = sorted((c, a, e) for _, x, c, _, a, e in L.scan_words(index, next(W.split(pa.array([text])))) if x == t)
+    assert got == [(1.0, 3 + i * n, 3 + (i + 1) * n) for i in range(times)]
+
+
 def test_short_templates_are_refused():
     with pytest.raises(ValueError):
         L.TemplateIndex({"x": "two words"})
