@@ -88,15 +88,13 @@ def responses(net: Network, spread: np.ndarray, first: np.ndarray, end: np.ndarr
         y = min(x + _BLOCK, len(spread) - WIDTH + 1)
         v = VECTORS[spread[x : y + WIDTH - 1]]
         view = np.lib.stride_tricks.as_strided(v, (y - x, WIDTH * DIM), (DIM * v.itemsize, v.itemsize))
-        z = view @ net.w
+        z = np.concatenate([view @ net.w, np.full((1, FILTERS), -np.inf, np.float32)])  # a last row, so that a chunk may end at the block's end
         a, b = np.searchsorted(end, x, "right"), np.searchsorted(first, y, "left")
         if a >= b:
             continue
         lo, hi = np.maximum(first[a:b], x) - x, np.minimum(end[a:b], y) - x
         cut = np.stack([lo, hi], 1).ravel()
-        m = np.maximum.reduceat(z, np.minimum(cut, len(z) - 1), axis=0)[::2]
-        if hi[-1] == len(z) and lo[-1] == len(z) - 1:
-            m[-1] = z[-1]
+        m = np.maximum.reduceat(z, cut, axis=0)[::2]
         best[a:b] = np.maximum(best[a:b], m)
     return best
 

@@ -36,6 +36,23 @@ def test_every_place_of_every_text_counts():
             assert not f.any()
 
 
+def test_responses_are_the_plain_maximum_over_several_blocks():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 3 * C._BLOCK + 700).astype(np.uint8)
+    # at each block's last place, the only one where the filter responds
+    for block in (1, 2, 3):
+        text[block * C._BLOCK - 1] = ord("!")
+    net = random_net(2)
+    net.w[:] = 0
+    net.w[5] = 1
+    spread, begin = C._spread(text, np.array([0, len(text)]))
+    for begin, size in ((begin, np.array([len(text)])), (np.array([100]), np.array([len(text) - 100]))):
+        first, end, _ = C.chunks_of(size, begin)
+        z = C.VECTORS[spread[: len(text)]][:, 5]
+        want = np.array([z[a:e].max() for a, e in zip(first, end)])
+        assert np.allclose(C.responses(net, spread, first, end), want[:, None])
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(6)
     texts, labels = corpus(rng, 700)
