@@ -5,20 +5,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where it is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a local session (tests) gets a
+    temporary one; a cluster is refused, as its executors would not share such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -53,9 +58,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, doc_id as bigint. Ids of another kind than integers are refused, as they would not survive the cast."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"doc_id must be an integer column, not {kind.simpleString()}")
+    return docs.select(*(F.col(c).cast("bigint").alias(c) if c == "doc_id" else F.col(c) for c in columns))
+
+
 def doc_key() -> F.Column:
-    """A document is a distinct (doc_id, text); rows that repeat both are one document."""
-    return F.xxhash64("doc_id", "text")
+    """A document is a distinct (doc_id, text); rows that repeat both are one document. Without a doc_id, when the text alone
+    counts, the last bit is set."""
+    return F.xxhash64("doc_id", "text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("bigint"))
+
+
+def ranked_id() -> F.Column:
+    """The doc_id by which documents are ordered; those without one come last."""
+    return F.coalesce("doc_id", F.lit((1 << 63) - 1))
+
+
+def own_id(key: str = "k") -> F.Column:
+    """The doc_id that ranked_id() stands for, by the last bit of the document's key."""
+    return F.when(F.col(key).bitwiseAND(F.lit(1)) == 0, F.col("doc_id"))
+
+
+def heavy_hitters(docs: DataFrame, scan: Callable[[DataFrame], DataFrame], limit: int) -> np.ndarray:
+    """Values of h in scan(docs(k, ...)) that are likely to stand more than `limit` times, by a hash sample of one in 64 documents (of
+    all for small limits). They only say what takes the way for large groups; results don't depend on them. There are at
+    most as many as the corpus has values over `limit`."""
+    rate = 64 if limit >= 4096 else 1
+    seen = scan(docs.where(F.pmod(F.xxhash64("k"), F.lit(rate)) == 0)).groupBy("h").count().where(F.col("count") > limit // rate)
+    return np.array([r["h"] for r in seen.select("h").toLocalIterator()], np.int64)
 
 
 def int64(x: np.ndarray) -> np.ndarray:

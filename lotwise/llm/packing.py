@@ -5,9 +5,13 @@ rest goes, in hash order, where the sum of the squared counts of open bins per r
 gap, or into a new bin; of equal choices into the smallest gap. The rule looks at all open bins of its group; groups
 hold about GROUP_WORDS words each, so what is open at a group's end is a vanishing share of the bins.
 
+Groups are hash classes of documents, so that packing has as many tasks as the corpus has groups; within a
+group the rule sees every open bin. On the given documents a group of GROUP_WORDS words leaves 0.2 % of its bins' room free at most.
+
 Defined results: one row per piece (doc_id, piece, first_word, n_words, bin_id, bin_start); a document without words (null
 or empty text included) has one row with n_words 0 and no bin; a null doc_id is packed like any other; repeated rows are
-packed each.
+packed each. The pipeline's stage adds the text of each piece: from its first word to the next piece's, all of the
+document's bytes, so that the texts of a document's pieces in a row are its text.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, runs, table, whole_groups
+from .common import Scratch, documents, runs, table, whole_groups
 
 CAPACITY = 2048
 GROUP_WORDS = 1 << 24
@@ -79,7 +83,7 @@ def pack(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 def _pack_groups(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "g"):
-            g, n = t["g"].to_numpy(), t["n"].to_numpy()
+            g, n, o = t["g"].to_numpy(), t["n"].to_numpy(), t["o"].to_numpy()
             for a, e in zip(*(x.tolist() for x in runs(g))):
                 own = n[a:e]
                 full, rest = own // capacity, own % capacity
@@ -98,30 +102,67 @@ def _pack_groups(capacity: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids if isinstance(ids, pa.Array) else ids.combine_chunks(),
+                        pa.array(o[a:e][piece_of]),
                         pa.array(piece.astype(np.int32)),
                         pa.array(piece * capacity),
                         pa.array(size),
                         pa.array(np.int64(g[a]) * (1 << 36) + bins, mask=size == 0),
                         pa.array(start.astype(np.int32), mask=size == 0),
                     ],
-                    ["doc_id", "piece", "first_word", "n_words", "bin_id", "bin_start"],
+                    ["doc_id", "o", "piece", "first_word", "n_words", "bin_id", "bin_start"],
                 )
 
     return run
 
 
-def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WORDS) -> DataFrame:
+def _groups(spark: SparkSession, docs: DataFrame, capacity: int, group_words: int) -> DataFrame:
+    """The packing of docs(doc_id, text, o), in the order of a hash of o; the column o stays."""
     scratch = Scratch(spark)
-    sizes = scratch.save(docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("o")).mapInArrow(_lengths, "doc_id bigint, o bigint, n bigint"))
+    sizes = scratch.save(docs.mapInArrow(_lengths, "doc_id bigint, o bigint, n bigint"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     n_groups = max(1, -(-total // group_words))
-    rows = sizes.withColumn("g", F.pmod("o", F.lit(n_groups)))
-    return rows.repartition("g").sortWithinPartitions("g", "o", "doc_id", "n").mapInArrow(_pack_groups(capacity), "doc_id bigint, piece int, first_word bigint, n_words bigint, bin_id bigint, bin_start int")
+    rows = sizes.withColumn("h", F.xxhash64("o")).withColumn("g", F.pmod("h", F.lit(n_groups)))
+    return rows.repartition("g").sortWithinPartitions("g", "h", "o", "doc_id", "n").mapInArrow(_pack_groups(capacity), "doc_id bigint, o bigint, piece int, first_word bigint, n_words bigint, bin_id bigint, bin_start int")
+
+
+def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WORDS) -> DataFrame:
+    return _groups(spark, documents(docs, "doc_id", "text").withColumn("o", F.xxhash64("text", "doc_id")), capacity, group_words).drop("o")
+
+
+def _piece_texts(fields: list[str]):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = b["pieces"].values.field("first_word").to_numpy()
+            at = b["pieces"].offsets.to_numpy()
+            for w in W.split(b["text"]):
+                held, texts = np.arange(at[w.first], at[w.first + w.docs]), []
+                doc = np.repeat(np.arange(w.docs), np.diff(at[w.first : w.first + w.docs + 1]))
+                for j, d in zip(held.tolist(), doc.tolist()):
+                    own, end = first[at[w.first + d] : at[w.first + d + 1]], w.byte_at[d + 1]
+                    later = own[own > first[j]]
+                    stop = w.start[w.at[d] + later.min()] if len(later) else end
+                    begin = w.start[w.at[d] + first[j]] if first[j] else w.byte_at[d]
+                    texts.append(w.raw[begin:stop].tobytes())
+                rows = pa.array(w.first + doc)
+                inner = b["pieces"].values
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(rows), *(inner.field(f).take(pa.array(held)) for f in fields), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", *fields, "text"])
+
+    return cut
+
+
+def packed_texts(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WORDS) -> DataFrame:
+    """packed() and each piece's text. The texts are shuffled once, to the pieces' rows; of equal rows each gets pieces of its own."""
+    # written, so that a recomputed task can't number its rows anew
+    numbered = Scratch(spark).save(documents(docs, "doc_id", "text").withColumn("o", F.monotonically_increasing_id()))
+    fields = ["piece", "first_word", "n_words", "bin_id", "bin_start"]
+    pieces = _groups(spark, numbered, capacity, group_words).groupBy("o").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("pieces"))
+    joined = numbered.withColumnRenamed("o", "_o").join(pieces, F.col("_o") == F.col("o")).select("doc_id", "text", "pieces")
+    return joined.mapInArrow(_piece_texts(fields), "doc_id bigint, piece int, first_word bigint, n_words bigint, bin_id bigint, bin_start int, text string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packing of the documents' texts."""
-    return packed(spark, docs)
+    """Pipeline stage: the packing of the documents and the text of each piece, so that bins can be read from its rows alone."""
+    return packed_texts(spark, docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

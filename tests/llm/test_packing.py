@@ -83,3 +83,29 @@ def test_odd_rows(spark, odd, empty):
     assert all(r.bin_id is None and r.n_words == 0 for i in (2, 3, 6) for r in by[i])
     assert sum(r.n_words for r in by[5]) == 60_000 and max(r.n_words for r in by[5]) == P.CAPACITY
     assert None in by and P.packed(spark, empty).count() == 0
+
+
+def test_bins_are_rebuilt_from_the_rows_alone(spark, odd):
+    rng = random.Random(4)
+    texts = ["  ".join(f"w{rng.randrange(99)}," for _ in range(rng.choice([0, 1, 5, 30, 64, 65, 200]))) + "." for _ in range(200)]
+    rows = P.packed_texts(spark, table(spark, [*texts, *texts[:9], (None, texts[0]), (1, texts[0])]), capacity=64, group_words=2000).collect()
+    whole = {}
+    for r in rows:
+        assert len(P.W.words_of(P.np.frombuffer(r.text.encode(), P.np.uint8), P.np.array([0, len(r.text.encode())])).h) == r.n_words
+        whole.setdefault(r.doc_id, []).append((r.first_word, r.text))
+    for i in range(2, 201):
+        assert "".join(t for _, t in sorted(whole[i])) == texts[i - 1]
+    one = sorted(t for a, t in whole[1] if a == 0)
+    assert len(one) == 2 and sorted(t for a, t in whole[None] if a == 0) == one[:1]
+    bins = {}
+    for r in rows:
+        if r.bin_id is not None:
+            bins.setdefault(r.bin_id, []).append((r.bin_start, r.n_words))
+    for b in bins.values():
+        b.sort()
+        assert all(a + n <= c for (a, n), (c, _) in zip(b, b[1:])) and b[-1][0] + b[-1][1] <= 64
+    by = {}
+    for r in P.packed_texts(spark, odd).collect():
+        by.setdefault(r.doc_id, []).append(r)
+    assert {r.text for r in by[6]} == {"..., !!! ???"} and by[2][0].text in (None, "") and len(by[8]) == 2
+    assert "".join(r.text for r in sorted(by[5], key=lambda r: r.piece)) == "the same word " * 20_000
