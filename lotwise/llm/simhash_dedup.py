@@ -2,17 +2,20 @@
 
 A document's 64-bit SimHash comes from its distinct word pairs. Codes of unrelated texts lie about 32 bits apart
 whatever the corpus, so distance alone can't route a query; shards are therefore routed by content: a document goes to one
-shard for each of ROUTES smallest-hash word triples, and near copies meet in some shard almost surely. A shard of a passage that many
-documents share is searched whole like any other; beyond MOST_MEMBERS its queries go in smaller blocks. In each shard a
+shard for each of ROUTES smallest-hash word triples, and near copies meet in some shard almost surely. In each shard a
 navigable small-world graph over Hamming distance is grown by insertion, every member of the shard is broadcast to the
 whole shard as a query, and its beam grows until it reaches beyond the radius (so a query's partners are never capped) and until an
 audit of queries against exact search has the wished recall. Pairs within the radius are verified on their whole sets
-of word triples, and verified pairs are united by connected components.
+of word triples (32-bit hashes), and verified pairs are united by connected components. Pairs that are connected already need no
+verification, and saturated queries are compared with what isn't connected to them only.
 
-Defined results: every row's document gets one output row (doc_id, group_id, copies, keep); group_id is the least doc_id
-of the group, which is also the row to keep. Repeated rows with the same doc_id and text give one row. Documents without words
-(null or empty text) are alike only to themselves: each is its own group. Rows with a null doc_id are left out of the
-query's result and pass the pipeline stage. Of one doc_id with several texts the groups of all texts unite.
+A shard of a passage that more than MOST_MEMBERS documents share is cut into parts of half that size; every two parts make one shard,
+so its members are broadcast to all parts, all pairs still meet and no task holds more than MOST_MEMBERS documents.
+
+Defined results: a document is a distinct (doc_id, text); each gets one output row (doc_id, group_id, copies, keep). The one
+to keep is that of least doc_id in its group (without doc_id last, then by hash), and group_id is its doc_id. Documents without words
+(null or empty text) are alike only to themselves: each is its own group. A null doc_id is kept as null. Of rows that repeat doc_id and
+text the pipeline stage keeps the one of least other columns.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import DOC_COLUMNS, Scratch, components, int64, runs, table, whole_groups
+from .common import DOC_COLUMNS, Scratch, components, doc_key, documents, int64, ranked_id, runs, table, whole_groups
 
 SHINGLE = 3
 ROUTES = 6
@@ -36,8 +39,11 @@ DEGREE = 12
 WIDEST = 64
 _STEP = 256
 BLOCK = 512
-#: Members of a shard beyond which fewer than BLOCK queries go at a time, so that a block's memory stays the same.
-MOST_MEMBERS = 8192
+#: Members of a shard beyond which it is cut into parts, and beyond which fewer than BLOCK queries go at a time.
+MOST_MEMBERS = 20_000
+MANY_MEMBERS = 8192
+#: Probes that must have partners before an audit counts.
+LEAST_PROBES = 8
 _SALT = [W.mix(np.array([0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)], np.uint64))[0] for i in range(ROUTES)]
 
 
@@ -89,7 +95,7 @@ def routes(h: np.ndarray, d: np.ndarray, docs: int) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b["doc_id"].to_numpy(zero_copy_only=False)
+        ids, own = b["doc_id"].to_numpy(), b["k"].to_numpy()
         for w in W.split(b["text"]):
             h, d = _grams(w, SHINGLE)
             key = routes(h, d, w.docs)
@@ -99,17 +105,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[w.first + some]),
+                    pa.array(own[w.first + some]),
                     pa.array(int64(body[some])),
                     pa.array(int64(codes(w)[some])),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * ROUTES), pa.array(int64(key[some].ravel()))),
                 ],
-                ["doc_id", "body", "code", "shards"],
+                ["doc_id", "k", "body", "code", "shards"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, code, shards) of documents with words; body is a hash of all their words."""
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_signatures, "doc_id bigint, body bigint, code bigint, shards array<bigint>")
+    """(doc_id, k, body, code, shards) of documents with words; body is a hash of all their words, k their key, and doc_id ranks them."""
+    rows = documents(docs, "doc_id", "text").select(ranked_id().alias("doc_id"), doc_key().alias("k"), "text")
+    return rows.mapInArrow(_signatures, "doc_id bigint, k bigint, body bigint, code bigint, shards array<bigint>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +125,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b["id"].to_numpy(zero_copy_only=False)
         for w in W.split(b["text"]):
-            h, d = _distinct(_grams(w, SHINGLE)[0] >> np.uint64(32), _grams(w, SHINGLE)[1])
+            h, d = _grams(w, SHINGLE)
+            h, d = _distinct(h >> np.uint64(32), d)
             n = np.bincount(d, minlength=w.docs)
             data = h.astype(np.uint32)
             off = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * 4
@@ -126,7 +135,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def block_of(n: int) -> int:
     """Queries that go at a time in a shard of n members."""
-    return max(1, min(BLOCK, BLOCK * MOST_MEMBERS // max(n, 1)))
+    return max(1, min(BLOCK, BLOCK * MANY_MEMBERS // max(n, 1)))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,11 +228,13 @@ class SmallWorld:
         return ids, dist, done
 
 
-def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, audit: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, audit: int = 48, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, partner) within the radius in one shard, in blocks of queries. Up to 2 * DEGREE codes the graph is complete, so
-    all are compared. Beyond, an audit of evenly spread queries against exact search doubles the beam until the recall is
-    reached; a beam that is wide enough for all nodes is exact. A query whose whole beam lies within the radius is
-    asked again with twice the beam until it reaches beyond; past WIDEST it is compared with the whole shard, which is exact."""
+    all are compared. Beyond, an audit of evenly spread queries against exact search doubles the beam until, on average over the
+    queries that have partners, the recall is reached; with few of them more queries are audited, all in the end. A beam that
+    is wide enough for all nodes is exact. A query whose whole beam lies within the radius is asked again with twice the beam until it
+    reaches beyond; past WIDEST it is compared with the whole shard, which is exact. `label`, which the caller may change between
+    blocks, says what is connected already: saturated queries leave out what has their own label."""
     n = len(code)
     if n <= 2 * DEGREE:
         d = distance(code[:, None], code[None, :])
@@ -231,37 +242,69 @@ def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, a
         yield a, b
         return
     g = SmallWorld(code)
-    probe = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(np.int64))
-    exact = distance(code[probe][:, None], code[None, :]) <= radius
-    beam = 32
 
-    def ask(q: np.ndarray, beam0: int) -> tuple[np.ndarray, np.ndarray]:
+    def ask(q: np.ndarray, beam0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, partner) pairs, and the queries that were compared exactly."""
         beam = beam0
         a, b, rest = [], [], q
-        while len(rest):
-            if beam > max(WIDEST, beam0):
-                i, j = np.nonzero(distance(code[rest][:, None], code[None, :]) <= radius)
-                a.append(rest[i])
-                b.append(j)
-                break
+        while len(rest) and beam <= max(WIDEST, beam0):
             ids, dist = g.search(code[rest], min(beam, n))
             near = (dist <= radius) & (ids >= 0)
             full = near.all(1) & (beam < n)
-            i, j = np.nonzero(near & ~full[:, None])
+            use = near if beam * 2 > max(WIDEST, beam0) else near & ~full[:, None]  # pairs of saturated queries connect much of a cluster at once
+            i, j = np.nonzero(use)
             a.append(rest[i])
             b.append(ids[i, j].astype(np.int64))
             rest, beam = rest[full], beam * 2
-        return np.concatenate(a), np.concatenate(b)
+        return np.concatenate(a), np.concatenate(b), rest
 
+    beam, probes = 32, audit
     while beam < n:
-        a, b = ask(probe, beam)
-        if len(a) >= recall * exact.sum():
+        probe = np.unique(np.linspace(0, n - 1, min(n, probes)).astype(np.int64))
+        exact = distance(code[probe][:, None], code[None, :]) <= radius
+        exact[np.arange(len(probe)), probe] = False
+        have = exact.sum(1)
+        if (have > 0).sum() < LEAST_PROBES and len(probe) < n:
+            probes *= 4
+            continue
+        a, b, saturated = ask(probe, beam)
+        a, b = a[a != b], b[a != b]
+        found = np.bincount(np.searchsorted(probe, a), minlength=len(probe))
+        open_ = (have > 0) & ~np.isin(probe, saturated)
+        if not open_.any() or (found[open_] / have[open_]).mean() >= recall:
             break
         beam *= 2
     block = block_of(n)
     for x in range(0, n, block):
-        a, b = ask(np.arange(x, min(n, x + block)), beam)
+        a, b, rest = ask(np.arange(x, min(n, x + block)), beam)
         yield a[a != b], b[a != b]
+        for one in np.unique(label[rest]).tolist() if label is not None else [None] * bool(len(rest)):
+            # the label may have changed since: what was asked for stays a superset
+            q = rest if one is None else rest[label[rest] == one]
+            other = np.arange(n) if one is None else np.flatnonzero(label != one)
+            if len(q) and len(other):
+                i, j = np.nonzero(distance(code[q][:, None], code[other][None, :]) <= radius)
+                i, j = q[i], other[j]
+                yield i[i != j], j[i != j]
+
+
+class Labels:
+    """Connected members: label[i] is the same for all that are; the smaller class takes the label of the larger one."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.members: dict[int, list[int]] = {}
+
+    def unite(self, x: int, y: int) -> None:
+        a, b = int(self.label[x]), int(self.label[y])
+        of_a, of_b = self.members.get(a) or [a], self.members.get(b) or [b]
+        if len(of_a) < len(of_b):
+            a, b, of_a, of_b = b, a, of_b, of_a
+        self.label[of_b] = a
+        self.members[a] = of_a + of_b if len(of_a) < 2 else of_a
+        if len(of_a) >= 2:
+            of_a.extend(of_b)
+        self.members.pop(b, None)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -277,50 +320,71 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified edges of each shard. A pair whose ends are already connected in the shard needs no check of its own."""
     for t in whole_groups(batches, "shard", 1 << 12):
+        shard, ids = t["shard"].to_numpy(), t["id"].to_numpy()
+        new = np.ones(len(ids), bool)  # a repeated row is no member of its own
+        new[1:] = (ids[1:] != ids[:-1]) | (shard[1:] != shard[:-1])
+        t = t.filter(pa.array(new))
         shard, ids, code = t["shard"].to_numpy(), t["id"].to_numpy(), t["code"].to_numpy().view(np.uint64)
         sets = t["triples"].combine_chunks()
         sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
         out: list[tuple[int, int]] = []
         for a, b in zip(*(x.tolist() for x in runs(shard))):
             member = [np.frombuffer(sets[i].as_buffer(), np.uint32) for i in range(a, b)]
-            label = np.arange(b - a)
-            for qs, ps in neighbours(code[a:b]):
-                apart = label[qs] != label[ps]
-                qs, ps = qs[apart], ps[apart]
+            known = Labels(b - a)
+            for qs, ps in neighbours(code[a:b], label=known.label):
                 for i in range(0, len(qs), _STEP):
                     q, p = qs[i : i + _STEP], ps[i : i + _STEP]
-                    apart = label[q] != label[p]
+                    apart = known.label[q] != known.label[p]
                     for x, y in zip(q[apart].tolist(), p[apart].tolist()):
-                        if label[x] != label[y] and jaccard(member[x], member[y]) >= JACCARD:
-                            label[label == label[y]] = label[x]
+                        if known.label[x] != known.label[y] and jaccard(member[x], member[y]) >= JACCARD:
+                            known.unite(x, y)
                             out.append((ids[a + x], ids[a + y]))
         if out:
             e = np.array(out, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
 
-def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id, copies, keep) of every document with a doc_id."""
+def in_parts(placed: DataFrame, size: DataFrame, most: int) -> DataFrame:
+    """placed(shard, id, ...) with its size n per shard: shards of more than `most` members become one shard for every two of their parts."""
+    parts = F.ceil(F.col("n") * 2 / most).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("_parts")).cast("int")
+    other = F.explode(F.when(F.col("_parts") > 1, F.array_except(F.sequence(F.lit(0), F.col("_parts") - 1), F.array("_own"))).otherwise(F.array(F.lit(0))))
+    cut = placed.join(size, "shard").withColumn("_parts", F.when(F.col("n") > most, parts).otherwise(1)).withColumn("_own", own).withColumn("_other", other)
+    shard = F.when(F.col("_parts") > 1, F.xxhash64("shard", F.least("_own", "_other"), F.greatest("_own", "_other"))).otherwise(F.col("shard"))
+    return cut.withColumn("shard", shard).drop("n", "_parts", "_own", "_other")
+
+
+def kept(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(k, first, copies) of the documents that have near copies: first(doc_id, k) is the one of the group that is kept."""
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = documents(docs, "doc_id", "text")
     sig = scratch.save(signatures(docs))
-    # texts of the same words are one node, the one of least doc_id
-    heads = sig.groupBy("body").agg(F.min("doc_id").alias("id"), F.min("code").alias("code"), F.min("shards").alias("shards"))
-    same = sig.join(heads.select("body", "id"), "body").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    placed = heads.select(F.explode("shards").alias("shard"), F.xxhash64("id", "body").alias("_n"), "id", "body", "code")
+    # texts of the same words are one node, the first of them
+    heads = sig.groupBy("body").agg(F.min(F.struct("doc_id", "k"))["k"].alias("id"), F.min("code").alias("code"), F.min("shards").alias("shards"))
+    same = sig.join(heads.select("body", "id"), "body").where("k <> id").select(F.col("k").alias("a"), F.col("id").alias("b"))
+    placed = heads.select(F.explode("shards").alias("shard"), F.xxhash64("id", "body").alias("_n"), "id", "code")
     size = placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("_n").cast("decimal(20,0)")).alias("_who")).where("n > 1")
-    once = size.groupBy("_who", "n").agg(F.min("shard").alias("shard")).select("shard")  # shards of the same members count once
-    placed = scratch.save(placed.select("shard", "id", "body", "code").join(once, "shard"))
-    wanted = placed.select("id", "body").distinct().join(docs, F.col("id") == F.col("doc_id")).select("id", "text")
+    once = size.groupBy("_who", "n").agg(F.min("shard").alias("shard")).select("shard", "n")  # shards of the same members count once
+    placed = scratch.save(in_parts(placed.select("shard", "id", "code"), once, MOST_MEMBERS))
+    wanted = placed.select("id").distinct().join(docs.select(doc_key().alias("k"), "text"), F.col("id") == F.col("k")).select("id", "text")
     sets = wanted.mapInArrow(_sets, "id bigint, triples binary")
     members = placed.join(sets, "id").select("shard", "id", "code", "triples")
     edges = members.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(_edges, "a bigint, b bigint")
-    comp = components(spark, edges.union(same), scratch)
-    scratch.drop(sig, placed)
-    ids = docs.select("doc_id").distinct()
-    out = ids.join(comp, ids.doc_id == comp.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
-    count = comp.groupBy(F.col("component").alias("group_id")).agg(F.count("*").alias("copies"))
-    return out.join(count, "group_id", "left").select("doc_id", "group_id", F.coalesce("copies", F.lit(1)).alias("copies"), (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    comp = components(spark, edges.union(same.distinct()), scratch)
+    named = scratch.save(comp.join(sig.select(F.col("k").alias("node"), "doc_id").distinct(), "node"))
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", F.col("node").alias("k"))).alias("first"), F.count("*").alias("copies"))
+    out = scratch.save(named.join(first, "component").select(F.col("node").alias("k"), "first", "copies"))
+    scratch.drop(sig, placed, named)
+    return out
+
+
+def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, group_id, copies, keep) of every document."""
+    docs = documents(docs, "doc_id", "text")
+    of = kept(spark, docs).select(F.col("k").alias("_k"), "first", "copies")
+    rows = docs.select("doc_id", doc_key().alias("k")).distinct().join(of, F.col("k") == F.col("_k"), "left")
+    first = rows.select("k", "doc_id", F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"), F.coalesce("first.k", "k").alias("_first"), F.when(F.col("first").isNull(), F.col("doc_id")).when(F.col("first.k").bitwiseAND(F.lit(1)) == 0, F.col("first.doc_id")).alias("group_id"))
+    return first.select("doc_id", "group_id", "copies", (F.col("k") == F.col("_first")).alias("keep"))
 
 
 def audit(docs: DataFrame, queries: int = 64, radius: int = RADIUS) -> DataFrame:
@@ -333,11 +397,17 @@ def audit(docs: DataFrame, queries: int = 64, radius: int = RADIUS) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, that of least doc_id; of repeated rows one stays."""
-    docs = docs.select(*DOC_COLUMNS)
-    drop = groups(spark, docs).where(~F.col("keep")).select(F.col("doc_id").alias("_id"))
-    kept = docs.where("doc_id is not null").join(drop, F.col("doc_id") == F.col("_id"), "left_anti").select(*DOC_COLUMNS)
-    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """Pipeline stage: one document of each group stays, and of repeated rows one, that of least (lang, source, n_chars)."""
+    docs = documents(docs, *DOC_COLUMNS)
+    keyed = docs.withColumn("_k", doc_key())
+    drop = kept(spark, docs).where("k <> first.k").select("k")
+    again = Scratch(spark).save(keyed.groupBy("_k").count().where("count > 1").select("_k"))
+    left = keyed.join(drop, F.col("_k") == F.col("k"), "left_anti")
+    single = left.join(again, "_k", "left_anti").select(*DOC_COLUMNS)
+    if again.isEmpty():
+        return single
+    several = left.join(again, "_k", "left_semi").groupBy("_k").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("_r"))
+    return single.union(several.select(*(F.col(f"_r.{c}").alias(c) for c in DOC_COLUMNS)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
