@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, packing."""
+"""The corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, packing.
+
+The rows of its last table carry the texts: the pieces of a bin, in the order of bin_start, are one training sequence, and the pieces of a
+document, in their order, are its cleaned text.
+"""
 
 from __future__ import annotations
 

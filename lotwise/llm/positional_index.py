@@ -1,15 +1,17 @@
 """Operator 9, benchmark decontamination: a distributed positional inverted index.
 
-A scan of all training texts stores, for every segment of documents, the postings (document, place) of each term that a
-test item has, as one row of a table in the shared folder. In every window of PHRASE words of an item the terms of least document
-frequency are anchors: so many that a document which lacks as many words as a proximity match may lack still has one; a segment's posting lists of the anchors, moved back by their offsets, give the places where the item
-can start, and the lists of its other terms are intersected there. An exact match is a run of at least PHRASE words
-of the item (all of it if it is shorter); a proximity match has at least SHARE of the item's words within SLACK words of
-their places, relative to an anchor at its own place.
-
-Defined results: one row per document, item and place, of the longest run there; repeated rows give no further ones; items of fewer
-than LEAST words and null or empty texts match nothing; documents with a null doc_id are not searched; a null item_id is kept as
-null. Items go in batches of at most MAX_WORDS words, so that what is broadcast stays bounded.
+One scan of all training texts stores, for every segment of documents, the postings (document, place) of each term as one row of a
+table in the shared folder: of the terms that any test item has, or of all terms where the items have more than MAX_TERMS.
+In every window of PHRASE words of an item the terms of least document frequency are anchors: so many that a document which lacks
+as many words as a proximity match may lack still has one; a segment's posting lists of the anchors, moved back by their offsets, give
+the places where the item can start, and the lists of its other terms are intersected there. An exact match is a run of at
+least PHRASE words of the item (all of it if it is shorter); a proximity match has at least SHARE of the item's words within SLACK words
+of their places, relative to an anchor at its own place.
+
+Defined results: one row per document, item and place, of the longest run there; repeated rows give no further ones; null or empty texts
+match nothing; a null doc_id or item_id is kept as null. Items of fewer than `least` words match nothing: a phrase of three words
+is no leak but language, and reporting its places would report the corpus; callers who want them lower the parameter. Items go in batches
+of at most MAX_WORDS words, so that what is broadcast stays bounded; all batches read the one index.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import DOC_COLUMNS, Scratch, runs, table
+from .common import DOC_COLUMNS, Scratch, doc_key, documents, int64, own_id, ranked_id, runs, table
 
 PHRASE = 8
 LEAST = 4
 SHARE = 0.8
 SLACK = 5
 MAX_WORDS = 1_000_000
+#: Distinct terms of all items beyond which the index takes every term, so that no vocabulary is broadcast.
+MAX_TERMS = 4_000_000
 SEGMENT_BYTES = 2 << 20
-_POSTINGS = "docs binary, terms binary, df binary, starts binary, doc binary, pos binary"
+_POSTINGS = "docs binary, keys binary, terms binary, df binary, starts binary, doc binary, pos binary"
 
 
 @dataclass
@@ -44,12 +48,12 @@ class Items:
     vocabulary: np.ndarray
 
 
-def read_items(rows: list[tuple]) -> Items:
+def read_items(rows: list[tuple], least: int = LEAST) -> Items:
     ids, parts = [], []
     for w in W.split(pa.array([t for _, t in rows], pa.large_string())):
         for d in range(w.docs):
             h = w.h[w.at[d] : w.at[d + 1]]
-            if len(h) >= LEAST:
+            if len(h) >= max(1, least):
                 ids.append(rows[w.first + d][0])
                 parts.append(h)
     all_h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -57,57 +61,89 @@ def read_items(rows: list[tuple]) -> Items:
     return Items(ids, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), term.astype(np.int64), vocabulary)
 
 
-def batches_of(benchmark: DataFrame) -> Iterator[Items]:
+def batches_of(benchmark: DataFrame, least: int = LEAST) -> Iterator[Items]:
     held, size = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").distinct().toLocalIterator():
         held.append((r[0], r[1]))
         size += len(r[1]) // 2 + 1
         if size >= MAX_WORDS:
-            yield read_items(held)
+            yield read_items(held, least)
             held, size = [], 0
     if held:
-        yield read_items(held)
+        yield read_items(held, least)
 
 
-def _index(vocabulary: np.ndarray):
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for w in W.split(b["text"]):
+            yield pa.RecordBatch.from_arrays([pa.array(int64(np.unique(w.h)))], ["term"])
+
+
+def vocabulary_of(benchmark: DataFrame, most: int) -> np.ndarray | None:
+    """The sorted terms of all items; None where there are more than `most`."""
+    terms = benchmark.select("text").where("text is not null").mapInArrow(_terms, "term bigint").distinct().limit(most + 1).toArrow()
+    return None if terms.num_rows > most else np.sort(terms["term"].to_numpy().view(np.uint64))
+
+
+def _index(vocabulary: np.ndarray | None):
     low = np.zeros(1 << 16, bool)
-    low[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+    if vocabulary is not None:
+        low[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b["doc_id"].to_numpy()
+            ids, keys = b["doc_id"].to_numpy(), b["k"].to_numpy()
             for w in W.split(b["text"], SEGMENT_BYTES):
-                may = np.flatnonzero(low[(w.h & np.uint64(0xFFFF)).astype(np.int64)])
-                t = np.minimum(np.searchsorted(vocabulary, w.h[may]), len(vocabulary) - 1)
-                hit = vocabulary[t] == w.h[may]
-                at, t = may[hit], t[hit]
+                if vocabulary is None:
+                    at, words = np.arange(len(w.h)), np.unique(w.h)
+                    t = np.searchsorted(words, w.h)
+                elif len(vocabulary):
+                    words = vocabulary
+                    may = np.flatnonzero(low[(w.h & np.uint64(0xFFFF)).astype(np.int64)])
+                    t = np.minimum(np.searchsorted(vocabulary, w.h[may]), len(vocabulary) - 1)
+                    hit = vocabulary[t] == w.h[may]
+                    at, t = may[hit], t[hit]
+                else:
+                    continue
                 if not len(at):
                     continue
                 d = np.searchsorted(w.at, at, "right") - 1
-                o = np.argsort(t.astype(np.uint16) if len(vocabulary) < 1 << 16 else t, kind="stable")
+                o = np.argsort(t.astype(np.uint16) if len(words) < 1 << 16 else t, kind="stable")
                 t, d, pos = t[o], d[o], (at - w.at[d])[o]
                 a, e = runs(t)
                 new = np.ones(len(t), bool)
                 new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
                 df = np.add.reduceat(new.astype(np.int32), a)
                 narrow = np.uint16 if max(w.docs, int(pos.max()) + 1) < 1 << 16 else np.uint32
-                cols = [ids[w.first : w.first + w.docs], t[a].astype(np.int32), df.astype(np.int32), np.append(a, len(t)).astype(np.int32), d.astype(narrow), pos.astype(narrow)]
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["docs", "terms", "df", "starts", "doc", "pos"])
+                cols = [ids[w.first : w.first + w.docs], keys[w.first : w.first + w.docs], words[t[a]], df.astype(np.int32), np.append(a, len(t)).astype(np.int32), d.astype(narrow), pos.astype(narrow)]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["docs", "keys", "terms", "df", "starts", "doc", "pos"])
 
     return scan
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """A row for each segment of documents: its doc_ids, and the postings of its terms sorted by term, document, place."""
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_index(vocabulary), _POSTINGS)
+def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+    """A row for each segment of documents: their ranks and keys, and the postings of its terms (those of the vocabulary, or all),
+    sorted by term, document, place."""
+    rows = documents(docs, "doc_id", "text").where("text is not null").select(ranked_id().alias("doc_id"), doc_key().alias("k"), "text")
+    return rows.mapInArrow(_index(vocabulary), _POSTINGS)
+
 
+def _of(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers in `terms` of those in the vocabulary, their numbers in the vocabulary)."""
+    if not len(vocabulary):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+    own = np.flatnonzero(vocabulary[at] == terms)
+    return own, at[own]
 
-def _frequencies(n: int):
+
+def _frequencies(vocabulary: np.ndarray):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, np.int64)
+        total = np.zeros(len(vocabulary), np.int64)
         for b in batches:
             for t, f in zip(b["terms"], b["df"]):
-                total[np.frombuffer(t.as_buffer(), np.int32)] += np.frombuffer(f.as_buffer(), np.int32)
+                own, number = _of(vocabulary, np.frombuffer(t.as_buffer(), np.uint64))
+                total[number] += np.frombuffer(f.as_buffer(), np.int32)[own]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["term", "df"])
 
@@ -202,42 +238,48 @@ def _match(items: Items, anchor: list[tuple[int, int, int]], probe: list[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, terms, starts, doc, pos = (np.frombuffer(b[c][r].as_buffer(), kind) for c, kind in (("docs", np.int64), ("terms", np.int32), ("starts", np.int32), ("doc", np.uint8), ("pos", np.uint8)))
+                ids, keys, terms, starts, doc, pos = (np.frombuffer(b[c][r].as_buffer(), kind) for c, kind in (("docs", np.int64), ("keys", np.int64), ("terms", np.uint64), ("starts", np.int32), ("doc", np.uint8), ("pos", np.uint8)))
                 narrow = np.uint16 if len(doc) == 2 * starts[-1] else np.uint32
-                rows = match_segment(items, anchor, probe, ids, terms, starts, doc.view(narrow).astype(np.int64), pos.view(narrow).astype(np.int64))
+                own, number = _of(items.vocabulary, terms)
+                if not len(own):
+                    continue
+                size = np.diff(starts)[own].astype(np.int64)
+                use = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                rows = match_segment(items, anchor, probe, np.arange(len(ids)), number, np.concatenate([[0], np.cumsum(size)]), doc.view(narrow)[use].astype(np.int64), pos.view(narrow)[use].astype(np.int64))
                 if rows:
                     d, i, kind, p, q, n, s = zip(*rows)
+                    d = np.array(d)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(d, pa.int64()), pa.array([items.ids[x] for x in i], pa.int64()), pa.array(kind), pa.array(p, pa.int32()), pa.array(q, pa.int32()), pa.array(n, pa.int32()), pa.array(s, pa.float64())],
-                        ["doc_id", "item_id", "kind", "doc_word", "item_word", "n_words", "share"],
+                        [pa.array(ids[d]), pa.array(keys[d]), pa.array([items.ids[x] for x in i], pa.int64()), pa.array(kind), pa.array(p, pa.int32()), pa.array(q, pa.int32()), pa.array(n, pa.int32()), pa.array(s, pa.float64())],
+                        ["doc_id", "k", "item_id", "kind", "doc_word", "item_word", "n_words", "share"],
                     )
 
     return run
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, kind, doc_word, item_word, n_words, share)."""
+def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+    """(k, doc_id, item_id, kind, doc_word, item_word, n_words, share); k is the document's key."""
     scratch = Scratch(spark)
-    schema = "doc_id bigint, item_id bigint, kind string, doc_word int, item_word int, n_words int, share double"
-    out = None
-    for items in batches_of(benchmark):
+    schema = "doc_id bigint, k bigint, item_id bigint, kind string, doc_word int, item_word int, n_words int, share double"
+    index, out = None, spark.createDataFrame([], schema)
+    for items in batches_of(benchmark, least):
         if not items.ids:
             continue
-        index = scratch.save(build_index(docs, items.vocabulary))
+        if index is None:
+            index = scratch.save(build_index(docs, vocabulary_of(benchmark, MAX_TERMS)))
         df = np.zeros(len(items.vocabulary), np.int64)
-        for r in index.select("terms", "df").mapInArrow(_frequencies(len(df)), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        for r in index.select("terms", "df").mapInArrow(_frequencies(items.vocabulary), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
             df[r["term"]] = r["df"]
-        found = index.select("docs", "terms", "starts", "doc", "pos").mapInArrow(_match(items, anchors(items, df), probes(items, df)), schema)
-        out = found if out is None else out.union(found)
-    return spark.createDataFrame([], schema) if out is None else out.distinct()
+        out = out.union(index.select("docs", "keys", "terms", "starts", "doc", "pos").mapInArrow(_match(items, anchors(items, df), probes(items, df)), schema))
+    return out.withColumn("doc_id", own_id()).select("k", "doc_id", "item_id", "kind", "doc_word", "item_word", "n_words", "share").distinct()
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that no test item matches."""
-    docs = docs.select(*DOC_COLUMNS)
-    bad = matches(spark, docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_id"), "left_anti").select(*DOC_COLUMNS)
+    """Pipeline stage: documents (distinct doc_id and text) that no test item matches."""
+    docs = documents(docs, *DOC_COLUMNS)
+    bad = matches(spark, docs, table(spark, sf_dir, "benchmark")).select("k").distinct()
+    return docs.withColumn("_k", doc_key()).join(bad, F.col("_k") == F.col("k"), "left_anti").select(*DOC_COLUMNS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k").distinct()

@@ -53,8 +53,18 @@ def test_every_stage_takes_effect(spark, tmp_path):
     for r in packed.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.n_words
     assert got == words
-    again = {tuple(r) for r in P.run(spark, folder).collect()}
-    assert again == {tuple(r) for r in packed.collect()}
+    rows = P.run(spark, folder).collect()
+    assert {(r.doc_id, r.piece, r.n_words, r.text) for r in rows} == {(r.doc_id, r.piece, r.n_words, r.text) for r in packed.collect()}
+    # the result alone gives back the cleaned texts and what is in each bin
+    whole, bins = {}, {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        whole[r.doc_id] = whole.get(r.doc_id, "") + r.text
+        assert len(re.findall("[0-9A-Za-z]+", r.text)) == r.n_words
+        if r.bin_id is not None:
+            bins.setdefault(r.bin_id, []).append((r.bin_start, r.n_words))
+    assert whole == {r.doc_id: r.text for r in clean.collect()}
+    for b in bins.values():
+        assert all(x + n == y for (x, n), (y, _) in zip(sorted(b), sorted(b)[1:]))
 
 
 def test_stages_of_an_empty_table(spark, tmp_path):
