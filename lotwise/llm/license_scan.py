@@ -1,18 +1,22 @@
 """Operator 2, license scans: winnowed template fingerprints, an inverted index and banded alignment.
 
-Every template's GRAM-word grams are winnowed (window WINDOW); an inverted index maps their hashes to (template, place). One scan
-looks all grams of every text up in the index; hits that lie on neighbouring diagonals are one candidate, and a local alignment in a
-band around them (match +2, other word -1, skipped word -1) gives the words that agree, in order. Reported is what covers at least
-COVERAGE of the template; its words are masked and what is left is aligned again until nothing covers as much, so that notices in a
-row are found one by one.
-
-Defined results: (doc_id, template, coverage, matched_words, start_word, end_word, start_byte, end_byte), one row per place; bytes
-count in the UTF-8 text. Null or empty texts match nothing; a null doc_id is reported as null; repeated rows are reported each;
-templates of fewer than GRAM words are refused; of equal candidates at one place all templates are reported.
+Templates are notices (NOTICES) and the whole licence texts in the folder `licenses`. Their GRAM-word grams are winnowed (window
+WINDOW); an inverted index maps the hashes to (template, place). One scan looks all grams of every text up in the index. Hits
+that continue each other are runs of equal words; runs that follow one another in both text and template, at most GAP text words
+apart, are chained, so that words put in or left out between them don't part them. A chain whose runs hold SUPPORT of the
+template is a candidate: a local alignment (match +2, other word -1, skipped word -1) in the band of the chain's diagonals and BAND
+beyond gives the words that agree, in order. Reported is what covers at least COVERAGE of the template, the fullest first; its words
+are masked, and candidates that lost words are aligned again, so that notices in a row are found one by one and no place twice.
+
+Defined results: (doc_id, template, coverage, matched_words, start_word, end_word, start_byte, end_byte), one row per template and place;
+bytes count in the UTF-8 text. Null or empty texts match nothing; a null doc_id is reported as null; repeated rows are reported each;
+templates of fewer than GRAM words are refused; where templates contain each other, all of them are reported.
 """
 
 from __future__ import annotations
 
+import heapq
+import pathlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import words as W
-from .common import table
+from .common import documents, table
 
 GRAM = 3
 WINDOW = 2
 BAND = 8
 COVERAGE = 0.6
+GAP = 100
+#: Share of a template's words that a chain's runs must hold to be aligned. Of 60 % equal words at random places, 39 % stand in runs of GRAM.
+SUPPORT = 0.15
 _MASKED = np.uint64(0)
+_LOW = (1 << 20) - 1
 
-TEMPLATES = {
+NOTICES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -41,6 +49,10 @@ TEMPLATES = {
 }
 
 
+#: Name to text: the notices and the whole licences.
+TEMPLATES = NOTICES | {p.stem.lower() + "-text": p.read_text(encoding="utf-8") for p in sorted((pathlib.Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
 class TemplateIndex:
     """Inverted index from fingerprint to (template, place)."""
 
@@ -58,8 +70,8 @@ class TemplateIndex:
             hashes, number, place = h, d, p - w.at[d]
         o = np.argsort(hashes, kind="stable") if len(hashes) else np.zeros(0, np.int64)
         self.key, self.number, self.place = (np.asarray(x)[o] for x in (hashes, number, place)) if len(o) else (np.zeros(0, np.uint64), o, o)
-        self.low = np.zeros(1 << 16, bool)
-        self.low[(self.key & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.low = np.zeros(_LOW + 1, bool)
+        self.low[(self.key & np.uint64(_LOW)).astype(np.int64)] = True
 
     def hits(self, w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, template, place in it) for every gram of the slice that is a fingerprint."""
@@ -67,60 +79,87 @@ class TemplateIndex:
         if not len(g) or not len(self.key):
             z = np.zeros(0, np.int64)
             return z, z, z
-        at = np.flatnonzero(self.low[(g & np.uint64(0xFFFF)).astype(np.int64)] & ok)
+        at = np.flatnonzero(self.low[(g & np.uint64(_LOW)).astype(np.int64)] & ok)
         a, e = np.searchsorted(self.key, g[at], "left"), np.searchsorted(self.key, g[at], "right")
         n = e - a
         idx = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else a, n) + np.arange(n.sum())
         return np.repeat(at, n), self.number[idx], self.place[idx]
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, end in the text) of the best local alignment whose diagonals (text place - template place)
-    lie within `band` of `diagonal`."""
-    width = 2 * band + 1
-    score = np.zeros(width, np.int64)
-    came = np.zeros((width, 2), np.int64)  # matched words and first text place of the best alignment that ends here
+def align(template: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tuple[int, int, int, int]:
+    """(score, matched words, first, end in the text) of the best local alignment whose diagonals (text place - template place)
+    lie in lo..hi."""
+    k = np.arange(hi - lo + 1)
+    score, matched, first = (np.zeros(len(k) + 1, np.int64) for _ in range(3))
     best = (0, 0, 0, 0)
-    for i in range(len(template)):
-        at = i + diagonal - band + np.arange(width)
+    for i in range(max(0, -hi), min(len(template), len(text) - lo)):
+        at = i + lo + k
         inside = (at >= 0) & (at < len(text))
-        equal = np.zeros(width, bool)
-        equal[inside] = text[at[inside]] == template[i]
-        diag = score + np.where(equal, 2, -1)  # the same diagonal, one word on in both
-        up_score, up_came = np.append(score[1:], 0) - 1, np.concatenate([came[1:], [[0, 0]]])  # a template word without partner
-        new = np.maximum(np.maximum(diag, up_score), 0)
-        from_diag = diag >= up_score
-        now = np.where(from_diag[:, None], came, up_came)
-        fresh = from_diag & (score <= 0) & equal
-        now[fresh, 1] = at[fresh]
-        now[fresh, 0] = 0
-        now[:, 0] += from_diag & equal
-        for j in range(1, width):  # a text word without partner
-            if new[j - 1] - 1 > new[j]:
-                new[j] = new[j - 1] - 1
-                now[j] = now[j - 1]
-        new[~inside] = 0
-        score, came = new, np.where((new > 0)[:, None], now, 0)
-        j = int(np.argmax(score))
-        if score[j] > best[0] and equal[j]:
-            best = (int(score[j]), int(came[j, 0]), int(came[j, 1]), int(at[j]) + 1)
-    return best[1:]
-
-
-def places(template: np.ndarray, text: np.ndarray, diagonals: list[int]) -> list[tuple[int, int, int]]:
-    """(matched words, first, end) of all places of the template in bands around the diagonals, the fullest first; places don't overlap."""
+        equal = inside & (text[np.clip(at, 0, len(text) - 1)] == template[i])
+        diag = score[:-1] + np.where(equal, 2, -1)  # one word on in both
+        up = score[1:] - 1  # a template word without partner
+        from_diag = diag >= up
+        m, f = np.where(from_diag, matched[:-1] + equal, matched[1:]), np.where(from_diag, first[:-1], first[1:])
+        fresh = from_diag & equal & (score[:-1] <= 0)
+        m[fresh], f[fresh] = 1, at[fresh]
+        new = np.where(inside, np.maximum(np.maximum(diag, up), 0), 0)
+        lead = np.maximum.accumulate(new + k)  # text words without partner
+        src = np.maximum.accumulate(np.where(new + k == lead, k, 0))
+        new = np.where(inside, np.maximum(lead - k, 0), 0)
+        score[:-1], matched[:-1], first[:-1] = new, m[src], f[src]
+        j = int(np.argmax(new))
+        if new[j] > best[0]:
+            best = (int(new[j]), int(matched[j]), int(first[j]), int(at[j]) + 1)
+    return best
+
+
+def chains(x: list[int], y: list[int], size: list[int]) -> list[tuple[int, int, int]]:
+    """(least diagonal, greatest diagonal, words) of chains of runs of equal words, the heaviest first; every run is in one of them. The runs
+    begin at text places x (ascending) and template places y."""
+    n = len(x)
+    weight, before = list(size), [-1] * n
+    low = 0
+    for i in range(n):
+        while x[i] - x[low] > GAP + size[low]:
+            low += 1
+        for j in range(low, i):
+            gap = x[i] - x[j] - size[j]
+            if gap <= GAP and y[i] > y[j] and x[i] > x[j]:
+                over = max(0, -gap, y[j] + size[j] - y[i])
+                w = weight[j] + size[i] - over - abs(x[i] - y[i] - x[j] + y[j]) / 2
+                if w > weight[i]:
+                    weight[i], before[i] = w, j
+    used, out = [False] * n, []
+    for i in sorted(range(n), key=lambda i: (-weight[i], i)):
+        lo = hi = x[i] - y[i]
+        words, j = 0, i
+        while j >= 0 and not used[j]:
+            used[j] = True
+            lo, hi, words = min(lo, x[j] - y[j]), max(hi, x[j] - y[j]), words + size[j]
+            j = before[j]
+        if words:
+            out.append((lo, hi, words))
+    return out
+
+
+def places(template: np.ndarray, text: np.ndarray, bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of all places of the template in bands of diagonals, the fullest first; places don't overlap."""
     text = text.copy()
-    found = {d: align(template, text, d) for d in diagonals}
-    out = []
-    while found:
-        n, a, e = max(found.values(), key=lambda x: (x[0], -x[1], -x[2]))
-        if n < COVERAGE * len(template):
-            break
-        out.append((n, a, e))
-        text[a:e] = _MASKED
-        for d in found:  # the others don't see the masked words
-            if d - BAND < e and a < d + BAND + len(template):
-                found[d] = align(template, text, d)
+    heap, out = [], []
+
+    def look(lo: int, hi: int) -> None:
+        score, n, a, e = align(template, text, lo, hi)
+        if n >= COVERAGE * len(template):
+            heapq.heappush(heap, (-n, -score, a, e, lo, hi))
+
+    for lo, hi in bands:
+        look(lo, hi)
+    while heap:
+        n, _, a, e, lo, hi = heapq.heappop(heap)
+        if not (text[a:e] == _MASKED).any():
+            out.append((-n, a, e))
+            text[a:e] = _MASKED
+        look(lo, hi)
     return out
 
 
@@ -130,19 +169,26 @@ def scan_words(index: TemplateIndex, w: W.Words) -> list[tuple[int, int, float,
     if not len(at):
         return []
     doc = np.searchsorted(w.at, at, "right") - 1
-    diag = at - w.at[doc] - place
-    o = np.lexsort((diag, number, doc))
-    doc, number, diag = doc[o], number[o], diag[o]
+    x = at - w.at[doc]
+    o = np.lexsort((place, x - place, number, doc))
+    doc, number, x, place = doc[o], number[o], x[o], place[o]
     new = np.ones(len(o), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]) | (diag[1:] - diag[:-1] > BAND)
-    bands: dict[tuple[int, int], list[int]] = {}
-    for i, j in zip(np.flatnonzero(new).tolist(), np.append(np.flatnonzero(new)[1:], len(o)).tolist()):
-        # a wide candidate is aligned band by band
-        bands.setdefault((int(doc[i]), int(number[i])), []).extend(range(int(diag[i]), int(diag[j - 1]) + 1, BAND))
+    new[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]) | (x[1:] - place[1:] != x[:-1] - place[:-1]) | (place[1:] - place[:-1] > GRAM)
+    a = np.flatnonzero(new)  # the runs of equal words
+    z = np.append(a[1:], len(o)) - 1
+    doc, number, x, y, size = doc[a], number[a], x[a], place[a], place[z] - place[a] + GRAM
+    own = np.ones(len(a), bool)
+    own[1:] = (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])
+    g = np.flatnonzero(own)
+    enough = np.add.reduceat(size, g) >= SUPPORT * np.array([len(h) for h in index.h])[number[g]]
     out = []
-    for (d, t), diagonals in bands.items():
-        text = w.h[w.at[d] : w.at[d + 1]]
-        out += [(d, t, n / len(index.h[t]), n, a, e) for n, a, e in places(index.h[t], text, diagonals)]
+    for i, j in zip(g[enough].tolist(), np.append(g[1:], len(a))[enough].tolist()):
+        d, t = int(doc[i]), int(number[i])
+        by = i + np.argsort(x[i:j], kind="stable")
+        found = chains(x[by].tolist(), y[by].tolist(), size[by].tolist())
+        bands = sorted({(lo - BAND, hi + BAND) for lo, hi, n in found if n >= SUPPORT * len(index.h[t])})
+        if bands:
+            out += [(d, t, n / len(index.h[t]), n, b, e) for n, b, e in places(index.h[t], w.h[w.at[d] : w.at[d + 1]], bands)]
     return sorted(out)
 
 
@@ -165,7 +211,7 @@ def _scan(index: TemplateIndex):
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_scan(TemplateIndex(templates)), "doc_id bigint, template string, coverage double, matched_words int, start_word int, end_word int, start_byte int, end_byte int")
+    return documents(docs, "doc_id", "text").mapInArrow(_scan(TemplateIndex(templates)), "doc_id bigint, template string, coverage double, matched_words int, start_word int, end_word int, start_byte int, end_byte int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
