@@ -3,7 +3,9 @@
 Every byte becomes a small vector (its folded letter, whether it is a capital, whether it is a symbol); FILTERS learned filters of
 WIDTH bytes slide over the whole text. The text is covered by chunks of CHUNK places that overlap by WIDTH - 1 bytes; in each chunk
 each filter's greatest response is kept, and over the chunks the greatest and the mean go into one logistic probability of being
-clean (good quality and not toxic). Training is Adam on a bounded sample of labelled documents.
+clean (good quality and not toxic). Training is Adam on a bounded sample of labelled documents. One in HELD_OUT of them is held out:
+training stops when their loss hasn't fallen for PATIENCE epochs, the network of least loss counts, and the threshold of keep is
+the one that is right for most of them, both classes weighing the same.
 
 Defined results: (doc_id, probability, keep) for every row. A null or empty text has probability 0. Repeated rows are scored
 each; a null doc_id is scored too; null labels count as good quality and as not toxic; without labels, or with one class only, every
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import table
+from .common import documents, table
 from .quality_rules import STEM, learn_lexicon, stem_hash
 
 DIM = 6
@@ -31,6 +33,8 @@ CHUNK = 2048
 #: Labelled documents that training reads at most, those of least hash, and bytes of one training text per step.
 MAX_TRAIN = 6000
 EPOCHS = 24
+HELD_OUT = 5
+PATIENCE = 3
 _BLOCK = 1 << 15
 
 
@@ -59,6 +63,7 @@ class Network:
     out: np.ndarray  # (2 * FILTERS,): greatest over chunks, mean over chunks
     bias: float
     constant: float | None = None
+    threshold: float = 0.5
 
 
 def chunks_of(size: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,59 +157,95 @@ def _first_filters(texts: list[str], clean: np.ndarray) -> tuple[np.ndarray, np.
     return w / norm, (-0.75 * norm).astype(np.float32)
 
 
+def _peaks(w: np.ndarray, spread: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, response) of each filter's greatest response in each chunk."""
+    top, best = np.zeros((len(first), FILTERS), np.int64), np.zeros((len(first), FILTERS), np.float32)
+    rows, every = np.ascontiguousarray(w.T, np.float32), np.arange(FILTERS)
+    for j, (a, b) in enumerate(zip(first.tolist(), end.tolist())):
+        v = VECTORS[spread[a : b + WIDTH - 1]]
+        z = rows @ np.lib.stride_tricks.as_strided(v, (WIDTH * DIM, b - a), (v.itemsize, DIM * v.itemsize))
+        k = z.argmax(1)
+        top[j], best[j] = a + k, z[every, k]
+    return top, best
+
+
+def loss_and_gradients(params: list[np.ndarray], raws: list[bytes], clean: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted mean cross-entropy of a batch of texts that aren't empty, and its gradient by filters, their offsets, output weights and bias."""
+    raw = np.frombuffer(b"".join(raws), np.uint8)
+    spread, begin = _spread(raw, np.concatenate([[0], np.cumsum([len(r) for r in raws])]))
+    first, end, doc = chunks_of(np.array([len(r) for r in raws]), begin)
+    top, best = _peaks(params[0], spread, first, end)
+    r = np.maximum(best + params[1], 0).astype(np.float64)
+    n = np.bincount(doc, minlength=len(raws))
+    a = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    feat = np.concatenate([np.maximum.reduceat(r, a, axis=0), np.add.reduceat(r, a, axis=0) / n[:, None]], 1)
+    x = np.clip(feat @ params[2] + params[3][0], -40, 40)
+    loss = float((weight * np.where(clean, np.logaddexp(0, -x), np.logaddexp(0, x))).mean())
+    g = (1 / (1 + np.exp(-x)) - clean) * weight / len(raws)
+    is_top = (r == feat[doc][:, :FILTERS]) & (r > 0)
+    dr = g[doc][:, None] * (is_top * params[2][:FILTERS] + params[2][FILTERS:] / n[doc][:, None]) * (r > 0)
+    gw = np.zeros_like(params[0])
+    for f in range(FILTERS):
+        on = np.flatnonzero(dr[:, f])
+        if len(on):
+            gw[:, f] = dr[on, f] @ _windows_at(spread, top[on, f])
+    return loss, [gw, dr.sum(0), feat.T @ g, np.array([g.sum()])]
+
+
+def _network(params: list[np.ndarray]) -> Network:
+    return Network(params[0].astype(np.float32), params[1].astype(np.float32), params[2].copy(), float(params[3][0]))
+
+
+def best_threshold(p: np.ndarray, clean: np.ndarray) -> float:
+    """The probability midway between two neighbours that is right for most, both classes weighing the same; the middle one of the best."""
+    o = np.argsort(p, kind="stable")
+    q, c = p[o], clean[o]
+    right = np.concatenate([[0], np.cumsum(~c)]) / max(1, (~c).sum()) + np.concatenate([np.cumsum(c[::-1])[::-1], [0]]) / max(1, c.sum())
+    between = np.concatenate([[0], (q[1:] + q[:-1]) / 2, [1]])
+    real = np.concatenate([[True], q[1:] != q[:-1], [True]])
+    best = np.flatnonzero(real & (right >= right[real].max() - 1e-12))
+    return float(between[best[len(best) // 2]])
+
+
 def train(texts: list[str], clean: np.ndarray, epochs: int = EPOCHS, batch: int = 24, rate: float = 0.05) -> Network:
     """A network by Adam; both classes weigh the same in the loss."""
     if not len(texts) or clean.all() or not clean.any():
-        return Network(np.zeros((WIDTH * DIM, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), 0.0, float(clean.mean()) if len(texts) else 1.0)
-    w, c = _first_filters(texts, clean)
-    net = Network(w, c, np.full(2 * FILTERS, -0.1), 0.5)
+        return Network(np.zeros((WIDTH * DIM, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS), 0.0, float(clean.mean()) if len(texts) else 1.0, 0.35)
+    held = np.arange(len(texts)) % HELD_OUT == HELD_OUT - 1
+    if not all(clean[part].any() and not clean[part].all() for part in (held, ~held)):
+        held[:] = False  # too few to spare
+    w, c = _first_filters([t for t, h in zip(texts, held) if not h], clean[~held])
     raws = [t.encode() for t in texts]
     weight = np.where(clean, 0.5 / clean.mean(), 0.5 / (1 - clean.mean()))
     rng = np.random.default_rng(3)
-    params = [net.w.astype(np.float64), net.c.astype(np.float64), net.out.copy(), np.array([net.bias])]
+    params = [w.astype(np.float64), c.astype(np.float64), np.full(2 * FILTERS, -0.1), np.array([0.5])]
     moment, square, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    own, judge = np.flatnonzero(~held), np.flatnonzero(held if held.any() else ~held)
+    judged, off = np.frombuffer(b"".join(raws[i] for i in judge), np.uint8), np.concatenate([[0], np.cumsum([len(raws[i]) for i in judge])])
+    least, best, since, p = np.inf, _network(params), 0, np.zeros(len(judge))
     for epoch in range(epochs):
-        order = rng.permutation(len(raws))
+        order = rng.permutation(own)
         for x in range(0, len(order), batch):
             idx = order[x : x + batch]
-            raw = np.frombuffer(b"".join(raws[i] for i in idx), np.uint8)
-            off = np.concatenate([[0], np.cumsum([len(raws[i]) for i in idx])])
-            spread, begin = _spread(raw, off)
-            first, end, doc = chunks_of(np.diff(off), begin)
-            if not len(first):
-                continue
-            top = np.zeros((len(first), FILTERS), np.int64)
-            best = np.zeros((len(first), FILTERS), np.float32)
-            for j, (a, b) in enumerate(zip(first.tolist(), end.tolist())):
-                v = VECTORS[spread[a : b + WIDTH - 1]]
-                z = np.lib.stride_tricks.as_strided(v, (b - a, WIDTH * DIM), (DIM * v.itemsize, v.itemsize)) @ net.w
-                k = z.argmax(0)
-                top[j], best[j] = a + k, z[k, np.arange(FILTERS)]
-            r = np.maximum(best + net.c, 0).astype(np.float64)
-            n = np.bincount(doc, minlength=len(idx))
-            feat = np.zeros((len(idx), 2 * FILTERS))
-            a = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            feat[doc[a], :FILTERS] = np.maximum.reduceat(r, a, axis=0)
-            feat[doc[a], FILTERS:] = np.add.reduceat(r, a, axis=0) / n[doc[a]][:, None]
-            p = 1 / (1 + np.exp(-np.clip(feat @ params[2] + params[3][0], -40, 40)))
-            g = (p - clean[idx]) * weight[idx] / len(idx)
-            is_top = (r == feat[doc][:, :FILTERS]) & (r > 0)
-            dr = g[doc][:, None] * (is_top * params[2][:FILTERS] + params[2][FILTERS:] / np.maximum(n[doc], 1)[:, None]) * (r > 0)
-            gw = np.zeros_like(params[0])
-            for f in range(FILTERS):
-                on = np.flatnonzero(dr[:, f])
-                if len(on):
-                    gw[:, f] = dr[on, f] @ _windows_at(spread, top[on, f])
-            grads = [gw, dr.sum(0), feat.T @ g + 1e-4 * params[2], np.array([g.sum()])]
+            _, grads = loss_and_gradients(params, [raws[i] for i in idx], clean[idx], weight[idx])
+            grads[2] += 1e-4 * params[2]
             t += 1
             step = rate * (0.5 ** (epoch / max(1, epochs / 3)))
             for i, d in enumerate(grads):
                 moment[i] = 0.9 * moment[i] + 0.1 * d
                 square[i] = 0.99 * square[i] + 0.01 * d * d
                 scale = step if i >= 2 else step * 0.3
-                params[i] -= scale * (moment[i] / (1 - 0.9**t)) / (np.sqrt(square[i] / (1 - 0.99**t)) + 1e-8)
-            net.w, net.c, net.out, net.bias = params[0].astype(np.float32), params[1].astype(np.float32), params[2], float(params[3][0])
-    return net
+                params[i] = params[i] - scale * (moment[i] / (1 - 0.9**t)) / (np.sqrt(square[i] / (1 - 0.99**t)) + 1e-8)
+        net = _network(params)
+        q = np.clip(score(net, judged, off), 1e-9, 1 - 1e-9)
+        loss = float((weight[judge] * -np.log(np.where(clean[judge], q, 1 - q))).mean())
+        since += 1
+        if loss < least - 1e-4:
+            least, best, since, p = loss, net, 0, q
+        if since >= PATIENCE:
+            break
+    best.threshold = best_threshold(p, clean[judge])
+    return best
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Network:
@@ -214,7 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Netwo
     return train(rows["text"].to_pylist(), clean)
 
 
-def classify(docs: DataFrame, net: Network, threshold: float = 0.35) -> DataFrame:
+def classify(docs: DataFrame, net: Network, threshold: float | None = None) -> DataFrame:
+    threshold = net.threshold if threshold is None else threshold
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = W.text_buffers(b["text"])
@@ -222,7 +265,7 @@ def classify(docs: DataFrame, net: Network, threshold: float = 0.35) -> DataFram
             p = np.concatenate(p) if p else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(p), pa.array(p >= threshold)], ["doc_id", "probability", "keep"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, probability double, keep boolean")
+    return documents(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, probability double, keep boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import DOC_COLUMNS, table
+from .common import DOC_COLUMNS, documents, table
 
 STATS = ["n_words", "mean_word", "symbol_share", "upper_share", "digit_share", "unique_share", "repeat_share", "line_words", "lexicon_rate"]
 #: Labelled documents that the fit reads at most, those of least hash.
@@ -231,13 +231,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Decis
 
 def judge(docs: DataFrame, model: DecisionList) -> DataFrame:
     """doc_id, the statistics, the rule that rejects the document (null if none) and keep."""
-    s = with_stats(docs.select("doc_id", "text"), ["doc_id"], model.lexicon, "")
+    s = with_stats(documents(docs, "doc_id", "text"), ["doc_id"], model.lexicon, "")
     return s.withColumn("rule", model.column()).withColumn("keep", F.col("rule").isNull())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that no rule rejects."""
-    docs = docs.select(*DOC_COLUMNS)
+    docs = documents(docs, *DOC_COLUMNS)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return with_stats(docs, DOC_COLUMNS, model.lexicon, "_s_").where(model.column("_s_").isNull()).select(*DOC_COLUMNS)
 

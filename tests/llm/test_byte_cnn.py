@@ -53,6 +53,37 @@ def test_responses_are_the_plain_maximum_over_several_blocks():
         assert np.allclose(C.responses(net, spread, first, end), want[:, None])
 
 
+def test_gradients_are_those_of_differences():
+    rng = random.Random(7)
+    raws = [" ".join(prose(rng, n)).encode() for n in (3, 40, 500, 900)]
+    clean, weight = np.array([True, False, True, False]), np.array([0.7, 1.3, 0.7, 1.3])
+    net = random_net(5)
+    params = [net.w.astype(np.float64) * 0.2, net.c.astype(np.float64), net.out * 0.1, np.array([0.1])]
+    loss, grads = C.loss_and_gradients(params, raws, clean, weight)
+    x = C.features(C._network(params), np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])])) @ params[2] + 0.1
+    assert abs(loss - np.mean(weight * np.where(clean, np.log1p(np.exp(-x)), np.log1p(np.exp(x))))) < 1e-4
+    checked = 0
+    for i, p in enumerate(params):
+        for at in np.random.default_rng(i).permutation(p.size)[:25]:
+            step, pair = 1e-2 if i == 0 else 1e-3, []
+            for sign in (1, -1):
+                moved = [q.copy() for q in params]
+                moved[i].ravel()[at] += sign * step
+                pair.append(C.loss_and_gradients(moved, raws, clean, weight)[0])
+            slope = (pair[0] - pair[1]) / (2 * step)
+            assert abs(slope - grads[i].ravel()[at]) <= 2e-4 + 0.05 * abs(slope), (i, at)
+            checked += abs(slope) > 1e-4
+    assert checked > 20
+
+
+def test_the_threshold_is_right_for_most():
+    rng = np.random.default_rng(2)
+    clean = rng.random(200) < 0.7
+    p = np.clip(rng.normal(np.where(clean, 0.7, 0.3), 0.2), 0, 1).round(2)
+    right = lambda t: (p[clean] >= t).mean() + (p[~clean] < t).mean()
+    assert right(C.best_threshold(p, clean)) >= max(right(t) for t in np.linspace(0, 1, 1001)) - 1e-9
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(6)
     texts, labels = corpus(rng, 700)

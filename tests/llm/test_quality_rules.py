@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lotwise.llm import quality_rules as Q
 from lotwise.llm import words as W
@@ -77,6 +78,74 @@ def test_covering_by_brute_force():
     assert c == (Q.STATS[3], ">=", 2.5) and abs(gain - y.sum() * -np.log2(y.mean())) < 1e-9
 
 
+def holds(conditions, row):
+    return all((row[Q.STATS.index(s)] <= t) if op == "<=" else (row[Q.STATS.index(s)] >= t) for s, op, t in conditions)
+
+
+def plain_list(x, y, max_rules=24, precision=0.9, max_conditions=4, least=5):
+    """Sequential covering by loops over all statistics, thresholds and prefixes."""
+    n = len(x)
+    fold = [i % 3 == 2 for i in range(n)]
+    left, grows, rules, failed = set(range(n)), set(range(n)), [], 0
+    while len(rules) < max_rules and failed < 6:
+        inside, conditions = [i for i in sorted(left & grows) if not fold[i]], []
+        while len(conditions) < max_conditions and any(not y[i] for i in inside):
+            pos = sum(y[i] for i in inside)
+            best, found = 0.0, None
+            for s in Q.STATS if pos else []:
+                values = sorted({x[i][Q.STATS.index(s)] for i in inside})
+                for op in ("<=", ">="):
+                    for lo, hi in zip(values, values[1:]):
+                        t = (lo + hi) / 2
+                        covered = [i for i in inside if holds([(s, op, t)], x[i])]
+                        p = sum(y[i] for i in covered)
+                        gain = p * (np.log2(p / len(covered)) - np.log2(pos / len(inside))) if p else 0.0
+                        if gain > best + 1e-12:
+                            best, found = gain, (s, op, t)
+            if found is None:
+                break
+            conditions.append(found)
+            inside = [i for i in inside if holds([found], x[i])]
+        if not conditions:
+            break
+        worth = []
+        for m in range(1, len(conditions) + 1):
+            covered = [i for i in left if fold[i] and holds(conditions[:m], x[i])]
+            p = sum(y[i] for i in covered)
+            worth.append(((2 * p - len(covered)) / len(covered) if covered else -1.0, -m))
+        pruned = conditions[: -max(worth)[1]]
+        covered = [i for i in left if holds(pruned, x[i])]
+        held = [i for i in covered if fold[i]]
+        if len(covered) < least or not held or any(sum(y[i] for i in c) < precision * len(c) for c in (held, covered)):
+            grows -= {i for i in range(n) if holds(conditions, x[i])}
+            failed += 1
+            continue
+        rules.append(pruned)
+        left -= set(covered)
+        if not any(y[i] for i in left):
+            break
+    return rules
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_lists_are_those_of_plain_covering(seed):
+    """Growth, pruning, refused rules and their order, with ties and noise in the labels."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 12, (150, len(Q.STATS))).astype(float)
+    y = ((x[:, 1] >= 9) & (x[:, 4] <= 7)) | (x[:, 6] <= 1) | (x[:, 8] >= 11)
+    y ^= rng.random(150) < 0.06
+    got, want = Q.learn_list(x, y), plain_list(x.tolist(), y.tolist())
+    assert [[(s, op, round(t, 9)) for s, op, t in r.conditions] for r in got] == [[(s, op, round(t, 9)) for s, op, t in r] for r in want]
+
+
+def test_clashing_columns_of_labels(spark):
+    rng = random.Random(4)
+    texts, labels = corpus(rng, 300)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    clash = lab.withColumns({c: Q.F.lit("x") for c in ("text", "_o", "_quality", "_toxic", "lang")})
+    assert Q.fit(table(spark, texts), clash).rules == Q.fit(table(spark, texts), lab).rules
+
+
 def test_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     nulls = spark.createDataFrame([(None, 0, 0), (1, None, None), (1, 1, 0), (3, 0, None), (99, 0, 1)], "doc_id bigint, quality int, toxic int")
