@@ -35,7 +35,9 @@ MAX_TRAIN = 6000
 EPOCHS = 24
 HELD_OUT = 5
 PATIENCE = 3
-_BLOCK = 1 << 15
+_BLOCK = 1 << 13
+#: Columns of one matrix product: too few for the linear algebra library to start threads of its own, which would fight the other tasks for the cores.
+_COLUMNS = 200
 
 
 def _vectors() -> np.ndarray:
@@ -84,6 +86,21 @@ def _spread(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
+_ROWS = np.ascontiguousarray(VECTORS.T)
+
+
+def convolve(w: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """(FILTERS, places) responses of the filters (WIDTH * DIM, FILTERS) at each place of the bytes that has WIDTH bytes from it on."""
+    n = len(raw) - WIDTH + 1
+    v, x, z = _ROWS[:, raw], np.empty((WIDTH * DIM, n), np.float32), np.empty((FILTERS, n), np.float32)
+    for j in range(WIDTH):
+        x[j * DIM : (j + 1) * DIM] = v[:, j : j + n]
+    w = np.ascontiguousarray(w.T, np.float32)
+    for a in range(0, n, _COLUMNS):
+        z[:, a : a + _COLUMNS] = w @ x[:, a : a + _COLUMNS]
+    return z
+
+
 def responses(net: Network, spread: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The greatest response of each filter in each chunk."""
     best = np.full((len(first), FILTERS), -np.inf, np.float32)
@@ -91,16 +108,13 @@ def responses(net: Network, spread: np.ndarray, first: np.ndarray, end: np.ndarr
         return best
     for x in range(0, len(spread) - WIDTH + 1, _BLOCK):
         y = min(x + _BLOCK, len(spread) - WIDTH + 1)
-        v = VECTORS[spread[x : y + WIDTH - 1]]
-        view = np.lib.stride_tricks.as_strided(v, (y - x, WIDTH * DIM), (DIM * v.itemsize, v.itemsize))
-        z = np.concatenate([view @ net.w, np.full((1, FILTERS), -np.inf, np.float32)])  # a last row, so that a chunk may end at the block's end
         a, b = np.searchsorted(end, x, "right"), np.searchsorted(first, y, "left")
         if a >= b:
             continue
+        z = np.concatenate([convolve(net.w, spread[x : y + WIDTH - 1]), np.full((FILTERS, 1), -np.inf, np.float32)], 1)  # a last place, so that a chunk may end at the block's end
         lo, hi = np.maximum(first[a:b], x) - x, np.minimum(end[a:b], y) - x
         cut = np.stack([lo, hi], 1).ravel()
-        m = np.maximum.reduceat(z, cut, axis=0)[::2]
-        best[a:b] = np.maximum(best[a:b], m)
+        best[a:b] = np.maximum(best[a:b], np.maximum.reduceat(z, cut, axis=1)[:, ::2].T)
     return best
 
 
@@ -160,10 +174,9 @@ def _first_filters(texts: list[str], clean: np.ndarray) -> tuple[np.ndarray, np.
 def _peaks(w: np.ndarray, spread: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, response) of each filter's greatest response in each chunk."""
     top, best = np.zeros((len(first), FILTERS), np.int64), np.zeros((len(first), FILTERS), np.float32)
-    rows, every = np.ascontiguousarray(w.T, np.float32), np.arange(FILTERS)
+    every = np.arange(FILTERS)
     for j, (a, b) in enumerate(zip(first.tolist(), end.tolist())):
-        v = VECTORS[spread[a : b + WIDTH - 1]]
-        z = rows @ np.lib.stride_tricks.as_strided(v, (WIDTH * DIM, b - a), (v.itemsize, DIM * v.itemsize))
+        z = convolve(w, spread[a : b + WIDTH - 1])
         k = z.argmax(1)
         top[j], best[j] = a + k, z[every, k]
     return top, best
