@@ -58,6 +58,61 @@ def test_blocks_reach_aliases_and_allows_win(spark):
     assert len(rows) == len(pages) and all(r.blocked == (r.decision in ("block", "alias")) for r in rows)
 
 
+def test_links_are_resolved_against_their_page(spark):
+    page = "http://h.example.com/a/b.html?q=1#x"
+    want = {
+        "other.html": "http://h.example.com/a/other.html", "../x": "http://h.example.com/x", "../../x": "http://h.example.com/x", "./y/../z?k=1": "http://h.example.com/a/z?k=1",
+        "?id=2": "http://h.example.com/a/b.html?id=2", "#top": "http://h.example.com/a/b.html#top", "/r/s/..": "http://h.example.com/r", "//k.example.com/1": "http://k.example.com/1",
+        "https://k.example.com/": "https://k.example.com/", "mailto:x@y": None, "javascript:void(0)": None,
+    }
+    rows = spark.createDataFrame([(t, page) for t in want], "t string, url string").select("t", U.absolute(F.col("t"), F.col("url")).alias("u")).collect()
+    assert {r.t: r.u for r in rows} == want
+    bare = spark.createDataFrame([("x", "http://h.example.com"), ("x", "no-scheme/a")], "t string, url string").select(U.absolute(F.col("t"), F.col("url")).alias("u")).collect()
+    assert [r.u for r in bare] == ["http://h.example.com/x", None]
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_rules_are_tables(spark, most):
+    """Joined by key, broadcast or not, they cover what a plain search over all rules covers."""
+    rng = random.Random(8)
+    hosts = [".".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    urls = sorted({h + "".join("/" + rng.choice("xyz") for _ in range(rng.randrange(4))) + rng.choice(["", "?q=1/2"]) for h in hosts for _ in range(4)})
+    kinds = {k: sorted({h + "".join("/" + rng.choice("xyz") for _ in range(rng.randrange(3))) + rng.choice(["", "/"]) for h in rng.sample(hosts, 12)}) for k in ("block", "allow")}
+
+    def covers(rule, node):
+        path = node.split("?")[0]
+        rule = rule.strip("/")
+        return (path + "/").startswith(rule + "/") if "/" in rule else ("." + path.split("/")[0]).endswith("." + rule)
+
+    tables = [U.rule_keys(spark.createDataFrame([(r, 1) for r in kinds[k]] + [(None, 1), (" ", 1)], "rule string, key int"), spark) for k in ("block", "allow")]
+    got = {r.node: (r.blocked, r.allowed) for r in U.flags(spark.createDataFrame([(u,) for u in urls], "node string"), *tables, most).collect()}
+    for u in urls:
+        assert got.get(u, (False, False)) == tuple(any(covers(r, u) for r in kinds[k]) for k in ("block", "allow")), u
+
+
+def test_colliding_hashes_are_told_apart(spark):
+    nodes = spark.createDataFrame([("ab",), ("cd",), ("efg",)], "node string")
+    number = U.node_id(nodes, F.length("node").cast("bigint"))
+    assert len({r[0] for r in nodes.select(number).collect()}) == 3
+
+
+def test_sql_agrees_on_pages_with_links(spark):
+    import duckdb
+
+    rng = random.Random(5)
+    hosts = ["casino-win.example.com", "free-bets.example.com", "a.example.com", "b.example.com:8080", "www.c.example.com"]
+    url = lambda: rng.choice(["http://", "https://m.", ""]) + rng.choice(hosts) + rng.choice(["", "/", "/fr/x", "/p/q.html", "/p/index.htm", "/p?utm_id=1&k=2", "?ref=a", "/p/?a=1&&b=2#f"])
+    target = lambda: rng.choice([url(), "/p/q", "../x.html", "y?k=2", "//a.example.com/z", "?a=1", "mailto:x", "."])
+    rows = [(i, rng.choice([url(), url(), url(), None]), rng.choice([None, "", link(target()), refresh(target()), link(target()) + refresh(target())])) for i in range(150)]
+    got = sorted(map(str, U.filter_pages(spark, spark.createDataFrame(rows, SCHEMA)).collect()))
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    cur = con.execute(U.SQL)
+    names = [c[0] for c in cur.description]
+    assert got == sorted(str(spark_row) for spark_row in (__import__("pyspark").sql.Row(**dict(zip(names, r))) for r in cur.fetchall()))
+
+
 def test_given_redirects(spark):
     df = spark.createDataFrame([(1, "http://a.example.com", None)], SCHEMA)
     red = spark.createDataFrame([("http://a.example.com/", "http://hop.example.com"), ("http://hop.example.com", "http://bad.example.com/z"), (None, "x"), ("x", None)], "src string, dst string")
