@@ -5,7 +5,7 @@ as two documents share. Grams are winnowed ones of GRAM words, of which any GRAM
 document's smallest-hash word triples (one for each of six hashes, as in operator 10), which survive edits. Pairs are never listed: grams of the same documents become one hub, a hub counts its members in each shard, and
 a document sums over its hubs, so that all partners vote at linear cost. Documents begin in hash shards. In each round half
 of them (by a hash of document and round, so that two neighbours don't just swap places) look for the shard that holds most of their
-neighbours' weight; Spark joins count the votes, and moves are admitted in order of gain, within quotas: flows between two shards may
+neighbours' weight; Spark joins count the votes, and moves are admitted in order of gain (of equal ones by classes of their keys), within quotas: flows between two shards may
 cancel out, and beyond that a shard takes what its capacity (SLACK above the mean) leaves.
 
 Defined results: one row per document (doc_id, shard, size), size being its words; a document is a distinct (doc_id, text),
@@ -23,17 +23,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, doc_key, int64, runs, table
+from .common import Scratch, documents, heavy_hitters, int64, runs, table, whole_groups
 from .simhash_dedup import ROUTES, SHINGLE, routes
 from .simhash_dedup import _grams as triples
 
 SHARDS = 16
 ROUNDS = 8
 SLACK = 0.03
+#: Documents of a gram that come to one task at most, about.
+MOST_HELD = 100_000
+CLASS_BITS = 10
 GRAM = 12
 WINDOW = 39
 
 
+def doc_key() -> F.Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document a row with its size (gram null), its winnowed grams and its smallest-hash triples."""
     for b in batches:
@@ -52,32 +59,39 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of each gram that several have, each once; who is the same for grams of the same documents, first is 1 once a gram."""
-    t = [b for b in batches if b.num_rows]
-    if not t:
-        return
-    t = pa.Table.from_batches(t)
-    h, k = t["h"].to_numpy(), t["k"].to_numpy()
-    o = np.lexsort((k, h))
-    h, k = h[o], k[o]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-    h, k = h[new], k[new]
-    a, e = runs(h)
-    n = e - a
-    who = W.mix(np.add.reduceat(W.mix(k.view(np.uint64)), a) ^ W.mix(n.astype(np.uint64)))
-    several = np.repeat(n > 1, n)
-    first = np.zeros(len(h), np.int64)
-    first[a] = 1
-    yield pa.RecordBatch.from_arrays([pa.array(h[several]), pa.array(k[several]), pa.array(int64(np.repeat(who, n)[several])), pa.array(first[several])], ["h", "k", "who", "first"])
+    """Of sorted grams the documents of each that several have, each once; who is the same for grams of the same documents, first is 1 once a gram."""
+    for t in whole_groups(batches, "h", 1 << 16):
+        h, k = t["h"].to_numpy(), t["k"].to_numpy()
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+        h, k = h[new], k[new]
+        a, e = runs(h)
+        n = e - a
+        who = W.mix(np.add.reduceat(W.mix(k.view(np.uint64)), a) ^ W.mix(n.astype(np.uint64)))
+        several = np.repeat(n > 1, n)
+        first = np.zeros(len(h), np.int64)
+        first[a] = 1
+        yield pa.RecordBatch.from_arrays([pa.array(h[several]), pa.array(k[several]), pa.array(int64(np.repeat(who, n)[several])), pa.array(first[several])], ["h", "k", "who", "first"])
+
+
+def _shared_often(found: DataFrame) -> DataFrame:
+    """The same of grams with too many documents for one task, by aggregates."""
+    held = found.distinct()
+    sums = held.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("s"), F.min("k").alias("least")).where("n > 1")
+    return held.join(F.broadcast(sums), "h").select("h", "k", F.xxhash64("s", "n").alias("who"), (F.col("k") == F.col("least")).cast("bigint").alias("first"))
 
 
 def hubs(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(nodes(k, size), members(g, k, weight)): a hub g stands for the weight grams that exactly its documents k share."""
-    keyed = docs.select("doc_id", "text").withColumn("k", doc_key())
+    keyed = documents(docs, "doc_id", "text").withColumn("k", doc_key())
     found = scratch.save(keyed.select("k", "text").mapInArrow(_scan, "k bigint, h bigint, size bigint"))
     nodes = found.where("h is null").groupBy("k").agg(F.max("size").alias("size"))
-    shared = scratch.save(found.where("h is not null").select("h", "k").repartition("h").mapInArrow(_shared, "h bigint, k bigint, who bigint, first bigint"))
+    grams = found.where("h is not null").select("h", "k")
+    often = heavy_hitters(grams, lambda d: d, MOST_HELD)
+    hot = F.broadcast(spark.createDataFrame([(h,) for h in often.tolist()], "h bigint"))  # bounded by the corpus over MOST_HELD
+    cold = grams.join(hot, "h", "left_anti") if len(often) else grams
+    shared = cold.repartition("h").sortWithinPartitions("h", "k").mapInArrow(_shared, "h bigint, k bigint, who bigint, first bigint")
+    shared = scratch.save(shared.union(_shared_often(grams.join(hot, "h", "left_semi"))) if len(often) else shared)
     one = shared.where("first = 1").groupBy("who").agg(F.min("h").alias("g"), F.count("*").alias("weight"))
     members = shared.select("h", "k").join(one.select("g", "weight"), F.col("h") == F.col("g")).select("g", "k", "weight")
     out = scratch.save(nodes), scratch.save(members)
@@ -119,8 +133,12 @@ def propagate(nodes: DataFrame, links: DataFrame, scratch: Scratch, shards: int
         back = flow.select(F.col("there").alias("shard"), F.col("shard").alias("there"), F.col("flow").alias("back"))
         excess = flow.join(back, ["shard", "there"], "left").withColumn("even", F.least("flow", F.coalesce("back", F.lit(0)))).withColumn("more", F.col("flow") - F.col("even"))
         share = excess.withColumn("_all", F.sum("more").over(Window.partitionBy("there"))).join(load, "there").select("shard", "there", (F.col("even") + F.when(F.col("_all") > 0, F.least(F.col("more"), F.col("room") * F.col("more") / F.col("_all"))).otherwise(0)).alias("quota"))
-        rank = Window.partitionBy("shard", "there").orderBy(F.desc("gain"), "k").rowsBetween(Window.unboundedPreceding, 0)
-        admitted = moves.withColumn("_sum", F.sum("size").over(rank)).join(F.broadcast(share), ["shard", "there"]).where("_sum <= quota").select("k", F.col("there").alias("_to"))
+        # moves of one gain go in classes of their keys' leading bits, so that what is ordered is a short table of sums
+        classed = moves.withColumn("class", F.shiftright("k", 64 - CLASS_BITS))
+        rank = Window.partitionBy("shard", "there").orderBy(F.desc("gain"), "class").rowsBetween(Window.unboundedPreceding, 0)
+        sums = classed.groupBy("shard", "there", "gain", "class").agg(F.sum("size").alias("_of")).withColumn("_sum", F.sum("_of").over(rank))
+        may = sums.join(F.broadcast(share), ["shard", "there"]).where("_sum <= quota").select("shard", "there", "gain", "class")
+        admitted = classed.join(may, ["shard", "there", "gain", "class"], "left_semi").select("k", F.col("there").alias("_to"))
         new = scratch.save(state.join(admitted, "k", "left").select("k", "size", F.coalesce("_to", "shard").alias("shard")))
         scratch.drop(moves, state)
         state = new
@@ -139,7 +157,7 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: i
     scratch = Scratch(spark)
     nodes, members = hubs(spark, docs, scratch)
     state = propagate(nodes, members, scratch, shards, rounds, slack)
-    ids = docs.select("doc_id", "text").select("doc_id", doc_key().alias("k")).distinct()
+    ids = documents(docs, "doc_id", "text").select("doc_id", doc_key().alias("k")).distinct()
     return ids.join(state, "k").select("doc_id", "shard", "size")
 
 

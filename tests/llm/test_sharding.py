@@ -23,15 +23,80 @@ def families(seed, groups=25, size=8):
     return out
 
 
-def test_links_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_links_are_those_of_brute_force(spark, monkeypatch, most):
+    """Every pair of documents and the number of grams that both have, whether a task sees a gram's documents or aggregates count them."""
+    monkeypatch.setattr(H, "MOST_HELD", most)
     rng = random.Random(1)
     base = prose(rng, 120, 10**6)
-    texts = [" ".join(base), " ".join(prose(rng, 30) + base), " ".join(prose(rng, 120, 10**6))]
-    nodes, links = H.graph(spark, table(spark, texts), Scratch(spark))
-    assert nodes.count() == 3 and links.count() == 1
-    grams = lambda t: {tuple(t.split()[i : i + H.GRAM]) for i in range(len(t.split()) - H.GRAM + 1)}
-    weight = links.first()["weight"]
-    assert 1 <= weight <= len(grams(texts[0]) & grams(texts[1]))
+    texts = [" ".join(base), " ".join(prose(rng, 30) + base), " ".join(prose(rng, 120, 10**6)), *families(7, groups=5, size=4), " ".join(base)]
+    df = table(spark, texts)
+    nodes, links = H.graph(spark, df, Scratch(spark))
+    key = [r.k for r in df.select("doc_id", H.doc_key().alias("k")).orderBy("doc_id").collect()]
+    g = grams_of(texts)
+    want = {}
+    for i in range(len(texts)):
+        for j in range(i):
+            if g[i] & g[j]:
+                want[tuple(sorted((key[i], key[j])))] = len(g[i] & g[j])
+    assert {(r.a, r.b): r.weight for r in links.collect()} == want and len(want) > 30 and nodes.count() == len(texts)
+
+
+def plain_rounds(spark, size, links, shards, rounds, slack):
+    """The propagation in loops; hashes come from Spark."""
+    keys = sorted(size)
+    rows = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    hashed = lambda *c: {r.k: r.h for r in rows.select("k", H.F.xxhash64(*c).alias("h")).collect()}
+    own = hashed("k")
+    shard = {k: own[k] % shards for k in keys}
+    near = {k: [] for k in keys}
+    for a, b, w in links:
+        near[a].append((b, w))
+        near[b].append((a, w))
+    room = sum(size.values()) / shards * (1 + slack)
+    for r in range(rounds):
+        active = hashed("k", H.F.lit(r))
+        moves = []
+        for k in keys:
+            if near[k] and active[k] % 2 == 0:
+                votes = Counter({shard[k]: 0})
+                for o, w in near[k]:
+                    votes[shard[o]] += w
+                w, minus = max((w, -s) for s, w in votes.items())
+                if w > votes[shard[k]] and -minus != shard[k]:
+                    moves.append((shard[k], -minus, w - votes[shard[k]], k >> (64 - H.CLASS_BITS), k))
+        flow = Counter()
+        for s, t, *_, k in moves:
+            flow[s, t] += size[k]
+        load = Counter()
+        for k in keys:
+            load[shard[k]] += size[k]
+        more = {p: flow[p] - min(flow[p], flow[p[1], p[0]]) for p in flow}
+        quota = {}
+        for (s, t), m in more.items():
+            into = sum(v for (_, x), v in more.items() if x == t)
+            free = max(room - load[t], 0.0)
+            quota[s, t] = flow[s, t] - m + (min(m, free * m / into) if into else 0)
+        new = dict(shard)
+        for p in flow:
+            total = 0
+            mine = sorted((m for m in moves if m[:2] == p), key=lambda m: (-m[2], m[3]))
+            for at, m in enumerate(mine):
+                if at == 0 or m[2:4] != mine[at - 1][2:4]:
+                    total += sum(size[o[4]] for o in mine if o[2:4] == m[2:4])
+                if total <= quota[p]:
+                    new[m[4]] = p[1]
+        shard = new
+    return shard
+
+
+@pytest.mark.parametrize("seed,rounds", [(0, 1), (1, 4)])
+def test_rounds_are_those_of_a_plain_propagation(spark, seed, rounds):
+    scratch = Scratch(spark)
+    nodes, links = H.graph(spark, table(spark, families(seed, groups=12)), scratch)
+    size = {r.k: r.size for r in nodes.collect()}
+    got = {r.k: r.shard for r in H.propagate(nodes, links, scratch, shards=4, rounds=rounds, slack=0.1).collect()}
+    assert got == plain_rounds(spark, size, [tuple(r) for r in links.select("a", "b", "weight").collect()], 4, rounds, 0.1)
 
 
 @pytest.mark.parametrize("seed", range(2))
