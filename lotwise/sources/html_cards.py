@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -36,7 +37,7 @@ class Node:
                 elif p.tag not in skip:
                     yield from walk(p)
 
-        return " ".join(" ".join(walk(self)).split()) or None
+        return re.sub(r"\s+", " ", " ".join(walk(self))).strip() or None
 
 
 class _Tree(HTMLParser):
