@@ -175,11 +175,23 @@ def mentions_set(title: Column | str, set_id: Column | str) -> Column:
     return F.coalesce(filled(set_id).isNotNull() & F.regexp_like(F.coalesce(col(title), F.lit("")), F.concat(F.lit("(?i)"), _bounded(col(set_id)))), F.lit(False))
 
 
-def title_ref(title: Column | str, set_id: Column | str, code: Column | str) -> Column:
-    """Struct (ok, reason): set, white space, number, slash and a total, in this order."""
+def title_refs(title: Column | str) -> Column:
+    """All "set|number" of a title, sets in lower case: what stands before white space, a number, a slash and a total, from any place on that
+    has no letter or digit before it. They answer title_ref() for sets without white space by a look-up."""
+    t = F.lower(F.coalesce(col(title), F.lit("")))
+    found = r"(?<![a-z0-9])(?=([a-z0-9]\S*)\s+0*(\d+)\s*/\s*[a-z0-9-]+)"
+    part = lambda i: F.regexp_extract_all(t, F.lit(found), F.lit(i))
+    return F.zip_with(part(1), part(2), lambda s, n: F.concat(s, F.lit("|"), strip_zeros(n)))
+
+
+def title_ref(title: Column | str, set_id: Column | str, code: Column | str, refs: Column | None = None) -> Column:
+    """Struct (ok, reason): set, white space, number, slash and a total, in this order. refs are the title's title_refs(), if known."""
     clean, padded = number_parts(code)
     pattern = F.concat(F.lit("(?i)"), _bounded(col(set_id)), F.lit(r"\s+0*"), clean, F.lit(r"\s*/\s*[A-Za-z0-9-]+"))
     hit = F.regexp_like(F.coalesce(col(title), F.lit("")), pattern)
+    if refs is not None:  # a pattern made per pair is compiled per pair
+        plain = col(set_id).rlike(r"^[A-Za-z0-9]([A-Za-z0-9._+-]*[A-Za-z0-9])?$")
+        hit = F.when(plain, F.array_contains(refs, F.concat(F.lower(col(set_id)), F.lit("|"), clean))).otherwise(hit)
     reason = (
         F.when(filled(set_id).isNull(), "missing_set_id")
         .when(clean == "0", "missing_card_code")

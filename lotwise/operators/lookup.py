@@ -10,6 +10,8 @@ from ..functions.values import filled, first_filled, truthy
 
 #: Rows up to which an alias table is broadcast; a larger one is joined by word instead.
 MOST_BROADCAST = 100_000
+#: The least share of a lookup's words that lookup_score() gives anything for.
+NAME_SHARE = 0.65
 
 
 def alias_table(aliases: DataFrame, set_names: DataFrame | None = None) -> DataFrame:
@@ -32,12 +34,15 @@ def match_alias(texts: DataFrame, aliases: DataFrame, key: str, text: Column | s
 
 
 def _contained(t: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    aliases = aliases.where("alias_key <> ''")
     small = len(aliases.select("alias_key").take(MOST_BROADCAST + 1)) <= MOST_BROADCAST
     if small:
         pairs = t.join(F.broadcast(aliases), F.contains("_t", F.col("alias_key")))
-    else:  # every alias is found by its first three signs
-        grams = t.select(key, "_t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t") - 2)), lambda i: F.col("_t").substr(i, F.lit(3))))).alias("_g"))
-        pairs = grams.join(aliases.withColumn("_g", F.substring("alias_key", 1, 3)), "_g").where(F.contains("_t", F.col("alias_key")))
+    else:  # every alias is found by its first three signs, or all of fewer
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t") - (n - 1))), lambda i: F.col("_t").substr(i, F.lit(n)))
+        short = [n for n in (1, 2) if not aliases.where(F.length("alias_key") == n).isEmpty()]
+        cut = t.select(key, "_t", F.explode(F.array_distinct(F.concat(*[grams(n) for n in (*short, 3)]))).alias("_g"))
+        pairs = cut.join(aliases.withColumn("_g", F.substring("alias_key", 1, 3)), "_g").where(F.contains("_t", F.col("alias_key")))
     score = F.struct(F.length("alias_key").alias("l"), (F.lower("confidence") == "high").cast("int").alias("h"), F.col("alias_key").alias("k"), F.col("set_id").alias("s"))
     best = pairs.groupBy(key).agg(F.max_by(F.struct("set_id", "alias", "alias_key"), score).alias("_b"))
     return best.select(key, "_b.*")
@@ -72,20 +77,21 @@ def lookup_score(record: dict[str, Column], wanted: dict[str, Column], name_scor
 
 
 def lookup(records: DataFrame, lookups: DataFrame, k: int = 5) -> DataFrame:
-    """The k best records for each lookup. A record can only score by an equal id or an equal number, so three equi-joins make the
-    candidates and no pair is scored twice. Ties go by language, having a product, a Japanese index, and row id."""
+    """The k best records for each lookup. A record can only score by an equal id, by set and number, or by number and name; equi-joins make
+    the candidates of each, and no pair is scored twice. Ties go by language, having a product, a Japanese index, and row id."""
     record_cols = ["product_id", "canonical_id", "card_id", "set_id", "card_code", "name", "name_en", "name_ja", "product_name", "index_name", "language", "row_id"]
     # folding and splitting run once per row, in Arrow batches and before the pairing; what compares them stays in the JVM
     r = records.select(*[F.col(c).alias(f"r_{c}") for c in record_cols], X.card_number("card_code").alias("_rn"), X.match_set("set_id").alias("_rs"), *[filled(X.lookup_key(c)).alias(f"_k_r_{c}") for c in ("name", "name_en", "name_ja")], X.tokens("name", "name_en", "name_ja", "product_name").alias("_tr"), X.tokens("set_id", "product_name", "card_id").alias("_sr"))
     wanted_cols = ["lookup_id", "product_id", "canonical_id", "card_id", "set_id", "card_code", "subject", "title", "language", "label"]
     q = lookups.select(*[F.col(c).alias(f"q_{c}") for c in wanted_cols], X.card_number("card_code").alias("_qn"), X.match_set("set_id").alias("_qs"), filled(X.lookup_key("subject")).alias("_k_q_subject"), X.tokens("subject").alias("_tq"), X.tokens("title").alias("_sq"))
-    ways = [(F.col("_rn") == F.col("_qn")) & (F.col("_qs").isNull() | (F.col("_rs") == F.col("_qs"))), F.col("r_product_id") == F.col("q_product_id"), F.col("r_card_id") == F.col("q_card_id"), F.col("r_canonical_id") == F.col("q_canonical_id")]
-    pairs = None
-    for i, on in enumerate(ways):
-        p = r.join(q, on)
-        for earlier in ways[:i]:
-            p = p.where(~F.coalesce(earlier, F.lit(False)))
+    ids = [F.col(f"r_{c}") == F.col(f"q_{c}") for c in ("product_id", "card_id", "canonical_id")]
+    pairs, by_id = None, F.lit(False)
+    for on in ids:
+        p = r.join(q, on).where(~by_id)
+        by_id = by_id | F.coalesce(on, F.lit(False))
         pairs = p if pairs is None else pairs.union(p)
+    pairs = pairs.union(r.join(q, (F.col("_rn") == F.col("_qn")) & (F.col("_rs") == F.col("_qs"))).where(~by_id))
+    pairs = pairs.union(_by_name(r, q.where("_qs is null and _qn is not null")).where(~by_id))
     name_score = X.subject_similarity(F.array_compact(F.array("_k_q_subject")), F.array_compact(F.array("_k_r_name", "_k_r_name_en", "_k_r_name_ja")), F.col("_tq"), F.col("_tr"))
     title_score = X.overlap(F.col("_sq"), F.col("_sr"))
     fields = ("product_id", "canonical_id", "card_id")
@@ -97,6 +103,30 @@ def lookup(records: DataFrame, lookups: DataFrame, k: int = 5) -> DataFrame:
     return good.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q_lookup_id").alias("lookup_id"), "rank", "score", F.col("r_row_id").alias("row_id"), F.col("r_card_id").alias("card_id"), F.col("r_index_name").alias("index_name"))
 
 
+def _by_name(r: DataFrame, q: DataFrame) -> DataFrame:
+    """Pairs of one number whose names can score: NAME_SHARE of the lookup's words are the record's, or a key of one holds a key of the other.
+    So many of a lookup's words are asked for (its longest) that one of them is shared if enough are; keys are found by three signs."""
+    n = F.size("_tq")
+    needed = F.greatest(F.lit(1), F.ceil(n * NAME_SHARE - 1e-9).cast("int"))
+    longest = F.array_sort(F.transform("_tq", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    q = q.withColumn("_ask", F.coalesce(F.transform(F.slice(longest, 1, F.greatest(n - needed + 1, F.lit(0))), lambda x: x["w"]), F.array().cast("array<string>")))
+    long = lambda *cs: F.filter(F.array_compact(F.array(*cs)), lambda k: F.length(k) >= 3)
+    grams = lambda keys: F.array_distinct(F.flatten(F.transform(keys, lambda k: F.transform(F.sequence(F.lit(1), F.length(k) - 2), lambda i: F.substr(k, i, F.lit(3))))))
+    heads = lambda keys: F.array_distinct(F.transform(keys, lambda k: F.substr(k, F.lit(1), F.lit(3))))
+    rk, qk = long("_k_r_name", "_k_r_name_en", "_k_r_name_ja"), long("_k_q_subject")
+    holds = lambda a, b: F.exists(a, lambda x: F.exists(b, lambda y: F.contains(x, y)))
+    words = F.size(F.array_intersect("_ask", F.coalesce("_tr", F.array().cast("array<string>")))) > 0
+
+    def joined(rs: Column, qs: Column) -> DataFrame:
+        """Pairs that share a number and one of these texts, each once."""
+        left, right = r.withColumn("_a", rs).withColumn("_g", F.explode("_a")), q.withColumn("_b", qs).withColumn("_h", F.explode("_b"))
+        return left.join(right, (F.col("_rn") == F.col("_qn")) & (F.col("_g") == F.col("_h"))).where(F.get(F.array_intersect("_b", "_a"), F.lit(0)) == F.col("_g")).drop("_a", "_b", "_g", "_h")
+
+    out = joined(F.col("_tr"), F.col("_ask"))
+    out = out.union(joined(grams(rk), heads(qk)).where(~words & holds(rk, qk)))
+    return out.union(joined(heads(rk), grams(qk)).where(~words & ~holds(rk, qk) & holds(qk, rk))).drop("_ask")
+
+
 def label_lookup(texts: DataFrame, aliases: DataFrame, records: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(status per label, hits) of label texts (label_id, text): the set by alias or by its own code, the number from the text. Only
     labels with both are looked up; the others are insufficient_lookup_keys."""

@@ -5,6 +5,11 @@ checks the pattern on its survivors only."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,26 +18,49 @@ from ..functions.values import filled, strip_zeros, truthy
 from .records import mode_first_seen
 
 
+#: What is read of an item of a search page, under the names that it has in the payload.
+_ITEM = {"id": "string", "name": "string", "thumbnailUrl": "string", "imageUrl": "string", "image": "string", "minPrice": "double", "minPriceFormat": "string", "listingCount": "bigint", "allListingCount": "bigint", "offerCount": "bigint", "isTradingCard": "boolean"}
+
+
 def page_items(data: Column | str) -> tuple[Column, Column]:
-    """(items, total) of a result page: both item arrays one after the other, the first count that is given."""
-    d = F.col(data) if isinstance(data, str) else data
-    none = F.array().cast("array<struct<id:string,name:string,thumbnail:string,min_price:double,min_price_format:string,is_trading_card:boolean>>")
-    return F.concat(F.coalesce(d["singles"], none), F.coalesce(d["products"], none)), F.coalesce(d["single_count"], d["product_count"])
+    """(items, total) of a result page (JSON text): both item arrays one after the other, the first count that is given. What isn't an array is
+    none, fields of another kind and a total that is no number are null."""
+    page = F.try_parse_json(F.col(data) if isinstance(data, str) else data)
+    none = F.array().cast("array<variant>")
+    both = F.concat(*[F.coalesce(F.try_variant_get(page, f"$.{k}", "array<variant>"), none) for k in ("streetwears", "products")])
+    both = F.filter(both, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    items = F.transform(both, lambda x: F.struct(*[F.try_variant_get(x, f"$.{k}", kind).alias(k) for k, kind in _ITEM.items()]))
+    count = F.coalesce(*[F.try_variant_get(page, f"$.{k}", "string") for k in ("streetwearCount", "productCount")])
+    return items, count.try_cast("double").cast("bigint")
 
 
 def valid_pages(pages: DataFrame) -> DataFrame:
-    """Cached pages that can be used: status 200 and data present."""
-    return pages.where((F.col("status_code") == 200) & F.col("data").isNotNull())
+    """Cached pages that can be used: status 200 and an object as data."""
+    return pages.where((F.col("status_code") == 200) & F.col("data").rlike(r"^\s*\{"))
 
 
 def products_of(pages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Products of result pages: trading cards (or unmarked) with id and name, the first row of each id within the keys."""
     items, _ = page_items("data")
     rows = valid_pages(pages).select(*keys, *[o for o in order if o not in keys], F.posexplode(items).alias("_pos", "_item"))
-    rows = rows.where(~F.col("_item.is_trading_card").eqNullSafe(F.lit(False)) & truthy("_item.id") & truthy("_item.name"))
-    w = Window.partitionBy(*keys, "_item.id").orderBy(*order, "_pos")
+    item = lambda c: F.col(f"_item.{c}")
+    rows = rows.withColumn("product_id", F.trim(item("id"))).withColumn("product_name", F.trim(item("name")))
+    rows = rows.where(~item("isTradingCard").eqNullSafe(F.lit(False)) & truthy("product_id") & truthy("product_name"))
+    w = Window.partitionBy(*keys, "product_id").orderBy(*order, "_pos")
     first = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return first.select(*keys, F.col("_item.id").alias("product_id"), F.col("_item.name").alias("product_name"), F.col("_item.thumbnail").alias("thumbnail_url"), "_item.min_price", "_item.min_price_format")
+    return first.select(
+        *keys, "product_id", "product_name", F.coalesce(filled(item("thumbnailUrl")), filled(item("imageUrl")), filled(item("image")), F.lit("")).alias("thumbnail_url"),
+        item("minPrice").alias("min_price"), item("minPriceFormat").alias("min_price_format"), item("listingCount").alias("listing_count"), item("allListingCount").alias("all_listing_count"), item("offerCount").alias("offer_count"),
+    )
+
+
+def page_totals(pages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, pages_seen, cache_hits, errors, total_count, rows): what a search saw; total_count is that of the last page that gives one."""
+    items, total = page_items("data")
+    usable = (F.col("status_code") == 200) & F.col("data").rlike(r"^\s*\{")
+    cached = F.coalesce("from_cache", F.lit(False)) if "from_cache" in pages.columns else F.lit(False)
+    p = pages.select(*keys, F.struct(*order).alias("_o"), cached.cast("int").alias("_hit"), usable.alias("_ok"), F.when(usable, total).alias("_total"), F.when(usable, F.size(items)).otherwise(0).alias("_n"))
+    return p.groupBy(*keys).agg(F.count("*").alias("pages_seen"), F.sum("_hit").alias("cache_hits"), F.count_if(~F.coalesce("_ok", F.lit(False))).alias("errors"), F.max_by("_total", F.when(F.col("_total").isNotNull(), F.col("_o"))).alias("total_count"), F.sum("_n").alias("rows"))
 
 
 def first_keyword_with_hits(hits: DataFrame, key: str = "card_code", rank: str = "keyword_rank", product: str = "product_id", order: str = "ordinal") -> DataFrame:
@@ -96,8 +124,8 @@ def match_by_reference(cards: DataFrame, products: DataFrame) -> DataFrame:
     c = cards.where(truthy("set_id") & truthy("card_code"))
     # a match needs its number right before a slash, so the numerators of a title are a join key beside the set
     tops = F.array_distinct(F.transform(F.regexp_extract_all("product_name", F.lit(r"(\d+)\s*/"), F.lit(1)), strip_zeros))
-    p = products.withColumnRenamed("set_id", "_set").where(~X.foreign_language("product_name")).withColumn("_top", F.explode(tops))
-    ref = X.title_ref("product_name", "set_id", "card_code")
+    p = products.withColumnRenamed("set_id", "_set").where(~X.foreign_language("product_name")).withColumn("_refs", X.title_refs("product_name")).withColumn("_top", F.explode(tops))
+    ref = X.title_ref("product_name", "set_id", "card_code", F.col("_refs"))
     pairs = c.join(p, (F.col("set_id") == F.col("_set")) & (X.number_parts("card_code")[0] == F.col("_top"))).withColumn("_ref", ref).where("_ref.ok")
     found = pairs.withColumn("_reasons", F.array("_ref.reason")).groupBy("card_id").agg(F.array_sort(F.collect_list(_product_struct())).alias("_verified"))
     out = c.join(found, "card_id", "left")
@@ -147,13 +175,14 @@ def judge_candidates(cards: DataFrame, products: DataFrame, order: str = "ordina
     c = cards.join(base, F.col("card_code") == F.col("_bcode"), "left").withColumn("_rarity", X.normalize_rarity("rarity"))
     expected = F.when(F.col("_rarity") == "SP CARD", F.col("base_rarity")).otherwise(F.col("_rarity"))
     c = c.withColumn("_expected", expected).withColumn("_kind", X.variant_kind("rarity", "name", "image_url")).withColumn("_local", X.image_suffix("image_url"))
-    p = products.withColumnRenamed("card_code", "_code")
-    j = c.join(p, F.col("card_code") == F.col("_code")).withColumn("_t", X.parse_title("product_name", "card_code")).withColumn("_remote", X.thumbnail_suffix("thumbnail_url"))
+    c = c.withColumn("_name", X.normalize_name(F.coalesce(filled("name"), F.col("name_en"))))
+    # what depends on one side only is worked out before the pairing
+    p = products.withColumnRenamed("card_code", "_code").withColumn("_t", X.parse_title("product_name", "_code")).withColumn("_remote", X.thumbnail_suffix("thumbnail_url")).withColumn("_seen", X.thumbnail_language("thumbnail_url"))
+    j = c.join(p, F.col("card_code") == F.col("_code"))
     t = F.col("_t")
     variant = gates(F.col("_kind"), F.col("_local"), F.col("_remote"), t)
-    local_name = X.normalize_name(F.coalesce(filled("name"), F.col("name_en")))
-    language = F.when(~F.lower("language").eqNullSafe("en"), "language_not_constrained").when(t["language"] == "en", "title_language_en").when(X.thumbnail_language("thumbnail_url") == "en", "thumbnail_language_en")
-    named = (local_name != "") & (local_name == t["name_prefix_normalized"])
+    language = F.when(~F.lower("language").eqNullSafe("en"), "language_not_constrained").when(t["language"] == "en", "title_language_en").when(F.col("_seen") == "en", "thumbnail_language_en")
+    named = (F.col("_name") != "") & (F.col("_name") == t["name_prefix_normalized"])
     rarity_ok = F.coalesce(t["base_rarity"] == F.col("_expected"), F.lit(False))
     j = j.withColumn("_language", language).withColumn("_v", variant)
     failed = (
@@ -202,6 +231,62 @@ def match_by_gates(cards: DataFrame, products: DataFrame, searches: DataFrame |
     )
 
 
+def best_overlap(texts: DataFrame, items: DataFrame, key: str, item: str, cells: int = 64_000_000) -> DataFrame:
+    """(key, item, shared, similarity): for each row of texts(key, words) the row of items(item, words) that shares the greatest part of the smaller
+    word set, of equals the least item; words are arrays of distinct words, and rows that share none give none. Items go in
+    blocks of at most about `cells` cells of word and item, each a matrix that goes along with one pass over the texts."""
+    spark = texts.sparkSession
+    size, terms = items.agg(F.count("*"), F.sum(F.size("words"))).first()
+    n = max(1, -(-size * (terms or 0) // cells)) if size else 0
+    blocks = 1
+    while blocks * blocks < n:  # a block has fewer words as well as fewer items
+        blocks += 1
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((texts, key), (items, item))}
+    schema = f"{key} {kinds[key]}, {item} {kinds[item]}, shared bigint, similarity double"
+    out = spark.createDataFrame([], schema)
+    for b in range(blocks if size else 0):
+        t = items.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).select(item, "words").orderBy(item).toArrow()
+        if t.num_rows:
+            out = out.union(texts.select(key, "words").mapInArrow(_overlaps(t, key, item), schema))
+    if blocks == 1:
+        return out
+    best = out.groupBy(key).agg(F.max_by(F.struct(item, "shared", "similarity"), F.struct("similarity", (-F.col(item)).alias("i"))).alias("_b"))
+    return best.select(key, "_b.*")
+
+
+def _overlaps(items: pa.Table, key: str, item: str):
+    held = items["words"].combine_chunks()
+    words = pc.unique(held.flatten())
+    ids = items[item].combine_chunks()
+    length = pc.list_value_length(held).fill_null(0).to_numpy(zero_copy_only=False)
+    cell = np.zeros((len(words) + 1, len(ids)), np.float32)  # the last row is for words that no item has
+    cell[pc.index_in(held.flatten(), words).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), length)] = 1
+    cell[-1] = 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in range(0, b.num_rows, 256):
+                part = b.slice(x, 256)
+                own = pc.list_value_length(part["words"]).fill_null(0).to_numpy(zero_copy_only=False)
+                at = pc.fill_null(pc.index_in(part["words"].flatten(), words), len(words)).to_numpy(zero_copy_only=False)
+                some = np.flatnonzero(own > 0)
+                if not len(some):
+                    continue
+                seen = at < len(words)  # most words of a text are no item's
+                doc = np.repeat(np.arange(len(own)), own)[seen]
+                if not len(doc):
+                    continue
+                begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                shared = np.add.reduceat(cell[at[seen]], begin, axis=0)
+                row = doc[begin]
+                share = np.round(shared.astype(np.float64) / np.minimum(own[row][:, None], np.maximum(length, 1)[None, :]), 9)
+                k = share.argmax(1)
+                n = shared[np.arange(len(row)), k].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part[key].take(pa.array(row)), ids.take(pa.array(k)), pa.array(n), pa.array(share[np.arange(len(row)), k])], [key, item, "shared", "similarity"])
+
+    return run
+
+
 def tally(values: Column | str) -> Column:
     """Map of each distinct text of an array to its number, sorted by text."""
     a = F.col(values) if isinstance(values, str) else values

@@ -1,7 +1,8 @@
 """Exact inner-product search over vector tables: per-index and merged top-k.
 
-Queries are few and go to the vectors: a block of queries of checked size is sent along with the scan, every Arrow batch is one
-matrix product, and only the best k of a batch per index and query leave it. Larger query tables go block by block."""
+Few queries (a checked size) go to the vectors: they are sent along with the scan, every Arrow batch is one matrix product, and only the
+best k of a batch per index and query leave it. Larger query tables are cut into blocks, as are the vectors; every block of queries
+meets every block of vectors in a task of its own, so that none of them passes the driver and a task holds two blocks."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers in a block of queries that goes along with a scan.
+#: Numbers of a block of queries or vectors; queries of fewer go along with the scan.
 BLOCK_NUMBERS = 4_000_000
 _STEP = 1024
 
@@ -28,11 +29,12 @@ def normalize(v: Column | str) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(v)
 
 
-def _matrix(col: pa.Array, width: int) -> np.ndarray:
+def _matrix(col: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _top(ids: list, q: np.ndarray, k: int, index: str, row: str, vector: str):
+def _top(ids: np.ndarray, q: np.ndarray, k: int, index: str, row: str, vector: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = b[vector].is_valid()
@@ -52,7 +54,7 @@ def _top(ids: list, q: np.ndarray, k: int, index: str, row: str, vector: str):
                     else:
                         keep = np.ones(s.shape, bool)
                     i, j = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[x + j], pa.int64()), b[index].take(pa.array(at[i])), pa.array(row_id[at[i]], pa.int64()), pa.array(s[i, j])], ["query_id", "index_name", "row_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x + j], pa.int64()), b[index].take(pa.array(at[i])), pa.array(row_id[at[i]], pa.int64()), pa.array(s[i, j])], ["query_id", "index_name", "row_id", "score"])
 
     return run
 
@@ -64,27 +66,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, index: str = "index_n
     kind = dict(vectors.dtypes)[index]
     schema = f"query_id bigint, index_name {kind}, row_id bigint, score double"
     slim = vectors.select(F.col(index).alias("index_name"), F.col(row).cast("bigint").alias("row_id"), F.col(vector).alias("embedding"))
-    out, ids, rows = None, [], []
-
-    def scan() -> None:
-        nonlocal out
-        found = slim.mapInArrow(_top(list(ids), np.array(rows, np.float64), k, "index_name", "row_id", "embedding"), schema)
-        out = found if out is None else out.union(found)
-
-    for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) * len(r[1]) >= BLOCK_NUMBERS:
-            scan()
-            ids, rows = [], []
-    if ids:
-        scan()
-    if out is None:
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vector").where("vector is not null")
+    n, width = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if not n:
         return spark.createDataFrame([], schema + ", index_rank int")
+    if n * width <= BLOCK_NUMBERS:
+        t = asked.toArrow()
+        out = slim.mapInArrow(_top(t["query_id"].to_numpy(), _matrix(t["vector"].combine_chunks(), width), k, "index_name", "row_id", "embedding"), schema)
+    else:
+        out = _blocks(slim, asked, n, width, k, schema)
     w = Window.partitionBy("query_id", "index_name").orderBy(F.desc("score"), "row_id")
     return out.withColumn("score", F.round("score", digits)).withColumn("index_rank", F.row_number().over(w)).where(F.col("index_rank") <= k)
 
 
+def _blocks(slim: DataFrame, asked: DataFrame, n: int, width: int, k: int, schema: str) -> DataFrame:
+    """The best k of each block of vectors for each query: the blocks meet pairwise in cogroups."""
+    of = lambda rows: max(1, -(-rows * width // BLOCK_NUMBERS))
+    n_q, n_v = of(n), of(slim.count())
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    v = slim.where("embedding is not null").withColumn("_v", F.pmod(F.xxhash64("row_id"), F.lit(n_v)).cast("int")).withColumn("_q", every(n_q))
+    q = asked.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("_v", every(n_v))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            top = _top(right["query_id"].to_numpy(), _matrix(right["vector"].combine_chunks(), width), k, "index_name", "row_id", "embedding")
+            found = list(top(left.select(["index_name", "row_id", "embedding"]).combine_chunks().to_batches()))
+        none = pa.table({"query_id": pa.array([], pa.int64()), "index_name": pa.array([], left.schema.field("index_name").type), "row_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return pa.Table.from_batches(found) if found else none
+
+    return v.groupBy("_q", "_v").cogroup(q.groupBy("_q", "_v")).applyInArrow(meet, schema)
+
+
 def merge(hits: DataFrame, k: int, index_order: list[str] | None = None) -> DataFrame:
     """Best k over all indexes with their rank; equal scores keep index order (given, else by name) and index rank."""
     place = F.col("index_name")

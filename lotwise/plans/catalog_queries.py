@@ -464,21 +464,10 @@ p AS (SELECT doc_id, item_id, count(*) AS shared, count(*) / least(max(d.n), max
 SELECT doc_id, item_id, shared, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(similarity, 9) DESC, item_id) AS k FROM p) WHERE k = 1"""
 )
 def q26_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar test item of each document by the overlap of its words: a short list of items goes along with the
-    documents, a longer one is joined word by word."""
-    words = lambda df, key: df.select(key, F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(X.ascii_fold(F.col("text"))), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*[F.lit(s) for s in X.STOP])).alias("t")).select(key, F.explode("t").alias("w"), F.size("t").alias(f"{key}_n"))
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    if len(items.select("item_id").take(2001)) <= 2000:
-        d, b = words(docs, "doc_id"), words(items, "item_id")
-        listed = b.groupBy("item_id").agg(F.collect_set("w").alias("_t"), F.first("item_id_n").alias("_b"))
-        bag = d.groupBy("doc_id").agg(F.collect_set("w").alias("_d"), F.first("doc_id_n").alias("_a"))
-        p = bag.crossJoin(F.broadcast(listed)).select("doc_id", "item_id", "_a", "_b", F.size(F.array_intersect("_t", "_d")).cast("bigint").alias("shared")).where("shared > 0")
-    else:
-        d, b = words(docs, "doc_id"), words(items, "item_id")
-        p = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.max("doc_id_n").alias("_a"), F.max("item_id_n").alias("_b"))
-    p = p.withColumn("similarity", F.round(F.col("shared") / F.least("_a", "_b"), 9))
-    best = p.groupBy("doc_id").agg(F.max_by(F.struct("item_id", "shared", "similarity"), F.struct("similarity", (-F.col("item_id")).alias("i"))).alias("_b"))
-    return best.select("doc_id", "_b.item_id", "_b.shared", F.round("_b.similarity", 6).alias("similarity"))
+    """The most similar test item of each document by the overlap of its words."""
+    words = lambda df, key: df.select(key, F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(X.ascii_fold(F.col("text"))), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*[F.lit(s) for s in X.STOP])).alias("words"))
+    best = matching.best_overlap(words(table(spark, sf_dir, "documents"), "doc_id"), words(table(spark, sf_dir, "benchmark"), "item_id"), "doc_id", "item_id")
+    return best.select("doc_id", "item_id", "shared", F.round("similarity", 6).alias("similarity"))
 
 
 @query(

@@ -134,11 +134,10 @@ def with_source(df: DataFrame) -> DataFrame:
 
 
 def read_search_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Cached result pages that are usable."""
+    """Cached result pages that are usable; data stays the payload's JSON text."""
     from ..operators.matching import valid_pages
 
-    item = "array<struct<id:string,name:string,thumbnail:string,min_price:double,min_price_format:string,is_trading_card:boolean>>"
-    return valid_pages(spark.read.schema(f"keyword string, page int, per_page int, url string, status_code int, fetched_at string, data struct<singles:{item},products:{item},single_count:bigint,product_count:bigint>").option("multiLine", True).json(path))
+    return valid_pages(spark.read.schema("keyword string, page int, per_page int, url string, status_code int, fetched_at string, data string").option("multiLine", True).json(path))
 
 
 def cache_name(keyword: Column, page: Column, per_page: Column) -> Column:

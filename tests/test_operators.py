@@ -1,3 +1,4 @@
+import json
 import random
 import statistics
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lotwise.functions import text as X
 from lotwise.operators import canonical, geometry, lookup, market, matching, quality, records, rerank, vectors
 
 
@@ -127,9 +129,12 @@ def test_reference_match(spark):
 
 
 def test_pages_keywords_and_tallies(spark):
-    item = "array<struct<id:string,name:string,thumbnail:string,min_price:double,min_price_format:string,is_trading_card:boolean>>"
-    pages = spark.createDataFrame([("k", 1, 200, ([("1", "a", None, 1.0, None, None), ("2", "b", None, None, None, False)], [("1", "c", None, None, None, True), ("3", "d", None, None, None, True)], None, 4)), ("k", 2, 500, None)], f"keyword string, page int, status_code int, data struct<singles:{item},products:{item},single_count:bigint,product_count:bigint>")
-    assert rows(matching.products_of(pages, ["keyword"], ["page"]), "product_id", "product_name") == [("1", "a"), ("3", "d")]
+    one = json.dumps({"streetwearCount": None, "productCount": "4", "streetwears": [{"id": 1, "name": "a", "minPrice": 1}, {"id": "2", "name": "b", "isTradingCard": False}, "none"], "products": [{"id": "1", "name": "c", "isTradingCard": True}, {"id": " 3 ", "name": "d", "thumbnailUrl": "", "imageUrl": "/x", "minPrice": 5.5, "minPriceFormat": "¥5", "listingCount": 2, "offerCount": 7}, {"id": 4, "name": " "}]})
+    pages = spark.createDataFrame([("k", 1, 200, one, True), ("k", 2, 500, None, False), ("k", 3, 200, "[1]", False), ("k", 4, 200, '{"streetwears": 5, "productCount": "many"}', False)], "keyword string, page int, status_code int, data string, from_cache boolean")
+    got = matching.products_of(pages, ["keyword"], ["page"])
+    assert rows(got, "product_id", "product_name") == [("1", "a"), ("3", "d")]
+    assert rows(got, "thumbnail_url", "min_price", "min_price_format", "listing_count", "offer_count") == [("", 1.0, None, None, None), ("/x", 5.5, "¥5", 2, 7)]
+    assert tuple(matching.page_totals(pages, ["keyword"], ["page"]).first()) == ("k", 4, 1, 2, 4, 5)
     cards = spark.createDataFrame([("C", "2", "Nami (parallel)"), ("C", "1", "Robin"), ("C", "3", "Nami")], "card_code string, card_id string, name string").withColumn("name_en", F.lit(None).cast("string"))
     assert rows(matching.search_keywords(cards), "keyword_rank", "keyword") == [(0, "C"), (1, "Robin [C]"), (2, "Nami [C]")]
     df = spark.createDataFrame([(["b", "a", "b", "a"],), ([],)], "v array<string>")
@@ -306,3 +311,74 @@ def test_runs_and_signatures(spark):
     s = spark.createDataFrame([(a, a)], spark.createDataFrame([], geometry.SIGNATURE and __import__("pyspark.sql.types", fromlist=["T"]).StructType([]).add("q", geometry.SIGNATURE).add("c", geometry.SIGNATURE)).schema)
     v = s.select(rerank.visual_similarity(F.col("q"), F.col("c")).alias("v")).first().v
     assert abs(v.visual - 1) < 1e-6 and abs(v.color - 1) < 1e-6
+
+
+def test_best_overlap_is_that_of_a_plain_search(spark):
+    rng = random.Random(1)
+    bag = lambda n: rng.sample([f"w{i}" for i in range(60)], n)
+    texts, items = [(i, bag(rng.randrange(0, 20))) for i in range(300)] + [(300, None)], [(i, bag(rng.randrange(0, 9))) for i in range(40)] + [(40, None)]
+    want = {}
+    for i, t in texts:
+        found = [(round(len(set(t or ()) & set(u)) / min(len(t), len(u)), 9), -j, len(set(t) & set(u))) for j, u in items if t and u and set(t) & set(u)]
+        if found:
+            s, j, n = max(found)
+            want[i] = (-j, n, s)
+    a, b = spark.createDataFrame(texts, "doc bigint, words array<string>"), spark.createDataFrame(items, "item bigint, words array<string>")
+    for cells in (64_000_000, 900):
+        assert {r.doc: (r.item, r.shared, r.similarity) for r in matching.best_overlap(a, b, "doc", "item", cells).collect()} == want
+    assert matching.best_overlap(a, b.limit(0), "doc", "item").count() == 0
+
+
+def test_vector_blocks_find_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    v = spark.createDataFrame([(f"i{i % 3}", i, [float(rng.randrange(-3, 4)) for _ in range(8)] if i % 11 else None) for i in range(200)], "index_name string, row_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(i, [float(rng.randrange(-3, 4)) for _ in range(8)] if i % 7 else None) for i in range(60)], "query_id bigint, vector array<double>")
+    want = sorted(map(tuple, vectors.search(v, q, 4).collect()))
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 160)
+    assert sorted(map(tuple, vectors.search(v, q, 4).collect())) == want and len(want) == 51 * 12
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_contained_names_are_the_same_for_long_lists(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    texts = spark.createDataFrame([(i, word(rng.randrange(0, 12))) for i in range(80)], "id int, t string")
+    names = spark.createDataFrame([(n,) for n in {word(rng.randrange(0, 6)) for _ in range(40)}], "name string")
+    want = {}
+    for r in texts.collect():
+        held = [n.name for n in names.collect() if n.name and n.name in r.t]
+        if held:
+            want[r.id] = max(held, key=lambda n: (len(n), n))
+    for most in (100_000, 1):
+        monkeypatch.setattr(lookup, "MOST_BROADCAST", most)
+        assert {r.id: r.name for r in lookup.longest_contained(texts, names, "id", "t", "name").collect()} == want
+
+
+def test_title_references_by_lookup_are_those_of_the_pattern(spark):
+    rng = random.Random(3)
+    sets = ["SV1", "sv-p", "P", "S8", "SV8a", "1", "x y", "-P", "M+"]
+    part = lambda: rng.choice(["", "[", "x", "-", "/"]) + rng.choice(["SV1", "SV-P", "S8", "SV8a", "P", "x y", "M+"]) + rng.choice([" ", "\t ", "", "-"]) + rng.choice(["001", "1", "12", "000"]) + rng.choice(["/", " /", "/ ", " "]) + rng.choice(["060", "SV-P", "]"])
+    titles = ["".join(part() + rng.choice(["", " "]) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    pairs = [(t, s, c) for t in titles for s in sets for c in ("1", "012", "000")]
+    df = spark.createDataFrame([*pairs, (None, "SV1", "1"), ("SV1 1/2", None, "1")], "t string, s string, c string")
+    got = df.select("t", "s", X.title_ref("t", "s", "c")["reason"].alias("a"), X.title_ref("t", "s", "c", X.title_refs("t"))["reason"].alias("b"))
+    assert got.where("not (a <=> b)").limit(3).collect() == [] and got.where("a like 'set_card_ref:%'").count() > 50
+
+
+def test_lookups_by_name_score_as_all_pairs_do(spark):
+    """Without a set, names, their parts and their words lead to the same hits as scoring every record for every lookup."""
+    rng = random.Random(4)
+    name = lambda: " ".join(rng.choice(["Fire", "Fox", "Foxfire", "Ice", "Icefox", "Old", "Bo"]) for _ in range(rng.randrange(0, 4)))
+    rec = [(f"P{i % 40}" if i % 3 else None, f"C{i % 50}", f"K{i % 60}", rng.choice(["SV1", "SV2", None]), str(rng.randrange(1, 4)), name(), name() if i % 2 else None, None, name(), rng.choice(["pokemon_ja", "pokemon_en"]), "ja", i) for i in range(90)]
+    r = spark.createDataFrame(rec, "product_id string, canonical_id string, card_id string, set_id string, card_code string, name string, name_en string, name_ja string, product_name string, index_name string, language string, row_id bigint")
+    look = [(i, f"P{i}" if i % 9 == 0 else None, f"C{i}" if i % 11 == 0 else None, None, "SV1" if i % 4 == 0 else None, str(rng.randrange(1, 4)) if i % 7 else None, name(), name() if i % 3 == 0 else None, "ja", i % 2 == 0) for i in range(70)]
+    q = spark.createDataFrame(look, "lookup_id bigint, product_id string, canonical_id string, card_id string, set_id string, card_code string, subject string, title string, language string, label boolean")
+    got = {(h.lookup_id, h.row_id): h.score for h in lookup.lookup(r, q, 1000).collect()}
+    a, b = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns]), q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns])
+    keys = lambda *cs: F.array_compact(F.array(*[lookup.filled(X.lookup_key(c)) for c in cs]))
+    names = X.subject_similarity(keys("q_subject"), keys("r_name", "r_name_en", "r_name_ja"), X.tokens("q_subject"), X.tokens("r_name", "r_name_en", "r_name_ja", "r_product_name"))
+    titles = X.overlap(X.tokens("q_title"), X.tokens("r_set_id", "r_product_name", "r_card_id"))
+    side = lambda s: {c: F.col(f"{s}_{c}") for c in ("product_id", "canonical_id", "card_id")} | {"set_key": X.match_set(f"{s}_set_id"), "number": X.card_number(f"{s}_card_code")}
+    every = a.crossJoin(b).withColumn("score", F.round(lookup.lookup_score(side("r"), side("q"), names, titles, lookup.truthy("q_title"), F.coalesce("q_label", F.lit(False))), 4)).where("score > 0")
+    want = {(h.q_lookup_id, h.r_row_id): h.score for h in every.collect()}
+    assert got == want and len({s for s in want.values()}) >= 4
