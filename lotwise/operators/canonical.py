@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import filled, has_value, truthy
@@ -92,17 +92,19 @@ def price_fallback(canonical: DataFrame, price_map: DataFrame) -> DataFrame:
 
 
 def select_images(canonical: DataFrame) -> DataFrame:
-    """Of the rows with one picture hash the best is selected and lists the others, which are marked as duplicates."""
+    """Of the rows with one picture hash the best is selected and lists the others, which are marked as duplicates. Hashes are
+    aggregated, not windowed, and only the selected row of a hash gets its list, so that a picture of many rows stays linear."""
     score = [(~(truthy("set_id") & truthy("card_code"))).cast("int"), (~truthy("set_id")).cast("int"), priority("canonical_source"), priority("image_source"), F.col("canonical_id")]
     use = F.col("has_index_image") & truthy("image_sha256")
-    w = Window.partitionBy("_hash").orderBy(*score)
-    whole = Window.partitionBy("_hash")
     fields = ["canonical_id", "canonical_key", "canonical_source", "card_id", "card_code", "set_id", "name_ja", "image_source", "local_image_path", "image_sha256"]
-    good = canonical.where(use).withColumn("_hash", F.col("image_sha256")).withColumn("_n", F.row_number().over(w))
-    good = good.withColumn("_others", F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", F.struct(*fields).alias("row")))).over(whole))
-    first = F.col("_n") == 1
-    none = F.array().cast(good.select(F.transform("_others", lambda x: x["row"]).alias("x")).schema["x"].dataType)
-    good = good.select(*canonical.columns, first.alias("index_image_selected"), F.when(~first, "duplicate_image_sha256").alias("excluded_from_index_reason"), F.when(first, F.size("_others")).otherwise(0).alias("duplicate_image_count"), F.when(first, F.transform(F.array_sort("_others"), lambda x: x["row"])).otherwise(none).alias("duplicate_image_records"))
+    good = canonical.where(use).withColumn("_score", F.struct(*[c.alias(f"s{i}") for i, c in enumerate(score)]))
+    best = good.groupBy(F.col("image_sha256").alias("_hash")).agg(F.min("_score").alias("_best"))
+    good = good.join(best, F.col("image_sha256") == F.col("_hash")).withColumn("_first", F.col("_score") == F.col("_best"))
+    losers = good.where("not _first").groupBy(F.col("image_sha256").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("_score", F.struct(*fields).alias("row")))).alias("_l")).select("_of", F.transform("_l", lambda x: x["row"]).alias("_others"))
+    none = F.array().cast(losers.schema["_others"].dataType)
+    first = F.col("_first")
+    good = good.join(losers, first & (F.col("image_sha256") == F.col("_of")), "left").withColumn("_others", F.coalesce("_others", none))
+    good = good.select(*canonical.columns, first.alias("index_image_selected"), F.when(~first, "duplicate_image_sha256").alias("excluded_from_index_reason"), F.size("_others").alias("duplicate_image_count"), F.col("_others").alias("duplicate_image_records"))
     rest = canonical.where(~F.coalesce(use, F.lit(False))).withColumn("index_image_selected", F.lit(False)).withColumn("excluded_from_index_reason", F.lit(None).cast("string")).withColumn("duplicate_image_count", F.lit(0)).withColumn("duplicate_image_records", none)
     return good.unionByName(rest)
 

@@ -73,6 +73,18 @@ def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
     return last.select(key, "_last.*", "replaced")
 
 
+def first_with_count(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first row of each key with the number of later rows that it stands for, by one hash aggregation."""
+    others = [c for c in df.columns if c not in key]
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*others), order).alias("_first"), (F.count("*") - 1).alias("skipped"))
+    return first.select(*key, "_first.*", "skipped")
+
+
+def distinct_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: how many distinct values each column has, nulls left out."""
+    return df.agg(*[F.count_distinct(c).alias(c) for c in columns])
+
+
 def catalog_sort(df: DataFrame) -> DataFrame:
     return df.orderBy(*[F.coalesce(F.col(c), F.lit("")) for c in ("game", "source", "language", "set_id", "card_code", "card_id")])
 

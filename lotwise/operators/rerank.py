@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,22 +110,67 @@ def best_attempt(attempts: DataFrame, key: str, quality_rank: Column, order: str
     return best.select(key, "_b.*")
 
 
-def recognize(vectors: DataFrame, queries: DataFrame, top_k: int = 5, per_index: int = 5, index_order: list[str] | None = None, hint: bool = False, language: bool = False) -> DataFrame:
-    """The photo query from its vector on: per-index and merged search over the window that the stages need, card fields joined, hint
-    and language boosts (columns hint_set, hint_code, hint_language of queries), ranks cut at top_k."""
+def recognize(
+    vectors: DataFrame, queries: DataFrame, top_k: int = 5, per_index: int = 5, index_order: list[str] | None = None, hint: bool | Callable = False, language: bool = False,
+    second: Callable | None = None, visual: Callable | None = None, ocr: bool | Callable = False, weight: float = 0.40, hint_by: float = 0.10, language_by: float = 0.08, ocr_by: float = 0.12,
+) -> DataFrame:
+    """The photo query from its vector on: per-index and merged search over the window that the stages need, card fields joined, then in
+    this order the hint's code, the language, the second model (second(hits) adds a column second) or the signature (visual(hits) adds a
+    column visual), and the code that was read; ranks are cut at top_k. hint, language and ocr take their columns from queries (hint_set,
+    hint_code, hint_language, ocr_set, ocr_code); hint and ocr may be functions of the hits that give the match instead."""
     from ..functions.text import candidate_family, candidate_language
     from .vectors import candidate_window, merge, search
 
-    inner, window = candidate_window(top_k, per_index, language=language, hint=hint)
+    inner, window = candidate_window(top_k, per_index, visual=bool(second or visual), ocr=bool(ocr), language=language, hint=bool(hint))
     hits = merge(search(vectors, queries, inner), window, index_order)
-    fields = [c for c in ("card_id", "set_id", "card_code", "language", "game", "source") if c in vectors.columns]
+    fields = [c for c in ("card_id", "set_id", "card_code", "language", "game", "source", "name") if c in vectors.columns]
     hits = hits.join(vectors.select("index_name", "row_id", *fields), ["index_name", "row_id"])
-    have = [c for c in ("game",) if c in fields]
-    family = candidate_family(have, F.col("index_name").cast("string"), [c for c in ("source",) if c in fields])
+    family = candidate_family([c for c in ("game",) if c in fields], F.col("index_name").cast("string"), [c for c in ("source",) if c in fields])
+    own = candidate_language("language" if "language" in fields else F.lit(None).cast("string"), F.col("index_name").cast("string"))
+    asked = [c for c in ("hint_set", "hint_code", "hint_language", "ocr_set", "ocr_code") if c in queries.columns]
+    hits = hits.join(queries.select("query_id", *asked), "query_id", "left") if asked else hits
+
+    def code_boost(hits: DataFrame, kind: bool | Callable, by: float, name: str) -> DataFrame:
+        match = kind(hits) if callable(kind) else matches_code("set_id", "card_code", f"{name}_set", f"{name}_code")
+        return boost(hits, match, by, f"{name}_code", family)
+
     if hint:
-        hits = hits.join(queries.select("query_id", "hint_set", "hint_code"), "query_id", "left")
-        hits = boost(hits, matches_code("set_id", "card_code", "hint_set", "hint_code"), 0.10, "hint_code", family)
+        hits = code_boost(hits, hint, hint_by, "hint")
     if language:
-        hits = hits.join(queries.select("query_id", "hint_language"), "query_id", "left")
-        hits = language_boost(hits, candidate_language("language" if "language" in fields else F.lit(None).cast("string"), F.col("index_name").cast("string")), F.col("hint_language"), family)
+        hits = language_boost(hits, own, F.col("hint_language"), family, language_by)
+    if second:
+        hits = minmax_blend(second(hits), F.col("second"), weight)
+    elif visual:
+        hits = visual_blend(visual(hits), F.col("visual"), weight)
+    if ocr:
+        hits = code_boost(hits, ocr, ocr_by, "ocr")
     return hits.where(F.col("rank") <= top_k)
+
+
+def code_signal(hits: DataFrame) -> Column:
+    """Whether a hint's code or one that was read named the candidate."""
+    have = [F.coalesce(F.col(c), F.lit(False)) for c in ("hint_code_match", "ocr_code_match") if c in hits.columns]
+    return reduce(lambda a, b: a | b, have, F.lit(False))
+
+
+def choose(hits: DataFrame, **limits: float) -> DataFrame:
+    """select_ambiguous() over what recognize() gives: subjects by name, family and language by the card's fields, codes as signals."""
+    from ..functions.text import candidate_family, candidate_language
+    from ..functions.unicode import subject_key
+
+    index = F.col("index_name").cast("string")
+    keyed = hits.withColumn("_subject", subject_key(F.col("name")))
+    return select_ambiguous(keyed, F.col("_subject"), candidate_family([c for c in ("game",) if c in hits.columns], index, [c for c in ("source",) if c in hits.columns]), candidate_language("language" if "language" in hits.columns else F.lit(None).cast("string"), index), code_signal(hits), **limits)
+
+
+def recognize_cards(detections: DataFrame, vectors: DataFrame, most: int = 20, least: float = 0.0, **stages: object) -> DataFrame:
+    """Photos with several cards: of detections (photo_id bigint, ordinal, confidence, center_x, center_y, height, vector) the most
+    confident ones, each a query of its own, with photo_id, card_index (its place in reading order) and confidence_rank beside the hits."""
+    from .geometry import most_confident, reading_order
+
+    d = most_confident(detections, most, least)
+    place = reading_order(d.select("photo_id", "ordinal", "center_x", "center_y", "height")).select("photo_id", "ordinal", F.col("reading_rank").alias("card_index"))
+    # at most 100 detections of a photo are ranked, so seven bits hold the rank
+    cards = d.join(place, ["photo_id", "ordinal"]).withColumn("query_id", F.col("photo_id").cast("bigint") * 128 + F.col("confidence_rank"))
+    hits = recognize(vectors, cards, **stages)
+    return hits.join(cards.select("query_id", "photo_id", "card_index", "confidence_rank"), "query_id")

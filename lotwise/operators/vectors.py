@@ -123,6 +123,15 @@ def top_frequency(hits: DataFrame, row: str = "row_id", k: int = 8) -> DataFrame
     return hits.where("rank = 1").groupBy(row).agg(F.count("*").alias("n")).orderBy(F.desc("n"), row).limit(k)
 
 
+def one_model(vectors: DataFrame, index: str = "index_name") -> DataFrame:
+    """(indexes, rows, dimensions) of indexes that one model made; vectors of several widths, or of several names in a column model_name
+    where there is one, are an error."""
+    named = [F.count_distinct("model_name").alias("models")] if "model_name" in vectors.columns else [F.lit(1).alias("models")]
+    g = vectors.agg(F.count_distinct(index).alias("indexes"), F.count("*").alias("rows"), F.min(F.size("embedding")).alias("_low"), F.max(F.size("embedding")).alias("dimensions"), *named)
+    bad = (F.col("_low") != F.col("dimensions")) | (F.col("models") > 1)
+    return g.select("indexes", "rows", F.when(bad, F.raise_error(F.lit("indexes of several models can't be searched together")).cast("int")).otherwise(F.col("dimensions")).alias("dimensions"))
+
+
 def inventory(vectors: DataFrame, index: str = "index_name") -> DataFrame:
     """(index, rows, dimensions, widths): more than one width means that indexes of different models were mixed."""
     return vectors.groupBy(index).agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dimensions"), F.count_distinct(F.size("embedding")).alias("widths"))

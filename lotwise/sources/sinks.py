@@ -50,10 +50,7 @@ def write_sqlite(df: DataFrame, path: str, table: str = "cards", indexes: tuple[
     db = sqlite3.connect(part)
     db.execute(f"CREATE TABLE {table} ({', '.join(f'{c} {_SQL_TYPES.get(k, "TEXT")}' for c, k in kinds.items())})")
     rows = df.select(*[F.col(c).cast("int").alias(c) if k == "boolean" else F.to_json(c).alias(c) if k.startswith(("array", "struct", "map")) else F.col(c) for c, k in kinds.items()])
-    n = 0
-    for r in rows.toLocalIterator():
-        db.execute(f"INSERT INTO {table} VALUES ({','.join('?' * len(kinds))})", tuple(r))
-        n += 1
+    n = db.executemany(f"INSERT INTO {table} VALUES ({','.join('?' * len(kinds))})", map(tuple, rows.toLocalIterator(prefetchPartitions=True))).rowcount if kinds else 0
     for c in indexes:
         if c in kinds:
             db.execute(f"CREATE INDEX idx_{table}_{c} ON {table} ({c})")
@@ -67,9 +64,10 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     df.select(*fields).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_vectors(df: DataFrame, path: str) -> None:
-    """vectors(index_name, row_id, embedding, ...), one folder per index, so that a search reads only its indexes."""
-    df.repartition("index_name").write.mode("overwrite").partitionBy("index_name").parquet(path)
+def write_vectors(df: DataFrame, path: str, parts: int = 16) -> None:
+    """vectors(index_name, row_id, embedding, ...), one folder per index, so that a search reads only its indexes; up to `parts` tasks
+    write an index."""
+    df.repartition("index_name", F.pmod(F.xxhash64("row_id"), F.lit(parts))).write.mode("overwrite").partitionBy("index_name").parquet(path)
 
 
 def append_manifest(df: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ import os
 import pytest
 
 from lotwise.plans import catalog_queries as Q
+from lotwise.plans import field_queries, record_queries  # noqa: F401 - they add to the queries
 
 duckdb = pytest.importorskip("duckdb")
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
