@@ -34,7 +34,7 @@ CHUNK = 2048
 MAX_TRAIN = 6000
 EPOCHS = 24
 HELD_OUT = 5
-PATIENCE = 3
+PATIENCE = EPOCHS
 _BLOCK = 1 << 13
 #: Columns of one matrix product: too few for the linear algebra library to start threads of its own, which would fight the other tasks for the cores.
 _COLUMNS = 200
