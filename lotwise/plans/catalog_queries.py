@@ -547,12 +547,10 @@ def q25_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def q38_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table followed as a file stream until nothing is left, then aggregated."""
-    import tempfile
-    import uuid
-
+    from ..session import shared_folder
     from ..streaming.manifests import append, follow
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")).rstrip("/") + f"/{uuid.uuid4().hex}"
+    base = shared_folder(spark)
     schema = table(spark, sf_dir, "events").schema
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     stream = follow(spark, f"{sf_dir}/events.parque[t]", ddl, "parquet")  # a pattern: the table may be a file or a folder

@@ -374,10 +374,12 @@ def test_lookups_by_name_score_as_all_pairs_do(spark):
     look = [(i, f"P{i}" if i % 9 == 0 else None, f"C{i}" if i % 11 == 0 else None, None, "SV1" if i % 4 == 0 else None, str(rng.randrange(1, 4)) if i % 7 else None, name(), name() if i % 3 == 0 else None, "ja", i % 2 == 0) for i in range(70)]
     q = spark.createDataFrame(look, "lookup_id bigint, product_id string, canonical_id string, card_id string, set_id string, card_code string, subject string, title string, language string, label boolean")
     got = {(h.lookup_id, h.row_id): h.score for h in lookup.lookup(r, q, 1000).collect()}
-    a, b = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns]), q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns])
-    keys = lambda *cs: F.array_compact(F.array(*[lookup.filled(X.lookup_key(c)) for c in cs]))
-    names = X.subject_similarity(keys("q_subject"), keys("r_name", "r_name_en", "r_name_ja"), X.tokens("q_subject"), X.tokens("r_name", "r_name_en", "r_name_ja", "r_product_name"))
-    titles = X.overlap(X.tokens("q_title"), X.tokens("r_set_id", "r_product_name", "r_card_id"))
+    folded = lambda d, s, *cs: d.select(*[F.col(c).alias(f"{s}_{c}") for c in d.columns], *[lookup.filled(X.lookup_key(c)).alias(f"_k_{c}") for c in cs])
+    a = folded(r, "r", "name", "name_en", "name_ja").withColumns({"_tr": X.tokens("r_name", "r_name_en", "r_name_ja", "r_product_name"), "_sr": X.tokens("r_set_id", "r_product_name", "r_card_id")})
+    b = folded(q, "q", "subject").withColumns({"_tq": X.tokens("q_subject"), "_sq": X.tokens("q_title")})
+    keys = lambda *cs: F.array_compact(F.array(*[f"_k_{c}" for c in cs]))
+    names = X.subject_similarity(keys("subject"), keys("name", "name_en", "name_ja"), F.col("_tq"), F.col("_tr"))
+    titles = X.overlap(F.col("_sq"), F.col("_sr"))
     side = lambda s: {c: F.col(f"{s}_{c}") for c in ("product_id", "canonical_id", "card_id")} | {"set_key": X.match_set(f"{s}_set_id"), "number": X.card_number(f"{s}_card_code")}
     every = a.crossJoin(b).withColumn("score", F.round(lookup.lookup_score(side("r"), side("q"), names, titles, lookup.truthy("q_title"), F.coalesce("q_label", F.lit(False))), 4)).where("score > 0")
     want = {(h.q_lookup_id, h.r_row_id): h.score for h in every.collect()}
