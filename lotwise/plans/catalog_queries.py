@@ -560,24 +560,29 @@ def q38_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-# text functions on literal rows
-
-_CODES = [
-    ("Japanese, S11a 091/068", "strict", "S11A", "91", "68"),
-    ("201/165 SV2a", "trailing_set", "SV2A", "201", "165"),
-    ("001/SV-P promo", "reverse_promo", "SV-P", "1", None),
-    ("SWSH 039", "swsh_promo", "PROMO-SWSH", "39", None),
-    ("card S12 TG05", "loose", "S12", "TG05", None),
-    ("SVI2A 1O1/165", None, None, None, None),
-    ("nothing here", None, None, None, None),
-    ("", None, None, None, None),
-]
+# text functions
+
+_PARTS_BY = "SELECT p_partkey, p_name, p_size AS n, p_partkey % {k} AS k, lpad(p_size::VARCHAR, 3, '0') AS p, lpad(p_size::VARCHAR, 2, '0') AS q FROM part"
+
 
+def _by_kind(spark: SparkSession, sf_dir: str, *texts: str) -> DataFrame:
+    """Every part with the text of its kind, in which {n}, {p}, {q}, {name} and {key} stand for its number (as it is, of 3 and 2 digits), name and key."""
+    t, k = table(spark, sf_dir, "part"), F.col("p_partkey") % len(texts)
+    fields = {"n": F.col("p_size").cast("string"), "p": F.lpad(F.col("p_size").cast("string"), 3, "0"), "q": F.lpad(F.col("p_size").cast("string"), 2, "0"), "name": F.col("p_name"), "key": F.col("p_partkey").cast("string")}
+    text = F.element_at(F.array(*[F.lit(x) for x in texts]), (k + 1).cast("int"))
+    for name, value in fields.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return t.select("p_partkey", text.alias("text"), *[v.alias(c) for c, v in fields.items()])
 
-@query(literal(_CODES, ["text", "quality", "set_id", "number", "total"]))
+
+@query(
+    f"""WITH t AS ({_PARTS_BY.format(k=7)})
+SELECT p_partkey, CASE k WHEN 0 THEN 'strict' WHEN 1 THEN 'trailing_set' WHEN 2 THEN 'reverse_promo' WHEN 3 THEN 'swsh_promo' WHEN 4 THEN 'loose' END AS quality, CASE k WHEN 0 THEN 'S11A' WHEN 1 THEN 'SV2A' WHEN 2 THEN 'SV-P' WHEN 3 THEN 'PROMO-SWSH' WHEN 4 THEN 'S12' END AS set_id,
+CASE WHEN k < 4 THEN n::VARCHAR WHEN k = 4 THEN 'TG' || q END AS number, CASE k WHEN 0 THEN '68' WHEN 1 THEN '165' END AS total FROM t"""
+)
 def q28_card_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = X.card_code("text")
-    return rows(spark, "text string", [(r[0],) for r in _CODES]).select("text", c["quality"].alias("quality"), c["set_id"].alias("set_id"), c["card_number"].alias("number"), c["total"].alias("total"))
+    t = _by_kind(spark, sf_dir, "Japanese, S11a {p}/068", "{p}/165 SV2a", "{p}/SV-P promo", "SWSH {p}", "card S12 TG{q}", "nothing {n}", "")
+    return t.withColumn("c", X.card_code("text")).select("p_partkey", F.col("c.quality").alias("quality"), F.col("c.set_id").alias("set_id"), F.col("c.card_number").alias("number"), F.col("c.total").alias("total"))
 
 
 _LANGUAGES = [
@@ -598,40 +603,33 @@ def q29_language_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, "text string", [(r[0],) for r in _LANGUAGES]).select("text", g["status"].alias("status"), g["language"].alias("language"), F.coalesce(g["confidence"], F.lit(0.0)).alias("confidence"), F.array_join(g["signals"], ",").alias("signals"))
 
 
-_FILES = [
-    ("/r/x/sv3-5_en_001_std.jpg", "modern_underscore", "sv3-5", "en", "001", "std", "sv3-5-001"),
-    ("/r/wave-2/otter-wave-2-17.jpg", "legacy_slugged", "wave-2", None, "17", None, "wave-2-17"),
-    ("/r/base/ja_US-sv2a-012-pikachu.png", "regional_hyphen", "sv2a", "ja", "012", None, "sv2a-012"),
-    ("/r/jungle/mew42.png", "legacy_compact_suffix", "jungle", None, "42", None, "jungle-42"),
-    ("/r/jungle/mew.png", "unparsed", "jungle", None, "mew", None, None),
-]
-
-
-@query(literal(_FILES, ["path", "rule", "set_id", "language", "card_code", "variant", "card_id"]))
+@query(
+    f"""WITH t AS ({_PARTS_BY.format(k=5)})
+SELECT p_partkey, CASE k WHEN 0 THEN 'modern_underscore' WHEN 1 THEN 'legacy_slugged' WHEN 2 THEN 'regional_hyphen' WHEN 3 THEN 'legacy_compact_suffix' ELSE 'unparsed' END AS rule, CASE k WHEN 0 THEN 'sv3-5' WHEN 1 THEN 'wave-2' WHEN 2 THEN 'sv2a' ELSE 'jungle' END AS set_id, CASE k WHEN 0 THEN 'en' WHEN 2 THEN 'ja' END AS language,
+CASE k WHEN 0 THEN p WHEN 1 THEN n::VARCHAR WHEN 2 THEN p WHEN 3 THEN n::VARCHAR ELSE 'mew' END AS card_code, CASE WHEN k = 0 THEN 'std' END AS variant, CASE k WHEN 0 THEN 'sv3-5-' || p WHEN 1 THEN 'wave-2-' || n WHEN 2 THEN 'sv2a-' || p WHEN 3 THEN 'jungle-' || n END AS card_id FROM t"""
+)
 def q39_filename_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = X.file_fields("path")
-    return rows(spark, "path string", [(r[0],) for r in _FILES]).select("path", *[f[c].alias(c) for c in ("rule", "set_id", "language", "card_code", "variant", "card_id")])
-
+    t = _by_kind(spark, sf_dir, "/r/x/sv3-5_en_{p}_std.jpg", "/r/wave-2/otter-wave-2-{n}.jpg", "/r/base/ja_US-sv2a-{p}-pikachu.png", "/r/jungle/mew{n}.png", "/r/jungle/mew.png")
+    return t.withColumn("f", X.file_fields("text")).select("p_partkey", *[F.col(f"f.{c}").alias(c) for c in ("rule", "set_id", "language", "card_code", "variant", "card_id")])
 
-_TITLES = [
-    ("Monkey.D.Luffy SEC-SPC [OP05-119] ", "OP05-119", "Monkey.D.Luffy", "SEC", "SPC", None, None),
-    ("Nami R-P: Comic Parallel [OP01-016][EN]", "OP01-016", "Nami", "R", "P", "Comic Parallel", "en"),
-    ("Zoro [OP01-001]", "OP01-001", "", None, None, None, None),
-]
 
-
-@query(literal(_TITLES, ["title", "code", "name", "rarity", "modifier", "descriptor", "language"]))
+@query(
+    f"""WITH t AS ({_PARTS_BY.format(k=3)})
+SELECT p_partkey, CASE k WHEN 0 THEN 'Monkey.D ' || p_name WHEN 1 THEN p_name ELSE '' END AS name, CASE k WHEN 0 THEN 'SEC' WHEN 1 THEN 'R' END AS rarity, CASE k WHEN 0 THEN 'SPC' WHEN 1 THEN 'P' END AS modifier, CASE WHEN k = 1 THEN 'Comic Parallel' END AS descriptor, CASE WHEN k = 1 THEN 'en' END AS language FROM t"""
+)
 def q46_title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.parse_title("title", "code")
-    return rows(spark, "title string, code string", [r[:2] for r in _TITLES]).select("title", "code", t["name_prefix"].alias("name"), t["base_rarity"].alias("rarity"), t["modifier"].alias("modifier"), t["descriptor"].alias("descriptor"), t["language"].alias("language"))
-
-
-_SETS = [("sv_p", "SV-P", "A123", "123"), ("SWSH", "PROMO-SWSH", "TG12", "TG12"), ("XY-P", "XYP", "009/100", "9"), ("s12a", "S12A", "G05", "G05"), (None, None, "000", "0")]
+    t = _by_kind(spark, sf_dir, "Monkey.D {name} SEC-SPC [OP05-{key}] ", "{name} R-P: Comic Parallel [OP05-{key}][EN]", "{name} [OP05-{key}]")
+    p = t.withColumn("t", X.parse_title("text", F.concat(F.lit("OP05-"), "key")))
+    return p.select("p_partkey", F.col("t.name_prefix").alias("name"), F.col("t.base_rarity").alias("rarity"), F.col("t.modifier").alias("modifier"), F.col("t.descriptor").alias("descriptor"), F.col("t.language").alias("language"))
 
 
-@query(literal(_SETS, ["set_id", "set_key", "code", "number"]))
+@query(
+    f"""WITH t AS ({_PARTS_BY.format(k=5)})
+SELECT p_partkey, CASE k WHEN 0 THEN 'SV-P' WHEN 1 THEN 'PROMO-SWSH' WHEN 2 THEN 'XYP' WHEN 3 THEN 'S' || n || 'A' ELSE 'SV' || n END AS set_key, CASE k WHEN 1 THEN 'TG' || q WHEN 3 THEN 'G' || p ELSE n::VARCHAR END AS number FROM t"""
+)
 def q47_set_and_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "set_id string, code string", [(r[0], r[2]) for r in _SETS]).select("set_id", X.match_set("set_id").alias("set_key"), "code", X.card_number("code").alias("number"))
+    t = _by_kind(spark, sf_dir, "sv_p|A{p}", "SWSH|TG{q}", "XY-P|{p}/100", "s{n}a|G{p}", "sv{n}|{p}")
+    return t.select("p_partkey", X.match_set(F.substring_index("text", "|", 1)).alias("set_key"), X.card_number(F.substring_index("text", "|", -1)).alias("number"))
 
 
 _URLS = [("https://x.example/a/OP01-001_p1.png", "p1", "p1", False, False), ("https://x.example/a/OP01-001.png", "base", "base", False, False), ("https://x.example/cardlist/card/sample.png", "base", "base", True, True), ("https://x.example/a%5Fr2.jpg", "r2", "r2", False, False), (None, None, None, False, False)]

@@ -3,9 +3,10 @@ import os
 import pytest
 
 from lotwise.plans import catalog_queries as Q
+from lotwise.plans import field_queries, record_queries  # noqa: F401 - they add to the queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-JVM_ONLY = [q for q in Q.QUERIES if q not in {"q01_vector_topk", "q02_multi_index_topk", "q03_minmax_rerank", "q04_code_boost", "q05_group_boost", "q06_ambiguity_selection", "q22_html_fields", "q26_token_overlap", "q27_alias_containment", "q32_lookup_cascade", "q36_top1_frequency", "q37_reading_order", "q38_stream_append"}]
+JVM_ONLY = [q for q in Q.QUERIES if q not in {"q01_vector_topk", "q02_multi_index_topk", "q03_minmax_rerank", "q04_code_boost", "q05_group_boost", "q06_ambiguity_selection", "q22_html_fields", "q26_token_overlap", "q27_alias_containment", "q32_lookup_cascade", "q36_top1_frequency", "q37_reading_order", "q38_stream_append", "q62_folded_keys", "q63_json_search", "q71_alias_table", "q92_visual_blend", "q93_recognize"}]
 
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no tables")
 
