@@ -9,6 +9,11 @@ audit of queries against exact search has the wished recall. Pairs within the ra
 of word triples (32-bit hashes), and verified pairs are united by connected components. Pairs that are connected already need no
 verification, and saturated queries are compared with what isn't connected to them only.
 
+Documents that share a passage and little else lie within the radius of each other and are no near copies; their pairs would grow with
+the square of the shard. Before its graph a shard is therefore split, and before their verification pairs are sifted, both by bounds that
+no pair of a Jaccard of JACCARD and more fails: split() leaves out members of whose triples the shard shares too few and parts those whose
+rarest triples (as many as make sure of a common one) have no chain of common ones, and sketches of triples bound from below how many two sets differ in.
+
 A shard of a passage that more than MOST_MEMBERS documents share is cut into parts of half that size; every two parts make one shard,
 so its members are broadcast to all parts, all pairs still meet and no task holds more than MOST_MEMBERS documents.
 
@@ -317,6 +322,98 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def split(member: list[np.ndarray]) -> list[np.ndarray]:
+    """Members of a shard by their sets of triples in classes that hold every pair of a Jaccard of JACCARD and more; members without
+    a partner are in none. Both ends of such a pair hold JACCARD of their own triples in common, so a member goes when fewer are shared with
+    any that are left; and with its triples in one order of all, the rarest first, at least one common triple is among the first
+    size - need + 1 of each end."""
+    n = len(member)
+    size = np.array([len(m) for m in member], np.int64)
+    need = np.maximum(np.ceil(JACCARD * size - 1e-6).astype(np.int64), 1)  # without the rounding of JACCARD
+    key = np.concatenate([m.astype(np.uint64) << np.uint64(32) | np.uint64(i) for i, m in enumerate(member)])
+    key.sort()
+    doc, a = (key & np.uint64(0xFFFFFFFF)).astype(np.int32), np.flatnonzero(np.diff(key >> np.uint64(32), prepend=~np.uint64(0)))
+    held = np.diff(np.append(a, len(key)))
+    gram = np.repeat(np.arange(len(a), dtype=np.int32), held)
+    while True:
+        shared = held[gram] > 1
+        gram, doc = gram[shared], doc[shared]
+        count = np.bincount(doc, minlength=n)
+        left = (count >= need)[doc]
+        if left.all():
+            break
+        gram, doc = gram[left], doc[left]
+        held = np.bincount(gram, minlength=len(a))
+    o = np.lexsort((gram, held[gram], doc))
+    gram, doc = gram[o], doc[o]
+    first, end = runs(doc)
+    rank = np.arange(len(doc)) - np.repeat(first, end - first)
+    use = rank < (count - need + 1)[doc]  # triples that nobody shares come before these
+    gram, doc = gram[use], doc[use]
+    o = np.argsort(gram, kind="stable")
+    gram, doc = gram[o], doc[o]
+    a, e = runs(gram)
+    label = np.arange(n)
+    while len(a):
+        low = np.repeat(np.minimum.reduceat(label[doc], a), e - a)
+        new = label.copy()
+        np.minimum.at(new, label[doc], low)
+        np.minimum.at(new, doc, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    of = np.unique(doc)
+    of = of[np.argsort(label[of], kind="stable")]
+    return [of[x:y] for x, y in zip(*runs(label[of])) if y - x > 1]
+
+
+def sketches(member: list[np.ndarray]) -> np.ndarray:
+    """(members, words) bits, each the parity of the triples that fall on it: two sets differ in as many triples at least as their
+    sketches in bits. About sixteen bits a triple of the median member, so that few fall together."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(16 * np.median([len(m) for m in member]) + 1)), 8, 12))
+    out = np.zeros((len(member), bits // 64), np.uint64)
+    for i, m in enumerate(member):
+        odd = np.bincount(W.mix(m.astype(np.uint64)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return out
+
+
+def _sifted(q: np.ndarray, p: np.ndarray, sketch: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pairs may have a Jaccard of JACCARD: those that differ in no more triples than it allows, as far as the sketches show."""
+    step = max(1, (1 << 18) // sketch.shape[1])
+    most = (size[q] + size[p]) * ((1 - JACCARD) / (1 + JACCARD)) + 1e-6
+    out = np.empty(len(q), bool)
+    for i in range(0, len(q), step):
+        x, y = q[i : i + step], p[i : i + step]
+        out[i : i + step] = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int32) <= most[i : i + step]
+    return out
+
+
+def shard_edges(code: np.ndarray, member: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Verified edges that connect the near copies of a shard."""
+    out: list[tuple[int, int]] = []
+    for of in split(member) if len(code) > 2 * DEGREE else [np.arange(len(code))]:
+        sets, known = [member[i] for i in of.tolist()], Labels(len(of))
+        some = len(of) > 2 * DEGREE
+        sketch, size = sketches(sets) if some else None, np.array([len(s) for s in sets])
+        for qs, ps in neighbours(code[of], label=known.label):
+            if some:
+                apart = known.label[qs] != known.label[ps]
+                qs, ps = qs[apart], ps[apart]
+                near = _sifted(qs, ps, sketch, size)
+                qs, ps = qs[near], ps[near]
+            for i in range(0, len(qs), _STEP):
+                q, p = qs[i : i + _STEP], ps[i : i + _STEP]
+                apart = known.label[q] != known.label[p]
+                for x, y in zip(q[apart].tolist(), p[apart].tolist()):
+                    if known.label[x] != known.label[y] and jaccard(sets[x], sets[y]) >= JACCARD:
+                        known.unite(x, y)
+                        out.append((int(of[x]), int(of[y])))
+    return out
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified edges of each shard. A pair whose ends are already connected in the shard needs no check of its own."""
     for t in whole_groups(batches, "shard", 1 << 12):
@@ -330,15 +427,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for a, b in zip(*(x.tolist() for x in runs(shard))):
             member = [np.frombuffer(sets[i].as_buffer(), np.uint32) for i in range(a, b)]
-            known = Labels(b - a)
-            for qs, ps in neighbours(code[a:b], label=known.label):
-                for i in range(0, len(qs), _STEP):
-                    q, p = qs[i : i + _STEP], ps[i : i + _STEP]
-                    apart = known.label[q] != known.label[p]
-                    for x, y in zip(q[apart].tolist(), p[apart].tolist()):
-                        if known.label[x] != known.label[y] and jaccard(member[x], member[y]) >= JACCARD:
-                            known.unite(x, y)
-                            out.append((ids[a + x], ids[a + y]))
+            out += [(ids[a + x], ids[a + y]) for x, y in shard_edges(code[a:b], member)]
         if out:
             e = np.array(out, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])

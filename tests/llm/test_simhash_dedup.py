@@ -169,6 +169,53 @@ def test_pairs_that_share_hot_passages_only_are_found(spark, monkeypatch):
     assert len(pairs) == 276 and sum(group[i + 1] == group[j + 1] for i, j in pairs) >= 0.97 * len(pairs)
 
 
+def hot(seed, n):
+    """Codes and sets of triples of n documents that share 25 triples; a few have near copies."""
+    rng = np.random.default_rng(seed)
+    shared, grams = rng.integers(0, 2**64, 25, dtype=np.uint64), []
+    for _ in range(n):
+        if grams and rng.random() < 0.05:
+            g = grams[rng.integers(len(grams))].copy()
+            other = rng.random(len(g)) < 0.1
+            g[other] = rng.integers(0, 2**64, int(other.sum()), dtype=np.uint64)
+        else:
+            g = np.concatenate([shared, rng.integers(0, 2**64, rng.integers(14, 60), dtype=np.uint64)])
+        grams.append(g)
+    code = [np.packbits(2 * np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1).sum(0) > len(g)).view(np.uint64)[0] for g in grams]
+    return np.array(code), [np.unique((g >> np.uint64(32)).astype(np.uint32)) for g in grams]
+
+
+def near_pairs(member):
+    return [(i, j) for i in range(len(member)) for j in range(i) if S.jaccard(member[i], member[j]) >= S.JACCARD]
+
+
+def test_a_shared_passage_is_not_verified_by_all_its_pairs(monkeypatch):
+    code, member = hot(1, 1200)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(1200, np.int64)), pa.array(np.arange(1200)), pa.array(code.view(np.int64)), pa.array([m.tobytes() for m in member], pa.binary())], ["shard", "id", "code", "triples"])
+    pairs, calls, jaccard = near_pairs(member), [], S.jaccard
+    monkeypatch.setattr(S, "jaccard", lambda a, b: calls.append(1) or jaccard(a, b))
+    edges = [(x, y) for b in S._edges(iter([batch])) for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+    assert len(calls) < 10 * 1200
+    assert set(edges) <= set(pairs) | {(y, x) for x, y in pairs}
+    known = S.Labels(1200)
+    for x, y in edges:
+        known.unite(x, y)
+    pairs = [(x, y) for x, y in pairs if S.distance(code[x], code[y]) <= S.RADIUS]
+    assert len(pairs) > 20 and sum(known.label[x] == known.label[y] for x, y in pairs) >= 0.97 * len(pairs)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_split_and_sketches_keep_every_near_pair(seed):
+    rng = np.random.default_rng(seed)
+    member = hot(seed, 150)[1] + [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint32)) for _ in range(150)]
+    member += [np.arange(20, dtype=np.uint32), np.arange(11, dtype=np.uint32), np.arange(10, dtype=np.uint32)]  # 11 of 20 is exactly JACCARD
+    pairs = near_pairs(member)
+    of = {i: c for c, part in enumerate(S.split(member)) for i in part.tolist()}
+    assert pairs and all(i in of and of[i] == of.get(j) for i, j in pairs)
+    i, j = np.array(pairs).T
+    assert (301, 300) in pairs and S._sifted(i, j, S.sketches(member), np.array([len(m) for m in member])).all()
+
+
 def test_odd_rows(spark, odd, empty):
     rows = S.groups(spark, odd).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "8", "None", "None"])
