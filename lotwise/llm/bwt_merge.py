@@ -59,7 +59,7 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def standing_twice(texts: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most: int = MOST_PLACES) -> DataFrame:
-    """(h, k, pos, n) of the hashes in a scan of texts(k, ...) that stand at two places. Hashes of more than about `most` places don't come
+    """(h, k, pos, n) of the hashes in a scan of texts(k, ...) that stand at two places. Hashes of more than `most` places don't come
     to one task; Spark aggregates count them."""
     places = "h bigint, k bigint, pos int"
     often = heavy_hitters(texts, lambda d: d.mapInArrow(scan, places), most)

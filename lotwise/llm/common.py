@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Buckets by which places are counted before their values are.
+BUCKET_BITS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -82,12 +84,39 @@ def own_id(key: str = "k") -> F.Column:
     return F.when(F.col(key).bitwiseAND(F.lit(1)) == 0, F.col("doc_id"))
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(1 << BUCKET_BITS, np.int64)
+    for b in batches:
+        n += np.bincount(_bucket(b["h"].to_numpy()), minlength=len(n))
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
+
+
+def _in_buckets(buckets: np.ndarray):
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = np.zeros(1 << BUCKET_BITS, bool)
+        use[buckets] = True
+        for b in batches:
+            h = b["h"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(h[use[_bucket(h)]])], ["h"])
+
+    return only
+
+
 def heavy_hitters(docs: DataFrame, scan: Callable[[DataFrame], DataFrame], limit: int) -> np.ndarray:
-    """Values of h in scan(docs(k, ...)) that are likely to stand more than `limit` times, by a hash sample of one in 64 documents (of
-    all for small limits). They only say what takes the way for large groups; results don't depend on them. There are at
-    most as many as the corpus has values over `limit`."""
-    rate = 64 if limit >= 4096 else 1
-    seen = scan(docs.where(F.pmod(F.xxhash64("k"), F.lit(rate)) == 0)).groupBy("h").count().where(F.col("count") > limit // rate)
+    """Values of h in scan(docs(k, ...)) that stand more than `limit` times, all rows counted; they take the way for large groups. Rows are
+    counted by buckets of values first, and by value only in buckets over `limit`, as no other bucket can hold such a value. There are at
+    most as many as the corpus has places over `limit`."""
+    found = scan(docs).select("h")
+    full = found.mapInArrow(_by_bucket, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    buckets = np.array([r["bucket"] for r in full.select("bucket").toLocalIterator()], np.int64)
+    if not len(buckets):
+        return buckets
+    seen = found.mapInArrow(_in_buckets(buckets), "h bigint").groupBy("h").count().where(F.col("count") > limit)
     return np.array([r["h"] for r in seen.select("h").toLocalIterator()], np.int64)
 
 

@@ -12,7 +12,7 @@ that stand left of the anchor are compared window by window.
 
 A group of more than MAX_GROUP suffixes is never brought to one task. Its prefixes grow instead: every suffix has the hashes of its
 prefixes of MIN_WORDS words and more, counts and first copies of prefixes are Spark aggregates, and a search over the prefix lengths
-finds the same nodes in a few rounds. Anchors that are held that often are found by a sample of documents and bypass the shuffle by anchor.
+finds the same nodes in a few rounds. Anchors that are held that often are counted first, over all documents, and bypass the shuffle by anchor.
 
 Defined results: repeats count over words as words.py defines them, so case and punctuation don't matter. A row with a null text is
 no document here; one with a null doc_id is, and ranks after all others; rows that repeat doc_id and text are one. Texts below

@@ -159,3 +159,10 @@ def test_odd_rows(spark, odd, empty):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {(r.doc_id, r.text is None) for r in out.collect()} >= {(2, True), (None, True), (None, False), (8, False), (3, False)}
     assert S.report(spark, empty).count() == 0 and S.stage(spark, empty, "").count() == 0
+
+
+def test_a_large_group_in_one_document_is_counted(spark, monkeypatch):
+    """One document of all holds more places of an anchor than a group may have; a sample of documents missed it, and its repeats were lost."""
+    monkeypatch.setattr(S, "MAX_GROUP", 4096)
+    rows = S.report(spark, table(spark, ["again and " * 60_000, "no repeat here"]), 4096).where("not removable").collect()
+    assert [r.doc_id for r in rows] == [1] and rows[0].start_word <= S.WINDOW and rows[0].end_word >= 120_000 - L - S.WINDOW

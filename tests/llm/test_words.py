@@ -65,3 +65,12 @@ def test_shared_words_share_an_anchor():
     p, h = W.winnow(w, 4, 17)
     d = np.searchsorted(w.at, p, "right") - 1
     assert set.intersection(*[{int(x) for x in h[d == i]} for i in range(3)])
+
+
+def test_heavy_hitters_are_counted_over_all_rows(spark):
+    from lotwise.llm.common import heavy_hitters
+
+    rows = spark.range(3 * 5000).selectExpr("id as k", "id % 3 + if(id < 3, 10, 0) as h").union(spark.range(3).selectExpr("7L as k", "0L as h"))
+    assert sorted(heavy_hitters(rows, lambda d: d, 5000).tolist()) == [0]
+    one = spark.range(5001).selectExpr("1L as k", "id * 0 + 4 as h")
+    assert heavy_hitters(one, lambda d: d, 5000).tolist() == [4]
