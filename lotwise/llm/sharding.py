@@ -93,7 +93,7 @@ def hubs(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFr
     shared = cold.repartition("h").sortWithinPartitions("h", "k").mapInArrow(_shared, "h bigint, k bigint, who bigint, first bigint")
     shared = scratch.save(shared.union(_shared_often(grams.join(hot, "h", "left_semi"))) if len(often) else shared)
     one = shared.where("first = 1").groupBy("who").agg(F.min("h").alias("g"), F.count("*").alias("weight"))
-    members = shared.select("h", "k").join(one.select("g", "weight"), F.col("h") == F.col("g")).select("g", "k", "weight")
+    members = shared.select("h", "k").hint("merge").join(one.select("g", "weight"), F.col("h") == F.col("g")).select("g", "k", "weight")
     out = scratch.save(nodes), scratch.save(members)
     scratch.drop(found, shared)
     return out
@@ -111,35 +111,53 @@ def _members(links: DataFrame) -> DataFrame:
     return links if "g" in links.columns else links.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("k"), "weight")
 
 
+def _quotas(flow: np.ndarray, load: np.ndarray, room_of: float) -> np.ndarray:
+    """The size that may move between every two shards: what cancels out, and a share of the room that the target has left."""
+    even = np.minimum(flow, flow.T)
+    more = flow - even
+    into = more.sum(0)
+    room = np.maximum(room_of - load, 0.0)
+    return even + np.minimum(more, room * more / np.maximum(into, 1))
+
+
 def propagate(nodes: DataFrame, links: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """(k, size, shard); links are those of graph() or the members of hubs()."""
+    """(k, size, shard); links are those of graph() or the members of hubs(). Of each round the driver sees a row for every two shards
+    only, and what it decides goes back as arrays of that length. Joins are asked to be merged: a broadcast costs the driver MBs however small it is, and
+    those of all rounds add up."""
     members = scratch.save(_members(links))
     state = scratch.save(nodes.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int")))
     total = state.agg(F.sum("size")).first()[0] or 0
-    room_of = F.lit(float(total) / shards * (1 + slack))
-    all_shards = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    pair = F.col("shard") * shards + F.col("there")
     for r in range(rounds):
-        placed = members.join(state, "k")
+        placed = members.hint("merge").join(state, "k")
         held = placed.groupBy("g", "shard").agg(F.count("*").alias("n")).groupBy("g").agg(F.collect_list(F.struct(F.col("shard").alias("there"), "n")).alias("held"))
         active = placed.where(F.pmod(F.xxhash64("k", F.lit(r)), F.lit(2)) == 0)
-        votes = active.join(held, "g").select("k", "size", "shard", "weight", "held").repartition("k").select("k", "size", "shard", "weight", F.inline("held"))
+        votes = active.hint("merge").join(held, "g").select("k", "size", "shard", "weight", "held").repartition("k").select("k", "size", "shard", "weight", F.inline("held"))
         own = (F.col("there") == F.col("shard")).cast("int")  # a document is no partner of its own
         votes = votes.groupBy("k", "size", "shard", "there").agg(F.sum(F.col("weight") * (F.col("n") - own)).alias("w"))
         best = votes.groupBy("k", "size", "shard").agg(F.max(F.struct("w", (-F.col("there")).alias("minus"))).alias("top"), F.sum(F.when(F.col("there") == F.col("shard"), F.col("w")).otherwise(0)).alias("stay"))
         moves = best.select("k", "size", "shard", (-F.col("top.minus")).alias("there"), (F.col("top.w") - F.col("stay")).alias("gain")).where("gain > 0 and there <> shard")
         moves = scratch.save(moves)
-        flow = moves.groupBy("shard", "there").agg(F.sum("size").alias("flow"))
-        load = all_shards.join(state.groupBy("shard").agg(F.sum("size").alias("load")), "shard", "left").select(F.col("shard").alias("there"), F.greatest(room_of - F.coalesce("load", F.lit(0)), F.lit(0.0)).alias("room"))
-        back = flow.select(F.col("there").alias("shard"), F.col("shard").alias("there"), F.col("flow").alias("back"))
-        excess = flow.join(back, ["shard", "there"], "left").withColumn("even", F.least("flow", F.coalesce("back", F.lit(0)))).withColumn("more", F.col("flow") - F.col("even"))
-        share = excess.withColumn("_all", F.sum("more").over(Window.partitionBy("there"))).join(load, "there").select("shard", "there", (F.col("even") + F.when(F.col("_all") > 0, F.least(F.col("more"), F.col("room") * F.col("more") / F.col("_all"))).otherwise(0)).alias("quota"))
+        flow = np.zeros((shards, shards))
+        # loads are flows of a shard to itself here
+        for x in moves.select("shard", "there", "size").union(state.select("shard", F.col("shard").alias("there"), "size")).groupBy("shard", "there").agg(F.sum("size").alias("flow")).collect():
+            flow[x["shard"], x["there"]] = x["flow"]
+        load = flow.diagonal().copy()
+        np.fill_diagonal(flow, 0)
+        quota = F.lit(_quotas(flow, load, float(total) / shards * (1 + slack)).ravel())
         # moves of one gain go in classes of their keys' leading bits, so that what is ordered is a short table of sums
         classed = moves.withColumn("class", F.shiftright("k", 64 - CLASS_BITS))
         rank = Window.partitionBy("shard", "there").orderBy(F.desc("gain"), "class").rowsBetween(Window.unboundedPreceding, 0)
         sums = classed.groupBy("shard", "there", "gain", "class").agg(F.sum("size").alias("_of")).withColumn("_sum", F.sum("_of").over(rank))
-        may = sums.join(F.broadcast(share), ["shard", "there"]).where("_sum <= quota").select("shard", "there", "gain", "class")
-        admitted = classed.join(may, ["shard", "there", "gain", "class"], "left_semi").select("k", F.col("there").alias("_to"))
-        new = scratch.save(state.join(admitted, "k", "left").select("k", "size", F.coalesce("_to", "shard").alias("shard")))
+        # sums grow, so what a quota admits ends at one gain and class
+        last = sums.where(F.col("_sum") <= F.get(quota, pair)).groupBy("shard", "there").agg(F.max(F.struct((-F.col("gain")).alias("minus"), "class")).alias("last"))
+        minus, end = np.full(shards * shards, np.iinfo(np.int64).min), np.zeros(shards * shards, np.int64)
+        for x in last.collect():
+            minus[x["shard"] * shards + x["there"]], end[x["shard"] * shards + x["there"]] = x["last"]
+        before = -F.col("gain") < F.get(F.lit(minus), pair)
+        same = -F.col("gain") == F.get(F.lit(minus), pair)
+        admitted = classed.where(before | same & (F.col("class") <= F.get(F.lit(end), pair))).select("k", F.col("there").alias("_to"))
+        new = scratch.save(state.hint("merge").join(admitted, "k", "left").select("k", "size", F.coalesce("_to", "shard").alias("shard")))
         scratch.drop(moves, state)
         state = new
     return state
@@ -158,7 +176,7 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: i
     nodes, members = hubs(spark, docs, scratch)
     state = propagate(nodes, members, scratch, shards, rounds, slack)
     ids = documents(docs, "doc_id", "text").select("doc_id", doc_key().alias("k")).distinct()
-    return ids.join(state, "k").select("doc_id", "shard", "size")
+    return ids.hint("merge").join(state, "k").select("doc_id", "shard", "size")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,14 @@ def test_odd_rows(spark, odd, empty):
     assert sorted((str(r.doc_id), r.size) for r in rows) == sorted([("1", 120), ("2", 0), ("3", 0), ("None", 5), ("None", 0), ("4", 1), ("5", 60_000), ("6", 0), ("7", 1), ("8", 1), ("8", 6)])
     assert all(0 <= r.shard < 3 for r in rows)
     assert H.assign(spark, empty, rounds=1).count() == 0
+
+
+def test_rounds_send_nothing_through_the_driver(spark):
+    """Every broadcast costs the driver MBs however small its table is, and those of all rounds add up."""
+    ran = spark._jsparkSession.sharedState().statusStore()
+    before = ran.executionsCount()
+    H.assign(spark, table(spark, families(2, groups=4)), shards=4, rounds=2, slack=0.1).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    new = ran.executionsList(before, 1000)
+    plans = [new.apply(i).physicalPlanDescription() for i in range(new.size())]
+    assert len(plans) > 8 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
