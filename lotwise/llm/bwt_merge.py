@@ -6,11 +6,12 @@ stores its transform: for every suffix the symbol before it (anchor hash and dis
 anchor to the left. The shards are then merged without sorting suffixes again, by interleave refinement: the interleaving by d
 symbols follows from the one by d - 1 symbols by a stable distribution of the entries by their preceding symbol, moved along
 LF. A block border that first shows in round d has a common prefix of d - 1 symbols; suffixes alone in their block leave. Rounds
-end when every block that is left shares at least MIN_WORDS words. Blocks that stop short are decided by their words: all windows of MIN_WORDS
-words over the anchor are compared.
+end when every block that is left shares at least MIN_WORDS words. Blocks that stop short and the ends of runs are decided by words: a window
+of MIN_WORDS words belongs to the least of its grams, an anchor wherever the window stands, and an anchor over which any document has a window outside
+its runs has its windows compared in all documents.
 
 Defined results: (doc_id, start_word, end_word, copies), one row per joined run of words in repeats of at least
-MIN_WORDS words; a run's ends are those of anchors, at most WINDOW - 1 words inside the repeat. Words are those of
+MIN_WORDS words: all words of windows of MIN_WORDS words that stand at two places, also where these overlap. Words are those of
 words.py. Rows with a null text are no documents, a null doc_id is kept as null; repeated rows are one; shorter texts have no repeats.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,14 +37,21 @@ MOST_PLACES = 100_000
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of documents of MIN_WORDS words and more. Of those that winnowing thins out in periodic text the first of each row of them
+    stays as a mark (its place below zero) that its hash stands twice."""
     for b in batches:
         key = b["k"].to_numpy()
         for w in W.split(b["text"]):
-            p, h = W.winnow(w, GRAM, WINDOW)
+            p, h = W.winnow(w, GRAM, WINDOW, thin=False)
             d = np.searchsorted(w.at, p, "right") - 1
             use = np.diff(w.at)[d] >= MIN_WORDS if len(d) else np.zeros(0, bool)
             p, h, d = p[use], h[use], d[use]
-            yield pa.RecordBatch.from_arrays([pa.array(int64(h)), pa.array(key[w.first + d]), pa.array((p - w.at[d]).astype(np.int32))], ["h", "k", "pos"])
+            keep = W.thinned(p, h, d, WINDOW)
+            mark = ~keep
+            mark[1:] &= keep[:-1]
+            pos = np.where(keep, p - w.at[d], w.at[d] - p - 1).astype(np.int32)
+            use = keep | mark
+            yield pa.RecordBatch.from_arrays([pa.array(int64(h[use])), pa.array(key[w.first + d[use]]), pa.array(pos[use])], ["h", "k", "pos"])
 
 
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,12 +67,13 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[use]), pa.array(k[use]), pa.array(pos[use]), pa.array(n[use])], ["h", "k", "pos", "n"])
 
 
-def standing_twice(texts: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most: int = MOST_PLACES) -> DataFrame:
+def standing_twice(texts: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most: int = MOST_PLACES, scratch: Scratch | None = None) -> DataFrame:
     """(h, k, pos, n) of the hashes in a scan of texts(k, ...) that stand at two places. Hashes of more than `most` places don't come
-    to one task; Spark aggregates count them."""
+    to one task; Spark aggregates count them. With `scratch` the scan is saved, else it is made for each pass."""
     places = "h bigint, k bigint, pos int"
-    often = heavy_hitters(texts, lambda d: d.mapInArrow(scan, places), most)
     found = texts.mapInArrow(scan, places)
+    found = scratch.save(found) if scratch else found
+    often = heavy_hitters(found, lambda d: d, most)
     if not len(often):
         return found.repartition("h").sortWithinPartitions("h", "k", "pos").mapInArrow(_twice, places + ", n bigint")
     hot = F.broadcast(texts.sparkSession.createDataFrame([(h,) for h in often.tolist()], "h bigint"))  # bounded by the corpus over `most`
@@ -126,26 +136,54 @@ def _new_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[use]) for c in ("shard", "r", "core")] + [pa.array(ids[use]), pa.array(n[use])], ["shard", "r", "core", "block", "n"])
 
 
-def _over_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all windows of MIN_WORDS words over the given anchors."""
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the sorted anchors of documents, with the words that they share, the joined runs (h null) and the hashes of anchors over which a window
+    lies outside them."""
+    for t in whole_groups(batches, "k", 1 << 14):
+        k, pos, h = t["k"].to_numpy(), t["pos"].to_numpy().astype(np.int64), t["h"].to_numpy()
+        core, n = pc.fill_null(t["core"], 0).to_numpy(), pc.fill_null(t["n"], 0).to_numpy()
+        # documents one after the other, further apart than anything reaches
+        a, e = runs(k)
+        base = np.zeros(len(a), np.int64)
+        np.cumsum((np.maximum.reduceat(pos + core, a) + 2 * MIN_WORDS)[:-1], out=base[1:])
+        base = np.repeat(base, e - a)
+        on = np.flatnonzero(core > 0)
+        start, end = (base + pos)[on], (base + pos + core)[on]
+        far = np.maximum.accumulate(end)
+        first = np.flatnonzero(np.concatenate([[True], start[1:] > far[:-1]])) if len(on) else on
+        start, end = start[first], far[np.append(first[1:], len(on)) - 1] if len(on) else end
+        if len(first):
+            of = on[first]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.int64()), pa.array(k[of]), pa.array((start - base[of]).astype(np.int32)), pa.array((end - base[of]).astype(np.int32)), pa.array(np.maximum.reduceat(n[on], first))], ["h", "k", "start", "end", "n"])
+        left, right = base + np.maximum(pos - WINDOW + 1, 0), base + pos + MIN_WORDS
+        run = np.searchsorted(start, left, "right") - 1
+        inside = (run >= 0) & (right <= end[np.maximum(run, 0)]) if len(first) else np.zeros(len(k), bool)
+        open_ = np.unique(h[~inside])
+        none = pa.nulls(len(open_), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(open_), pa.nulls(len(open_), pa.int64()), none, none, pa.nulls(len(open_), pa.int64())], ["h", "k", "start", "end", "n"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows of MIN_WORDS words whose least gram is one of the given anchors, each window once."""
     for b in batches:
-        key, first, at = b["k"].to_numpy(), b["places"].offsets.to_numpy(), b["places"].values.to_numpy()
+        key, first, anchors = b["k"].to_numpy(), b["anchors"].offsets.to_numpy(), b["anchors"].values.to_numpy().view(np.uint64)
         for w in W.split(b["text"]):
-            prefix = W.prefix_hash(w.h)
-            doc = np.repeat(np.arange(w.docs), np.diff(first[w.first : w.first + w.docs + 1]))
-            p = at[first[w.first] : first[w.first + w.docs]] + w.at[doc]
-            start = p[:, None] - np.arange(WINDOW)[None, :]
-            ok = (start >= w.at[doc][:, None]) & (start + MIN_WORDS <= w.at[doc + 1][:, None])
-            row, _ = np.nonzero(ok)
-            s = start[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(int64(W.range_hash(prefix, s, s + MIN_WORDS))), pa.array(key[w.first + doc[row]]), pa.array((s - w.at[doc[row]]).astype(np.int32))], ["h", "k", "pos"])
+            if len(w.h) < MIN_WORDS:
+                continue
+            g, _ = W.gram_hash(w, GRAM)
+            least = W._sliding(g, WINDOW, np.minimum)
+            inside = np.arange(len(least)) + MIN_WORDS <= np.repeat(w.at[1:], np.diff(w.at))[: len(least)]
+            s = np.flatnonzero(inside & np.isin(least, anchors[first[w.first] : first[w.first + w.docs]]))
+            d = np.searchsorted(w.at, s, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(int64(W.range_hash(W.prefix_hash(w.h), s, s + MIN_WORDS))), pa.array(key[w.first + d]), pa.array((s - w.at[d]).astype(np.int32))], ["h", "k", "pos"])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
     """(doc_id, start_word, end_word, copies)."""
     scratch = Scratch(spark)
     docs = documents(docs, "doc_id", "text").where("text is not null").withColumn("k", doc_key())
-    symbols = scratch.save(standing_twice(docs.select("k", "text"), _anchors, MOST_PLACES))
+    marked = scratch.save(standing_twice(docs.select("k", "text"), _anchors, MOST_PLACES))
+    symbols = marked.where("pos >= 0")
     shards = max(1, -(-symbols.count() // shard_symbols))
     placed = symbols.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
     bwt = scratch.save(placed.repartition("shard").sortWithinPartitions("shard", "k", "pos").mapInArrow(_transform, "shard int, r int, lf int, h bigint, ch bigint, cgap int, k bigint, pos int"))
@@ -173,10 +211,12 @@ def repeats(spark: SparkSession, docs: DataFrame, shard_symbols: int = SHARD_SYM
     found = scratch.save(found.groupBy("shard", "r").agg(F.min("core").alias("core"), F.max("n").alias("n")))
     scratch.drop(*rounds)
     at = bwt.select("shard", "r", "h", "k", "pos").join(found, ["shard", "r"], "left")
-    sure = at.where("core is not null").select("k", F.col("pos").alias("start"), (F.col("pos") + F.col("core")).alias("end"), F.col("n").alias("copies"))
-    open_h = at.where("core is null").select("h").distinct()
-    places = symbols.join(open_h, "h").groupBy("k").agg(F.collect_set("pos").alias("places"))
-    windows = standing_twice(docs.select("k", "text").join(places, "k").select("k", "text", "places"), _over_anchors, MOST_PLACES)
+    runs_and_open = scratch.save(at.select("h", "k", "pos", F.col("core").cast("bigint").alias("core"), F.col("n").cast("bigint").alias("n")).repartition("k").sortWithinPartitions("k", "pos").mapInArrow(_covered, "h bigint, k bigint, start int, end int, n bigint"))
+    scratch.drop(bwt, found)
+    sure = runs_and_open.where("h is null").select("k", "start", "end", F.col("n").alias("copies"))
+    open_h = runs_and_open.where("h is not null").select("h").union(marked.where("pos < 0").select("h")).distinct()
+    anchors = marked.join(open_h, "h").groupBy("k").agg(F.collect_set("h").alias("anchors"))
+    windows = standing_twice(docs.select("k", "text").join(anchors, "k").select("k", "text", "anchors"), _windows, MOST_PLACES, scratch)
     sure = sure.union(windows.select("k", F.col("pos").alias("start"), F.col("pos") + MIN_WORDS, "n"))
     w = Window.partitionBy("k").orderBy("start", "end")
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))

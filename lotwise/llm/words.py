@@ -175,11 +175,11 @@ def _sliding(a: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
     return cur
 
 
-def winnow(w: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def winnow(w: Words, k: int, window: int, thin: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Positions (word indices in the slice) and hashes of the winnowed k-grams: of any `window` k-grams in a row in
     one document at least one is chosen, by content alone. So any k + window - 1 shared words share a chosen gram.
     A document with fewer grams than a window gives its smallest. Of equal grams less than a window apart, as in
-    repetitive text, the first is kept and then one in each further window."""
+    repetitive text, the first is kept and then one in each further window, unless `thin` is off; thinned() does that."""
     g, ok = gram_hash(w, k)
     n = len(g)
     if not n:
@@ -212,21 +212,26 @@ def winnow(w: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         least[short] = np.minimum.reduceat(val[idx], np.concatenate([[0], np.cumsum(size[short])[:-1]]))
         keep[idx] = val[idx] == least[inside]
     chosen = np.flatnonzero(keep)
-    p, hv, d = pos[chosen], val[chosen], doc[chosen]
+    p, hv = pos[chosen], val[chosen]
+    if thin:
+        keep = thinned(p, hv, doc[chosen], window)
+        p, hv = p[keep], hv[keep]
+    return p, hv
+
+
+def thinned(p: np.ndarray, hv: np.ndarray, d: np.ndarray, window: int) -> np.ndarray:
+    """Which of the grams of winnow() are kept where equal ones stand less than a window apart."""
     same = np.zeros(len(p), bool)
     if len(p) > 1:
         same[1:] = (hv[1:] == hv[:-1]) & (d[1:] == d[:-1]) & (p[1:] - p[:-1] < window)
-    if same.any():  # thin runs of equal grams
-        drop = np.zeros(len(p), bool)
-        run = np.flatnonzero(same)
-        last = {}
-        for j in run.tolist():
-            base = last.get(j - 1, p[j - 1])
-            if p[j] - base < window:
-                drop[j] = True
-                last[j] = base
-            else:
-                last[j] = p[j]
-            last.pop(j - 1, None)
-        p, hv = p[~drop], hv[~drop]
-    return p, hv
+    drop = np.zeros(len(p), bool)
+    last = {}
+    for j in np.flatnonzero(same).tolist():
+        base = last.get(j - 1, p[j - 1])
+        if p[j] - base < window:
+            drop[j] = True
+            last[j] = base
+        else:
+            last[j] = p[j]
+        last.pop(j - 1, None)
+    return ~drop

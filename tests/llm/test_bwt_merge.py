@@ -50,3 +50,14 @@ def test_frequent_hashes_give_the_same(spark, monkeypatch):
     want = sorted(map(str, B.repeats(spark, df).collect()))
     monkeypatch.setattr(B, "MOST_PLACES", 3)
     assert sorted(map(str, B.repeats(spark, df).collect())) == want and any("doc_id=None" in r for r in want)
+
+
+@pytest.mark.parametrize("seed,symbols", [(0, 1 << 19), (1, 20), (2, 7), (3, 1 << 19), (4, 50)])
+def test_repeats_are_those_of_brute_force(spark, seed, symbols):
+    """Runs end at the word, also in periodic text whose copies overlap."""
+    rng = random.Random(seed)
+    docs = passages(seed)
+    docs += [prose(rng, rng.randrange(60)) + (prose(rng, period) * 60)[:n] + prose(rng, rng.randrange(60)) for period, n in ((1, 51), (2, 53), (3, 54), (5, 55), (7, 57), (18, 69), (19, 70), (20, 90), (30, 81), (49, 100), (49, 98), (60, 150))]
+    df = table(spark, [" ".join(w) for w in docs])
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in B.repeats(spark, df, symbols).collect())
+    assert got == sorted(covered(docs, False))
