@@ -3,6 +3,7 @@ to connected components, and the columns that they read."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +17,9 @@ from pyspark.sql import types as T
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Buckets by which places are counted before their values are.
 BUCKET_BITS = 16
+#: Bytes of an Arrow batch. Spark's own limits (64 MB, 10,000 rows) let every task hold several tens of MB on either side of its pipe.
+#: Two segments of positional_index fit.
+BATCH_BYTES = 15 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +35,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES for the session's Python workers, from here on; a smaller limit stays. A row is never cut."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The kernel; what it freed goes back to the system when it ends, as its worker waits a minute for another task and others run beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 class Scratch:
     """Tables of one run, written as Parquet into the shared folder, so that a lost executor loses none of them."""
 
@@ -112,11 +143,11 @@ def heavy_hitters(docs: DataFrame, scan: Callable[[DataFrame], DataFrame], limit
     counted by buckets of values first, and by value only in buckets over `limit`, as no other bucket can hold such a value. There are at
     most as many as the corpus has places over `limit`."""
     found = scan(docs).select("h")
-    full = found.mapInArrow(_by_bucket, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    full = found.mapInArrow(released(_by_bucket), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
     buckets = np.array([r["bucket"] for r in full.select("bucket").toLocalIterator()], np.int64)
     if not len(buckets):
         return buckets
-    seen = found.mapInArrow(_in_buckets(buckets), "h bigint").groupBy("h").count().where(F.col("count") > limit)
+    seen = found.mapInArrow(released(_in_buckets(buckets)), "h bigint").groupBy("h").count().where(F.col("count") > limit)
     return np.array([r["h"] for r in seen.select("h").toLocalIterator()], np.int64)
 
 
@@ -191,7 +222,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     node links its larger neighbours to the least node it knows. The rounds grow with the logarithm of the longest path.
     Null ends are dropped; without edges the result is empty."""
     e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a is not null and b is not null and a <> b")
-    cur = scratch.save(e.mapInArrow(_forest, "a bigint, b bigint").distinct())
+    cur = scratch.save(e.mapInArrow(released(_forest), "a bigint, b bigint").distinct())
     while True:
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

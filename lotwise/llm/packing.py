@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Scratch, documents, runs, table, whole_groups
+from .common import Scratch, documents, released, runs, small_batches, table, whole_groups
 
 CAPACITY = 2048
 GROUP_WORDS = 1 << 24
@@ -118,11 +118,11 @@ def _pack_groups(capacity: int):
 def _groups(spark: SparkSession, docs: DataFrame, capacity: int, group_words: int) -> DataFrame:
     """The packing of docs(doc_id, text, o), in the order of a hash of o; the column o stays."""
     scratch = Scratch(spark)
-    sizes = scratch.save(docs.mapInArrow(_lengths, "doc_id bigint, o bigint, n bigint"))
+    sizes = scratch.save(docs.mapInArrow(released(_lengths), "doc_id bigint, o bigint, n bigint"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     n_groups = max(1, -(-total // group_words))
     rows = sizes.withColumn("h", F.xxhash64("o")).withColumn("g", F.pmod("h", F.lit(n_groups)))
-    return rows.repartition("g").sortWithinPartitions("g", "h", "o", "doc_id", "n").mapInArrow(_pack_groups(capacity), "doc_id bigint, o bigint, piece int, first_word bigint, n_words bigint, bin_id bigint, bin_start int")
+    return rows.repartition("g").sortWithinPartitions("g", "h", "o", "doc_id", "n").mapInArrow(released(_pack_groups(capacity)), "doc_id bigint, o bigint, piece int, first_word bigint, n_words bigint, bin_id bigint, bin_start int")
 
 
 def packed(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WORDS) -> DataFrame:
@@ -157,11 +157,12 @@ def packed_texts(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY,
     fields = ["piece", "first_word", "n_words", "bin_id", "bin_start"]
     pieces = _groups(spark, numbered, capacity, group_words).groupBy("o").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("pieces"))
     joined = numbered.withColumnRenamed("o", "_o").join(pieces, F.col("_o") == F.col("o")).select("doc_id", "text", "pieces")
-    return joined.mapInArrow(_piece_texts(fields), "doc_id bigint, piece int, first_word bigint, n_words bigint, bin_id bigint, bin_start int, text string")
+    return joined.mapInArrow(released(_piece_texts(fields)), "doc_id bigint, piece int, first_word bigint, n_words bigint, bin_id bigint, bin_start int, text string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the packing of the documents and the text of each piece, so that bins can be read from its rows alone."""
+    small_batches(spark)
     return packed_texts(spark, docs)
 
 

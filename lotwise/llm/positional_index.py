@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import DOC_COLUMNS, Scratch, doc_key, documents, int64, own_id, ranked_id, runs, table
+from .common import DOC_COLUMNS, Scratch, doc_key, documents, int64, own_id, ranked_id, released, runs, small_batches, table
 
 PHRASE = 8
 LEAST = 4
@@ -81,7 +81,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary_of(benchmark: DataFrame, most: int) -> np.ndarray | None:
     """The sorted terms of all items; None where there are more than `most`."""
-    terms = benchmark.select("text").where("text is not null").mapInArrow(_terms, "term bigint").distinct().limit(most + 1).toArrow()
+    terms = benchmark.select("text").where("text is not null").mapInArrow(released(_terms), "term bigint").distinct().limit(most + 1).toArrow()
     return None if terms.num_rows > most else np.sort(terms["term"].to_numpy().view(np.uint64))
 
 
@@ -125,7 +125,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
     """A row for each segment of documents: their ranks and keys, and the postings of its terms (those of the vocabulary, or all),
     sorted by term, document, place."""
     rows = documents(docs, "doc_id", "text").where("text is not null").select(ranked_id().alias("doc_id"), doc_key().alias("k"), "text")
-    return rows.mapInArrow(_index(vocabulary), _POSTINGS)
+    return rows.mapInArrow(released(_index(vocabulary)), _POSTINGS)
 
 
 def _of(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,14 +268,15 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: i
         if index is None:
             index = scratch.save(build_index(docs, vocabulary_of(benchmark, MAX_TERMS)))
         df = np.zeros(len(items.vocabulary), np.int64)
-        for r in index.select("terms", "df").mapInArrow(_frequencies(items.vocabulary), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
+        for r in index.select("terms", "df").mapInArrow(released(_frequencies(items.vocabulary)), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
             df[r["term"]] = r["df"]
-        out = out.union(index.select("docs", "keys", "terms", "starts", "doc", "pos").mapInArrow(_match(items, anchors(items, df), probes(items, df)), schema))
+        out = out.union(index.select("docs", "keys", "terms", "starts", "doc", "pos").mapInArrow(released(_match(items, anchors(items, df), probes(items, df))), schema))
     return out.withColumn("doc_id", own_id()).select("k", "doc_id", "item_id", "kind", "doc_word", "item_word", "n_words", "share").distinct()
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents (distinct doc_id and text) that no test item matches."""
+    small_batches(spark)
     docs = documents(docs, *DOC_COLUMNS)
     bad = matches(spark, docs, table(spark, sf_dir, "benchmark")).select("k").distinct()
     return docs.withColumn("_k", doc_key()).join(bad, F.col("_k") == F.col("k"), "left_anti").select(*DOC_COLUMNS)

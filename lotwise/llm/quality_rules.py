@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import DOC_COLUMNS, documents, table
+from .common import DOC_COLUMNS, documents, released, small_batches, table
 
 STATS = ["n_words", "mean_word", "symbol_share", "upper_share", "digit_share", "unique_share", "repeat_share", "line_words", "lexicon_rate"]
 #: Labelled documents that the fit reads at most, those of least hash.
@@ -131,7 +131,7 @@ def with_stats(docs: DataFrame, keep: list[str], lexicon: Lexicon, prefix: str)
             x = np.concatenate(x) if x else np.zeros((0, len(STATS)))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(x[:, i]) for i in range(len(STATS))], [*keep, *[prefix + s for s in STATS]])
 
-    return kept.mapInArrow(scan, schema)
+    return kept.mapInArrow(released(scan), schema)
 
 
 def learn_lexicon(texts: list[str], bad: np.ndarray, least_docs: int = 8, ratio: float = 5.0) -> Lexicon:
@@ -237,6 +237,7 @@ def judge(docs: DataFrame, model: DecisionList) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that no rule rejects."""
+    small_batches(spark)
     docs = documents(docs, *DOC_COLUMNS)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return with_stats(docs, DOC_COLUMNS, model.lexicon, "_s_").where(model.column("_s_").isNull()).select(*DOC_COLUMNS)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import DOC_COLUMNS, Scratch, components, doc_key, documents, int64, ranked_id, runs, table, whole_groups
+from .common import DOC_COLUMNS, Scratch, components, doc_key, documents, int64, ranked_id, released, runs, small_batches, table, whole_groups
 
 SHINGLE = 3
 ROUTES = 6
@@ -47,6 +47,9 @@ BLOCK = 512
 #: Members of a shard beyond which it is cut into parts, and beyond which fewer than BLOCK queries go at a time.
 MOST_MEMBERS = 20_000
 MANY_MEMBERS = 8192
+#: Pairs of codes that are compared, and triples of a shard that are sorted, at a time.
+MOST_PAIRS = 1 << 18
+MOST_TRIPLES = 1 << 20
 #: Probes that must have partners before an audit counts.
 LEAST_PROBES = 8
 _SALT = [W.mix(np.array([0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)], np.uint64))[0] for i in range(ROUTES)]
@@ -122,7 +125,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, k, body, code, shards) of documents with words; body is a hash of all their words, k their key, and doc_id ranks them."""
     rows = documents(docs, "doc_id", "text").select(ranked_id().alias("doc_id"), doc_key().alias("k"), "text")
-    return rows.mapInArrow(_signatures, "doc_id bigint, k bigint, body bigint, code bigint, shards array<bigint>")
+    return rows.mapInArrow(released(_signatures), "doc_id bigint, k bigint, body bigint, code bigint, shards array<bigint>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +150,15 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int32)
 
 
+def within(code: np.ndarray, q: np.ndarray, other: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, other) of all pairs within the radius but those with itself, MOST_PAIRS compared at a time."""
+    step = max(1, MOST_PAIRS // max(len(other), 1))
+    for x in range(0, len(q), step):
+        i, j = np.nonzero(np.bitwise_count(code[q[x : x + step], None] ^ code[other][None, :]) <= radius)
+        i, j = q[x + i], other[j]
+        yield i[i != j], j[i != j]
+
+
 class SmallWorld:
     """A navigable small-world graph over Hamming distance. Nodes are inserted in growing batches; each links to the
     DEGREE nearest nodes that a beam search finds, and they link back. Early links stay, they are the long ones."""
@@ -263,23 +275,23 @@ def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, a
             rest, beam = rest[full], beam * 2
         return np.concatenate(a), np.concatenate(b), rest
 
-    beam, probes = 32, audit
+    beam, probes, block = 32, audit, block_of(n)
     while beam < n:
         probe = np.unique(np.linspace(0, n - 1, min(n, probes)).astype(np.int64))
-        exact = distance(code[probe][:, None], code[None, :]) <= radius
-        exact[np.arange(len(probe)), probe] = False
-        have = exact.sum(1)
+        have = np.zeros(len(probe), np.int64)
+        for a, _ in within(code, probe, np.arange(n), radius):
+            have += np.bincount(np.searchsorted(probe, a), minlength=len(probe))
         if (have > 0).sum() < LEAST_PROBES and len(probe) < n:
             probes *= 4
             continue
-        a, b, saturated = ask(probe, beam)
-        a, b = a[a != b], b[a != b]
-        found = np.bincount(np.searchsorted(probe, a), minlength=len(probe))
-        open_ = (have > 0) & ~np.isin(probe, saturated)
+        found, open_ = np.zeros(len(probe), np.int64), have > 0
+        for x in range(0, len(probe), block):
+            a, b, saturated = ask(probe[x : x + block], beam)
+            found += np.bincount(np.searchsorted(probe, a[a != b]), minlength=len(probe))
+            open_[np.searchsorted(probe, saturated)] = False
         if not open_.any() or (found[open_] / have[open_]).mean() >= recall:
             break
         beam *= 2
-    block = block_of(n)
     for x in range(0, n, block):
         a, b, rest = ask(np.arange(x, min(n, x + block)), beam)
         yield a[a != b], b[a != b]
@@ -287,10 +299,7 @@ def neighbours(code: np.ndarray, radius: int = RADIUS, recall: float = RECALL, a
             # the label may have changed since: what was asked for stays a superset
             q = rest if one is None else rest[label[rest] == one]
             other = np.arange(n) if one is None else np.flatnonzero(label != one)
-            if len(q) and len(other):
-                i, j = np.nonzero(distance(code[q][:, None], code[other][None, :]) <= radius)
-                i, j = q[i], other[j]
-                yield i[i != j], j[i != j]
+            yield from within(code, q, other, radius)
 
 
 class Labels:
@@ -322,6 +331,24 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _shared(member: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(triple, member) where several members hold the triple, by triple and member, and the number of such triples. Ranges of hashes
+    go one after the other, so that triples of one member take little."""
+    h, who = np.concatenate(member), np.repeat(np.arange(len(member), dtype=np.uint32), size)
+    parts = max(1, -(-len(h) // MOST_TRIPLES))
+    grams, docs, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for p in range(parts):
+        own = (h >= (p << 32) // parts) & (h <= ((p + 1 << 32) // parts - 1))
+        key = h[own].astype(np.uint64) << np.uint64(32) | who[own]
+        key.sort()
+        held = np.diff(np.append(np.flatnonzero(np.diff(key >> np.uint64(32), prepend=~np.uint64(0))), len(key)))
+        shared = held > 1
+        docs.append((key[np.repeat(shared, held)] & np.uint64(0xFFFFFFFF)).astype(np.int32))
+        grams.append(np.repeat(np.arange(n, n + shared.sum(), dtype=np.int32), held[shared]))
+        n += int(shared.sum())
+    return np.concatenate(grams), np.concatenate(docs), n
+
+
 def split(member: list[np.ndarray]) -> list[np.ndarray]:
     """Members of a shard by their sets of triples in classes that hold every pair of a Jaccard of JACCARD and more; members without
     a partner are in none. Both ends of such a pair hold JACCARD of their own triples in common, so a member goes when fewer are shared with
@@ -330,11 +357,8 @@ def split(member: list[np.ndarray]) -> list[np.ndarray]:
     n = len(member)
     size = np.array([len(m) for m in member], np.int64)
     need = np.maximum(np.ceil(JACCARD * size - 1e-6).astype(np.int64), 1)  # without the rounding of JACCARD
-    key = np.concatenate([m.astype(np.uint64) << np.uint64(32) | np.uint64(i) for i, m in enumerate(member)])
-    key.sort()
-    doc, a = (key & np.uint64(0xFFFFFFFF)).astype(np.int32), np.flatnonzero(np.diff(key >> np.uint64(32), prepend=~np.uint64(0)))
-    held = np.diff(np.append(a, len(key)))
-    gram = np.repeat(np.arange(len(a), dtype=np.int32), held)
+    gram, doc, grams = _shared(member, size)
+    held = np.bincount(gram, minlength=grams)
     while True:
         shared = held[gram] > 1
         gram, doc = gram[shared], doc[shared]
@@ -343,7 +367,7 @@ def split(member: list[np.ndarray]) -> list[np.ndarray]:
         if left.all():
             break
         gram, doc = gram[left], doc[left]
-        held = np.bincount(gram, minlength=len(a))
+        held = np.bincount(gram, minlength=grams)
     o = np.lexsort((gram, held[gram], doc))
     gram, doc = gram[o], doc[o]
     first, end = runs(doc)
@@ -456,9 +480,9 @@ def kept(spark: SparkSession, docs: DataFrame) -> DataFrame:
     once = size.groupBy("_who", "n").agg(F.min("shard").alias("shard")).select("shard", "n")  # shards of the same members count once
     placed = scratch.save(in_parts(placed.select("shard", "id", "code"), once, MOST_MEMBERS))
     wanted = placed.select("id").distinct().join(docs.select(doc_key().alias("k"), "text"), F.col("id") == F.col("k")).select("id", "text")
-    sets = wanted.mapInArrow(_sets, "id bigint, triples binary")
+    sets = wanted.mapInArrow(released(_sets), "id bigint, triples binary")
     members = placed.join(sets, "id").select("shard", "id", "code", "triples")
-    edges = members.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(_edges, "a bigint, b bigint")
+    edges = members.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(released(_edges), "a bigint, b bigint")
     comp = components(spark, edges.union(same.distinct()), scratch)
     named = scratch.save(comp.join(sig.select(F.col("k").alias("node"), "doc_id").distinct(), "node"))
     first = named.groupBy("component").agg(F.min(F.struct("doc_id", F.col("node").alias("k"))).alias("first"), F.count("*").alias("copies"))
@@ -487,6 +511,7 @@ def audit(docs: DataFrame, queries: int = 64, radius: int = RADIUS) -> DataFrame
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, and of repeated rows one, that of least (lang, source, n_chars)."""
+    small_batches(spark)
     docs = documents(docs, *DOC_COLUMNS)
     keyed = docs.withColumn("_k", doc_key())
     drop = kept(spark, docs).where("k <> first.k").select("k")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import DOC_COLUMNS, Scratch, doc_key, documents, heavy_hitters, int64, own_id, ranked_id, runs, table, whole_groups
+from .common import DOC_COLUMNS, Scratch, doc_key, documents, heavy_hitters, int64, own_id, ranked_id, released, runs, small_batches, table, whole_groups
 
 MIN_WORDS = 50
 PREFIX = 25
@@ -365,10 +365,10 @@ def spans(spark: SparkSession, docs: DataFrame, max_group: int = MAX_GROUP) -> D
     parts of which a copy stands before."""
     docs = documents(docs, "doc_id", "text").where("text is not null").select(ranked_id().alias("doc_id"), "text", doc_key().alias("k"))
     texts, anchor = docs.select("k", "text"), "h bigint, k bigint, pos int, before bigint"
-    often = heavy_hitters(texts, lambda d: d.mapInArrow(_anchors(), anchor), max_group)
-    marks = texts.mapInArrow(_anchors(without=often) if len(often) else _anchors(), anchor).repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "k bigint, pos int, diverse boolean, n bigint")
+    often = heavy_hitters(texts, lambda d: d.mapInArrow(released(_anchors()), anchor), max_group)
+    marks = texts.mapInArrow(released(_anchors(without=often) if len(often) else _anchors()), anchor).repartition("h").sortWithinPartitions("h").mapInArrow(released(_repeated), "k bigint, pos int, diverse boolean, n bigint")
     if len(often):
-        held = texts.mapInArrow(_anchors(only=often), anchor)
+        held = texts.mapInArrow(released(_anchors(only=often)), anchor)
         facts = held.groupBy("h").agg(F.count("*").alias("n"), (F.min("before") != F.max("before")).alias("diverse"), (F.min(F.struct("k", "pos")) != F.max(F.struct("k", "pos"))).alias("_two"))
         marks = marks.union(held.select("h", "k", "pos").join(F.broadcast(facts.where("_two")), "h").select("k", "pos", "diverse", "n"))  # at most as many as heavy_hitters() returns
     marks = marks.groupBy("k").agg(F.collect_set(F.struct("pos", "diverse", "n")).alias("marks"))
@@ -376,11 +376,11 @@ def spans(spark: SparkSession, docs: DataFrame, max_group: int = MAX_GROUP) -> D
     if len(often) or max_group < MAX_GROUP:
         marks = scratch.save(marks)
     marked = docs.join(marks, "k").select("k", "doc_id", "text", "marks")
-    rows = marked.mapInArrow(_suffixes(max_group), "g bigint, doc_id bigint, k bigint, pos int, before binary, after binary, head int")
-    raw = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_group_spans, "k bigint, doc_id bigint, start int, end int, copies bigint, earlier boolean")
+    rows = marked.mapInArrow(released(_suffixes(max_group)), "g bigint, doc_id bigint, k bigint, pos int, before binary, after binary, head int")
+    raw = rows.repartition("g").sortWithinPartitions("g").mapInArrow(released(_group_spans), "k bigint, doc_id bigint, start int, end int, copies bigint, earlier boolean")
     if len(often) or max_group < MAX_GROUP:
         hot = marked.where(F.exists("marks", lambda m: m["n"] > max_group))
-        raw = raw.union(_hot_spans(scratch, hot.mapInArrow(_hot_suffixes(max_group), "doc_id bigint, k bigint, pos int, windows array<bigint>, prefixes array<bigint>")))
+        raw = raw.union(_hot_spans(scratch, hot.mapInArrow(released(_hot_suffixes(max_group)), "doc_id bigint, k bigint, pos int, windows array<bigint>, prefixes array<bigint>")))
     w = Window.partitionBy("k", "earlier").orderBy("start", "end")
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     part = raw.withColumn("_new", F.when(far >= F.col("start"), 0).otherwise(1)).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -414,11 +414,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: runs of words that repeat earlier ones are cut out of the texts and n_chars follows; a document
     of which no word is left goes. Rows with a null text stay as they are."""
+    small_batches(spark)
     docs = documents(docs, *DOC_COLUMNS)
     cuts = spans(spark, docs).where("earlier").groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     joined = docs.withColumn("_k", F.when(F.col("text").isNotNull(), doc_key())).join(cuts, F.col("_k") == F.col("k"), "left").select(*DOC_COLUMNS, "cuts")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    done = joined.mapInArrow(_cut, ", ".join(f"{c} {fields[c]}" for c in DOC_COLUMNS) + ", was_cut boolean")
+    done = joined.mapInArrow(released(_cut), ", ".join(f"{c} {fields[c]}" for c in DOC_COLUMNS) + ", was_cut boolean")
     left = done.where("not was_cut or text rlike '[0-9A-Za-z\\\\x{80}-\\\\x{10FFFF}]'")
     return left.withColumn("n_chars", F.when(F.col("was_cut"), F.length("text").cast(fields["n_chars"])).otherwise(F.col("n_chars"))).select(*DOC_COLUMNS)
 

@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline as P
-from lotwise.llm import license_scan
+from lotwise.llm import common, license_scan, packing, simhash_dedup, suffix_trees
 
 from .conftest import prose, table
 from .test_quality_rules import corpus as labelled
@@ -79,3 +81,28 @@ def test_registry_names_each_operator_once():
     from lotwise.llm import registry
 
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 11)) and license_scan.TEMPLATES
+
+
+def test_python_workers_hold_little(spark, monkeypatch):
+    """A stage's batches are small, a smaller limit stays, and a kernel's worker gives its memory back, also when it is closed early."""
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", table(spark, ["x" * (1 << 20)] * 12).coalesce(1)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "2m")
+        simhash_dedup.stage(spark, docs, "")
+        assert spark.conf.get(key) == "2m"
+        spark.conf.set(key, "64m")
+        for stage in (simhash_dedup.stage, suffix_trees.stage, packing.stage):
+            spark.conf.set(key, "64m")
+            stage(spark, docs, "")
+            sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()
+            assert len(sizes) > 1 and max(r.n for r in sizes) <= common.BATCH_BYTES + (1 << 20) + 64
+    finally:
+        spark.conf.set(key, before)
+    calls = []
+    monkeypatch.setattr(common, "_give_back", lambda: calls.append(1))
+    assert [*common.released(lambda batches: (2 * b for b in batches))(iter([1, 2]))] == [2, 4] and len(calls) == 1
+    some = common.released(lambda batches: batches)(iter([1, 2]))
+    next(some)
+    some.close()
+    assert len(calls) == 2

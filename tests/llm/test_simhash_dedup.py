@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +205,29 @@ def test_a_shared_passage_is_not_verified_by_all_its_pairs(monkeypatch):
     assert len(pairs) > 20 and sum(known.label[x] == known.label[y] for x, y in pairs) >= 0.97 * len(pairs)
 
 
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / (1 << 20)
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_shard_is_bounded():
+    """Codes are compared and triples sorted a bounded number at a time, whatever the shard's size."""
+    rng = np.random.default_rng(5)
+    far = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    assert peak_mb(lambda: [*S.neighbours(far, radius=4)]) < 30  # without partners, all of them are audited
+    code = np.uint64(12345) ^ np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3).astype(np.uint64)) for _ in range(4000)], np.uint64)
+    got = [(a.astype(np.int64) * 4000 + b) for a, b in S.neighbours(code, label=np.repeat([0, 1], 2000))]
+    assert max(len(x) for x in got) <= 1 << 18
+    i, j = np.divmod(np.concatenate(got), 4000)
+    assert len(np.unique((i * 4000 + j)[(i < 2000) & (j >= 2000)])) == 2000 * 2000
+    member = [np.unique(rng.integers(0, 2**32, 1500, dtype=np.uint32)) for _ in range(3000)]
+    assert peak_mb(lambda: S.split(member)) < 130
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_split_and_sketches_keep_every_near_pair(seed):
     rng = np.random.default_rng(seed)
