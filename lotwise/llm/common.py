@@ -159,6 +159,13 @@ def uint64(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return col.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64) if isinstance(col, pa.Array) else col.to_numpy().astype(np.int64, copy=False).view(np.uint64)
 
 
+def _whole(held: list[pa.Table]) -> pa.Table:
+    """One table of those, which are let go: who reads it holds no second copy."""
+    t = pa.concat_tables(held).combine_chunks()
+    held.clear()
+    return t
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str, least: int = 1 << 15) -> Iterator[pa.Table]:
     """Tables in which every run of equal keys is complete, from batches in which equal keys stand together."""
     held: list[pa.Table] = []
@@ -170,17 +177,18 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, least: int = 1 <<
         k = t[key].to_numpy()
         change = np.flatnonzero(k[1:] != k[:-1])
         if held and held[-1][key][-1].as_py() != k[0] and rows >= least:
-            yield pa.concat_tables(held).combine_chunks()
-            held, rows = [], 0
+            yield _whole(held)
+            rows = 0
         if len(change) and rows + change[-1] + 1 >= least:
             cut = int(change[-1]) + 1
-            yield pa.concat_tables([*held, t.slice(0, cut)]).combine_chunks()
+            held.append(t.slice(0, cut))
+            yield _whole(held)
             held, rows = [t.slice(cut)], t.num_rows - cut
         else:
             held.append(t)
             rows += t.num_rows
     if held:
-        yield pa.concat_tables(held).combine_chunks()
+        yield _whole(held)
 
 
 def runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ import pytest
 
 from lotwise.llm import simhash_dedup as S
 from lotwise.llm import words as W
+from lotwise.llm.common import whole_groups
 
 from .conftest import prose, table
 
@@ -228,6 +229,17 @@ def test_memory_of_a_shard_is_bounded():
     assert peak_mb(lambda: S.split(member)) < 130
 
 
+def test_a_whole_group_is_held_once():
+    """While a group of many batches is read, its batches are let go."""
+    batches = (pa.RecordBatch.from_arrays([pa.array(np.full(1000, k // 40)), pa.array(np.arange(k * 1000, k * 1000 + 1000))], ["g", "x"]) for k in range(80))
+    before, held, got = pa.total_allocated_bytes(), [], []
+    for t in whole_groups((b.take(pa.array(np.arange(1000))) for b in batches), "g", 1):  # take() copies into Arrow's memory
+        got.append((t["g"].unique().to_pylist(), t.num_rows, t["x"].to_pylist()))
+        held.append((pa.total_allocated_bytes() - before) / t.nbytes)
+    assert [x[:2] for x in got] == [([0], 40_000), ([1], 40_000)] and got[0][2] + got[1][2] == list(range(80_000))
+    assert max(held) < 1.3
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_split_and_sketches_keep_every_near_pair(seed):
     rng = np.random.default_rng(seed)
