@@ -78,29 +78,65 @@ def lookup_score(record: dict[str, Column], wanted: dict[str, Column], name_scor
 
 def lookup(records: DataFrame, lookups: DataFrame, k: int = 5) -> DataFrame:
     """The k best records for each lookup. A record can only score by an equal id, by set and number, or by number and name; equi-joins make
-    the candidates of each, and no pair is scored twice. Ties go by language, having a product, a Japanese index, and row id."""
+    the candidates of each, and no pair is scored twice. Ties go by language, having a product, a Japanese index, and row id.
+    But for ids, records that score and rank alike form a class, of which the k first rows are enough, and lookups that ask the same are
+    answered once: pairs grow with the classes, not with the rows of both sides."""
     record_cols = ["product_id", "canonical_id", "card_id", "set_id", "card_code", "name", "name_en", "name_ja", "product_name", "index_name", "language", "row_id"]
-    # folding and splitting run once per row, in Arrow batches and before the pairing; what compares them stays in the JVM
-    r = records.select(*[F.col(c).alias(f"r_{c}") for c in record_cols], X.card_number("card_code").alias("_rn"), X.match_set("set_id").alias("_rs"), *[filled(X.lookup_key(c)).alias(f"_k_r_{c}") for c in ("name", "name_en", "name_ja")], X.tokens("name", "name_en", "name_ja", "product_name").alias("_tr"), X.tokens("set_id", "product_name", "card_id").alias("_sr"))
     wanted_cols = ["lookup_id", "product_id", "canonical_id", "card_id", "set_id", "card_code", "subject", "title", "language", "label"]
-    q = lookups.select(*[F.col(c).alias(f"q_{c}") for c in wanted_cols], X.card_number("card_code").alias("_qn"), X.match_set("set_id").alias("_qs"), filled(X.lookup_key("subject")).alias("_k_q_subject"), X.tokens("subject").alias("_tq"), X.tokens("title").alias("_sq"))
-    ids = [F.col(f"r_{c}") == F.col(f"q_{c}") for c in ("product_id", "card_id", "canonical_id")]
-    pairs, by_id = None, F.lit(False)
-    for on in ids:
-        p = r.join(q, on).where(~by_id)
+    place = {"_rl": X.candidate_language("r_language", "r_index_name"), "_rp": truthy("r_product_id").cast("int"), "_rj": F.coalesce(F.col("r_index_name").endswith("_ja"), F.lit(False)).cast("int")}
+    r = records.select(*[F.col(c).alias(f"r_{c}") for c in record_cols], X.card_number("card_code").alias("_rn"), X.match_set("set_id").alias("_rs")).withColumns(place)
+    q = lookups.select(*[F.col(c).alias(f"q_{c}") for c in wanted_cols], X.card_number("card_code").alias("_qn"), X.match_set("set_id").alias("_qs"), X.language_of("language").alias("_ql"), truthy("title").alias("_qt"), F.coalesce("label", F.lit(False)).alias("_qb"))
+    fields = ("product_id", "card_id", "canonical_id")
+    none, by_id, pairs = F.lit(None).cast("string"), F.lit(False), None
+    for on in [truthy(f"q_{f}") & (F.col(f"r_{f}") == F.col(f"q_{f}")) for f in fields]:
+        p = r.join(q.hint("merge"), on).where(~by_id)  # a hint to merge: both sides grow, and what is compressed well looks small enough to be broadcast
         by_id = by_id | F.coalesce(on, F.lit(False))
         pairs = p if pairs is None else pairs.union(p)
-    pairs = pairs.union(r.join(q, (F.col("_rn") == F.col("_qn")) & (F.col("_rs") == F.col("_qs"))).where(~by_id))
-    pairs = pairs.union(_by_name(r, q.where("_qs is null and _qn is not null")).where(~by_id))
+    score = lookup_score({f: F.col(f"r_{f}") for f in fields} | {"set_key": none, "number": none}, {f: F.col(f"q_{f}") for f in fields} | {"set_key": none, "number": none}, F.lit(0.0), F.lit(0.0), F.lit(False), F.lit(False))
+    same = F.coalesce(F.col("_rl") == F.col("_ql"), F.lit(False)).cast("int")
+    order = [F.desc("score"), F.desc("same"), F.desc("_rp"), F.desc("_rj"), F.col("r_row_id")]
+    best = pairs.withColumn("score", score)
+    # what is equal by an id scores more than by set or name, so of these the k best of a class stay enough when the former are left out
+    for found, asked, keys in (_by_set(r, q, k), *[_by_class(r, q.where(F.col("_qt") == titled), k, titled) for titled in (False, True)]):
+        ranked = found.withColumn("same", same).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k)
+        ranked = ranked.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keys)], "score", *[c for c in r.columns if c not in keys])
+        on = [asked[c].eqNullSafe(ranked[f"_c{i}"]) for i, c in enumerate(keys)]
+        best = best.unionByName(asked.join(ranked.hint("merge"), on).where(~by_id).select(*best.columns))
+    best = best.withColumn("score", F.round("score", 4)).where("score > 0").withColumn("same", same)
+    best = best.select(F.col("q_lookup_id").alias("lookup_id"), "score", "same", "_rp", "_rj", "r_row_id", F.col("r_row_id").alias("row_id"), F.col("r_card_id").alias("card_id"), F.col("r_index_name").alias("index_name"))
+    w = Window.partitionBy("lookup_id").orderBy(*order)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("lookup_id", "rank", "score", "row_id", "card_id", "index_name")
+
+
+def _first(rows: DataFrame, keys: list[str], k: int, order: str) -> DataFrame:
+    """The k first rows of each class, with their number."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_k") <= k)
+
+
+def _by_set(r: DataFrame, q: DataFrame, k: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(candidates of each class of lookups, the lookups, what makes their class): equal set and number."""
+    q, keys = q.where("_qn is not null and _qs is not null"), ["_qn", "_qs", "_ql"]
+    first = _first(r.where("_rn is not null and _rs is not null"), ["_rn", "_rs", "_rl", "_rp", "_rj"], k, "r_row_id").drop("_k")
+    pairs = first.join(q.select(*keys).distinct().hint("merge"), (F.col("_rn") == F.col("_qn")) & (F.col("_rs") == F.col("_qs")))
+    return pairs.withColumn("score", F.lit(0.96)), q, keys
+
+
+def _by_class(r: DataFrame, q: DataFrame, k: int, titled: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The same by number and name, for lookups without a set. A record's set, product name and id count for lookups with a title only."""
+    q, keys = q.where("_qs is null and _qn is not null"), ["_qn", "q_subject", "q_title", "_qt", "_qb", "_ql"]
+    own = ["_rn", "r_name", "r_name_en", "r_name_ja", "r_product_name", "_rl", "_rp", "_rj", *(["r_set_id", "r_card_id"] if titled else [])]
+    rest = [c for c in r.columns if c not in own]
+    classes = _first(r.where("_rn is not null"), own, k, "r_row_id").withColumn("_rows", F.collect_list(F.struct(*rest)).over(Window.partitionBy(*own))).where("_k = 1").select(*own, "_rows")
+    # folding and splitting run once per class, in Arrow batches and before the pairing; what compares them stays in the JVM
+    own_title = X.tokens("r_set_id", "r_product_name", "r_card_id") if titled else F.array().cast("array<string>")
+    c = classes.withColumns({f"_k_r_{n}": filled(X.lookup_key(f"r_{n}")) for n in ("name", "name_en", "name_ja")} | {"_tr": X.tokens("r_name", "r_name_en", "r_name_ja", "r_product_name"), "_sr": own_title})
+    a = _first(q, keys, 1, "q_lookup_id").select(*keys).withColumns({"_k_q_subject": filled(X.lookup_key("q_subject")), "_tq": X.tokens("q_subject"), "_sq": X.tokens("q_title")})
     name_score = X.subject_similarity(F.array_compact(F.array("_k_q_subject")), F.array_compact(F.array("_k_r_name", "_k_r_name_en", "_k_r_name_ja")), F.col("_tq"), F.col("_tr"))
-    title_score = X.overlap(F.col("_sq"), F.col("_sr"))
-    fields = ("product_id", "canonical_id", "card_id")
-    pairs = pairs.withColumn("_name", name_score).withColumn("_title", title_score)
-    score = lookup_score({f: F.col(f"r_{f}") for f in fields} | {"set_key": F.col("_rs"), "number": F.col("_rn")}, {f: F.col(f"q_{f}") for f in fields} | {"set_key": F.col("_qs"), "number": F.col("_qn")}, F.col("_name"), F.col("_title"), truthy("q_title"), F.coalesce("q_label", F.lit(False)))
-    good = pairs.withColumn("score", F.round(score, 4)).where("score > 0")
-    same_language = F.coalesce(X.candidate_language("r_language", "r_index_name") == X.language_of("q_language"), F.lit(False)).cast("int")
-    w = Window.partitionBy("q_lookup_id").orderBy(F.desc("score"), F.desc(same_language), F.desc(truthy("r_product_id").cast("int")), F.desc(F.coalesce(F.col("r_index_name").endswith("_ja"), F.lit(False)).cast("int")), "r_row_id")
-    return good.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q_lookup_id").alias("lookup_id"), "rank", "score", F.col("r_row_id").alias("row_id"), F.col("r_card_id").alias("card_id"), F.col("r_index_name").alias("index_name"))
+    pairs = _by_name(c, a).withColumn("_name", name_score).withColumn("_title", X.overlap(F.col("_sq"), F.col("_sr")))
+    none = dict.fromkeys(("product_id", "canonical_id", "card_id"), F.lit(None).cast("string"))
+    score = lookup_score(none | {"set_key": F.lit(None).cast("string"), "number": F.col("_rn")}, none | {"set_key": F.lit(None).cast("string"), "number": F.col("_qn")}, F.col("_name"), F.col("_title"), F.col("_qt"), F.col("_qb"))
+    good = pairs.withColumn("score", score).where("score > 0")
+    return good.select(*keys, "score", *own, F.explode("_rows").alias("_row")).select(*keys, "score", *own, "_row.*"), q, keys
 
 
 def _by_name(r: DataFrame, q: DataFrame) -> DataFrame:
@@ -120,7 +156,7 @@ def _by_name(r: DataFrame, q: DataFrame) -> DataFrame:
     def joined(rs: Column, qs: Column) -> DataFrame:
         """Pairs that share a number and one of these texts, each once."""
         left, right = r.withColumn("_a", rs).withColumn("_g", F.explode("_a")), q.withColumn("_b", qs).withColumn("_h", F.explode("_b"))
-        return left.join(right, (F.col("_rn") == F.col("_qn")) & (F.col("_g") == F.col("_h"))).where(F.get(F.array_intersect("_b", "_a"), F.lit(0)) == F.col("_g")).drop("_a", "_b", "_g", "_h")
+        return left.join(right.hint("merge"), (F.col("_rn") == F.col("_qn")) & (F.col("_g") == F.col("_h"))).where(F.get(F.array_intersect("_b", "_a"), F.lit(0)) == F.col("_g")).drop("_a", "_b", "_g", "_h")
 
     out = joined(F.col("_tr"), F.col("_ask"))
     out = out.union(joined(grams(rk), heads(qk)).where(~words & holds(rk, qk)))
