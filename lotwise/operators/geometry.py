@@ -4,7 +4,7 @@ detections (reading order, overlap suppression) and pixel work go through Arrow
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,35 +17,42 @@ from ..functions.values import col
 POLYGON = "array<array<double>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used: as columns, each use would be a copy of its expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def polygon_geometry(polygon: Column | str, width: Column | str, height: Column | str) -> Column:
     """Struct of box, ratios, centre and area ratio of a polygon [[x, y], ...]."""
-    p, w, h = col(polygon), col(width), col(height)
-    xs, ys = F.transform(p, lambda q: q[0]), F.transform(p, lambda q: q[1])
-    n = F.size(p)
+    def shape(p: Column) -> Column:
+        turned = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+        cross = F.aggregate(F.zip_with(p, turned, lambda a, b: a[0] * b[1] - b[0] * a[1]), F.lit(0.0), lambda s, x: s + x)
+        return F.struct(F.transform(p, lambda q: q[0]).alias("xs"), F.transform(p, lambda q: q[1]).alias("ys"), F.size(p).alias("n"), (F.abs(cross) / 2).alias("area"))
+
+    def measures(s: Column) -> Column:
+        mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / s["n"]
+        return F.struct(*[f(s[a]).alias(c) for c, f, a in (("l", F.array_min, "xs"), ("t", F.array_min, "ys"), ("r", F.array_max, "xs"), ("b", F.array_max, "ys"), ("x", mean, "xs"), ("y", mean, "ys"))], s["area"].alias("area"))
 
-    def mean(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
+    def ratios(m: Column) -> Column:
+        l, t, r, b, w, h = m["l"], m["t"], m["r"], m["b"], col(width), col(height)
+        return F.struct(
+            l.alias("left"), t.alias("top"), r.alias("right"), b.alias("bottom"), F.greatest(F.lit(0.0), r - l).alias("width"), F.greatest(F.lit(0.0), b - t).alias("height"),
+            (l / w).alias("left_ratio"), (t / h).alias("top_ratio"), (r / w).alias("right_ratio"), (b / h).alias("bottom_ratio"),
+            m["x"].alias("center_x"), m["y"].alias("center_y"), (m["area"] / F.greatest(F.lit(1), w * h)).alias("area_ratio"),
+        )
 
-    turned = F.concat(F.slice(p, 2, n), F.slice(p, 1, 1))
-    cross = F.aggregate(F.zip_with(p, turned, lambda a, b: a[0] * b[1] - b[0] * a[1]), F.lit(0.0), lambda s, x: s + x)
-    l, t, r, b = F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
-    return F.struct(
-        l.alias("left"), t.alias("top"), r.alias("right"), b.alias("bottom"), F.greatest(F.lit(0.0), r - l).alias("width"), F.greatest(F.lit(0.0), b - t).alias("height"),
-        (l / w).alias("left_ratio"), (t / h).alias("top_ratio"), (r / w).alias("right_ratio"), (b / h).alias("bottom_ratio"),
-        mean(xs).alias("center_x"), mean(ys).alias("center_y"), (F.abs(cross) / 2 / F.greatest(F.lit(1), w * h)).alias("area_ratio"),
-    )
+    return _once(col(polygon), lambda p: _once(shape(p), lambda s: _once(measures(s), ratios)))
 
 
 def order_corners(polygon: Column | str) -> Column:
     """Corners as top left, top right, bottom right, bottom left, by the sum and difference of their coordinates."""
-    p = col(polygon)
+    total, slope = (lambda q: q[0] + q[1]), (lambda q: q[1] - q[0])
 
-    def pick(value: object, least: bool) -> Column:
+    def pick(p: Column, value: Callable[[Column], Column], least: bool) -> Column:
         ranked = F.transform(p, lambda q, i: F.struct(value(q).alias("v"), (i if least else -i).alias("i"), q.alias("q")))
         return (F.array_min(ranked) if least else F.array_max(ranked))["q"]
 
-    total, slope = (lambda q: q[0] + q[1]), (lambda q: q[1] - q[0])
-    return F.array(pick(total, True), pick(slope, True), pick(total, False), pick(slope, False))
+    return _once(col(polygon), lambda p: F.array(pick(p, total, True), pick(p, slope, True), pick(p, total, False), pick(p, slope, False)))
 
 
 def expand_polygon(polygon: Column | str, padding: float, width: Column | str, height: Column | str) -> Column:
@@ -53,15 +60,14 @@ def expand_polygon(polygon: Column | str, padding: float, width: Column | str, h
     p = col(polygon)
     if padding <= 0:
         return p
-    cx = F.aggregate(p, F.lit(0.0), lambda s, q: s + q[0]) / F.size(p)
-    cy = F.aggregate(p, F.lit(0.0), lambda s, q: s + q[1]) / F.size(p)
+    mean = lambda p, i: F.aggregate(p, F.lit(0.0), lambda s, q: s + q[i]) / F.size(p)
 
-    def move(q: Column) -> Column:
-        d = F.greatest(F.sqrt((q[0] - cx) * (q[0] - cx) + (q[1] - cy) * (q[1] - cy)), F.lit(1.0))
-        k = (d + padding) / d
-        return F.array(F.least(F.greatest(cx + (q[0] - cx) * k, F.lit(0.0)), col(width) - 1.0), F.least(F.greatest(cy + (q[1] - cy) * k, F.lit(0.0)), col(height) - 1.0))
+    def move(q: Column, c: Column) -> Column:
+        d = F.greatest(F.sqrt((q[0] - c["x"]) * (q[0] - c["x"]) + (q[1] - c["y"]) * (q[1] - c["y"])), F.lit(1.0))
+        far = lambda k: F.array(F.least(F.greatest(c["x"] + (q[0] - c["x"]) * k, F.lit(0.0)), col(width) - 1.0), F.least(F.greatest(c["y"] + (q[1] - c["y"]) * k, F.lit(0.0)), col(height) - 1.0))
+        return _once(d, lambda d: _once((d + padding) / d, far))
 
-    return F.transform(p, move)
+    return _once(p, lambda p: _once(F.struct(mean(p, 0).alias("x"), mean(p, 1).alias("y")), lambda c: F.transform(p, lambda q: move(q, c))))
 
 
 def box_polygon(left: Column, top: Column, right: Column, bottom: Column) -> Column:

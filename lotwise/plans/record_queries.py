@@ -202,6 +202,7 @@ def q88_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = geometry.order_corners(mixed)
     g = geometry.expand_polygon(geometry.box_polygon(x, y, x + 10, y + 20), 4.0, F.lit(200), F.lit(100))
     text = lambda p: F.concat_ws(",", p[0].cast("string"), p[1].cast("string"))
+    li, o, g = li.withColumns({"_o": o, "_g": g}), F.col("_o"), F.col("_g")  # each is used more than once
     return li.select("l_orderkey", "l_linenumber", "q", text(o[0]).alias("first"), text(o[2]).alias("third"), F.round(g[0][0], 6).alias("grown_left"), F.round(g[2][1], 6).alias("grown_bottom"))
 
 

@@ -1,6 +1,8 @@
 """Steps whose cost must follow the rows that go in, not the pairs of their copies."""
 
-from lotwise.operators import lookup
+from pyspark.sql import functions as F
+
+from lotwise.operators import geometry, lookup
 
 
 def joined_rows(spark, df):
@@ -57,3 +59,12 @@ def test_of_one_id_every_path_gives_a_record_once(spark):
     got = sorted((h.lookup_id, h.rank, h.score, h.row_id) for h in lookup.lookup(r, q).collect())
     first = lambda i, s: [(i, 1, 1.0, 9), *[(i, n + 2, s, n) for n in range(4)]]
     assert got == [*first(1, 0.96), *first(2, 0.72), *[(3, n + 1, 0.92, n) for n in range(5)]]
+
+
+def test_polygon_values_are_worked_out_once(spark):
+    """The expression that makes a polygon, and the sums over it, stand once in the plan."""
+    df = spark.createDataFrame([([[10.0, 20.0], [50.0, 20.0], [50.0, 80.0], [10.0, 80.0]],)], "p array<array<double>>")
+    p = F.reverse("p")
+    for made, sums in ((geometry.order_corners(p), 0), (geometry.expand_polygon(p, 4.0, F.lit(200), F.lit(100)), 2), (geometry.polygon_geometry(p, F.lit(200), F.lit(100)), 3)):
+        plan = df.select(made.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("reverse(") == 1 and plan.count("aggregate(") == sums
