@@ -100,9 +100,12 @@ def _status(n: Column) -> Column:
 
 
 def _selected(out: DataFrame, cards: list[str], more: list[Column]) -> DataFrame:
-    n = F.size("_verified")
-    one = F.when(n == 1, F.get("_verified", F.lit(0)))
-    shown = F.transform("_verified", lambda v: F.struct(v["product_id"].alias("product_id"), v["product_name"].alias("product_name"), v["reasons"].alias("reasons")))
+    """_n verified products, the first of them in _one, all in _verified. The list is apart from its number, so that Spark doesn't make it where
+    only the number is asked for."""
+    n = F.coalesce("_n", F.lit(0)).cast("int")
+    one = F.when(n == 1, F.col("_one"))
+    verified = F.coalesce("_verified", F.array().cast(out.schema["_verified"].dataType))
+    shown = F.transform(verified, lambda v: F.struct(v["product_id"].alias("product_id"), v["product_name"].alias("product_name"), v["reasons"].alias("reasons")))
     return out.select(
         *cards,
         _status(n).alias("match_status"),
@@ -126,11 +129,11 @@ def match_by_reference(cards: DataFrame, products: DataFrame) -> DataFrame:
     tops = F.array_distinct(F.transform(F.regexp_extract_all("product_name", F.lit(r"(\d+)\s*/"), F.lit(1)), strip_zeros))
     p = products.withColumnRenamed("set_id", "_set").where(~X.foreign_language("product_name")).withColumn("_refs", X.title_refs("product_name")).withColumn("_top", F.explode(tops))
     ref = X.title_ref("product_name", "set_id", "card_code", F.col("_refs"))
-    pairs = c.join(p, (F.col("set_id") == F.col("_set")) & (X.number_parts("card_code")[0] == F.col("_top"))).withColumn("_ref", ref).where("_ref.ok")
-    found = pairs.withColumn("_reasons", F.array("_ref.reason")).groupBy("card_id").agg(F.array_sort(F.collect_list(_product_struct())).alias("_verified"))
-    out = c.join(found, "card_id", "left")
-    out = out.withColumn("_verified", F.coalesce("_verified", F.array().cast(found.schema["_verified"].dataType)))
-    return _selected(out, ["card_id", "set_id", "card_code"], [])
+    # cards of one set and code have the same candidates, which are looked for once
+    asked = c.select("set_id", "card_code").distinct().withColumn("_number", X.number_parts("card_code")[0])
+    pairs = asked.join(p.hint("merge"), (F.col("set_id") == F.col("_set")) & (F.col("_number") == F.col("_top"))).withColumn("_ref", ref).where("_ref.ok").withColumn("_reasons", F.array("_ref.reason"))
+    found = pairs.groupBy("set_id", "card_code").agg(F.count("*").alias("_n"), F.min(_product_struct()).alias("_one"), F.array_sort(F.collect_list(_product_struct())).alias("_verified"))
+    return _selected(c.join(found.hint("merge"), ["set_id", "card_code"], "left"), ["card_id", "set_id", "card_code"], [])
 
 
 def gates(kind: Column, local: Column, remote: Column, title: Column) -> Column:
@@ -168,66 +171,144 @@ def base_rarities(cards: DataFrame, order: str = "ordinal") -> DataFrame:
     return mode_first_seen(r, "card_code", "base_rarity", order).select("card_code", "base_rarity")
 
 
-def judge_candidates(cards: DataFrame, products: DataFrame, order: str = "ordinal") -> DataFrame:
-    """Every card beside every product found for its code, with ok and reasons: five gates in order, the first that fails
-    gives the reason."""
+def _judged_by(cards: DataFrame, order: str) -> DataFrame:
+    """Cards with what the gates look at."""
     base = base_rarities(cards, order).withColumnRenamed("card_code", "_bcode")
-    c = cards.join(base, F.col("card_code") == F.col("_bcode"), "left").withColumn("_rarity", X.normalize_rarity("rarity"))
+    c = cards.join(base.hint("merge"), F.col("card_code") == F.col("_bcode"), "left").withColumn("_rarity", X.normalize_rarity("rarity"))
     expected = F.when(F.col("_rarity") == "SP CARD", F.col("base_rarity")).otherwise(F.col("_rarity"))
     c = c.withColumn("_expected", expected).withColumn("_kind", X.variant_kind("rarity", "name", "image_url")).withColumn("_local", X.image_suffix("image_url"))
-    c = c.withColumn("_name", X.normalize_name(F.coalesce(filled("name"), F.col("name_en"))))
-    # what depends on one side only is worked out before the pairing
-    p = products.withColumnRenamed("card_code", "_code").withColumn("_t", X.parse_title("product_name", "_code")).withColumn("_remote", X.thumbnail_suffix("thumbnail_url")).withColumn("_seen", X.thumbnail_language("thumbnail_url"))
-    j = c.join(p, F.col("card_code") == F.col("_code"))
-    t = F.col("_t")
-    variant = gates(F.col("_kind"), F.col("_local"), F.col("_remote"), t)
-    language = F.when(~F.lower("language").eqNullSafe("en"), "language_not_constrained").when(t["language"] == "en", "title_language_en").when(F.col("_seen") == "en", "thumbnail_language_en")
-    named = (F.col("_name") != "") & (F.col("_name") == t["name_prefix_normalized"])
-    rarity_ok = F.coalesce(t["base_rarity"] == F.col("_expected"), F.lit(False))
-    j = j.withColumn("_language", language).withColumn("_v", variant)
+    return c.withColumn("_name", X.normalize_name(F.coalesce(filled("name"), F.col("name_en")))).withColumn("_en", F.lower("language").eqNullSafe("en"))
+
+
+def _judged(products: DataFrame) -> DataFrame:
+    """Products with what the gates look at."""
+    return products.withColumnRenamed("card_code", "_code").withColumn("_t", X.parse_title("product_name", "_code")).withColumn("_remote", X.thumbnail_suffix("thumbnail_url")).withColumn("_seen", X.thumbnail_language("thumbnail_url"))
+
+
+def _language_gate(en: Column) -> Column:
+    return F.when(~en, "language_not_constrained").when(F.col("_t.language") == "en", "title_language_en").when(F.col("_seen") == "en", "thumbnail_language_en")
+
+
+def _verdict(named: Column) -> tuple[Column, Column]:
+    """(reasons of the first gate that fails, null without one; reasons of what passes): columns of a card beside those of a product."""
+    t, variant = F.col("_t"), gates(F.col("_kind"), F.col("_local"), F.col("_remote"), F.col("_t"))
+    language, rarity_ok = _language_gate(F.col("_en")), F.coalesce(t["base_rarity"] == F.col("_expected"), F.lit(False))
     failed = (
         F.when(~t["code_exact"], F.array(F.concat(F.lit("code_mismatch:"), "card_code")))
-        .when(F.col("_language").isNull(), F.array(F.lit("missing_en_marker")))
+        .when(language.isNull(), F.array(F.lit("missing_en_marker")))
         .when(~named, F.array(F.lit("name_mismatch")))
         .when(~rarity_ok, F.array(F.concat(F.lit("rarity_mismatch:"), F.coalesce("_expected", F.lit("unknown")), F.lit("!="), F.coalesce(t["base_rarity"], F.lit("unknown")))))
-        .when(~F.col("_v.ok"), F.col("_v.reasons"))
+        .when(~variant["ok"], variant["reasons"])
     )
-    passed = F.concat(F.array(F.concat(F.lit("code_exact:"), "card_code"), F.col("_language"), F.lit("name_exact_normalized"), F.concat(F.lit("rarity_base:"), "_expected")), F.col("_v.reasons"))
+    passed = F.concat(F.array(F.concat(F.lit("code_exact:"), "card_code"), language, F.lit("name_exact_normalized"), F.concat(F.lit("rarity_base:"), "_expected")), variant["reasons"])
+    return failed, passed
+
+
+def judge_candidates(cards: DataFrame, products: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Every card beside every product found for its code, with ok and reasons: five gates in order, the first that fails
+    gives the reason."""
+    # what depends on one side only is worked out before the pairing
+    j = _judged_by(cards, order).join(_judged(products), F.col("card_code") == F.col("_code"))
+    failed, passed = _verdict((F.col("_name") != "") & (F.col("_name") == F.col("_t.name_prefix_normalized")))
     return j.withColumn("_failed", failed).select(*cards.columns, "_kind", "_local", "product_id", "product_name", "thumbnail_url", "min_price", "min_price_format", F.col("_failed").isNull().alias("ok"), F.coalesce("_failed", passed).alias("_reasons"))
 
 
+#: Rejected products that a card shows.
+EXAMPLES = 5
+
+
+def _product_classes(products: DataFrame) -> DataFrame:
+    """Products of a code that no gate can tell apart as one row: their number (_m), the first of them, the EXAMPLES first and all."""
+    p = _judged(products)
+    d = F.lower(F.col("_t.descriptor"))
+    t = F.col("_t").dropFields("name_prefix").withField("descriptor", F.when(F.contains(d, F.lit("comic parallel")), "comic parallel").when(d.isNotNull(), "other"))
+    own = F.struct(F.lower(F.coalesce("product_name", F.lit(""))).alias("_sort"), "product_id", "product_name", "thumbnail_url", "min_price", "min_price_format")
+    p = p.select("_code", t.alias("_t"), "_remote", F.when(F.col("_seen") == "en", "en").alias("_seen"), own.alias("_p"))
+    keys = ["_code", "_t", "_remote", "_seen"]
+    p = p.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("_p")))
+    g = p.groupBy(*keys).agg(F.count("*").alias("_m"), F.min("_p").alias("_first"), F.array_sort(F.collect_list(F.when(F.col("_i") <= EXAMPLES, F.col("_p")))).alias("_some"), F.collect_list("_p").alias("_all"))
+    return g.withColumn("_label", F.col("_t.name_prefix_normalized"))
+
+
+def _summed() -> list[Column]:
+    """Sums over classes of products."""
+    return [F.sum("_m").alias("_m"), F.min("_first").alias("_first"), F.slice(F.array_sort(F.flatten(F.collect_list("_some"))), 1, EXAMPLES).alias("_some")]
+
+
+def _other_names(classes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _m, _names): of products that pass the gates before that of the name, the number by code and the first names with their first
+    products, as many as hold the EXAMPLES first products that haven't a certain name."""
+    named = classes.groupBy(*keys, "_label").agg(*_summed())
+    w = Window.partitionBy(*keys)
+    ranked = named.withColumn("_i", F.row_number().over(w.orderBy("_first")))
+    return ranked.groupBy(*keys).agg(F.sum("_m").alias("_open"), F.collect_list(F.when(F.col("_i") <= EXAMPLES + 1, F.struct("_label", "_first", "_some"))).alias("_names"))
+
+
+def _rejections(asked: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(products that pass, rejected ones by reason) for each class of cards (asked, with its number _class). Cards meet products of their own
+    name only; what fails by code, language or name is counted by code."""
+    both = classes.withColumn("_flag", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_stage", F.when(~F.col("_t.code_exact"), "code").when(_language_gate(F.col("_flag")).isNull(), "language").otherwise("open"))
+    early = both.where("_stage <> 'open'").groupBy("_code", "_flag", "_stage").agg(*_summed())
+    same = [F.col("card_code") == F.col("_code"), F.col("_en") == F.col("_flag")]
+    reason = F.when(F.col("_stage") == "code", F.concat(F.lit("code_mismatch:"), "card_code")).otherwise("missing_en_marker")
+    wide = ["_class", "_reason", "_m", "_first", "_some"]
+    bad = asked.join(early.hint("merge"), same).withColumn("_reason", reason).select(*wide)
+    open_ = both.where("_stage = 'open'")
+    own = asked.where("_name <> ''").join(open_.hint("merge"), [*same, F.col("_name") == F.col("_label")])
+    failed, passed = _verdict(F.lit(True))
+    own = own.withColumn("_failed", failed).withColumn("_passed", F.when(F.col("_failed").isNull(), passed))
+    held = own.groupBy("_class").agg(F.sum("_m").alias("_held"))
+    others = asked.join(_other_names(open_, ["_code", "_flag"]).hint("merge"), same).join(held.hint("merge"), "_class", "left")
+    rest = F.filter("_names", lambda x: (x["_label"] != F.col("_name")) | (F.col("_name") == ""))
+    others = others.withColumn("_m", F.col("_open") - F.coalesce("_held", F.lit(0))).where("_m > 0").withColumn("_rest", rest)
+    others = others.select("_class", F.lit("name_mismatch").alias("_reason"), "_m", F.array_min(F.transform("_rest", lambda x: x["_first"])).alias("_first"), F.slice(F.array_sort(F.flatten(F.transform("_rest", lambda x: x["_some"]))), 1, EXAMPLES).alias("_some"))
+    late = own.where("_failed is not null").withColumn("_reason", F.get("_failed", F.lit(0))).groupBy("_class", "_reason").agg(*_summed()).select(*wide)
+    return own.where("_failed is null"), bad.union(others.select(*wide)).union(late)
+
+
 def match_by_gates(cards: DataFrame, products: DataFrame, searches: DataFrame | None = None, order: str = "ordinal") -> DataFrame:
     """One row per card: status, the product if exactly one is verified, reject reasons counted, the first five rejected
-    candidates, and why nothing matched. searches (card_code, failed) marks codes whose search had errors."""
-    judged = judge_candidates(cards, products, order)
-    key = "card_id"
-    sides = judged.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("ok"), _product_struct()))).alias("_verified"),
-        F.array_sort(F.collect_list(F.when(~F.col("ok"), _product_struct()))).alias("_rejected"),
+    candidates, and why nothing matched. searches (card_code, failed) marks codes whose search had errors. Cards and products that the gates
+    can't tell apart are judged once."""
+    keys = ["card_code", "_en", "_name", "_expected", "_kind", "_local"]
+    c = _judged_by(cards, order)
+    asked = c.where("card_code is not null").select(*keys).distinct().withColumn("_class", F.struct(*keys))
+    good, bad = _rejections(asked, _product_classes(products))
+    product = lambda v, reasons: F.struct(*[v[f].alias(f) for f in ("_sort", "product_id", "product_name", "thumbnail_url", "min_price", "min_price_format")], reasons.alias("reasons"))
+    passed = good.groupBy("_class").agg(
+        F.sum("_m").alias("_n"),
+        F.min(product(F.col("_first"), F.col("_passed"))).alias("_one"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("_all", lambda v: product(v, F.col("_passed")))))).alias("_verified"),
+    )
+    by_reason = F.struct("_reason", F.col("_m").alias("n"), "_first")
+    rejected = bad.groupBy("_class").agg(
+        F.sum("_m").alias("_bad"),
+        F.array_sort(F.collect_list(by_reason)).alias("_reasons"),
+        F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("_some", lambda v: product(v, F.array("_reason")))))), 1, EXAMPLES).alias("_examples"),
     )
-    out = cards.join(sides, key, "left")
-    kind = sides.schema["_verified"].dataType
-    empty = F.array().cast(kind)
-    out = out.withColumn("_verified", F.coalesce("_verified", empty)).withColumn("_rejected", F.coalesce("_rejected", empty))
-    reasons = F.flatten(F.transform("_rejected", lambda r: r["reasons"]))
-    out = out.withColumn("_reasons", reasons)
-    groups = F.transform("_reasons", lambda r: F.substring_index(r, ":", 1))
-    out = out.withColumn("reject_reason_counts", tally("_reasons")).withColumn("reject_reason_group_counts", tally(groups))
+    out = c.withColumn("_class", F.struct(*keys)).join(passed.hint("merge"), "_class", "left").join(rejected.hint("merge"), "_class", "left")
+    reasons = F.coalesce("_reasons", F.array().cast(rejected.schema["_reasons"].dataType))
+    groups = F.array_sort(F.array_distinct(F.transform(reasons, lambda r: F.substring_index(r["_reason"], ":", 1))))
+    of = lambda g: F.aggregate(F.filter(reasons, lambda r: F.substring_index(r["_reason"], ":", 1) == g), F.lit(0).cast("bigint"), lambda s, r: s + r["n"])
+    out = out.withColumn("reject_reason_counts", F.map_from_entries(F.transform(reasons, lambda r: F.struct(r["_reason"], r["n"]))))
+    out = out.withColumn("reject_reason_group_counts", F.map_from_entries(F.transform(groups, lambda g: F.struct(g, of(g)))))
     found = products.groupBy("card_code").agg(F.count_distinct("product_id").alias("_found"))
-    out = out.join(found, "card_code", "left")
+    out = out.join(found.hint("merge"), "card_code", "left")
     failed = F.lit(False)
     if searches is not None:
         out = out.join(searches.select("card_code", F.col("failed").alias("_failed")), "card_code", "left")
         failed = F.coalesce("_failed", F.lit(False))
-    n = F.size("_verified")
-    top = most_common("_reasons")
+    n = F.coalesce("_n", F.lit(0)).cast("int")
+    # the most frequent reason, of equals the one that comes first among the rejected products
+    most = F.array_max(F.transform(reasons, lambda r: r["n"]))
+    top = F.array_min(F.transform(F.filter(reasons, lambda r: r["n"] == most), lambda r: F.struct(r["_first"].alias("f"), r["_reason"].alias("v"))))["v"]
     detail = F.when(n > 1, F.concat(F.lit("verified_candidate_count:"), n)).when(n == 0, F.when(failed, "search_errors_present").when(F.coalesce("_found", F.lit(0)) == 0, "search_returned_no_exact_code_products").otherwise(top))
     why = F.when(n > 1, "multiple_verified_candidates").when(n == 0, F.when(failed, "search_error").when(F.coalesce("_found", F.lit(0)) == 0, "no_exact_code_products").otherwise(F.coalesce(F.substring_index(top, ":", 1), F.lit("no_verified_candidate"))))
-    examples = F.transform(F.slice("_rejected", 1, 5), lambda r: F.struct(r["product_id"].alias("product_id"), r["product_name"].alias("product_name"), r["reasons"].alias("reasons")))
+    examples = F.transform(F.coalesce("_examples", F.array().cast(rejected.schema["_examples"].dataType)), lambda r: F.struct(r["product_id"].alias("product_id"), r["product_name"].alias("product_name"), r["reasons"].alias("reasons")))
     return _selected(
         out,
         ["card_id", "set_id", "card_code", "language", "name", "rarity"],
-        [X.image_suffix("image_url").alias("image_suffix"), X.variant_kind("rarity", "name", "image_url").alias("variant_kind"), why.alias("unmatched_reason"), detail.alias("unmatched_reason_detail"), F.size("_rejected").alias("rejected_count"), F.col("reject_reason_counts"), F.col("reject_reason_group_counts"), examples.alias("rejected_examples")],
+        [X.image_suffix("image_url").alias("image_suffix"), X.variant_kind("rarity", "name", "image_url").alias("variant_kind"), why.alias("unmatched_reason"), detail.alias("unmatched_reason_detail"), F.coalesce("_bad", F.lit(0)).cast("int").alias("rejected_count"), F.col("reject_reason_counts"), F.col("reject_reason_group_counts"), examples.alias("rejected_examples")],
     )
 
 

@@ -1,8 +1,11 @@
 """Steps whose cost must follow the rows that go in, not the pairs of their copies."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import geometry, lookup
+from lotwise.operators import geometry, lookup, matching
 
 
 def joined_rows(spark, df):
@@ -68,3 +71,61 @@ def test_polygon_values_are_worked_out_once(spark):
     for made, sums in ((geometry.order_corners(p), 0), (geometry.expand_polygon(p, 4.0, F.lit(200), F.lit(100)), 2), (geometry.polygon_geometry(p, F.lit(200), F.lit(100)), 3)):
         plan = df.select(made.alias("x"))._jdf.queryExecution().analyzed().toString()
         assert plan.count("reverse(") == 1 and plan.count("aggregate(") == sums
+
+
+def _gated(spark, seed, n):
+    rng = random.Random(seed)
+    pick = rng.choice
+    url = lambda: pick([None, "https://x.example/a.png", "https://x.example/OPC-EN-TCG/a_p1.png", "https://x.example/a_r2.png"])
+    cards = [(f"c{i}", "S", pick(["A-1", "A-2", "A-3", None]), pick(["en", "ja"]), pick(["Fox", "Ice", "fox!", "", "Fox (Parallel)"]), None, pick(["R", "SR", "SP CARD"]), url(), i) for i in range(n)]
+    title = lambda c: f"{pick(['Fox', 'FOX', 'Ice', 'Old', '', 'Bo', 'Cy', 'Di', 'Eve'])} {pick(['R', 'SR', 'C', 'none'])}{pick(['', '-P', '-SP'])}{pick(['', ': Comic Parallel', ' more', ' Parallel'])} [{pick([c, c, c, 'B-9'])}]{pick(['', '[EN]', '[KR]'])}"
+    products = [(c, f"p{rng.randrange(n)}", title(c), url(), pick([1.0, None]), "f") for c in (pick(["A-1", "A-2"]) for _ in range(4 * n))]
+    return (
+        spark.createDataFrame(cards, "card_id string, set_id string, card_code string, language string, name string, name_en string, rarity string, image_url string, ordinal int"),
+        spark.createDataFrame(products, "card_code string, product_id string, product_name string, thumbnail_url string, min_price double, min_price_format string"),
+    )
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_classes_match_as_single_pairs_do(spark, seed):
+    cards, products = _gated(spark, seed, 60)
+    judged = {}
+    for j in matching.judge_candidates(cards, products).collect():
+        judged.setdefault(j.card_id, []).append(j)
+    place = lambda j: [(v is not None, v) for v in ((j.product_name or "").lower(), j.product_id, j.product_name, j.thumbnail_url, j.min_price, j.min_price_format)]
+    whys = set()
+    for m in matching.match_by_gates(cards, products).collect():
+        own = sorted(judged.get(m.card_id, []), key=place)
+        good, bad = [j for j in own if j.ok], [j for j in own if not j.ok]
+        reasons = [r for j in bad for r in j._reasons]
+        assert [(v.product_id, v.product_name, v.reasons) for v in m.verified_candidates] == [(j.product_id, j.product_name, j._reasons) for j in good]
+        assert (m.candidate_count, m.rejected_count, m.reject_reason_counts) == (len(good), len(bad), {r: reasons.count(r) for r in reasons})
+        assert m.reject_reason_group_counts == {g: sum(r.split(":")[0] == g for r in reasons) for g in {r.split(":")[0] for r in reasons}}
+        assert [(v.product_id, v.product_name, v.reasons) for v in m.rejected_examples] == [(j.product_id, j.product_name, j._reasons) for j in bad[:5]]
+        assert m.product_id == (good[0].product_id if len(good) == 1 else None)
+        top = max(dict.fromkeys(reasons), key=reasons.count, default=None)
+        want = f"verified_candidate_count:{len(good)}" if len(good) > 1 else None if good else top or "search_returned_no_exact_code_products"
+        assert m.unmatched_reason_detail == want
+        whys.add(m.unmatched_reason)
+    assert len(whys) >= 4
+
+
+def test_copies_are_judged_once(spark):
+    cards, products = _gated(spark, 2, 20)
+    copies = F.explode(F.sequence(F.lit(1), F.lit(40)))
+    again = lambda df, key: df.withColumn("_i", copies).withColumn(key, F.concat(key, F.lit("x"), F.col("_i").cast("string"))).drop("_i")
+    many = matching.match_by_gates(again(cards, "card_id"), again(products, "product_id")).select("card_id", "match_status", "candidate_count", "rejected_count", "reject_reason_counts")
+    found, most = joined_rows(spark, many)
+    one = {r.card_id: r for r in matching.match_by_gates(cards, products).collect()}
+    assert len(found) == 800 and all((r.candidate_count, r.rejected_count) == (40 * one[c].candidate_count, 40 * one[c].rejected_count) for r in found for c in [r.card_id.split("x")[0]])
+    assert most <= 1600
+
+
+def test_references_of_copies_are_found_once(spark):
+    cards = spark.createDataFrame([(f"c{i}", "SV1", str(i % 2 + 1)) for i in range(200)], "card_id string, set_id string, card_code string")
+    p = spark.createDataFrame([("SV1", f"p{i}", f"x [SV1 00{i % 3}/060]") for i in range(300)], "set_id string, product_id string, product_name string").selectExpr("*", "'t' thumbnail_url", "1.0 min_price", "'f' min_price_format")
+    found, most = joined_rows(spark, matching.match_by_reference(cards, p).select("card_id", "candidate_count", "match_status"))
+    assert {(r.candidate_count, r.match_status) for r in found} == {(100, "multiple_verified_matches")} and len(found) == 200
+    assert most <= 300
+    whole = matching.match_by_reference(cards.limit(2), p).collect()
+    assert [len(r.verified_candidates) for r in whole] == [100, 100]
