@@ -122,7 +122,7 @@ def recognize(
     from .vectors import candidate_window, merge, search
 
     inner, window = candidate_window(top_k, per_index, visual=bool(second or visual), ocr=bool(ocr), language=language, hint=bool(hint))
-    hits = merge(search(vectors, queries, inner), window, index_order)
+    hits = merge(search(vectors, queries, inner, most=window), window, index_order)
     fields = [c for c in ("card_id", "set_id", "card_code", "language", "game", "source", "name") if c in vectors.columns]
     hits = hits.join(vectors.select("index_name", "row_id", *fields), ["index_name", "row_id"])
     family = candidate_family([c for c in ("game",) if c in fields], F.col("index_name").cast("string"), [c for c in ("source",) if c in fields])

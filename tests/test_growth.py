@@ -1,11 +1,14 @@
 """Steps whose cost must follow the rows that go in, not the pairs of their copies."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import geometry, lookup, matching
+from lotwise.operators import geometry, lookup, matching, vectors
 from lotwise.plans import catalog_queries
 
 
@@ -142,3 +145,40 @@ def test_titles_keep_what_is_no_named_entity(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert got == sorted(db.execute(catalog_queries.SQL["q22_html_fields"]).fetchall()) and got[0][2] == "a&amp"
+
+
+@pytest.mark.parametrize("block", [64, 10**6])
+@pytest.mark.parametrize("reach", [1, 30])
+def test_merged_hits_need_no_more_of_an_index(spark, monkeypatch, block, reach):
+    """With ties in plenty (reach 1), and in steps smaller than the tables."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-reach, reach + 1, (300, 4)).astype(float)
+    df = spark.createDataFrame([(int(i % 3), i, v[i].tolist()) for i in range(300)], "index_name int, row_id bigint, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, v[i].tolist()) for i in range(40)], "query_id bigint, vector array<float>")
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", block)
+    got = sorted(map(tuple, vectors.merge(vectors.search(df, q, 5, most=7), 7).select("query_id", "rank", "index_name", "row_id", "score", "index_rank").collect()))
+    want = []
+    for a in range(40):
+        of = lambda x, a=a: sorted((-float(v[a] @ v[i]), x, i) for i in range(300) if i % 3 == x)[:5]
+        hits = sorted((s, x, n + 1, i) for x in range(3) for n, (s, x, i) in enumerate(of(x)))
+        want += [(a, n + 1, x, i, -s, r) for n, (s, x, r, i) in enumerate(hits[:7])]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("most", [None, 12])
+def test_search_keeps_little_in_memory(most):
+    rng = np.random.default_rng(6)
+    m, q = rng.standard_normal((20_000, 16)), rng.standard_normal((1500, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000) % 2), pa.array(np.arange(20_000)), pa.array(list(m.astype(np.float32)))], ["index_name", "row_id", "embedding"])
+    run = vectors._scan(np.arange(1500), q, 10, most)
+    tracemalloc.start()
+    got = [r for b in run([batch]) for r in zip(*[c.to_pylist() for c in b.columns])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    s = m.astype(np.float32).astype(float) @ q.T
+    for a in range(0, 1500, 97):
+        own = {(x, r) for i, x, r, _ in got if i == a}
+        best = [sorted(((s[r, a], x, r) for r in range(x, 20_000, 2)), reverse=True)[:10] for x in range(2)]
+        need = sorted(best[0] + best[1], reverse=True)[:most]
+        assert {(x, r) for _, x, r in need} <= own and len(own) <= 30
