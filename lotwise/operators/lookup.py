@@ -155,7 +155,8 @@ def _by_name(r: DataFrame, q: DataFrame) -> DataFrame:
 
     def joined(rs: Column, qs: Column) -> DataFrame:
         """Pairs that share a number and one of these texts, each once."""
-        left, right = r.withColumn("_a", rs).withColumn("_g", F.explode("_a")), q.withColumn("_b", qs).withColumn("_h", F.explode("_b"))
+        # outer, as Spark would else make a filter of the arrays and push the folding, a Python function, into it below the classes
+        left, right = r.withColumn("_a", rs).withColumn("_g", F.explode_outer("_a")), q.withColumn("_b", qs).withColumn("_h", F.explode_outer("_b"))
         return left.join(right.hint("merge"), (F.col("_rn") == F.col("_qn")) & (F.col("_g") == F.col("_h"))).where(F.get(F.array_intersect("_b", "_a"), F.lit(0)) == F.col("_g")).drop("_a", "_b", "_g", "_h")
 
     out = joined(F.col("_tr"), F.col("_ask"))
