@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used: as columns, each use would be a copy of its expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def filled(c: Column | str) -> Column:
     """The text, or null where it is empty."""
     c = col(c)

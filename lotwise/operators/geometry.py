@@ -12,16 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import col
+from ..functions.values import col, once
 
 POLYGON = "array<array<double>>"
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value worked out once, however often it is used: as columns, each use would be a copy of its expression."""
-    return F.transform(F.array(value), use)[0]
-
-
 def polygon_geometry(polygon: Column | str, width: Column | str, height: Column | str) -> Column:
     """Struct of box, ratios, centre and area ratio of a polygon [[x, y], ...]."""
     def shape(p: Column) -> Column:
@@ -41,7 +36,7 @@ def polygon_geometry(polygon: Column | str, width: Column | str, height: Column
             m["x"].alias("center_x"), m["y"].alias("center_y"), (m["area"] / F.greatest(F.lit(1), w * h)).alias("area_ratio"),
         )
 
-    return _once(col(polygon), lambda p: _once(shape(p), lambda s: _once(measures(s), ratios)))
+    return once(col(polygon), lambda p: once(shape(p), lambda s: once(measures(s), ratios)))
 
 
 def order_corners(polygon: Column | str) -> Column:
@@ -52,7 +47,7 @@ def order_corners(polygon: Column | str) -> Column:
         ranked = F.transform(p, lambda q, i: F.struct(value(q).alias("v"), (i if least else -i).alias("i"), q.alias("q")))
         return (F.array_min(ranked) if least else F.array_max(ranked))["q"]
 
-    return _once(col(polygon), lambda p: F.array(pick(p, total, True), pick(p, slope, True), pick(p, total, False), pick(p, slope, False)))
+    return once(col(polygon), lambda p: F.array(pick(p, total, True), pick(p, slope, True), pick(p, total, False), pick(p, slope, False)))
 
 
 def expand_polygon(polygon: Column | str, padding: float, width: Column | str, height: Column | str) -> Column:
@@ -65,9 +60,9 @@ def expand_polygon(polygon: Column | str, padding: float, width: Column | str, h
     def move(q: Column, c: Column) -> Column:
         d = F.greatest(F.sqrt((q[0] - c["x"]) * (q[0] - c["x"]) + (q[1] - c["y"]) * (q[1] - c["y"])), F.lit(1.0))
         far = lambda k: F.array(F.least(F.greatest(c["x"] + (q[0] - c["x"]) * k, F.lit(0.0)), col(width) - 1.0), F.least(F.greatest(c["y"] + (q[1] - c["y"]) * k, F.lit(0.0)), col(height) - 1.0))
-        return _once(d, lambda d: _once((d + padding) / d, far))
+        return once(d, lambda d: once((d + padding) / d, far))
 
-    return _once(p, lambda p: _once(F.struct(mean(p, 0).alias("x"), mean(p, 1).alias("y")), lambda c: F.transform(p, lambda q: move(q, c))))
+    return once(p, lambda p: once(F.struct(mean(p, 0).alias("x"), mean(p, 1).alias("y")), lambda c: F.transform(p, lambda q: move(q, c))))
 
 
 def box_polygon(left: Column, top: Column, right: Column, bottom: Column) -> Column:

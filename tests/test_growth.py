@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lotwise.functions import text as X
 from lotwise.operators import geometry, lookup, matching, vectors
 from lotwise.plans import catalog_queries
 
@@ -182,3 +183,13 @@ def test_search_keeps_little_in_memory(most):
         best = [sorted(((s[r, a], x, r) for r in range(x, 20_000, 2)), reverse=True)[:10] for x in range(2)]
         need = sorted(best[0] + best[1], reverse=True)[:most]
         assert {(x, r) for _, x, r in need} <= own and len(own) <= 30
+
+
+def test_labels_are_parsed_in_one_pass(spark):
+    """The label's text is repaired once for the whole and once for its lines, not once for each field that is read of it."""
+    df = spark.createDataFrame([("2021 POKEMON JAPANESE PACK SV-P PROMO\nFOX EX\n#012\nGEM MT\n12345678",), (None,)], "t string")
+    made = df.select(X.parse_label(F.reverse(F.reverse("t")), by_line=True).alias("p"))
+    assert made._jdf.queryExecution().analyzed().toString().count("reverse(") == 4
+    got = [r.p for r in made.collect()]
+    assert (got[0].card_number, got[0].subject, got[0].set_title, got[0].language, got[0].set_id) == ("012", "FOX EX", "PACK SV-P PROMO", "ja", "SV-P")
+    assert got[1].subject is None and got[1].card_number is None
