@@ -335,6 +335,16 @@ def best_overlap(texts: DataFrame, items: DataFrame, key: str, item: str, cells:
     return best.select(key, "_b.*")
 
 
+#: Cells of word and item that are gathered at once.
+HELD = 2_000_000
+
+
+def _counts(cell: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of some rows of a matrix, by parts of HELD cells."""
+    step = max(1, HELD // cell.shape[1])
+    return sum(cell[at[x : x + step]].sum(0) for x in range(0, len(at), step))
+
+
 def _overlaps(items: pa.Table, key: str, item: str):
     held = items["words"].combine_chunks()
     words = pc.unique(held.flatten())
@@ -346,24 +356,22 @@ def _overlaps(items: pa.Table, key: str, item: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in range(0, b.num_rows, 256):
-                part = b.slice(x, 256)
-                own = pc.list_value_length(part["words"]).fill_null(0).to_numpy(zero_copy_only=False)
-                at = pc.fill_null(pc.index_in(part["words"].flatten(), words), len(words)).to_numpy(zero_copy_only=False)
-                some = np.flatnonzero(own > 0)
-                if not len(some):
-                    continue
-                seen = at < len(words)  # most words of a text are no item's
-                doc = np.repeat(np.arange(len(own)), own)[seen]
-                if not len(doc):
-                    continue
-                begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                shared = np.add.reduceat(cell[at[seen]], begin, axis=0)
-                row = doc[begin]
+            own = pc.list_value_length(b["words"]).fill_null(0).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(b["words"].flatten(), words), len(words)).to_numpy(zero_copy_only=False)
+            seen = at < len(words)  # most words of a text are no item's
+            doc, at = np.repeat(np.arange(len(own)), own)[seen], at[seen]
+            begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+            ends = np.append(begin, len(doc))[1:]
+            x = 0
+            while x < len(begin):  # as many texts at once as have HELD cells, or one
+                y = max(x + 1, int(np.searchsorted(ends, begin[x] + HELD // len(ids), "right")))
+                shared = np.stack([_counts(cell, at[begin[i] : ends[i]]) for i in range(x, y)])
+                row = doc[begin[x:y]]
                 share = np.round(shared.astype(np.float64) / np.minimum(own[row][:, None], np.maximum(length, 1)[None, :]), 9)
                 k = share.argmax(1)
                 n = shared[np.arange(len(row)), k].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part[key].take(pa.array(row)), ids.take(pa.array(k)), pa.array(n), pa.array(share[np.arange(len(row)), k])], [key, item, "shared", "similarity"])
+                yield pa.RecordBatch.from_arrays([b[key].take(pa.array(row)), ids.take(pa.array(k)), pa.array(n), pa.array(share[np.arange(len(row)), k])], [key, item, "shared", "similarity"])
+                x = y
 
     return run
 

@@ -193,3 +193,16 @@ def test_labels_are_parsed_in_one_pass(spark):
     got = [r.p for r in made.collect()]
     assert (got[0].card_number, got[0].subject, got[0].set_title, got[0].language, got[0].set_id) == ("012", "FOX EX", "PACK SV-P PROMO", "ja", "SV-P")
     assert got[1].subject is None and got[1].card_number is None
+
+
+def test_overlaps_gather_little_at_once():
+    """Long texts, that hold every word of many items."""
+    every = [f"w{i}" for i in range(2000)]
+    items = pa.table({"item": list(range(300)), "words": [every[6 * i : 6 * i + 40] for i in range(300)]})
+    batch = pa.RecordBatch.from_pydict({"key": list(range(128)), "words": [every[i:] for i in range(127)] + [["none"]]})
+    run = matching._overlaps(items, "key", "item")
+    tracemalloc.start()
+    got = [r for b in run([batch]) for r in zip(*[c.to_pylist() for c in b.columns])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(i, -(-i // 6), 40, 1.0) for i in range(127)] and peak < 60e6
